@@ -58,7 +58,7 @@ def input_bytes(df: DataFrame) -> int:
     return min(int(size.toString()), 1 << 50)
 
 
-def numbered(df: DataFrame, group: list[str], key: str, name: str, spread: int = 64) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], key: str | list[str], name: str, spread: int = 64) -> DataFrame:
     """Add ``name``: a gapless number from 0 within each group.
 
     A group may hold a third of all rows, so no task gets a whole group: rows are
@@ -68,12 +68,13 @@ def numbered(df: DataFrame, group: list[str], key: str, name: str, spread: int =
     Numbers depend on the rows alone, so reruns agree. df should be materialised:
     it is read twice.
     """
+    keys = [key] if isinstance(key, str) else key
     salt = f"__salt_{name}"
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(spread)).cast("int"))
     totals = salted.groupBy(*group, salt).agg(F.count(F.lit(1)).alias("__n"))
     running = W.partitionBy(*group).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)
     first = totals.withColumn("__first", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
-    inside = salted.withColumn("__row", F.row_number().over(W.partitionBy(*group, salt).orderBy(key)) - 1)
+    inside = salted.withColumn("__row", F.row_number().over(W.partitionBy(*group, salt).orderBy(*keys)) - 1)
     return (
         inside.join(first, [*group, salt])
         .withColumn(name, (F.col("__row") + F.col("__first")).cast("long"))

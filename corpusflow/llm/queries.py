@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "exact_dedup", "mixing")
+MODULES = ("sharding", "media", "exact_dedup", "packing", "mixing")
 
 
 def _all(name: str) -> dict:
