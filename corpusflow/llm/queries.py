@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "media", "exact_dedup", "packing", "mixing")
+MODULES = ("sharding", "media", "exact_dedup", "packing", "line_dedup", "language_id", "mixing")
 
 
 def _all(name: str) -> dict:
