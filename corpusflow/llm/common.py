@@ -55,7 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of what df reads; sizes sketches, never results."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size.toString()), 1 << 50)
+    return min(int(size if isinstance(size, int) else size.toString()), 1 << 50)
 
 
 def numbered(df: DataFrame, group: list[str], key: str | list[str], name: str, spread: int = 64) -> DataFrame:
