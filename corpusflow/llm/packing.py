@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 400_000  # words whose ids a worker remembers
+WORDS_KEPT = 1_200_000  # pieces of text whose ids a worker remembers
+SLICE = 1 << 20
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
 
 
@@ -35,7 +37,9 @@ class Encoder:
 
     White space is dropped by the vocabulary's own rules and no token spans it, so the
     ids of a text are those of its pieces between blanks and line feeds, one after
-    another; pieces are remembered.
+    another; pieces are remembered. New pieces are encoded many at a time: plain words,
+    with or without one mark at the end, joined by blanks and told apart by the tokens
+    that end a word; all others joined by a special token.
     """
 
     def __init__(self, path: str):
@@ -43,37 +47,53 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _keep(self, some: list[str], ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        data = ids.tobytes()
+        self.known.update(zip(some, [data[a:b] for a, b in zip((4 * lo).tolist(), (4 * hi).tolist(), strict=True)], strict=True))
 
     def learn(self, new: list[str]) -> None:
-        odd = [x for x in new if "<|" in x]
-        self.known.update((x, _pack(self.model.encode(x, add_special_tokens=False).ids)) for x in odd)
-        plain = [x for x in new if "<|" not in x]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self.model.encode(_SEPARATOR.join(some), add_special_tokens=False).ids
-            row: list[int] = []
-            words = iter(some)
-            for i in ids:
-                if i == _SEPARATOR_ID:
-                    self.known[next(words)] = _pack(row)
-                    row = []
-                else:
-                    row.append(i)
-            self.known[next(words)] = _pack(row)
-
-    def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        new = set(parts).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > WORDS_KEPT:
-                self.known = {"": b""}
-                new = set(parts) - {""}
-            self.learn(sorted(new))
-        return b"".join(map(self.known.__getitem__, parts))
-
-
-def _pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+        plain, other = [], []
+        for x in new:
+            low = x.lower()
+            if low.isalpha():
+                plain.append((x, 1))
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                plain.append((x, 2))
+            elif "<|" in x:
+                self.known[x] = self._ids(x).tobytes()
+            else:
+                other.append(x)
+        for at in range(0, len(plain), 8192):
+            some, n = zip(*plain[at : at + 8192], strict=True)
+            ids = self._ids(" ".join(some))
+            ends, cuts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(n)
+            if len(ends) == cuts[-1] and ends[-1] == len(ids):
+                cuts = ends[cuts - 1]
+                self._keep(list(some), ids, np.append(0, cuts[:-1]), cuts)
+            else:
+                other += some
+        for at in range(0, len(other), 8192):
+            some = other[at : at + 8192]
+            ids = self._ids(_SEPARATOR.join(some))
+            between = np.flatnonzero(ids == _SEPARATOR_ID)
+            self._keep(some, ids, np.append(0, between + 1), np.append(between, len(ids)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [x.replace("\n", " ").split(" ") for x in texts]
+        new = set().union(*parts).difference(self.known)
+        if new and len(self.known) + len(new) > WORDS_KEPT:
+            self.known = {"": b""}
+            new = set().union(*parts) - {""}
+        self.learn(list(new))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -94,10 +114,17 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end:
         file = path or vocabulary()
         encoder = _ENCODERS.get(file) or _ENCODERS.setdefault(file, Encoder(file))
         for batch in batches:
+            keys, column, lo = batch.column(0).to_pylist(), batch.column(1), 0
             out: list[tuple] = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(x.as_py() or "") + tail
-                out += [(k, i, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width])) for i, at in enumerate(range(0, len(ids), width))]
+            while lo < len(keys):
+                some, n = [], 0
+                while lo + len(some) < len(keys) and n < SLICE:
+                    some.append(column[lo + len(some)].as_py() or "")
+                    n += len(some[-1])
+                for k, ids in zip(keys[lo:], encoder.encode(some)):  # noqa: B905
+                    ids += tail
+                    out += [(k, i, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width])) for i, at in enumerate(range(0, len(ids), width))]
+                lo += len(some)
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "piece", "start", "length", "ids_crc32"])
 
