@@ -92,7 +92,7 @@ def _starts(doc: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return words.mix(anchors + U((row + 1) * int(_BASE2) & (1 << 64) - 1)) >> U(64 - bits)
+    return words.mix(anchors + words.times(row + 1, _BASE2)) >> U(64 - bits)
 
 
 def sketch(texts: DataFrame, width: int, anchor: int, bits: int) -> str:

@@ -26,6 +26,11 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 U = np.uint64
 
 
+def times(n: int, x: np.uint64) -> np.uint64:
+    """n * x modulo 2**64."""
+    return U(int(n) * int(x) & (1 << 64) - 1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> U(30))
@@ -112,5 +117,5 @@ def shingles(w: Words, n: int = 5) -> np.ndarray:
     m = max(0, len(w.hashes) - n + 1)
     out = np.zeros(m, U)
     for j in range(n):
-        out += mix(w.hashes[j : j + m] + U(j + 1) * _A) * (_C + U(2 * j))
+        out += mix(w.hashes[j : j + m] + times(j + 1, _A)) * (_C + U(2 * j))
     return mix(out)
