@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 1_200_000  # pieces of text whose ids a worker remembers
+WORDS_KEPT = 1_600_000  # pieces of text whose ids a worker remembers
 SLICE = 1 << 20
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
 
@@ -37,9 +37,9 @@ class Encoder:
 
     White space is dropped by the vocabulary's own rules and no token spans it, so the
     ids of a text are those of its pieces between blanks and line feeds, one after
-    another; pieces are remembered. New pieces are encoded many at a time: plain words,
-    with or without one mark at the end, joined by blanks and told apart by the tokens
-    that end a word; all others joined by a special token.
+    another; pieces are remembered. New pieces are encoded many at a time: plain words, in
+    lower case and without a mark at the end, joined by blanks and told apart by the
+    tokens that end a word; all others joined by a special token.
     """
 
     def __init__(self, path: str):
@@ -50,40 +50,51 @@ class Encoder:
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids(m).tobytes() for m in ".,;:!?"}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _keep(self, some: list[str], ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         data = ids.tobytes()
         self.known.update(zip(some, [data[a:b] for a, b in zip((4 * lo).tolist(), (4 * hi).tolist(), strict=True)], strict=True))
 
+    def _separate(self, some: list[str]) -> None:
+        ids = self._ids(_SEPARATOR.join(some))
+        between = np.flatnonzero(ids == _SEPARATOR_ID)
+        self._keep(some, ids, np.append(0, between + 1), np.append(between, len(ids)))
+
     def learn(self, new: list[str]) -> None:
-        plain, other = [], []
+        known, cores, made, other = self.known, set(), [], []
         for x in new:
             low = x.lower()
-            if low.isalpha():
-                plain.append((x, 1))
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                plain.append((x, 2))
+            if low.isalpha() and "\u03a3" not in x:  # a sigma's lower case depends on its place
+                core, mark = low, ""
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha() and "\u03a3" not in x:
+                core, mark = low[:-1], low[-1]
             elif "<|" in x:
-                self.known[x] = self._ids(x).tobytes()
+                known[x] = self._ids(x).tobytes()
+                continue
             else:
                 other.append(x)
-        for at in range(0, len(plain), 8192):
-            some, n = zip(*plain[at : at + 8192], strict=True)
+                continue
+            if core not in known:
+                cores.add(core)
+            made.append((x, core, mark))
+        plain = list(cores)
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
             ids = self._ids(" ".join(some))
-            ends, cuts = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(n)
-            if len(ends) == cuts[-1] and ends[-1] == len(ids):
-                cuts = ends[cuts - 1]
-                self._keep(list(some), ids, np.append(0, cuts[:-1]), cuts)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._keep(some, ids, np.append(0, ends[:-1]), ends)
             else:
-                other += some
-        for at in range(0, len(other), 8192):
-            some = other[at : at + 8192]
-            ids = self._ids(_SEPARATOR.join(some))
-            between = np.flatnonzero(ids == _SEPARATOR_ID)
-            self._keep(some, ids, np.append(0, between + 1), np.append(between, len(ids)))
+                self._separate(some)
+        for at in range(0, len(other), 512):
+            self._separate(other[at : at + 512])
+        for mark in ".,;:!?":
+            known.setdefault(mark, self.marks[mark])
+        known.update([(x, known[core] + known[mark]) for x, core, mark in made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
