@@ -16,6 +16,7 @@ size (salted, so that no size is one task), and applying the rules by a broadcas
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -24,87 +25,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 1_600_000  # pieces of text whose ids a worker remembers
-SLICE = 1 << 20
+WORDS_KEPT = 1_500_000  # distinct words whose ids a worker remembers
+SLICE = 8 << 20
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
 
 
 class Encoder:
-    """Token ids of whole texts as bytes (unsigned 32-bit, little endian).
-
-    White space is dropped by the vocabulary's own rules and no token spans it, so the
-    ids of a text are those of its pieces between blanks and line feeds, one after
-    another; pieces are remembered. New pieces are encoded many at a time: plain words, in
-    lower case and without a mark at the end, joined by blanks and told apart by the
-    tokens that end a word; all others joined by a special token.
+    """Token ids of whole texts.
+
+    The vocabulary drops white space, no token spans it, and A-Z count as a-z. So the
+    ids of a text are those of its words, one after another; a mark after a letter at a
+    word's end is a word of its own. Each distinct word of a slice (Arrow's dictionary
+    encoding finds them) is looked up, or encoded with many others at once, and the ids
+    are gathered in numpy. Texts with ``<|``, which may spell a special token, are
+    encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model, self.known = Tokenizer.from_file(path), {"": b""}
+        self.model = Tokenizer.from_file(path)
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._ids(m).tobytes() for m in ".,;:!?"}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.at = np.zeros(1 << 12, np.int64)  # of each known word, its first id in the pool and then their end
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _keep(self, some: list[str], ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        data = ids.tobytes()
-        self.known.update(zip(some, [data[a:b] for a, b in zip((4 * lo).tolist(), (4 * hi).tolist(), strict=True)], strict=True))
-
-    def _separate(self, some: list[str]) -> None:
-        ids = self._ids(_SEPARATOR.join(some))
-        between = np.flatnonzero(ids == _SEPARATOR_ID)
-        self._keep(some, ids, np.append(0, between + 1), np.append(between, len(ids)))
-
-    def learn(self, new: list[str]) -> None:
-        known, cores, made, other = self.known, set(), [], []
+    def _keep(self, some: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        """ids: of all these words, one after another."""
+        n, m = len(self.known), len(some)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + m + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[n + 1 : n + m + 1] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.known.update(zip(some, range(n, n + m), strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
         for x in new:
-            low = x.lower()
-            if low.isalpha() and "\u03a3" not in x:  # a sigma's lower case depends on its place
-                core, mark = low, ""
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha() and "\u03a3" not in x:
-                core, mark = low[:-1], low[-1]
-            elif "<|" in x:
-                known[x] = self._ids(x).tobytes()
-                continue
-            else:
-                other.append(x)
-                continue
-            if core not in known:
-                cores.add(core)
-            made.append((x, core, mark))
-        plain = list(cores)
+            (plain if x.decode(errors="replace").isalpha() else other).append(x)
         for at in range(0, len(plain), 512):
             some = plain[at : at + 512]
-            ids = self._ids(" ".join(some))
+            ids = self._ids(b" ".join(some).decode())
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                self._keep(some, ids, np.append(0, ends[:-1]), ends)
+            if len(ends) == len(some) and ends[-1] == len(ids):  # each word's last token tells its end
+                self._keep(some, ids, np.diff(ends, prepend=0))
             else:
-                self._separate(some)
+                other += some
         for at in range(0, len(other), 512):
-            self._separate(other[at : at + 512])
-        for mark in ".,;:!?":
-            known.setdefault(mark, self.marks[mark])
-        known.update([(x, known[core] + known[mark]) for x, core, mark in made])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*parts).difference(self.known)
-        if new and len(self.known) + len(new) > WORDS_KEPT:
-            self.known = {"": b""}
-            new = set().union(*parts) - {""}
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+            some = other[at : at + 512]
+            ids = self._ids(_SEPARATOR.join([x.decode() for x in some]))
+            between = ids == _SEPARATOR_ID
+            self._keep(some, ids[~between], np.bincount(np.cumsum(between)[~between], minlength=len(some)))
+
+    def encode(self, data: np.ndarray, o: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, each with end behind, and the first of each."""
+        raw = data.tobytes()
+        if b"<|" in raw:
+            rows = [np.append(self._ids(raw[a:b].decode()), np.uint32(end)).astype("<u4") for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            return np.concatenate(rows), np.append(0, np.cumsum([len(x) for x in rows]))
+        buf = words.lowered(data)
+        starts, ends = words.spans(buf, o)
+        first = np.searchsorted(starts, o)
+        split = _MARK[buf[ends - 1]] & (ends - starts > 1)
+        before = buf[ends[split] - 2]
+        split[split] = (before >= 97) & (before <= 122)
+        # a word that is split has two places, its mark the second one
+        place = np.arange(len(starts)) + np.cumsum(split) - split
+        lengths = np.ones(len(starts) + int(split.sum()), np.int64)
+        lengths[place] = ends - starts - split
+        first = np.append(place, len(lengths))[first]
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        content = buf[words.inside(buf)]
+        found = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(content)]).dictionary_encode()
+        distinct, index = found.dictionary.to_pylist(), found.indices.to_numpy()
+        if len(self.known) + len(distinct) > WORDS_KEPT:
+            self.forget()
+        at = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [distinct[i] for i in missing]
+            self.learn(new)
+            at[missing] = [self.known[x] for x in new]
+        at = at[index]
+        source, count = self.at[at], self.at[at + 1] - self.at[at]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        bounds = np.append(0, upto)[first] + np.arange(len(first))  # one more id for each text before
+        out = np.full(total + len(o) - 1, end, "<u4")
+        doc = np.repeat(np.arange(len(o) - 1, dtype=np.int32), np.diff(first))
+        i = np.arange(total, dtype=np.int32)
+        out[i + np.repeat(doc, count)] = self.pool[i + np.repeat((source - upto + count).astype(np.int32), count)]
+        return out, bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,23 +147,18 @@ def vocabulary(name: str = VOCABULARY) -> str:
 def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, piece, start, length, ids_crc32) of each document's ids and then id ``end``.
     Only documents of more than capacity ids are cut, into pieces of capacity."""
-    width, tail = 4 * capacity, end.to_bytes(4, "little")
 
     def run(batches):
         file = path or vocabulary()
         encoder = _ENCODERS.get(file) or _ENCODERS.setdefault(file, Encoder(file))
         for batch in batches:
-            keys, column, lo = batch.column(0).to_pylist(), batch.column(1), 0
+            keys = batch.column(0).to_pylist()
+            data, off = words.texts(batch.column(1))
             out: list[tuple] = []
-            while lo < len(keys):
-                some, n = [], 0
-                while lo + len(some) < len(keys) and n < SLICE:
-                    some.append(column[lo + len(some)].as_py() or "")
-                    n += len(some[-1])
-                for k, ids in zip(keys[lo:], encoder.encode(some)):  # noqa: B905
-                    ids += tail
-                    out += [(k, i, at // 4, min(width, len(ids) - at) // 4, zlib.crc32(ids[at : at + width])) for i, at in enumerate(range(0, len(ids), width))]
-                lo += len(some)
+            for lo, hi in words.slices(off, SLICE):
+                ids, bounds = encoder.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end)
+                for k, a, b in zip(keys[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    out += [(k, i, at - a, min(capacity, b - at), zlib.crc32(ids[at : min(b, at + capacity)])) for i, at in enumerate(range(a, b, capacity))]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "piece", "start", "length", "ids_crc32"])
 

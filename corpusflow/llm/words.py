@@ -93,21 +93,35 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def spans(buf: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of a slice; o: the documents' offsets in it."""
+    n = len(buf)
+    within = inside(buf)
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = within[:-1], within[1:]
+    before[o[:-1][o[:-1] < n]] = False
+    after[o[1:][o[1:] > 0] - 1] = False
+    return np.flatnonzero(within & ~before), np.flatnonzero(within & ~after) + 1
+
+
+def inside(buf: np.ndarray) -> np.ndarray:
+    """Whether a byte belongs to a word."""
+    return ~_SPACE[buf]
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[buf]
+
+
 def each(column: pa.Array, lower: bool, budget: int = SLICE) -> Iterator[Words]:
     """The words of a text column, slice after slice. lower: with A-Z in lower case."""
     data, off = texts(column)
     for lo, hi in slices(off, budget):
         buf, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         if lower:
-            buf = _LOWER[buf]
-        n = len(buf)
-        inside = ~_SPACE[buf]
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        before[o[:-1][o[:-1] < n]] = False
-        after[o[1:][o[1:] > 0] - 1] = False
-        starts = np.flatnonzero(inside & ~before)
-        ends = np.flatnonzero(inside & ~after) + 1
+            buf = lowered(buf)
+        starts, ends = spans(buf, o)
         yield Words(lo, hi, buf, starts, ends, np.searchsorted(starts, o), hash_spans(buf, starts, ends))
 
 
