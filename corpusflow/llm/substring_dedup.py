@@ -4,8 +4,8 @@ A word is removed if a window that covers it starts, word for word, in a documen
 a smaller key. Windows are judged on the input.
 
 1. Count-min prefilter. A window's cells depend on its anchor, the least hash of the
-   16-word sequences in it: equal windows have equal anchors, and neighbouring windows
-   mostly share one, so a partition's sketch has a cell for about every 18th window.
+   32-word sequences in it: equal windows have equal anchors, and neighbouring windows
+   mostly share one, so a partition's sketch has a cell for about every tenth window.
    Sketches are summed chunk by chunk (a shuffle of sparse cells). A sum is never less
    than the number of documents with the anchor, so no repeated window is lost.
 2. A second pass keeps only windows whose cells all hold two or more, as segments: runs
@@ -201,11 +201,11 @@ def segments(texts: DataFrame, width: int, anchor: int, bits: int, path: str) ->
     return texts.mapInArrow(run, "key long, anchor long, name long, name2 long, pos int, n int, w array<long>, v array<int>")
 
 
-def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 16, bits: int | None = None) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 32, bits: int | None = None) -> DataFrame:
     """(key, runs): for each document that loses words, an array of (pos, n): the windows
     from word pos to pos + n - 1, each of width words, are removed."""
-    if bits is None:  # about 8 cells for each anchor
-        bits = min(MOST_BITS, max(16, (common.input_bytes(docs) // 16).bit_length()))
+    if bits is None:  # about 8 cells for each anchor, at 10 words each
+        bits = min(MOST_BITS, max(16, (common.input_bytes(docs) // 8).bit_length()))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null")
     found = common.materialise(segments(texts, width, anchor, bits, sketch(texts, width, anchor, bits)), "segments")
     first = found.groupBy("name", "name2").agg(F.min("key").alias("least"))
@@ -220,7 +220,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     return judged.filter("resolved").select("key", "pos", "n").unionByName(later).groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 16, bits: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 32, bits: int | None = None) -> DataFrame:
     """docs with text made of the words that are left, joined by one space, and n_words,
     n_removed.
 
