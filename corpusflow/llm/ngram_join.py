@@ -5,26 +5,27 @@ for sizes r and s means that at most (r + s) / 9 shingles are in one of them onl
 
 Signatures. Sets are compared in bands of sizes; K = 2 * high / 9 bounds the difference
 of two linked sets of a band (a set whose partner may be in the next band signs for
-both). The feature domain, 64-bit hashes, is partitioned into n1 groups of three parts.
+both). The feature domain, 64-bit hashes, is partitioned into n1 groups of two parts.
 With n1 = K // 2 + 1 + t groups, at least 1 + t of them differ by one shingle at most,
-and in such a group two of the three parts are equal: one of the three subsets of two
-parts is a signature that both sets have.
+and in such a group one of the two subsets of one part is equal: a signature that both
+sets have.
 
 Empty parts would make sets meet that share nothing, so an empty subset is no
-signature. Where two parts of a group are empty, the third one signs by itself and by
-itself without each of its shingles. A group of fewer than two shingles might still
-hide a link; if a set has more than t such groups it also signs with another
-partition, and so on, so a linked pair always shares a signature: of the 1 + t groups
-that nearly agree one has two shingles or more in whichever set has no more than t
-sparse groups.
+signature. Where one part of a group is empty, the other one also signs without each of
+its shingles. A group of fewer than two shingles might still hide a link; if a set has
+more than t such groups it also signs with another partition, and so on, so a linked
+pair always shares a signature: of the 1 + t groups that nearly agree one has two
+shingles or more in whichever set has no more than t sparse groups.
 
 Sets that are equal are one node from the start. Signatures are shuffled and sorted,
 and buckets with one node vanish. Then, each step being exact:
 
 1. star: each node of a bucket against the bucket's least node;
-2. forest: in buckets whose nodes aren't all linked yet, pairs whose parity sketches
-   (a lower bound of the difference) allow a link, enough to connect them all;
-3. rest: all other such pairs between nodes that still aren't connected.
+2. near: in buckets whose nodes aren't all connected yet, pairs whose parity sketches
+   (a lower bound of the difference) allow a link: all of them in buckets of SMALL
+   nodes at most, enough to connect what may be connected in larger ones;
+3. rest: in larger buckets, all other such pairs between nodes that still aren't
+   connected.
 
 Every pair is verified on the whole sets. Components come from label propagation with
 pointer jumping, written to the shared folder each round.
@@ -32,6 +33,7 @@ pointer jumping, written to the shared folder each round.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,8 @@ from . import common, words
 
 U = np.uint64
 N = 5
-_SEEDS = 64
+_SEEDS = 256
+SMALL = 16
 _HALF = U(0xA0761D6478BD642F)
 
 
@@ -82,39 +85,47 @@ def name(x: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _sign(x: np.ndarray, band: int, seed: int, out: list[np.ndarray]) -> bool:
-    """Add the signatures of a set in a band by one partition; whether it has few enough
-    sparse groups to need no other."""
+@functools.lru_cache(4096)
+def _partition(band: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Slack t, the inner edges of the parts and a tag for each; None where linked sets
+    of such sizes are equal."""
     k = 2 * (int(BANDS[band + 1]) - 1) // 9
     if k == 0:
-        return True  # linked sets of such sizes are equal
+        return None
     n1 = k // 2 + 1
-    t = 1 + n1 // 25
-    n1 += t
-    y = x if seed == 0 else np.sort(words.mix(x + words.times(seed, _HALF)))
-    edges = (np.arange(1, 3 * n1).astype(np.float64) * (2.0**64 / (3 * n1))).astype(U)
-    cuts = np.zeros(3 * n1 + 1, np.int64)
+    t = 1 + int(0.06 * n1 + 2 * (0.06 * n1) ** 0.5)
+    parts = 2 * (n1 + t)
+    edges = (np.arange(1, parts).astype(np.float64) * (2.0**64 / parts)).astype(U)
+    return t, edges, words.mix((np.arange(parts).astype(U) << U(24)) + U(band << 8))
+
+
+def _sign(x: np.ndarray, band: int, seed: int, out: list[np.ndarray]) -> bool:
+    """Add the signatures of a set in a band by one partition; whether it has few enough
+    sparse groups to need no other."""
+    found = _partition(band)
+    if found is None:
+        return True
+    t, edges, tags = found
+    y = x
+    if seed:
+        y, tags = np.sort(words.mix(x + words.times(seed, _HALF))), tags + U(seed)
+    cuts = np.zeros(len(tags) + 1, np.int64)
     cuts[1:-1] = np.searchsorted(y, edges)
     cuts[-1] = len(y)
     one = words.mix(y ^ _HALF)
     sums = np.zeros(len(y) + 1, U)
     np.cumsum(one, out=sums[1:])
-    c = np.diff(cuts).reshape(n1, 3)
-    s = np.diff(sums[cuts]).reshape(n1, 3)
-    m = c.sum(1)
-    tag = words.mix((np.arange(n1).astype(U) << U(24)) + U((band << 16) + (seed << 8)))
-    lone = []
-    for q in range(3):  # the part that is left out
-        i, j = (q + 1) % 3, (q + 2) % 3
-        sig = words.mix(words.mix(s[:, i] + tag + U(q)) + s[:, j])
-        ok = c[:, i] + c[:, j] > 0
-        out.append(sig[ok])
-        lone += [(g, q) for g in np.flatnonzero(~ok & (m > 0)).tolist()]
-    for g, q in lone:
-        e = one[cuts[3 * g + q] : cuts[3 * g + q + 1]]
-        without = s[g, q] - e if len(e) > 1 else e[:0]
-        out.append(words.mix(np.append(without, s[g, q]) + words.mix(tag[g : g + 1] + U(q + 3))))
-    return int((m < 2).sum()) <= t
+    c, s = np.diff(cuts), np.diff(sums[cuts])
+    full = np.flatnonzero(c)
+    out.append(words.mix(s[full] + tags[full]))
+    twin = c.reshape(-1, 2)[:, ::-1].ravel()
+    alone = np.flatnonzero((twin == 0) & (c > 1))  # parts of two or more beside an empty one
+    if len(alone):
+        n = c[alone]
+        part = np.repeat(alone, n)
+        at = np.repeat(cuts[alone] - np.cumsum(n) + n, n) + np.arange(len(part))
+        out.append(words.mix(s[part] - one[at] + tags[part]))
+    return int((c[::2] + c[1::2] < 2).sum()) <= t
 
 
 def signatures(x: np.ndarray) -> np.ndarray:
@@ -256,73 +267,98 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return both.filter("100 * both >= 80 * (na + nb - both)").select("a", "b")
 
 
-def _allowed(parity: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Bits of all sketches, folded to one size, a row each."""
-    least = min(map(len, parity))
-    rows = np.zeros((len(parity), least), np.uint8)
-    for i, p in enumerate(parity):
-        x = np.frombuffer(p, np.uint8)
-        rows[i] = np.bitwise_xor.reduce(x.reshape(-1, least), 0)
-    return rows.view("<u8")
+def _folded(parity: list[bytes], size: int) -> np.ndarray:
+    """Sketches of size bytes or more, folded to size, a row each."""
+    rows = [np.frombuffer(p, np.uint8) if len(p) == size else np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, size), 0) for p in parity]
+    return np.stack(rows).view("<u8")
+
+
+def _may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, parity: list[bytes]) -> np.ndarray:
+    """Which pairs of nodes (by place) sizes and sketches allow to link."""
+    ok = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
+    size = np.array([len(p) for p in parity])
+    least = np.minimum(size[i], size[j])
+    for b in np.unique(least[ok]):
+        at = np.flatnonzero(ok & (least == b))
+        some, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        bits = _folded([parity[x] for x in some.tolist()], int(b))
+        left, right = back[: len(at)], back[len(at) :]
+        for lo in range(0, len(at), 1 << 15):
+            k = slice(lo, lo + (1 << 15))
+            apart = np.bitwise_count(bits[left[k]] ^ bits[right[k]]).sum(1, dtype=np.int64)
+            ok[at[k]] = 9 * apart <= n[i[at[k]]] + n[j[at[k]]]
+    return ok
 
 
 def candidates(rows: DataFrame, everything: bool) -> DataFrame:
     """Pairs (a, b) of a bucket's nodes with different labels that sizes and parity
-    sketches allow to link: all, or as many as connect what may be connected.
+    sketches allow to link. Buckets of SMALL nodes at most give all of these; larger ones
+    all (everything) or enough to connect what may be connected.
     rows: (sig, node, label, n, parity), a partition holding whole buckets, sorted."""
 
-    def solve(node, label, n, parity):
-        bits = _allowed(parity, n)
-        _, comp = np.unique(label, return_inverse=True)
-        for i in range(len(node) - 1):
+    def large(place, comp, n, parity):
+        sketches = [parity[x] for x in place.tolist()]
+        bits = _folded(sketches, min(map(len, sketches)))
+        for i in range(len(place) - 1):
             j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
             j = j[5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i])]
             for some in np.array_split(j, len(j) // 65536 + 1):
-                if not len(some):
-                    continue
                 apart = np.bitwise_count(bits[some] ^ bits[i]).sum(1, dtype=np.int64)
                 for k in some[9 * apart <= n[some] + n[i]].tolist():
-                    if everything or comp[k] != comp[i]:
-                        yield int(node[i]), int(node[k])
-                    if not everything:
+                    if everything:
+                        yield place[i], place[k]
+                    elif comp[k] != comp[i]:
                         comp[comp == comp[k]] = comp[i]
+                        yield place[i], place[k]
+
+    def solve(t: pa.Table):
+        sig, node = (t[c].to_numpy() for c in ("sig", "node"))
+        nodes, first, place = np.unique(node, return_index=True, return_inverse=True)
+        label, n = (t[c].to_numpy()[first].astype(np.int64) for c in ("label", "n"))
+        parity = t["parity"].take(pa.array(first)).to_pylist()
+        begin = np.append(True, sig[1:] != sig[:-1])
+        cuts = np.append(np.flatnonzero(begin), len(sig))
+        size = np.diff(cuts)
+        bucket = np.cumsum(begin) - 1
+        tiny = (size <= SMALL)[bucket]
+        pairs: list[np.ndarray] = []
+        for k in range(1, SMALL):
+            i = np.flatnonzero((bucket[k:] == bucket[:-k]) & tiny[k:])
+            a, b = place[i], place[i + k]
+            differ = label[a] != label[b]
+            if len(i) == 0:
+                break
+            pairs.append(np.unique(a[differ].astype(np.int64) * len(nodes) + b[differ]))
+        code = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        i, j = code // len(nodes), code % len(nodes)
+        ok = _may_link(i, j, n, parity)
+        i, j = i[ok].tolist(), j[ok].tolist()
+        for b in np.flatnonzero(size > SMALL).tolist():
+            p = place[cuts[b] : cuts[b + 1]]
+            for x, y in large(p, label[p], n[p], parity):
+                i.append(int(x))
+                j.append(int(y))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[i] if i else [], pa.int64()), pa.array(nodes[j] if j else [], pa.int64())], ["a", "b"])
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
         held: list[pa.RecordBatch] = []
-
-        def done(some: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(some)
-            sig = t["sig"].to_numpy()
-            node, label, n = (t[c].to_numpy() for c in ("node", "label", "n"))
-            parity = t["parity"].to_pylist()
-            cuts = np.append(np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if sig[0] > -(2**63) else sig[0] + 1)), len(sig))
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    for pair in solve(node[lo:hi], label[lo:hi], n[lo:hi].astype(np.int64), parity[lo:hi]):
-                        if pair not in seen:
-                            if len(seen) > 1 << 20:
-                                seen.clear()
-                            seen.add(pair)
-                            yield pair
-
-        def rows_of(pairs):
-            found = list(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
+        n = 0
         for batch in batches:
             if not len(batch):
                 continue
             sig = batch.column(0).to_numpy()
-            # what comes before the batch's last bucket is whole, with what is held
+            # before the batch's last bucket all that is held is whole
             cut = int(np.searchsorted(sig, sig[-1], "left"))
-            if cut or (held and held[-1].column(0)[0].as_py() != sig[0]):
-                whole = [*held, batch.slice(0, cut)] if cut else held
-                held = []
-                yield rows_of(done([x for x in whole if len(x)]))
-            held.append(batch.slice(cut))
+            last = held[-1].column(0)[len(held[-1]) - 1].as_py() if held else None
+            if n + cut >= 1 << 17 and (cut or last != sig[0]):
+                whole = [*held, batch.slice(0, cut)]
+                held, n = [], 0
+                yield solve(pa.Table.from_batches(whole))
+                batch = batch.slice(cut)
+            held.append(batch)
+            n += len(batch)
         if held:
-            yield rows_of(done(held))
+            yield solve(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -371,7 +407,8 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     for everything in (False, True):
         now = met.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         now = common.materialise(now, "labelled")
-        mixed = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+        mixed = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+        mixed = mixed.filter(f"size > {SMALL}" if everything else "true").select("sig")
         open_ = now.join(mixed, "sig", "left_semi").join(full.select("node", "n", "parity"), "node").select("sig", "node", "label", "n", "parity")
         pairs = candidates(open_.repartition(parts, "sig").sortWithinPartitions("sig", "node"), everything).distinct()
         pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
