@@ -260,6 +260,21 @@ def _full(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array(n, pa.int32()), items, pa.array([_parity(x) for _, x in out], pa.binary())], ["node", "n", "items", "parity"])
 
 
+def plausible(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches allow to link; no sets are moved."""
+    a, b = (full.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
+
+    def run(batches):
+        for batch in batches:
+            m = len(batch)
+            n = np.concatenate([batch.column(i).to_numpy().astype(np.int64) for i in (2, 4)])
+            ok = _may_link(np.arange(m), m + np.arange(m), n, batch.column(3).to_pylist() + batch.column(5).to_pylist()) if m else np.zeros(0, bool)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    near = pairs.join(a, "a").join(b, "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return near.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     a, b = (full.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}")) for k in "ab")
@@ -397,12 +412,15 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     classes = common.materialise(named.filter("node is not null and key is not null").groupBy("node").agg(F.min("key").alias("rep")), "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(rows) // (8 << 20))
     met = common.materialise(shared(signed(rows).repartition(parts, "sig")), "buckets")
+    common.release(spark)
     star = met.filter("node <> hub").selectExpr("hub as a", "node as b").distinct()
     some = classes.join(met.select("node").distinct(), "node", "left_semi")
     texts = rows.join(some.select(F.col("rep").alias("key")), "key", "left_semi")
     full = common.materialise(full_sets(texts).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    common.release(spark)
     tried = common.materialise(star, "star")
-    edges = common.materialise(verified(tried, full), "edges")
+    edges = common.materialise(verified(common.materialise(plausible(tried, full), "plausible"), full), "edges")
+    common.release(spark)
     labels = components(edges)
     for everything in (False, True):
         now = met.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -416,6 +434,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             continue
         tried = tried.unionByName(pairs)
         edges = common.materialise(edges.unionByName(verified(pairs, full)), "edges")
+        common.release(spark)
         labels = components(edges)
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component"))
     at = labels.join(least, "label").select("node", "component")
