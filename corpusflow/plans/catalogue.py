@@ -2,16 +2,550 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import times as D
+from ..operators import audit, emergence, matching, merge, people, search, segments, threads
+from ..sources import frontmatter as fm
+from ..sources import notes as N
+from ..sources.views import duck, view
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+TODAY = "2024-01-31"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: duck(v) for k, v in _SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern emergence over all documents; at the least thresholds, so that a small corpus
+    has patterns too."""
+    return _emerged(spark, sf_dir, min_items=1, min_sources=1)
+
+
+# --- emergence -------------------------------------------------------------------------
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_items").selectExpr("item_id as unit", "source as unit_source", "item_date as date", "title", "body")
+
+
+def _emerged(spark: SparkSession, sf_dir: str, **law) -> DataFrame:
+    return emergence.emerge(_items(spark, sf_dir), body_chars=None, **law).drop("source_list")
+
+
+def _kebab(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-')"
+
+
+def _marked(x: str) -> str:
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_]+)', '‹\1›', 'g')"
+
+
+_BARE = "replace(replace(x, '‹', ''), '›', '')"
+_NOISE = ", ".join(f"'{x}'" for x in T.NOISE)
+_MENTIONS = rf"""
+    t AS (SELECT item_id, source, item_date, title || chr(10) || coalesce(body, '') AS t FROM v_items),
+    c AS (
+        SELECT item_id, source, item_date, {_kebab(_BARE)} AS slug FROM (SELECT *, unnest(regexp_extract_all({_marked("t")}, '‹[A-Z][a-zA-Z0-9]+›(?:[ -]‹[A-Z][a-zA-Z0-9]+›){{1,3}}')) AS x FROM t)
+        UNION ALL SELECT item_id, source, item_date, {_BARE} FROM (SELECT *, unnest(regexp_extract_all({_marked("lower(t)")}, '‹[a-z][a-z0-9]+›(?:-‹[a-z0-9]+›){{1,4}}')) AS x FROM t)
+        UNION ALL SELECT item_id, source, item_date, {_kebab("replace(x, '/', '-')")} FROM (SELECT *, unnest(regexp_extract_all(lower(t), '(?:^|\s)#([a-z][\p{{L}}\p{{N}}_/-]*)', 1)) AS x FROM t) WHERE NOT regexp_matches(x, '^(thread|client|status|area|project)/')
+        UNION ALL SELECT item_id, source, item_date, {_kebab("x")} FROM (SELECT *, unnest(regexp_extract_all(t, '\[\[([^\]|#]+?)(?:\|[^\]]+)?\]\]', 1)) AS x FROM t) WHERE NOT regexp_matches(trim(x), '^\d{{4}}-\d{{2}}-\d{{2}}')),
+    m AS (SELECT DISTINCT * FROM c WHERE length(slug) >= 5 AND NOT regexp_full_match(slug, '[0-9]+') AND slug NOT IN ({_NOISE})),
+    e AS (SELECT slug, count(DISTINCT item_id) AS items, count(DISTINCT source) AS sources, min(item_date) AS first, max(item_date) AS latest FROM m GROUP BY slug)"""
+
+
+@query(f"WITH {_MENTIONS} SELECT *, items * (1.0 + (sources - 1) * 0.5)::DOUBLE AS score FROM e WHERE items >= 3 AND sources >= 2 ORDER BY score DESC, items DESC, slug LIMIT 25")
+def emerge_ranked(spark, sf_dir):
+    return _emerged(spark, sf_dir)
+
+
+@query(f"WITH {_MENTIONS} SELECT slug, count(DISTINCT item_id) AS items, count(DISTINCT source) AS sources FROM m WHERE item_date >= DATE '2024-01-31' - 14 GROUP BY slug")
+def emerge_window_counts(spark, sf_dir):
+    return emergence.emerge(_items(spark, sf_dir), today=TODAY, window_days=14, top=None, min_items=1, min_sources=1, body_chars=None).select("slug", "items", "sources")
+
+
+@query(f"""WITH {_MENTIONS}, deny AS (SELECT DISTINCT regexp_replace(lower(text[1:40]), '[^a-z0-9]', '', 'g') AS k FROM (SELECT 'MIT License' AS text UNION ALL SELECT 'Doc 1'))
+    SELECT slug, count(DISTINCT item_id) AS items FROM m WHERE regexp_replace(slug, '[^a-z0-9]', '', 'g') NOT IN (SELECT k FROM deny) GROUP BY slug""")
+def emerge_denied(spark, sf_dir):
+    deny = emergence.deny_set(known=spark.createDataFrame([("MIT License",), ("Doc 1",)], "name string"))
+    return emergence.mentions(_items(spark, sf_dir), deny, None).groupBy("slug").agg(F.countDistinct("unit").alias("items"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id AS rec, source, unnest(list_distinct([x for x in string_split(text, chr(10)) if length(x) >= 40])) AS token FROM documents),
+    s AS (SELECT token FROM l GROUP BY token HAVING count(*) > 1), e AS (SELECT DISTINCT rec, min(rec) OVER (PARTITION BY token) AS hub FROM l WHERE token IN (SELECT token FROM s)),
+    n AS (SELECT rec AS a, hub AS b FROM e UNION SELECT hub, rec FROM e),
+    r AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a), c AS (SELECT a AS rec, least(min(b), a) AS lead FROM r GROUP BY a)
+    SELECT doc_id AS rec, coalesce(lead, doc_id) AS lead, count(*) OVER (PARTITION BY coalesce(lead, doc_id)) AS size FROM documents LEFT JOIN c ON doc_id = rec""")
+def record_components(spark, sf_dir):
+    """Records that share a long line, directly or through others, are one unit."""
+    docs = view(spark, sf_dir, "documents")
+    lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= 40))
+    records = docs.select(F.col("doc_id").alias("rec"), F.lit("doc").alias("source"), F.transform(lines, F.sha1).alias("tokens"))
+    _checkpoints(spark)
+    units = emergence.group_records(records, ["doc"]).select("rec", F.col("unit").alias("lead"))
+    return units.join(units.groupBy("lead").agg(F.count(F.lit(1)).alias("size")), "lead").select("rec", "lead", "size")
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints where none is named, as in a local session."""
+    import tempfile
+
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpusflow-')}")
+
+
+# --- notes, frontmatter, links ---------------------------------------------------------
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.with_frontmatter(view(spark, sf_dir, "v_notes"))
+
+
+@query(r"""SELECT doc_id, regexp_extract(v_notes.text, '(?m)^type: (.*)$', 1) AS kind, CAST(regexp_extract(v_notes.text, '(?m)^date: (.*)$', 1) AS DATE) AS day, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang,
+    'doc,thread/t' || (doc_id % 7) AS tags, 'ada.lovelace' || (doc_id % 11) || '@acme.example,bob+x@mail.' || v_notes.source || '.example' AS attendees, stem AS title FROM v_notes JOIN documents USING (doc_id)""")
+def frontmatter_fields(spark, sf_dir):
+    f = F.col("fm")
+    return _notes(spark, sf_dir).select(
+        "doc_id", fm.scalar(f, "type").alias("kind"), F.to_date(fm.scalar(f, "date")).alias("day"), fm.scalar(f, "lang").alias("lang"),
+        F.array_join(fm.values(f, "tags"), ",").alias("tags"), F.array_join(fm.values(f, "attendees"), ",").alias("attendees"), "title",
+    )
+
+
+@query(r"""WITH l AS (SELECT stem, CASE WHEN doc_id % 10 <> 0 THEN 'Doc ' || (doc_id - 1) ELSE 'Missing ' || (doc_id % 13) END AS target FROM v_notes)
+    SELECT doc_id, rel FROM v_notes WHERE stem NOT IN (SELECT target FROM l WHERE stem <> target)""")
+def orphans(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    return audit.orphans(notes, N.links(notes)).select("doc_id", "rel")
+
+
+@query(r"""WITH l AS (SELECT stem, CASE WHEN doc_id % 10 <> 0 THEN 'Doc ' || (doc_id - 1) ELSE 'Missing ' || (doc_id % 13) END AS target FROM v_notes)
+    SELECT target, count(DISTINCT stem) AS files, min(stem) AS example FROM l WHERE target NOT IN (SELECT stem FROM v_notes) GROUP BY target""")
+def broken_links(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    return audit.broken_links(N.links(notes), notes)
+
+
+@query(r"""SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN 'Doc ' || (doc_id - 1) ELSE 'Missing ' || (doc_id % 13) END AS cited, doc_id % 10 <> 0 AND doc_id - 1 IN (SELECT doc_id FROM v_notes) AS resolved FROM v_notes""")
+def citation_gate(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    return search.citations(notes.select(F.col("doc_id").alias("id"), "text"), notes)
+
+
+@query(r"""WITH l AS (SELECT folder, CASE WHEN doc_id % 10 <> 0 THEN 'Doc ' || (doc_id - 1) ELSE 'Missing ' || (doc_id % 13) END AS target FROM v_notes)
+    SELECT stem, note_date, (DATE '2024-02-20' - note_date)::INTEGER AS age FROM v_notes WHERE folder LIKE 'raw/%' AND DATE '2024-02-20' - note_date >= 30
+    AND stem NOT IN (SELECT target FROM l WHERE folder NOT LIKE 'raw/%') AND stem <> 'Doc 3' ORDER BY age DESC, stem LIMIT 50""")
+def stale_raw(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    raw = F.startswith("folder", F.lit("raw/"))
+    wiki = spark.createDataFrame([("page", "Doc 3")], "stem string, mentioned string")
+    return audit.stale(notes.filter(raw).select("stem", "note_date"), N.links(notes.filter(~raw)), wiki, "2024-02-20").select("stem", "note_date", "age")
+
+
+@query("SELECT rel, CASE WHEN doc_id % 5 = 0 THEN 'meeting' ELSE 'raw-doc' END AS type, CASE WHEN doc_id % 5 = 0 THEN 'participants,title' ELSE 'lang' END AS missing FROM v_notes WHERE doc_id % 5 = 0 OR doc_id % 3 = 0")
+def fm_violations(spark, sf_dir):
+    rules = {"meeting": ("type", "date", "title", "participants"), "raw-doc": ("type", "date", "lang")}
+    return audit.violations(_notes(spark, sf_dir), rules).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("SELECT folder, count(*) AS n FROM v_notes GROUP BY folder HAVING count(*) > 20")
+def inbox_overflow(spark, sf_dir):
+    return audit.overflow(view(spark, sf_dir, "v_notes"))
+
+
+@query("""SELECT rel, doc_id % 3 = 1 AS done, note_date + 3 AS due, CASE WHEN doc_id % 3 = 1 THEN note_date + 3 END AS completed,
+    doc_id % 3 <> 1 AND note_date + 3 < DATE '2024-01-20' AS overdue FROM v_notes""")
+def task_lists(spark, sf_dir):
+    found = audit.tasks(view(spark, sf_dir, "v_notes"))
+    late = F.coalesce(~F.col("done") & (F.col("due") < F.lit("2024-01-20").cast("date")), F.lit(False))
+    return found.select("rel", "done", "due", "completed", late.alias("overdue"))
+
+
+@query("SELECT count(*) AS n, min(note_date + 3) AS first, max(note_date + 3) AS last FROM v_notes WHERE doc_id % 3 = 1 AND note_date + 3 BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'")
+def tasks_completed_in_week(spark, sf_dir):
+    done = audit.completed_in_week(audit.tasks(view(spark, sf_dir, "v_notes")), "2024-01-17")
+    return done.agg(F.count(F.lit(1)).alias("n"), F.min("completed").alias("first"), F.max("completed").alias("last"))
+
+
+@query("SELECT note_date, stem FROM v_notes WHERE folder = '20 - Projects' AND doc_id % 11 = 4 ORDER BY note_date DESC, stem LIMIT 20")
+def dataview_table(spark, sf_dir):
+    mine = F.array_contains(fm.values(F.col("fm"), "attendees"), "ada.lovelace4@acme.example")
+    return audit.Table(_notes(spark, sf_dir)).from_("20 - Projects").where(mine).sort(F.desc("note_date"), "stem").limit(20).table("note_date", "stem")
+
+
+# --- threads ---------------------------------------------------------------------------
+
+_TAGS = r"g AS (SELECT rel, source, note_date, unnest(list_distinct(regexp_extract_all(text, '#thread/([A-Za-z0-9_-]+)', 1))) AS slug FROM v_notes)"
+
+
+@query(f"WITH {_TAGS} SELECT slug, count(DISTINCT rel) AS files, count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') AS evidence, count(DISTINCT source) FILTER (rel NOT LIKE '40 - %') AS n_sources, max(note_date) FILTER (rel NOT LIKE '40 - %') AS latest FROM g GROUP BY slug")
+def thread_evidence(spark, sf_dir):
+    return threads.evidence(view(spark, sf_dir, "v_notes"), ("40 - ",)).withColumn("n_sources", F.size("sources").cast("long")).drop("sources")
+
+
+@query(f"""WITH {_TAGS}, k AS (SELECT regexp_replace(lower(slug), '[^a-z0-9]', '', 'g') AS key, * FROM g)
+    SELECT arg_min(slug, lpad((1000 - length(slug))::VARCHAR, 4, '0') || slug) AS slug, count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') AS evidence, max(note_date) FILTER (rel NOT LIKE '40 - %') AS latest,
+    CASE WHEN count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') >= 3 THEN 'missing' ELSE 'thin' END AS status, count(DISTINCT slug) - 1 AS n_variants FROM k WHERE key <> 't3' GROUP BY key""")
+def thread_worklist(spark, sf_dir):
+    pages = spark.createDataFrame([("T_3",)], "slug string")
+    return threads.worklist(view(spark, sf_dir, "v_notes"), pages, ("40 - ",)).withColumn("n_variants", F.size("variants").cast("long")).drop("variants")
+
+
+@query(f"""WITH {_TAGS}, a AS (SELECT slug, count(DISTINCT rel) FILTER (note_date >= DATE '2024-01-31' - 7) AS files, max(note_date) AS latest FROM g GROUP BY slug)
+    SELECT *, CASE WHEN files >= 2 THEN 'active' WHEN latest <= DATE '2024-01-31' - 14 THEN 'stalled' ELSE 'quiet' END AS state FROM a""")
+def thread_activity(spark, sf_dir):
+    tags = view(spark, sf_dir, "v_notes").select("rel", F.col("note_date").alias("day"), F.explode(F.array_distinct(T.extract(F.col("text"), T.THREAD_TAG))).alias("slug"))
+    return threads.activity(tags, TODAY)
+
+
+@query("SELECT lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS key, 2 AS n FROM part GROUP BY 1")
+def duplicate_slugs_exact(spark, sf_dir):
+    part = view(spark, sf_dir, "part")
+    slugs = part.select(F.lit("thread").alias("kind"), T.kebab(F.col("p_name")).alias("slug")).union(part.select(F.lit("page"), F.replace("p_name", F.lit(" "), F.lit(""))))
+    return threads.duplicate_slugs(slugs).select("key", "n")
+
+
+@query("""WITH s AS (SELECT DISTINCT replace(lower(p_name), ' ', '-') AS slug FROM part), t AS (SELECT slug, unnest(string_split(slug, '-')) AS token FROM s), f AS (SELECT DISTINCT slug, token FROM t WHERE length(token) >= 3)
+    SELECT x.slug AS a, y.slug AS b, string_agg(x.token, ',' ORDER BY x.token) AS shared FROM f x JOIN f y ON x.token = y.token AND x.slug < y.slug GROUP BY ALL""")
+def token_overlap_pairs(spark, sf_dir):
+    slugs = view(spark, sf_dir, "part").select(T.kebab(F.col("p_name")).alias("slug"))
+    return threads.token_overlap(slugs).withColumn("shared", F.array_join("shared", ","))
+
+
+@query("SELECT doc_id, quality::VARCHAR AS evidence_count FROM documents LEFT JOIN labels USING (doc_id) WHERE quality <= 1 OR (quality IS NULL AND source = 'src1')")
+def hollow_pages(spark, sf_dir):
+    pages = view(spark, sf_dir, "documents").join(view(spark, sf_dir, "labels"), "doc_id", "left")
+    pages = pages.select("doc_id", F.when(F.col("source") == "src1", "concept").otherwise("synthesis").alias("kind"), F.col("quality").cast("string").alias("evidence_count"))
+    return threads.hollow(pages).select("doc_id", "evidence_count")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY item_id % 7, source ORDER BY item_date DESC, title) AS k FROM v_items)
+    SELECT item_id % 7 AS thread, item_id, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_date DESC, title) AS rank FROM r WHERE k <= 5 QUALIFY rank <= 20""")
+def evidence_top_k(spark, sf_dir):
+    items = view(spark, sf_dir, "v_items").selectExpr("item_id % 7 as thread", "item_id", "source", "item_date as date", "title as path")
+    return threads.top_evidence(items).select("thread", "item_id", "rank")
+
+
+@query("""WITH f AS (SELECT item_id % 7 AS thread, substr(sha1(string_agg(title || ':' || item_date, chr(10) ORDER BY title || ':' || item_date)), 1, 16) AS fingerprint, count(*) AS n FROM v_items GROUP BY 1)
+    SELECT *, CASE thread WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'current' END AS status FROM f""")
+def change_status(spark, sf_dir):
+    now = threads.fingerprints(view(spark, sf_dir, "v_items").selectExpr("item_id % 7 as thread", "title as path", "item_date as mtime"))
+    stored = now.filter("thread <> 0").withColumn("fingerprint", F.when(F.col("thread") == 1, "0").otherwise(F.col("fingerprint")))
+    return threads.change_status(now, stored).select("thread", "fingerprint", "n", "status")
+
+
+@query(f"""WITH {_MENTIONS}, p AS (SELECT slug, count(DISTINCT item_id) AS items, count(DISTINCT source) FILTER (source IN ('src0', 'src1', 'src2', 'src3')) AS work, count(DISTINCT item_date) AS runs FROM m GROUP BY slug)
+    SELECT slug, items, runs, CASE WHEN (work >= 2 OR items >= 5) AND runs >= 2 THEN 'auto' WHEN work >= 2 OR items >= 5 THEN 'pending' ELSE 'review' END AS bucket FROM p""")
+def promotion_classify(spark, sf_dir):
+    found = emergence.mentions(_items(spark, sf_dir), None, None)
+    runs = threads.runs(threads.observe(found.select("slug", F.col("date").alias("obs_date")).limit(0), found.select("slug", F.col("date").alias("obs_date"))))
+    patterns = found.groupBy("slug").agg(F.countDistinct("unit").alias("items"), F.collect_set("unit_source").alias("source_list")).join(runs, "slug")
+    return threads.classify(patterns, ("src0", "src1", "src2", "src3")).select("slug", "items", "runs", "bucket")
+
+
+@query(f"""WITH {_MENTIONS}, p AS (SELECT slug, count(DISTINCT item_id) AS items FROM m GROUP BY slug)
+    SELECT slug, items, CASE WHEN row_number() OVER (ORDER BY items DESC, slug) <= 8 THEN 'now' ELSE 'later' END AS wave FROM p""")
+def capped_rollout(spark, sf_dir):
+    found = emergence.mentions(_items(spark, sf_dir), None, None).groupBy("slug").agg(F.countDistinct("unit").alias("items"))
+    ranked = found.withColumn("rank", F.struct((-F.col("items")).alias("n"), "slug"))
+    return threads.rollout(ranked).select("slug", "items", "wave")
+
+
+@query("""WITH s AS (SELECT DISTINCT replace(lower(p_name), ' ', '-') AS slug FROM part UNION SELECT unnest(['misc', 'wrap-up', 'nation-3', 'ada-hale', 'zed']))
+    SELECT slug, CASE WHEN slug IN ('misc', 'wrap-up', 'zed', 'small-ring') THEN 'noise' WHEN slug = 'nation-3' THEN 'entity' WHEN slug = 'ada-hale' OR slug = 'red-widget' THEN 'person' END AS guard FROM s""")
+def promotion_guard(spark, sf_dir):
+    slugs = view(spark, sf_dir, "part").select(T.kebab(F.col("p_name")).alias("slug")).union(spark.createDataFrame([("misc",), ("wrap-up",), ("nation-3",), ("ada-hale",), ("zed",)], "slug string")).distinct()
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    return threads.guard(slugs, one("Small Ring"), view(spark, sf_dir, "nation").select("n_name"), one("Red Widget"), ("ada",))
+
+
+# --- people and entities ---------------------------------------------------------------
+
+
+def _attendees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_meetings").selectExpr("concat(local_part, '@', domain) as email", "meeting_date as date")
+
+
+_PEOPLE = r"""p AS (SELECT lower(local_part || '@' || domain) AS email, count(*) AS mention_count, max(meeting_date) AS last_seen FROM v_meetings GROUP BY 1),
+    q AS (SELECT *, regexp_replace(split_part(email, '@', 1), '\d+$', '') AS local FROM p),
+    n AS (SELECT *, upper(split_part(local, '.', 1)[1]) || split_part(local, '.', 1)[2:] || ' ' || upper(split_part(local, '.', 2)[1]) || split_part(local, '.', 2)[2:] AS name,
+          regexp_replace(split_part(split_part(email, '@', 2), '.', 2), '[^a-z0-9]', '', 'g') AS company FROM q)"""
+
+
+@query(f"WITH {_PEOPLE} SELECT email, name, replace(name, ' ', '-') AS slug, company, mention_count, last_seen, CASE WHEN mention_count >= 8 THEN 1 WHEN mention_count >= 3 THEN 2 ELSE 3 END AS tier FROM n")
+def people_mentions(spark, sf_dir):
+    return people.extract(_attendees(spark, sf_dir)).drop("domain")
+
+
+@query(f"WITH {_PEOPLE} SELECT email, replace(name, ' ', '-') || CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN '-' || upper(company[1]) || company[2:] ELSE '' END AS file FROM n")
+def people_collisions(spark, sf_dir):
+    return people.resolve_collisions(people.extract(_attendees(spark, sf_dir))).select("email", "file")
+
+
+@query(f"WITH {_PEOPLE} SELECT email, least(CASE WHEN mention_count >= 8 THEN 1 WHEN mention_count >= 3 THEN 2 ELSE 3 END, CASE WHEN email LIKE 'customer1%' THEN 1 ELSE 3 END) AS tier FROM n")
+def people_tiers(spark, sf_dir):
+    found = people.extract(_attendees(spark, sf_dir))
+    old = found.filter("email like 'customer1%'").select("email", F.lit(1).alias("tier"))
+    return people.keep_tier(found, old).select("email", "tier")
+
+
+@query("""WITH m AS (SELECT DISTINCT o_orderkey AS meeting, 'Nation ' || c_nationkey AS entity, cast(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION SELECT DISTINCT l_orderkey, 'Brand ' || p_brand, cast(o_orderdate AS DATE) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE regexp_matches(p_name, '(?i)widget|bolt')),
+    k AS (SELECT 'Nation ' || n_nationkey AS entity FROM nation UNION SELECT 'Brand ' || p_brand FROM part UNION SELECT 'Nobody')
+    SELECT entity, count(meeting) AS mention_count, min(day) AS first_seen, max(day) AS last_seen FROM k LEFT JOIN m USING (entity) GROUP BY entity""")
+def entity_mentions(spark, sf_dir):
+    v = lambda n: view(spark, sf_dir, n)
+    orders = v("orders").selectExpr("o_orderkey as meeting", "o_custkey", "cast(o_orderdate as date) as date")
+    by_person = orders.join(v("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("meeting", "concat('Nation ', c_nationkey) as entity", "date")
+    seeds = spark.createDataFrame([("seed", "(?i)widget|bolt")], "entity string, pattern string")
+    hit = people.seed_matches(v("part").selectExpr("p_partkey as id", "p_name as text"), seeds).select(F.col("id").alias("p_partkey"))
+    by_seed = v("lineitem").join(v("part").join(hit, "p_partkey", "left_semi"), F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("meeting")).selectExpr("meeting", "concat('Brand ', p_brand) as entity", "date")
+    known = v("nation").selectExpr("concat('Nation ', n_nationkey) as entity").union(v("part").selectExpr("concat('Brand ', p_brand)")).union(spark.createDataFrame([("Nobody",)], "entity string")).distinct()
+    return people.entity_mentions(by_person.union(by_seed), known)
+
+
+@query("""WITH c AS (SELECT DISTINCT lower(c_mktsegment) AS company FROM customer UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) || 'co' FROM part),
+    e AS (SELECT unnest(['Household Goods', 'AUTO', 'mach', 'red', 'Smallco', 'BLUECO']) AS key),
+    j AS (SELECT company, key, CASE WHEN company = replace(lower(key), ' ', '') THEN 2 ELSE 3 END AS rank FROM c, e WHERE company = replace(lower(key), ' ', '')
+          OR (length(company) >= 4 AND length(replace(key, ' ', '')) >= 4 AND (starts_with(company, replace(lower(key), ' ', '')) OR starts_with(replace(lower(key), ' ', ''), company))))
+    SELECT company, arg_min(key, rank || key) AS entity FROM j GROUP BY company""")
+def org_prefix_match(spark, sf_dir):
+    names = view(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("company")).union(view(spark, sf_dir, "part").selectExpr("concat(split(lower(p_name), ' ')[0], 'co')"))
+    keys = ["Household Goods", "AUTO", "mach", "red", "Smallco", "BLUECO"]
+    entities = spark.createDataFrame([(k, k, []) for k in keys], "entity string, key string, aliases array<string>")
+    return people.prefix_match(names, entities)
+
+
+@query("SELECT 'Customer ' || o_custkey % 50 AS person, count(*) AS notes FROM orders GROUP BY 1 ORDER BY notes DESC, person LIMIT 10")
+def contributors_topn(spark, sf_dir):
+    return people.contributors(view(spark, sf_dir, "orders").selectExpr("array(concat('Customer ', o_custkey % 50)) as participants"))
+
+
+@query("""WITH a AS (SELECT doc_id AS id, 0 AS pos, 'src' || (doc_id % 9) AS slug FROM documents UNION ALL SELECT doc_id, 1, source FROM documents UNION ALL SELECT doc_id, 2, 'nobody' FROM documents),
+    k AS (SELECT DISTINCT source AS slug FROM documents), f AS (SELECT id, slug, min(pos) AS pos FROM a JOIN k USING (slug) GROUP BY 1, 2) SELECT id, string_agg(slug, ',' ORDER BY pos) AS participants FROM f GROUP BY id""")
+def link_participants(spark, sf_dir):
+    docs = view(spark, sf_dir, "documents")
+    mails = docs.selectExpr("doc_id as id", "array(concat('Some One <SRC', doc_id % 9, '@x.example>'), concat(source, '@x.example'), 'nobody@x.example') as addresses")
+    known = docs.select(F.concat("source", F.lit("@x.example")).alias("email"), F.col("source").alias("slug")).distinct()
+    return people.link_participants(mails, known).withColumn("participants", F.array_join("participants", ","))
+
+
+# --- matching and routing --------------------------------------------------------------
+
+
+@query("""WITH j AS (SELECT a.event_id AS id, b.event_type AS source, b.event_id AS match, abs(epoch(date_trunc('second', a.ts)) - epoch(date_trunc('second', b.ts)))::BIGINT AS gap FROM events a JOIN events b
+    ON b.event_type <> 'signup' AND b.ts BETWEEN a.ts - INTERVAL 602 SECOND AND a.ts + INTERVAL 602 SECOND WHERE a.event_type = 'signup' AND abs(epoch(date_trunc('second', a.ts)) - epoch(date_trunc('second', b.ts))) <= 600)
+    SELECT id, source, arg_min(match, gap * 1000000000 + match) AS match, min(gap) AS gap FROM j GROUP BY 1, 2""")
+def nearest_within_10min(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_records").selectExpr("event_id as id", "source", "ts as start")
+    return matching.nearest_within(rows.filter("source = 'signup'"), rows.filter("source <> 'signup'"), 600)
+
+
+@query()
+def greedy_merge(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_records").selectExpr("event_id as id", "source", "ts as start", "event_id as ordinal")
+    return matching.greedy_pairs(rows.filter("source = 'signup'"), rows.filter("source = 'purchase'"), 120)
+
+
+_RULES = [(1, 0, "domain", "building", "clients/building"), (1, 1, "domain", "machinery", "clients/machinery"), (2, 0, "priority", "1-URGENT", "urgent"), (2, 1, "priority", "2-HIGH", "high"), (3, 0, "status", "F", "closed")]
+
+
+@query("""SELECT meeting_id AS id, CASE WHEN domain LIKE '%.building.%' OR domain LIKE '%.machinery.%' THEN 1 WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 WHEN o_orderstatus = 'F' THEN 3 END AS tier,
+    CASE WHEN domain LIKE '%.building.%' THEN 'clients/building' WHEN domain LIKE '%.machinery.%' THEN 'clients/machinery' WHEN o_orderpriority = '1-URGENT' THEN 'urgent' WHEN o_orderpriority = '2-HIGH' THEN 'high' WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'inbox' END AS folder FROM v_meetings""")
+def priority_routing(spark, sf_dir):
+    m = view(spark, sf_dir, "v_meetings")
+    items = m.selectExpr("meeting_id as id", "inline(array(named_struct('kind', 'domain', 'value', split(domain, '[.]')[1]), named_struct('kind', 'priority', 'value', o_orderpriority), named_struct('kind', 'status', 'value', o_orderstatus)))")
+    return matching.route(items, spark.createDataFrame(_RULES, "tier int, ordinal int, kind string, value string, folder string"), "inbox")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS tier, CASE WHEN c_custkey % 3 = 0 THEN 'mail ' || c_custkey % 7 ELSE 'name ' || c_custkey % 5 END AS item FROM customer
+    WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
+def exact_then_substring_match(spark, sf_dir):
+    c = view(spark, sf_dir, "customer")
+    titles = c.selectExpr("c_custkey as id", "if(c_custkey % 2 = 0, concat('Call: Red Widget', c_custkey % 5, ' review'), 'Red Widget6x') as title")
+    emails = c.filter("c_custkey % 3 = 0").selectExpr("c_custkey as id", "posexplode(array('none@x.example', concat('m', c_custkey % 7, '@x.example'))) as (pos, email)")
+    items = spark.createDataFrame([(f"mail {i}", f"m{i}@x.example", "") for i in range(7)] + [(f"name {i}", None, f"red widget{i}") for i in range(5)], "item string, email string, name string")
+    return matching.match_items(titles, emails, items)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS target FROM orders GROUP BY 1, 2 HAVING count(*) = 1)
+    SELECT c_custkey, cast(o_orderdate AS DATE) AS day, target FROM customer JOIN o ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1998-01-01'""")
+def exactly_one_link(spark, sf_dir):
+    orders = view(spark, sf_dir, "orders").filter("o_orderdate >= timestamp'1998-01-01'").selectExpr("o_custkey as c_custkey", "cast(o_orderdate as date) as day", "o_orderkey as target")
+    left = view(spark, sf_dir, "customer").select("c_custkey").join(orders.select("c_custkey", "day").distinct(), "c_custkey")
+    return matching.exactly_one(left, orders, ["c_custkey", "day"])
+
+
+@query("SELECT CASE WHEN c_nationkey NOT IN (3, 7) THEN 'not_owner' ELSE 'private' END AS reason, count(*) AS n FROM customer WHERE c_nationkey NOT IN (3, 7) OR c_acctbal < 0 GROUP BY 1")
+def privacy_gate_counts(spark, sf_dir):
+    calls = view(spark, sf_dir, "customer").selectExpr("c_custkey", "array(concat('N', c_nationkey, '@me.example')) as emails", "c_acctbal < 0 as private")
+    return matching.privacy_gate(calls, ["n3@me.example", "n7@me.example"])[1]
+
+
+@query("SELECT coalesce(a.c_custkey, b.s_suppkey) AS id, coalesce(nullif(CASE WHEN a.c_custkey % 2 = 0 THEN '' ELSE a.c_name END, ''), b.s_name) AS name, coalesce(a.c_acctbal, b.s_acctbal) AS balance FROM customer a FULL JOIN supplier b ON c_custkey = s_suppkey")
+def merge_sides(spark, sf_dir):
+    a = view(spark, sf_dir, "customer").selectExpr("c_custkey as id", "if(c_custkey % 2 = 0, '', c_name) as name", "c_acctbal as balance")
+    return matching.merge_sides(a, view(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_name as name", "s_acctbal as balance"), "id")
+
+
+# --- search ----------------------------------------------------------------------------
+
+_TERMS = ["license", "the", "onth"]
+_RANKED = r"""h AS (SELECT rel, stem, CASE WHEN rel LIKE 'raw/%' THEN 'raw' ELSE 'para' END AS layer, source, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '(?i)license'))))
+      + (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '(?i)the')))) + (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '(?i)onth')))) AS hits FROM v_notes),
+    s AS (SELECT *, round(hits * CASE WHEN layer = 'raw' THEN 1.0 ELSE 2.0 END, 2)::DOUBLE AS score FROM h WHERE hits > 0),
+    c AS (SELECT *, row_number() OVER (PARTITION BY layer, CASE WHEN layer = 'raw' THEN source END ORDER BY score DESC, hits DESC, rel) AS k FROM s)"""
+
+
+@query(f"WITH {_RANKED} SELECT rel, stem, layer, hits, score FROM c WHERE layer <> 'raw' OR k <= 5 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY score DESC, hits DESC, rel) <= CASE layer WHEN 'raw' THEN 15 ELSE 12 END")
+def research_search(spark, sf_dir):
+    return search.search(view(spark, sf_dir, "v_notes"), _TERMS)
+
+
+@query(r"""WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]+'), 1) AS i FROM benchmark),
+    f AS (SELECT item_id, trim(w, '''-') AS w, min(i) AS i FROM q WHERE length(trim(w, '''-')) >= 3 AND trim(w, '''-') NOT IN (""" + ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS) + """) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM f) SELECT item_id, string_agg(w, ',' ORDER BY k) AS terms FROM r WHERE k <= 8 GROUP BY 1""")
+def question_terms(spark, sf_dir):
+    return view(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.question_terms(F.col("text")), ",").alias("terms"))
+
+
+# --- sessions and segments -------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 7 MINUTE * turn AS ts FROM conversations)
+    SELECT conv_id AS session, min(ts) AS started, max(ts) AS ended, count(*) FILTER (role IN ('user', 'assistant')) AS turns, (7 * (max(turn) - min(turn)))::BIGINT AS minutes,
+    arg_min(text, turn) FILTER (role = 'user') AS p, arg_max(text, turn) FILTER (role = 'assistant') AS a FROM c GROUP BY conv_id""".replace("arg_min(text, turn) FILTER (role = 'user') AS p, arg_max(text, turn) FILTER (role = 'assistant') AS a", """
+    coalesce(CASE WHEN length(trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' '))) > 200 THEN substr(trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' ')), 1, 199) || '…' ELSE trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' ')) END, '') AS first_prompt"""))
+def session_summary(spark, sf_dir):
+    events = view(spark, sf_dir, "conversations").selectExpr("conv_id as session", "turn as line", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(7 * turn as int)) as ts", "role", "text", "cast(null as string) as file")
+    return segments.sessions(events).select("session", "started", "ended", "turns", "minutes", "first_prompt")
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m)
+    SELECT conv_id AS id, island::BIGINT AS island, min(role) AS speaker, min(turn) AS start, string_agg(text, ' ' ORDER BY turn) AS text FROM i GROUP BY 1, 2""")
+def speaker_islands(spark, sf_dir):
+    return segments.speaker_islands(view(spark, sf_dir, "conversations").selectExpr("conv_id as id", "turn as pos", "role as speaker", "text"))
+
+
+@query("SELECT source, arg_max(doc_id, n_chars * 100000000 - doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY source")
+def keep_richest(spark, sf_dir):
+    return segments.keep_richest(view(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id")
+
+
+@query("SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) FILTER (doc_id % 3 = 0) AS lang FROM documents GROUP BY source")
+def later_wins(spark, sf_dir):
+    docs = view(spark, sf_dir, "documents").selectExpr("source", "doc_id", "if(doc_id % 3 = 0, lang, '') as lang")
+    return segments.later_wins(docs, "source", "doc_id", "lang")
+
+
+@query("WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY 1")
+def ordered_distinct(spark, sf_dir):
+    return segments.ordered_distinct(view(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", F.array_join("values", ",").alias("roles"))
+
+
+# --- merge policies --------------------------------------------------------------------
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = view(spark, sf_dir, "documents").selectExpr("doc_id as id", "source", "sha1(coalesce(text, '')) as hash")
+    return docs, docs.filter("id % 3 <> 0").withColumn("hash", F.when(F.col("id") % 3 == 1, "old").otherwise(F.col("hash")))
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'insert' ELSE 'unchanged' END AS action, count(*) AS n FROM documents GROUP BY 1")
+def merge_insert_only(spark, sf_dir):
+    return merge.counters(merge.insert_only(*_batch(spark, sf_dir), "id"))
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'unchanged' END AS action FROM documents")
+def merge_by_hash(spark, sf_dir):
+    return merge.by_value(*_batch(spark, sf_dir), "id", "hash").select("id", "action")
+
+
+@query("SELECT doc_id AS id, source, sha1(coalesce(text, '')) AS hash FROM documents")
+def merge_applied(spark, sf_dir):
+    """The table after a merge: every row as the batch has it."""
+    new, old = _batch(spark, sf_dir)
+    return merge.apply(merge.by_value(new, old, "id", "hash"), old, "id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'unchanged' WHEN o_orderkey % 5 = 0 THEN 'insert' ELSE 'update' END AS action FROM orders")
+def merge_by_stamp(spark, sf_dir):
+    new = view(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "cast(o_orderdate as string) as stamp")
+    old = new.filter("id % 2 = 0 or id % 5 <> 0").withColumn("stamp", F.when(F.col("id") % 2 == 0, F.col("stamp")))
+    return merge.by_value(new, old, "id", "stamp").select("id", "action")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'error' WHEN doc_id % 4 = 3 THEN 'conflict' WHEN n_chars < 300 THEN CASE WHEN doc_id % 4 = 0 THEN 'stub-written' ELSE 'no-content' END
+    WHEN doc_id % 4 = 0 THEN 'fresh' WHEN doc_id % 4 = 1 THEN 'already-current' ELSE 'enriched' END AS status FROM documents""")
+def record_state_machine(spark, sf_dir):
+    docs = view(spark, sf_dir, "documents").selectExpr("doc_id as id", "doc_id % 11 <> 0 as valid", "n_chars >= 300 as has_content", "sha1(coalesce(text, '')) as hash")
+    old = docs.filter("id % 4 <> 0").selectExpr("id", "element_at(array('summary', 'stub', 'other'), cast(id % 4 as int)) as kind", "hash")
+    return merge.record_states(docs, old).select("id", "status")
+
+
+@query("SELECT event_type, max(ts) - INTERVAL 24 HOUR AS cursor FROM events GROUP BY 1")
+def cursor_high_water(spark, sf_dir):
+    events = view(spark, sf_dir, "events")
+    return events.groupBy("event_type").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("cursor"))
+
+
+# --- functions -------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, (regexp_matches(t, 'sk-[A-Za-z0-9]{20,}'))::INT + (regexp_matches(t, 'ghp_[A-Za-z0-9]{36}'))::INT + regexp_matches(t, '(?i)password\s*[=:]\s*\S+')::INT AS n,
+    sha1(regexp_replace(regexp_replace(regexp_replace(t, 'sk-[A-Za-z0-9]{20,}', 'sk-REDACTED', 'g'), 'ghp_[A-Za-z0-9]{36}', 'ghp_REDACTED', 'g'), '(?i)password\s*[=:]\s*\S+', 'password=REDACTED', 'g')) AS text
+    FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' sk-' || sha1(doc_id::VARCHAR) WHEN 1 THEN ' ghp_' || substr(sha1(doc_id::VARCHAR), 1, 36) || ' Password: x' || doc_id ELSE '' END AS t FROM documents)""")
+def redact_counts(spark, sf_dir):
+    t = F.expr("concat(coalesce(text, ''), case doc_id % 4 when 0 then concat(' sk-', sha1(cast(doc_id as string))) when 1 then concat(' ghp_', substr(sha1(cast(doc_id as string)), 1, 36), ' Password: x', doc_id) else '' end)")
+    r = T.redact(t)
+    return view(spark, sf_dir, "documents").select("doc_id", r["n"].cast("int").alias("n"), F.sha1(r["text"]).alias("text"))
+
+
+@query(rf"""SELECT p_partkey, {_kebab("p_name || ' _ (New)'")} AS kebab, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS fuzzy, trim(regexp_replace(lower(p_brand || '  ' || p_type), '[^a-z0-9-]+', '-', 'g'), '-') AS plain FROM part""")
+def slug_variants(spark, sf_dir):
+    return view(spark, sf_dir, "part").select("p_partkey", T.kebab(F.concat("p_name", F.lit(" _ (New)"))).alias("kebab"), T.fuzzy_key(F.col("p_name")).alias("fuzzy"), T.plain_slug(F.concat("p_brand", F.lit("  "), "p_type")).alias("plain"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents)""")
+def excerpts(spark, sf_dir):
+    return view(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.coalesce("text", F.lit("")), 120).alias("excerpt"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' WHEN m % 60 = 0 THEN m // 60 || 'h' ELSE m // 60 || 'h ' || m % 60 || 'm' END AS human, printf('%02d:%02d', m // 60, m % 60) AS clock, week AS iso_week, monday
+    FROM (SELECT o_orderkey, (o_orderkey % 200 + 1)::BIGINT AS m, printf('%d-W%02d', isoyear(o_orderdate), weekofyear(o_orderdate)) AS week, date_trunc('week', o_orderdate)::DATE AS monday FROM orders)""")
+def durations_and_weeks(spark, sf_dir):
+    m = F.col("o_orderkey") % 200 + 1
+    return view(spark, sf_dir, "orders").select("o_orderkey", D.duration(m).alias("human"), D.minutes_text(m).alias("clock"), D.iso_week(F.col("o_orderdate")).alias("iso_week"), D.monday(F.col("o_orderdate")).alias("monday"))
+
+
+@query("SELECT event_id, timezone('America/Chicago', timezone('UTC', ts)) AS local, date_trunc('second', ts) AS utc FROM events")
+def tz_convert(spark, sf_dir):
+    return view(spark, sf_dir, "events").select("event_id", D.to_local(F.col("ts"), "America/Chicago").cast("timestamp_ntz").alias("local"), D.iso_utc(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).cast("timestamp_ntz").alias("utc"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '"' || c_name || '"' WHEN c_custkey % 3 = 1 THEN lower(c_mktsegment) ELSE '"a: b"' END AS scalar, '[' || lower(c_mktsegment) || ', "x,y"]' AS list FROM customer""")
+def yaml_render(spark, sf_dir):
+    value = F.expr("case c_custkey % 3 when 0 then c_name when 1 then lower(c_mktsegment) else 'a: b' end")
+    return view(spark, sf_dir, "customer").select("c_custkey", T.yaml_str(value).alias("scalar"), T.yaml_list(F.array(F.lower("c_mktsegment"), F.lit("x,y"))).alias("list"))
