@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,20 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free = pdf[pdf.side == 1].sort_values(["t", "id"])
-        t, ids, used, out = free.t.to_numpy(), free.id.to_numpy(), set(), []
+        t, ids = free.t.to_numpy(), free.id.to_numpy()
+        used, out = np.zeros(len(t), bool), []
         for x in pdf[pdf.side == 0].sort_values(["ordinal", "id"]).itertuples():
-            near = sorted((abs(int(t[k]) - x.t), ids[k], k) for k in range(len(t)) if k not in used and abs(int(t[k]) - x.t) <= seconds)
+            lo, hi = np.searchsorted(t, [x.t - seconds, x.t + seconds + 1])
+            near = [(abs(int(t[k]) - x.t), ids[k], k) for k in range(lo, hi) if not used[k]]
             if near:
-                used.add(near[0][2])
-                out.append((x.id, near[0][1]))
+                _, match, k = min(near)
+                used[k] = True
+                out.append((x.id, match))
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    grouped = rows.join(parts.select("span", "part", "island"), ["span", "part"]).select("island", "side", "id", "t", "ordinal")
-    return grouped.groupBy("island").applyInPandas(run, "left_id long, right_id long")
+    # islands never meet, so a group may hold many of them
+    grouped = rows.join(parts.select("span", "part", "island"), ["span", "part"]).select(F.floor(F.col("island") / 256).alias("g"), "side", "id", "t", "ordinal")
+    return grouped.groupBy("g").applyInPandas(run, "left_id long, right_id long")
 
 
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:

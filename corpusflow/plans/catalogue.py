@@ -11,8 +11,10 @@ from ..functions import text as T
 from ..functions import times as D
 from ..operators import audit, emergence, matching, merge, people, search, segments, threads
 from ..sources import frontmatter as fm
+from ..sources import html, transcripts
 from ..sources import notes as N
 from ..sources.views import duck, view
+from ..streaming import ingest
 
 TODAY = "2024-01-31"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,3 +551,72 @@ def tz_convert(spark, sf_dir):
 def yaml_render(spark, sf_dir):
     value = F.expr("case c_custkey % 3 when 0 then c_name when 1 then lower(c_mktsegment) else 'a: b' end")
     return view(spark, sf_dir, "customer").select("c_custkey", T.yaml_str(value).alias("scalar"), T.yaml_list(F.array(F.lower("c_mktsegment"), F.lit("x,y"))).alias("list"))
+
+
+# --- parsers ---------------------------------------------------------------------------
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM s""")
+def html_strip(spark, sf_dir):
+    return view(spark, sf_dir, "pages").select("page_id", html.strip(F.col("html")).alias("text"))
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    return view(spark, sf_dir, "pages").select("page_id", html.markdown(F.col("html")).alias("markdown"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("said")).filter("said <> ''")
+    return rows.filter(~F.col("said").rlike("<|&|=== Message"))
+
+
+_SAID = r"""s AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS said FROM conversations), t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM s WHERE said <> '' AND NOT regexp_matches(said, '<|&|=== Message'))"""
+
+
+def _joined(rows: DataFrame, line) -> DataFrame:
+    parts = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))).alias("p"))
+    return parts.select(F.col("conv_id").alias("id"), F.array_join(F.transform("p", lambda p: p["x"]), "\n").alias("text"))
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS id, pos, turn * 61 AS start, CASE WHEN turn % 2 = 0 THEN role ELSE 'Ada ' || role END AS speaker, said AS text FROM t")
+def vtt_parse(spark, sf_dir):
+    clock = lambda s: F.format_string("%02d:%02d:%02d.000", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    start = F.col("turn") * 61
+    body = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(": "), "said")).otherwise(F.concat(F.lit("<v Ada "), "role", F.lit(">"), "said", F.lit("</v>")))
+    files = _joined(_turns(spark, sf_dir), F.concat(clock(start), F.lit(" --> "), clock(start + 5), F.lit("\n"), body, F.lit("\n")))
+    return transcripts.vtt(files.withColumn("text", F.concat(F.lit("WEBVTT\n\n"), "text"))).select("id", "pos", "start", "speaker", "text")
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS id, '17.' || turn AS ts, CASE turn % 3 WHEN 0 THEN 'U' || turn WHEN 1 THEN 'U0EX' ELSE '' END AS sender_id, CASE turn % 3 WHEN 0 THEN 'Jo ' || role WHEN 1 THEN 'Vale' ELSE 'unknown' END AS sender, CASE WHEN turn % 3 = 1 THEN '<@U0EX|Vale> ' ELSE '' END || said AS text FROM t")
+def chat_block_parse(spark, sf_dir):
+    t = F.col("turn")
+    head = F.when(t % 3 == 0, F.concat(F.lit("from Jo "), "role", F.lit(" (U"), t, F.lit(") "))).otherwise(F.lit(""))
+    block = F.concat(F.lit("=== Message "), head, F.lit("at 2024-01-01 ===\nMessage TS: 17."), t, F.lit("\n"), F.when(t % 3 == 1, "<@U0EX|Vale> ").otherwise(""), "said", F.lit("\n"))
+    return transcripts.chat(_joined(_turns(spark, sf_dir), block)).drop("pos")
+
+
+@query(f"WITH {_SAID} SELECT conv_id AS id, turn * 7 AS start, 'Speaker ' || role AS speaker, said AS text FROM t")
+def transcript_turns(spark, sf_dir):
+    line = F.concat(F.lit("["), D.offset_text(F.col("turn") * 7), F.lit("] Speaker "), "role", F.lit(":\n"), "said")
+    return transcripts.turns(_joined(_turns(spark, sf_dir), line)).select("id", "start", "speaker", "text")
+
+
+# --- streams ---------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def stream_dedup_available_now(spark, sf_dir):
+    """Events read twice as a stream and settled by key: each counts once."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
+    out = f"{base}/stream-{uuid.uuid4().hex}"
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for copy in range(2):
+        source.write.parquet(f"{out}/in/copy={copy}")
+    stream = ingest.available(spark, f"{out}/in", source.schema, files_per_batch=1)
+    ingest.run(stream, ingest.upsert_into(spark, f"{out}/table", "event_id", None), f"{out}/checkpoint")
+    return ingest.latest(spark, f"{out}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
