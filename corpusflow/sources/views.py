@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 _DAY = "date_add(DATE '2024-01-01', cast({} as int))"
@@ -40,6 +42,7 @@ DUCK = _views(_DAY_DUCK, "varchar")
 
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temp views over the tables of a folder."""
+    ship(spark)
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, sql in SPARK.items():
