@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..session import ship
+
 #: `[^\x20\x09-\x0D]+`: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
+    ship(spark)
     path = f"{shared_dir(spark)}/corpusflow/{uuid.uuid4().hex}/{name}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,18 +56,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Free the shuffle files of finished jobs now: Spark deletes them once the driver has
     collected the plans that made them, which may otherwise take until its heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what holds the plans, the second one the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads; sizes sketches, never results."""
+def input_bytes(df: DataFrame, unknown: int = 1 << 28) -> int:
+    """Catalyst's estimate of what df reads, or ``unknown`` where it has none (rows that
+    come from the driver); it sizes sketches and partitions, never results."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size if isinstance(size, int) else size.toString()), 1 << 50)
+    size = size if isinstance(size, int) else int(size.toString())
+    return size if size < 1 << 50 else unknown
 
 
 def numbered(df: DataFrame, group: list[str], key: str | list[str], name: str, spread: int = 64) -> DataFrame:

@@ -236,14 +236,20 @@ def _parity(x: np.ndarray) -> bytes:
 
 
 def full_sets(rows: DataFrame) -> DataFrame:
-    """(node, n, items, parity) of each row's set; items are sorted."""
+    """rows (node, text), the node as it is expected -> (node, n, items, parity); items are
+    sorted. A text of another node (its key stands on several rows) is left out; a row may
+    come twice, which does no harm below."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            out, held = [], 0
-            for _, x in sets(batch.column(1)):
-                if len(x):
-                    out.append((name(x), x))
+            out, held, want = [], 0, batch.column(0).to_pylist()
+            for i, x in sets(batch.column(1)):
+                if len(x) and want[i] not in seen and name(x) == want[i]:
+                    if len(seen) >= 1 << 18:
+                        seen.clear()
+                    seen.add(want[i])
+                    out.append((want[i], x))
                     held += len(x)
                 if held > 1 << 20:
                     yield _full(out)
@@ -251,7 +257,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
             if out:
                 yield _full(out)
 
-    return rows.mapInArrow(run, "node long, n int, items array<long>, parity binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, n int, items array<long>, parity binary")
 
 
 def _full(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -403,20 +409,20 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     Words are those of common.WORD, with A-Z lowered. A text of fewer words than a
     shingle is one shingle; null texts and such without words are linked with nothing,
-    and so is a row with a null key, whose component_id is null. Rows with equal keys
-    share a component. Shingles and sets are told apart by 64-bit hashes.
+    and so is a row with a null key, whose component_id is null. Keys should differ: rows
+    with equal keys are judged one by one. Shingles and sets are told apart by 64-bit
+    hashes.
     """
     rows = _rows(docs, text, key)
     spark = docs.sparkSession
     named = common.materialise(nodes(rows), "nodes")
     classes = common.materialise(named.filter("node is not null and key is not null").groupBy("node").agg(F.min("key").alias("rep")), "classes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(rows) // (8 << 20))
+    parts = min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(rows) // (8 << 20)))
     met = common.materialise(shared(signed(rows).repartition(parts, "sig")), "buckets")
     common.release(spark)
     star = met.filter("node <> hub").selectExpr("hub as a", "node as b").distinct()
     some = classes.join(met.select("node").distinct(), "node", "left_semi")
-    texts = rows.join(some.select(F.col("rep").alias("key")), "key", "left_semi")
-    full = common.materialise(full_sets(texts).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    full = common.materialise(full_sets(rows.join(some.withColumnRenamed("rep", "key"), "key")), "sets")
     common.release(spark)
     tried = common.materialise(star, "star")
     edges = common.materialise(verified(common.materialise(plausible(tried, full), "plausible"), full), "edges")
@@ -439,7 +445,7 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component"))
     at = labels.join(least, "label").select("node", "component")
     found = named.join(classes, "node", "left").join(at, "node", "left")
-    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("component_id"))
+    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
