@@ -31,7 +31,7 @@ BLOCK_BITS = 11
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """sizes (source, words, n): with weight and target. One row a source."""
-    w = ", ".join(str(float(x)) for x in weights)
+    w, share, cap = ", ".join(f"{float(x)!r}D" for x in weights), f"{float(share)!r}D", f"{float(cap)!r}D"
     ranked = sizes.selectExpr("*", f"element_at(array({w}), cast(pmod(row_number() over (order by source asc nulls last) - 1, {len(weights)}) + 1 as int)) as weight")
     sums = ranked.selectExpr(
         "*",
