@@ -33,6 +33,11 @@ def _any(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end, line feeds too."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def kebab(c: Column) -> Column:
     """Words joined by single hyphens, ASCII only."""
     c = F.regexp_replace(F.lower(F.trim(c)), r"(?U)[\s_]+", "-")
@@ -80,10 +85,10 @@ def extract(c: Column, pattern: str) -> Column:
 
 def hashtags(c: Column, governance: Iterable[str] = GOVERNANCE) -> Column:
     """Tags in lower case, without those that carry governance."""
-    found = F.transform(extract(c, HASHTAG), F.lower)
-    for g in governance:
-        found = F.filter(found, lambda x, g=g: ~F.startswith(x, F.lit(g)))
-    return found
+    import re
+
+    prefix = "^(?:" + "|".join(map(re.escape, governance)) + ")"
+    return F.filter(F.transform(extract(c, HASHTAG), lambda x: F.lower(x)), lambda x: ~x.rlike(prefix))
 
 
 def candidates(c: Column) -> Column:
@@ -190,14 +195,14 @@ def clean_title(c: Column) -> Column:
 def section(body: Column, heading: str, needs_next: bool = False) -> Column:
     """The text under ``## heading`` up to the next such heading, or the text's end."""
     end = r"(?=^## )" if needs_next else r"(?=^## |\z)"
-    return F.trim(F.regexp_extract(body, rf"(?ms)^## {heading}[\x20\t]*\n(.*?){end}", 1))
+    return strip(F.regexp_extract(body, rf"(?ms)^## {heading}[\x20\t]*\n(.*?){end}", 1))
 
 
 def replace_section(body: Column, heading: str, new: Column) -> Column:
     """body with the section put anew, or added at the end."""
     pattern = rf"(?ms)^## {heading}$.*?(?=^## |\z)"
     text = F.concat(F.lit(f"## {heading}\n\n"), new, F.lit("\n\n"))
-    literal = F.regexp_replace(text, r"([\\$])", r"\\\\$1")
+    literal = F.regexp_replace(text, r"([\\$])", r"\\$1")
     return F.when(body.rlike(pattern), F.regexp_replace(body, F.lit(pattern), literal)).otherwise(F.concat(body, F.lit("\n"), text))
 
 

@@ -69,9 +69,10 @@ def _last(pairs: Column) -> Column:
 def probe(text: Column, keys: Iterable[str], lines: int = 51) -> Column:
     """key -> value of wanted keys in the first lines, outer double quotes stripped."""
     head = F.slice(F.split(text, "\n"), 1, lines)
+    starts = lambda k: lambda x: F.startswith(x, F.lit(f"{k}:"))
     out = []
     for k in keys:
-        found = F.filter(head, lambda x, k=k: F.startswith(x, F.lit(f"{k}:")))
+        found = F.filter(head, starts(k))
         out += [F.lit(k), F.trim(F.trim(F.substring(F.try_element_at(found, F.lit(-1)), len(k) + 2, 1 << 20)), F.lit('"'))]
     return F.map_filter(F.create_map(*out), lambda _, v: v.isNotNull())
 
@@ -88,7 +89,7 @@ def values(fm: Column, key: str) -> Column:
 def set_scalar(text: Column, key: str, value: Column) -> Column:
     """text with a scalar of its frontmatter set, or added as the last line of the block."""
     line = F.concat(F.lit(f"{key}: "), value)
-    literal = F.regexp_replace(line, r"([\\$])", r"\\\\$1")
+    literal = F.regexp_replace(line, r"([\\$])", r"\\$1")
     has = block(text).rlike(rf"(?m)^{key}:.*$")
     put = F.regexp_replace(text, F.lit(rf"(?s)\A(---\n(?:(?!---\n).*?\n)?){key}:[^\n]*"), F.concat(F.lit("$1"), literal))
     add = F.regexp_replace(text, F.lit(r"(?s)\A(---\n.*?\n)---\n"), F.concat(F.lit("$1"), literal, F.lit("\n---\n")))

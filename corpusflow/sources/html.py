@@ -87,7 +87,7 @@ class _Markdown(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             text = " ".join(data.split())
-            lead = " " if data[:1].isspace() and self.out and not self.out[-1].endswith((" ", "\n", "[", "*")) else ""
+            lead = " " if data[:1].isspace() and self.out and not self.out[-1].endswith((" ", "\n", "[")) else ""
             tail = " " if data[-1:].isspace() and text else ""
             self.out.append(lead + text + tail if text else lead)
 

@@ -23,12 +23,12 @@ def first_of(value: Column, paths: Iterable[str], kind: str = "string") -> Colum
 
 def unwrap(text: Column, keys: Iterable[str] = ("result", "data", "content", "text", "body"), depth: int = 5) -> Column:
     """A variant out of envelopes that hold JSON as text, peeled depth times at most."""
-    value = F.try_parse_json(text)
-    for _ in range(depth):
+
+    def peel(value: Column, _: Column) -> Column:
         inner = F.coalesce(*[F.try_parse_json(F.try_variant_get(value, f"$.{k}", "string")) for k in keys], *[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
-        plain = F.schema_of_variant(inner).rlike("^(OBJECT|ARRAY)")
-        value = F.when(plain, inner).otherwise(value)
-    return value
+        return F.when(F.schema_of_variant(inner).rlike("^(OBJECT|ARRAY)"), inner).otherwise(value)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.try_parse_json(text), peel)
 
 
 def records(pages: DataFrame, path: str, value: str = "value") -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _TYPES = {"INT": "long", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
 
@@ -46,10 +46,8 @@ def introspect(path: str, table: str | None = None, needles: tuple[str, ...] = (
 
 
 class SqliteSource(DataSource):
-    """Format ``sqlite_file``: path, table (or needles, by which one is found), partitions.
-
-    Comparisons of a column with a value go into the SQL statement; rowid ranges are the
-    partitions."""
+    """Format ``sqlite_file``: path, table (or needles, by which one is found), partitions,
+    where (a predicate for SQLite itself). Rowid ranges are the partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,22 +68,10 @@ class _Rows(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    _OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
     def __init__(self, options: dict, columns: list[tuple[str, str]]):
         self.path, self.columns = options["path"], columns
         self.table = introspect(self.path, options.get("table"), tuple(options.get("needles", "DATE,PATH").split(",")))[0]
-        self.n, self.where, self.values = int(options.get("partitions", 4)), [], []
-
-    def pushFilters(self, filters) -> Iterator:
-        for f in filters:
-            if type(f) in self._OPS and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)):
-                self.where.append(f"{_quote(f.attribute[0])} {self._OPS[type(f)]} ?")
-                self.values.append(f.value)
-            elif isinstance(f, IsNotNull) and len(f.attribute) == 1:
-                self.where.append(f"{_quote(f.attribute[0])} is not null")
-            else:
-                yield f
+        self.n, self.where = int(options.get("partitions", 4)), options.get("where")
 
     def partitions(self) -> list[_Rows]:
         with _connect(self.path) as db:
@@ -97,13 +83,19 @@ class SqliteReader(DataSourceReader):
 
     def read(self, part: _Rows) -> Iterator[tuple]:
         names = ", ".join(_quote(c) for c, _ in self.columns)
-        where = " and ".join(["rowid >= ?", "rowid < ?", *self.where])
+        where = "rowid >= ? and rowid < ?" + (f" and ({self.where})" if self.where else "")
         as_kind = {"bigint": int, "double": float, "string": str, "binary": bytes}
         with _connect(self.path) as db:
-            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi, *self.values)):
+            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi)):
                 yield tuple(None if v is None else as_kind.get(t, str)(v) for v, (_, t) in zip(row, self.columns, strict=True))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the formats of this module known."""
+    for source in (SqliteSource, ReplaySource):
+        spark.dataSource.register(source)
+
+
 # --- paged APIs ------------------------------------------------------------------------
 
 
