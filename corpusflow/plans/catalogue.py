@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
-from ..operators import audit, emergence, matching, merge, people, search, segments, threads
+from ..operators import audit, emergence, matching, merge, people, records, search, segments, threads
 from ..sources import frontmatter as fm
 from ..sources import html, transcripts
 from ..sources import notes as N
@@ -620,3 +620,68 @@ def stream_dedup_available_now(spark, sf_dir):
     stream = ingest.available(spark, f"{out}/in", source.schema, files_per_batch=1)
     ingest.run(stream, ingest.upsert_into(spark, f"{out}/table", "event_id", None), f"{out}/checkpoint")
     return ingest.latest(spark, f"{out}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- records ---------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2') THEN 'team/' || source WHEN doc_id % 4 = 0 THEN 'by-path' WHEN doc_id % 4 = 1 THEN 'by-name' ELSE '_unrouted' END AS route FROM documents""")
+def mail_routing(spark, sf_dir):
+    mails = view(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat('Some One <a@', upper(source), '>') as sender", "array('x', element_at(array('clients/acme', 'other/beta', 'y', 'z'), cast(doc_id % 4 as int) + 1)) as labels")
+    domains = spark.createDataFrame([("src1", "team/src1"), ("SRC2", "team/src2")], "domain string, route string")
+    labels = spark.createDataFrame([("Clients/Acme", "by-path"), ("beta", "by-name")], "label string, route string")
+    return records.route_mail(mails, domains, labels)
+
+
+@query("SELECT doc_id AS id, 'E' || source AS entity FROM documents WHERE doc_id % 4 = 3 UNION SELECT doc_id, 'Projects' FROM documents WHERE doc_id % 4 = 0")
+def path_mentions(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    entities = notes.selectExpr("concat('E', source) as entity", "upper(source) as folder").distinct().union(spark.createDataFrame([("Projects", "20 - projects")], "entity string, folder string"))
+    return records.path_mentions(notes.selectExpr("doc_id as id", "rel"), entities)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'none' WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_totalprice > 100000 THEN 'pointer' ELSE 'full' END
+    WHEN o_orderpriority = '2-HIGH' THEN 'full' WHEN o_orderpriority = '3-MEDIUM' THEN 'file' ELSE 'pointer' END AS action FROM orders""")
+def transcript_policy(spark, sf_dir):
+    policy = F.when(F.col("o_orderpriority") == "1-URGENT", "only-content").when(F.col("o_orderpriority") == "2-HIGH", "full").when(F.col("o_orderpriority") == "3-MEDIUM", "file").otherwise("odd")
+    return view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), records.transcript_policy(policy, F.col("o_orderstatus") != "P", F.col("o_totalprice") > 100000).alias("action"))
+
+
+@query("SELECT conv_id AS id, turn, CASE role WHEN 'user' THEN 'Ada' WHEN 'assistant' THEN 'Bo' ELSE 'Unknown speaker' END AS speaker FROM conversations")
+def speaker_names(spark, sf_dir):
+    segs = view(spark, sf_dir, "conversations").selectExpr("conv_id as id", "turn", "role as speaker_id")
+    speakers = segs.select("id", "speaker_id").distinct().selectExpr("id", "speaker_id", "inline(case speaker_id when 'user' then array(named_struct('source', 'llm', 'name', 'No'), named_struct('source', 'user', 'name', 'Ada')) when 'assistant' then array(named_struct('source', 'consensus', 'name', 'Bo'), named_struct('source', 'mic', 'name', 'Nobody')) else array(named_struct('source', 'user', 'name', '')) end)")
+    return records.speaker_names(segs, speakers).select("id", "turn", "speaker")
+
+
+@query("SELECT p_partkey AS id, substr(sha1(replace(p_name, ' ', '-') || '|' || p_size), 1, 10) AS rid, p_type || ' (' || p_size || ')' AS tracker FROM part WHERE p_size > 0")
+def record_ids(spark, sf_dir):
+    part = view(spark, sf_dir, "part").filter("p_size > 0")
+    calls = part.selectExpr("p_partkey as id", "array('') as key_points", "array('x') as highlights", "array(named_struct('name', p_type, 'duration', 0)) as topics", "array(named_struct('name', p_type, 'count', p_size), named_struct('name', 'none', 'count', 0)) as trackers")
+    ids = part.select(F.col("p_partkey").alias("id"), records.record_id(F.col("p_name"), F.col("p_size")).alias("rid"))
+    return ids.join(records.call_content(calls).select("id", F.array_join("trackers", ",").alias("tracker")), "id")
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS attendees FROM events GROUP BY 1")
+def attendee_lists(spark, sf_dir):
+    rows = view(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.lit("n").alias("name"), F.upper("event_type").alias("email"))).alias("pairs"))
+    return rows.select("user_id", F.lower(F.array_join(F.transform(records.attendees(F.col("pairs")), lambda x: x["email"]), ",")).alias("attendees"))
+
+
+@query("""WITH b AS (SELECT event_id, epoch_ms(ts) AS ms FROM events) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'local' ELSE 'raw' END AS title FROM b
+    WHERE (timezone('America/Chicago', timezone('UTC', make_timestamp(ms * 1000))))::DATE = DATE '2024-01-10'""")
+def calendar_union(spark, sf_dir):
+    events = view(spark, sf_dir, "events").selectExpr("event_id", "unix_millis(cast(ts as timestamp)) as ms")
+    local, raw = events.filter("event_id % 2 = 0").withColumn("title", F.lit("local")), events.withColumn("title", F.lit("raw"))
+    return records.calendar(local, raw, "2024-01-10", "America/Chicago").select("event_id", "title")
+
+
+@query("SELECT c_custkey AS id, k AS name, v AS value FROM (SELECT c_custkey, unnest(['name', 'segment']) AS k, unnest([c_name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END]) AS v FROM customer) WHERE v <> ''")
+def column_rows(spark, sf_dir):
+    items = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("name"), "c_name", F.lit("segment"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_mktsegment"))).alias("columns"))
+    return records.column_rows(items)
+
+
+@query("WITH c AS (SELECT doc_id AS item, CASE WHEN n_chars < 60 THEN 0 ELSE 1 END AS level, n_chars AS rank FROM documents) SELECT item, level, row_number() OVER (ORDER BY level, rank, item) AS n FROM c QUALIFY level = 0 OR n <= 3")
+def needs_attention(spark, sf_dir):
+    return records.attention(view(spark, sf_dir, "documents").selectExpr("doc_id as item", "if(n_chars < 60, 0, 1) as level", "n_chars as rank")).select("item", "level", "n")
