@@ -45,10 +45,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix draws, in the order of shards and places."""
-    draws = mixing.mix(docs.filter("doc_id is not null")).select("doc_id", F.explode("draws").alias("draw"))
-    drawn = docs.join(draws, "doc_id")
+    drawn = mixing.mix(docs, carry=True).withColumn("draws", F.explode("draws"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return drawn.repartitionByRange(parts, "draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place").select(docs.columns)
+    return drawn.repartitionByRange(parts, "draws.shard", "draws.place").sortWithinPartitions("draws.shard", "draws.place").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,9 +68,10 @@ def _tree(spark: SparkSession, quotas: DataFrame, shards: int, seed: str) -> Dat
     return nodes.selectExpr(f"cast(node - {shards} as int) as shard", "q")
 
 
-def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source", **law) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "mix", text: str = "text", key: str = "doc_id", source: str = "source", carry: bool = False, **law) -> DataFrame:
     """(key, size, source_size, target, draws): draws is an array of (shard, place), one
-    for each time the mix takes the document; place orders a shard's rows.
+    for each time the mix takes the document; place orders a shard's rows. carry: instead
+    docs as they are and draws, a column of that name replaced; no row is shuffled for it.
 
     Null source is a source of its own, last; a null or empty text has size 0 and is
     never drawn. An empty table gives no rows. Keys should differ: rows with equal keys
@@ -78,9 +79,10 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), words.alias("size"))
     # pos is uniform in 62 bits: a source's rows in order of pos are its permutation
-    rows = common.materialise(rows.withColumn("pos", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 2)), "sizes")
+    pos = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("long")), 2)
+    own = [F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), words.alias("size"), pos.alias("pos")]
+    rows = common.materialise(docs.select(own), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     goal = targets(sizes, **law).selectExpr(
         "*", "row_number() over (order by source asc nulls last) as no",
@@ -88,7 +90,11 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
         f"cast(greatest(0, ceil(log2(n / {block_rows}))) as int) as bits",
     )
     goal = common.materialise(goal.selectExpr("*", f"least(bits, {BLOCK_BITS}) as block_bits", "target - rounds * words as part"), "targets")  # a row for each source
-    rows = rows.alias("r").join(F.broadcast(goal.alias("s")), F.expr("r.source <=> s.source")).selectExpr("key", "size", "pos", "s.*").drop("source", "n")
+
+    def with_goal(r: DataFrame, *more: str) -> DataFrame:
+        return r.alias("r").join(F.broadcast(goal.alias("s")), F.expr("r.source <=> s.source")).selectExpr("key", "size", "pos", *more, "s.*").drop("source", "n")
+
+    rows = with_goal(rows)
     # narrow to the last block, by up to BLOCK_BITS bits at once: all before bound is in, the block has rest words to give
     last = goal.selectExpr("no", "part as rest", "0 as depth", "0L as bound")
     for _ in range(max(1, -(-(goal.agg(F.max("bits")).first()[0] or 0) // BLOCK_BITS))):
@@ -112,6 +118,9 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     quotas = goal.join(last, "no").agg(F.expr(f"sort_array(collect_list(named_struct('no', no, 'k', {count})))").alias("q"))
     leaves = common.materialise(_tree(spark, quotas, shards, seed).selectExpr("shard", "inline(q)"), "quotas")
     ends = leaves.selectExpr("no", "shard", "sum(k) over (partition by no order by shard) as upto").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
+    kept = [c for c in docs.columns if c != "draws"]
+    if carry:
+        rows = with_goal(docs.select(F.struct(*kept).alias("doc"), *own), "doc")
     out = (
         rows.join(F.broadcast(last.drop("rest")), "no").join(F.broadcast(ends), "no").join(F.broadcast(fits), ["no", "key"], "left")
         .selectExpr("*", "if(size > 0, rounds + if(part > 0 and pos < bound or coalesce(fits, false), 1, 0), 0L) as times", "if(block_bits = 0, 0L, shiftright(pos, 62 - block_bits)) as block")
@@ -119,6 +128,8 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     draws = f"""transform(if(times > 0, sequence(0L, times - 1L), cast(array() as array<bigint>)), i -> named_struct(
                 'shard', filter(ends, e -> e.upto > i * shiftleft(1L, block_bits) + block)[0].shard,
                 'place', xxhash64('{seed}', 'place', key, i)))"""
+    if carry:
+        return out.selectExpr("doc", f"{draws} as draws").select(*[F.col("doc")[c].alias(c) for c in kept], "draws")
     return out.selectExpr(f"key as `{key}`", "size", "words as source_size", "target", f"{draws} as draws")
 
 
