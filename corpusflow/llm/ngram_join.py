@@ -27,6 +27,10 @@ and buckets with one node vanish. Then, each step being exact:
 3. rest: in larger buckets, all other such pairs between nodes that still aren't
    connected.
 
+A passage that very many texts share may still fill a bucket with nodes that don't link.
+One with more than BIG labels is split: linked sets also share a signature of another
+partition, so its nodes meet only where they share both.
+
 Every pair is verified on the whole sets. Components come from label propagation with
 pointer jumping, written to the shared folder each round.
 """
@@ -47,6 +51,8 @@ U = np.uint64
 N = 5
 _SEEDS = 256
 SMALL = 16
+#: Buckets of more labels than BIG are split by signatures of up to LEVELS further partitions.
+BIG, LEVELS = 4096, 3
 _HALF = U(0xA0761D6478BD642F)
 
 
@@ -128,13 +134,13 @@ def _sign(x: np.ndarray, band: int, seed: int, out: list[np.ndarray]) -> bool:
     return int((c[::2] + c[1::2] < 2).sum()) <= t
 
 
-def signatures(x: np.ndarray) -> np.ndarray:
-    """All signatures of a set."""
+def signatures(x: np.ndarray, level: int = 0) -> np.ndarray:
+    """All signatures of a set; each level has partitions of its own."""
     out: list[np.ndarray] = [np.zeros(0, U)]
     first = int(np.searchsorted(BANDS, len(x), "right")) - 1
     band = first
     while band == first or BANDS[band] <= len(x) * 5 // 4:
-        for seed in range(_SEEDS):
+        for seed in range(level * _SEEDS, (level + 1) * _SEEDS):
             if _sign(x, band, seed, out):
                 break
         band += 1
@@ -384,6 +390,21 @@ def candidates(rows: DataFrame, everything: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def split(buckets: DataFrame, full: DataFrame, level: int) -> DataFrame:
+    """buckets (sig, node, label) cut by a signature of another level as well."""
+
+    def run(batches):
+        for batch in batches:
+            node, items = batch.column(0).to_pylist(), batch.column(1)
+            for i, k in enumerate(node):
+                sig = signatures(items[i].values.to_numpy().view(U), level)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), k, np.int64)), pa.array(sig.view(np.int64))], ["node", "more"])
+
+    some = full.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "items")
+    more = some.mapInArrow(run, "node long, more long")
+    return buckets.join(more, "node").select(F.xxhash64("sig", "more").alias("sig"), "node", "label")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component, for all nodes of edges.
 
@@ -425,23 +446,36 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     full = common.materialise(full_sets(rows.join(some.withColumnRenamed("rep", "key"), "key")), "sets")
     common.release(spark)
     tried = common.materialise(star, "star")
+    held = [met, full, tried]
     edges = common.materialise(verified(common.materialise(plausible(tried, full), "plausible"), full), "edges")
     common.release(spark)
     labels = components(edges)
     for everything in (False, True):
         now = met.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         now = common.materialise(now, "labelled")
-        mixed = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-        mixed = mixed.filter(f"size > {SMALL}" if everything else "true").select("sig")
-        open_ = now.join(mixed, "sig", "left_semi").join(full.select("node", "n", "parity"), "node").select("sig", "node", "label", "n", "parity")
+        gone = [now]
+        parted = []
+        for level in range(LEVELS + 1):
+            mixed = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.approx_count_distinct("label").alias("labels")).filter("lo < hi")
+            mixed = common.materialise(mixed.filter(f"size > {SMALL}" if everything else "true"), "mixed")
+            big = mixed.filter(f"labels > {BIG}") if level < LEVELS else mixed.limit(0)
+            parted.append(now.join(mixed if level == LEVELS else mixed.filter(f"labels <= {BIG}"), "sig", "left_semi"))
+            if level == LEVELS or big.isEmpty():
+                break
+            now = common.materialise(split(now.join(big, "sig", "left_semi"), full, level + 1), "split")
+            gone.append(now)
+        open_ = functools.reduce(DataFrame.unionByName, parted).join(full.select("node", "n", "parity"), "node").select("sig", "node", "label", "n", "parity")
         pairs = candidates(open_.repartition(parts, "sig").sortWithinPartitions("sig", "node"), everything).distinct()
         pairs = common.materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        common.discard(*gone)
         if pairs.isEmpty():
             continue
         tried = tried.unionByName(pairs)
+        held.append(pairs)
         edges = common.materialise(edges.unionByName(verified(pairs, full)), "edges")
         common.release(spark)
         labels = components(edges)
+    common.discard(*held)  # labels is a table of its own
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component"))
     at = labels.join(least, "label").select("node", "component")
     found = named.join(classes, "node", "left").join(at, "node", "left")

@@ -196,15 +196,18 @@ def test_ngram_join(odd, nulls, none):
     assert got(ngram_join.ngram_join(none)) == []
 
 
-def test_ngram_join_near_the_threshold(spark):
+@pytest.mark.parametrize(("big", "families"), [(4096, 60), (10, 20)])
+def test_ngram_join_near_the_threshold(spark, monkeypatch, big, families):
     """Families of texts that differ by about as much as the threshold allows, of all sizes,
     and a passage that dissimilar texts share."""
     import random
 
+    monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "LEVELS", 1)
     r, rows = random.Random(5), []
     vocabulary = [f"w{i}" for i in range(4000)]
     passage = [r.choice(vocabulary) for _ in range(60)]
-    for family in range(60):
+    for family in range(families):
         n = r.choice([5, 6, 7, 8, 9, 12, 14, 20, 25, 33, 50, 80, 150, 300])
         base = [r.choice(vocabulary) for _ in range(n)]
         for _ in range(6):
@@ -213,7 +216,7 @@ def test_ngram_join_near_the_threshold(spark):
                 k = r.randrange(len(w))
                 w[k : k + r.randint(0, 2)] = [r.choice(vocabulary)] * r.randint(0, 2)
             rows.append((len(rows), " ".join(w)))
-    for _ in range(150):
+    for _ in range(2 * families + 30):
         rows.append((len(rows), " ".join([r.choice(vocabulary) for _ in range(r.randint(20, 40))] + passage)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got(ngram_join.ngram_join(df))) == Counter(components(rows))
