@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 1_500_000  # distinct words whose ids a worker remembers
-SLICE = 8 << 20
+WORDS_KEPT = 700_000  # distinct words whose ids a worker remembers
+SLICE = 4 << 20
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
