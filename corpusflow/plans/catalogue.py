@@ -222,7 +222,7 @@ def thread_activity(spark, sf_dir):
     return threads.activity(tags, TODAY)
 
 
-@query("SELECT lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS key, 2 AS n FROM part GROUP BY 1")
+@query("SELECT lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS key, 2::BIGINT AS n FROM part GROUP BY 1")
 def duplicate_slugs_exact(spark, sf_dir):
     part = view(spark, sf_dir, "part")
     slugs = part.select(F.lit("thread").alias("kind"), T.kebab(F.col("p_name")).alias("slug")).union(part.select(F.lit("page"), F.replace("p_name", F.lit(" "), F.lit(""))))
@@ -247,7 +247,7 @@ def hollow_pages(spark, sf_dir):
     SELECT item_id % 7 AS thread, item_id, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_date DESC, title) AS rank FROM r WHERE k <= 5 QUALIFY rank <= 20""")
 def evidence_top_k(spark, sf_dir):
     items = view(spark, sf_dir, "v_items").selectExpr("item_id % 7 as thread", "item_id", "source", "item_date as date", "title as path")
-    return threads.top_evidence(items).select("thread", "item_id", "rank")
+    return threads.top_evidence(items).select("thread", "item_id", F.col("rank").cast("long"))
 
 
 @query("""WITH f AS (SELECT item_id % 7 AS thread, substr(sha1(string_agg(title || ':' || item_date, chr(10) ORDER BY title || ':' || item_date)), 1, 16) AS fingerprint, count(*) AS n FROM v_items GROUP BY 1)
@@ -586,7 +586,7 @@ def vtt_parse(spark, sf_dir):
     start = F.col("turn") * 61
     body = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(": "), "said")).otherwise(F.concat(F.lit("<v Ada "), "role", F.lit(">"), "said", F.lit("</v>")))
     files = _joined(_turns(spark, sf_dir), F.concat(clock(start), F.lit(" --> "), clock(start + 5), F.lit("\n"), body, F.lit("\n")))
-    return transcripts.vtt(files.withColumn("text", F.concat(F.lit("WEBVTT\n\n"), "text"))).select("id", "pos", "start", "speaker", "text")
+    return transcripts.vtt(files.withColumn("text", F.concat(F.lit("WEBVTT\n\n"), "text"))).select("id", F.col("pos").cast("long"), "start", "speaker", "text")
 
 
 @query(f"WITH {_SAID} SELECT conv_id AS id, '17.' || turn AS ts, CASE turn % 3 WHEN 0 THEN 'U' || turn WHEN 1 THEN 'U0EX' ELSE '' END AS sender_id, CASE turn % 3 WHEN 0 THEN 'Jo ' || role WHEN 1 THEN 'Vale' ELSE 'unknown' END AS sender, CASE WHEN turn % 3 = 1 THEN '<@U0EX|Vale> ' ELSE '' END || said AS text FROM t")
@@ -684,4 +684,4 @@ def column_rows(spark, sf_dir):
 
 @query("WITH c AS (SELECT doc_id AS item, CASE WHEN n_chars < 60 THEN 0 ELSE 1 END AS level, n_chars AS rank FROM documents) SELECT item, level, row_number() OVER (ORDER BY level, rank, item) AS n FROM c QUALIFY level = 0 OR n <= 3")
 def needs_attention(spark, sf_dir):
-    return records.attention(view(spark, sf_dir, "documents").selectExpr("doc_id as item", "if(n_chars < 60, 0, 1) as level", "n_chars as rank")).select("item", "level", "n")
+    return records.attention(view(spark, sf_dir, "documents").selectExpr("doc_id as item", "if(n_chars < 60, 0, 1) as level", "n_chars as rank")).select("item", "level", F.col("n").cast("long"))
