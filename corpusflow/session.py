@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch: by rows alone, batches of long texts would fill a worker.
+BATCH = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session: they may have neither the
-    driver's folders nor its module path."""
+    """Bound Arrow batches by bytes, unless the user has, and send this package to the
+    executors, once: they may have neither the driver's folders nor its module path."""
     context = spark.sparkContext
+    if not context.getConf().contains(_BYTES):
+        spark.conf.set(_BYTES, BATCH)
     if getattr(context, "_corpusflow_shipped", False):
         return
     root = Path(__file__).resolve().parent
