@@ -177,6 +177,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score. `und` and 0 if the text is null, empty or has no
     letter. Columns of docs by these names are replaced."""
+    common.ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's parameters
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
