@@ -101,11 +101,12 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
         inside = rows.join(F.broadcast(last), "no").filter("depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth)").withColumn("deep", F.expr(f"least(bits, depth + {BLOCK_BITS})"))
         sums = inside.selectExpr("no", "rest", "size", "deep", "if(deep = 0, 0L, shiftleft(shiftright(pos, 62 - deep), 62 - deep)) as start").groupBy("no", "rest", "deep", "start").agg(F.sum("size").alias("w"))
         run = sums.selectExpr("*", "sum(w) over (partition by no order by start) as upto")
-        last = common.materialise(
+        found = (
             run.groupBy("no", "rest", "deep").agg(F.min(F.expr("if(upto > rest, struct(start, upto - w as before), null)")).alias("x"))
-            .selectExpr("no", "coalesce(rest - x.before, 0D) as rest", "if(x is null, 62, deep) as depth", "coalesce(x.start, 4611686018427387903L) as bound"),
-            "last",
+            .selectExpr("no", "coalesce(rest - x.before, 0D) as rest", "if(x is null, 62, deep) as depth", "coalesce(x.start, 4611686018427387903L) as bound")
         )
+        # a source without a last block (depth 62, no row inside) stays as it is in later rounds
+        last = common.materialise(last.alias("a").join(found.alias("b"), "no", "left").selectExpr("no", *[f"coalesce(b.{c}, a.{c}) as {c}" for c in ("rest", "depth", "bound")]), "last")
     # its documents first fit in order of pos, by a fold over about block_rows of them
     fits = (
         rows.join(F.broadcast(last), "no").filter("size > 0 and depth < 62 and (depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth))")

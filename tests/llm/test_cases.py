@@ -352,6 +352,18 @@ def test_mixing(odd, nulls, none, spark):
     assert all(target[s] <= 2 * size[s] + 1e-6 for s in size) and set(shard) == set(range(8)) and max(shard.values()) < 1.25 * min(shard.values())
 
 
+def test_mixing_keeps_wordless_sources_over_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_BITS", 3)
+    many = spark.range(6000).selectExpr("id as doc_id", "case when id % 10 = 1 then 'bare' when id % 10 = 2 then 'few' else 'hot' end as source", "if(id % 10 = 1, array(null, '', ' ')[int(id div 10 % 3)], trim(repeat('w ', cast(1 + id % 7 as int)))) as text")
+    found = mixing.mix(many, block_rows=16).join(many.select("doc_id", "source"), "doc_id").collect()
+    assert len(found) == 6000 and len({r.doc_id for r in found}) == 6000
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r.source] += r["size"] * len(r.draws)
+        target[r.source] = r.target
+    assert taken["bare"] == target["bare"] == 0 and all(abs(taken[s] - target[s]) <= 7 for s in target)
+
+
 def test_targets_are_water_filled(spark):
     sizes = {"a": 100, "b": 1000, "c": 10, "d": 400, "e": 0, None: 50}
     names = sorted([k for k in sizes if k is not None]) + [None]
