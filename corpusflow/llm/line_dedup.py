@@ -21,14 +21,15 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     Lines end at line feeds and are compared as they are; blank ones (white space only)
     don't count and stay, unless no other line is left, when the text becomes empty. A
     null text stays null, with 0 lines; a document of fewer than width lines that count
-    is left alone. Keys should differ: rows with one key are taken for one document
+    is left alone. Rows with a null key are left as they are and no place in them counts.
+    Keys should differ: rows with one key are taken for one document
     when later places are removed. Columns named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     lines = f"filter(transform(split(`{text}`, '\n', -1), (x, i) -> struct(i, x)), p -> p.x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     grams = ", ".join(f"l[i + {j}].x" for j in range(width))
     windows = (
-        docs.select(F.col(key).alias("key"), F.expr(lines).alias("l")).filter(F.size("l") >= width)
+        docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.expr(lines).alias("l")).filter(F.size("l") >= width)
         .selectExpr("key", f"inline(transform(sequence(0, size(l) - {width}), i -> struct(i as pos, xxhash64({grams}) as a, xxhash64('second', {grams}) as b)))")
     )
     windows = common.materialise(windows, "windows")

@@ -269,6 +269,13 @@ def test_line_dedup(odd, nulls, none):
     assert len(got(line_dedup.line_dedup(odd))) == odd.count() and got(line_dedup.line_dedup(none)) == []
 
 
+def test_line_dedup_with_an_unnamed_row(spark):
+    text = "one\ntwo\nthree\nfour"
+    df = spark.createDataFrame([(None, text), (7, text), (9, "own\n" + text), (None, text)], "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"], r["text"]) for r in got(line_dedup.line_dedup(df)))
+    assert found == [(0, 4, 0, text), (0, 4, 0, text), (7, 4, 0, text), (9, 5, 4, "own")]
+
+
 def test_language_id(odd, nulls, none):
     model = language_id.train(odd.filter(~language_id.held_out()))
     found = {(r["doc_id"], r["text"]): r for r in got(language_id.identify(odd, model))}
