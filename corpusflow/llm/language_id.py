@@ -9,7 +9,8 @@ Training text is bounded: ``buckets`` texts a language (those with the least has
 each of as many hash buckets), ``chars`` characters of each, ``symbols`` in all. All
 texts are scored whole. For speed an automaton is one table, (state, symbol) -> next
 state and whether a new phrase begins, and texts are parsed in blocks of BLOCK symbols
-that advance in step, all languages at once; a phrase ends at a block's end.
+that advance in step, all languages at once; a phrase ends at a block's end. The table has columns for the
+CLASSES most frequent symbols; moves by the others are looked up among sorted keys.
 """
 
 from __future__ import annotations
@@ -39,13 +40,14 @@ def letters() -> np.ndarray:
 
 
 def alphabet(samples: dict[str, str]) -> np.ndarray:
-    """Code point -> symbol: 0 no letter, 1 a rare letter, 2 on the frequent letters,
-    upper and lower case alike."""
+    """Code point -> symbol: 0 no letter, 1 a letter never seen, 2 on each letter of the
+    samples, the frequent ones first, upper and lower case alike."""
     seen = Counter(c for t in samples.values() for c in t.lower() if letters()[ord(c)])
-    table = letters().astype(np.uint8)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]):
-        for x in {c, c.upper(), c.title()}:
-            if len(x) == 1:
+    table = letters().astype(np.min_scalar_type(len(seen) + 1))
+    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
+        table[ord(c)] = i + 2
+        for x in {c.upper(), c.title()}:
+            if len(x) == 1 and table[ord(x)] == 1:  # a capital of two letters is the frequent one's
                 table[ord(x)] = i + 2
     return table
 
@@ -97,20 +99,29 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """The automata of all languages as one table."""
+    """The automata of all languages as one table, and the moves by symbols beyond it."""
 
     def __init__(self, samples: dict[str, str], limit: int):
         self.langs = sorted(samples)
         self.symbol = alphabet(samples)
         tables, self.start, self.bits, base = [], [], [], 0
-        for lang in self.langs:
+        self.symbols = max(CLASSES, int(self.symbol.max()) + 1)
+        self.fresh = np.zeros((len(self.langs), self.symbols - CLASSES), np.int32)
+        far: dict[int, int] = {}  # state * symbols + symbol -> move
+        for i, lang in enumerate(self.langs):
+            self.fresh[i] = 2 * base + 1
             text = symbols([samples[lang]], self.symbol)[0][:limit]
             nxt = automaton(text)
             # state 0 stands before a phrase: every way out of it begins one
             table = np.full((len(nxt) + 1, CLASSES), -1, np.int64)
             for s, out in enumerate(nxt):
                 for c, t in out.items():
-                    table[s + 1, c] = 2 * (base + t + 1)
+                    if c < CLASSES:
+                        table[s + 1, c] = 2 * (base + t + 1)
+                    else:
+                        far[(base + s + 1) * self.symbols + c] = 2 * (base + t + 1)
+                        if s == 0:
+                            self.fresh[i, c - CLASSES] = 2 * (base + t + 1) + 1
             fresh = np.where(table[1] < 0, 2 * base, table[1]) + 1
             table = np.where(table < 0, fresh, table)
             table[0] = fresh
@@ -119,6 +130,17 @@ class Model:
             self.bits.append(np.log2(max(2, len(text))))
             base += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.keys = np.array(sorted(far), np.int64)
+        self.moves = np.array([far[k] for k in self.keys.tolist()], np.int32)
+
+    def far(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Moves by symbols without a column: of the automaton, else to a new phrase."""
+        out = self.fresh[:, s.astype(np.int64) - CLASSES]
+        if len(self.keys):
+            key = state.astype(np.int64) * self.symbols + s
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.moves[at], out)
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(language, text): the number of phrases."""
@@ -135,7 +157,13 @@ class Model:
         count = np.zeros(state.shape, np.int32)
         for step in range(int(length[0]) if len(length) else 0):
             m = live[step]
-            move = self.table[state[:, :m] * CLASSES + s[at[:m] + step]]
+            c = s[at[:m] + step]
+            if self.symbols > CLASSES:
+                move = self.table[state[:, :m] * CLASSES + np.minimum(c, CLASSES - 1)]
+                if len(beyond := np.flatnonzero(c >= CLASSES)):
+                    move[:, beyond] = self.far(state[:, beyond], c[beyond])
+            else:
+                move = self.table[state[:, :m] * CLASSES + c]
             count[:, :m] += move & 1
             state[:, :m] = move >> 1
         out = np.zeros((len(self.langs), len(texts)))

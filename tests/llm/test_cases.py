@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -308,6 +309,28 @@ def test_cross_parsing_is_longest_match():
             assert model.phrases([probe])[i][0] == n
 
 
+def test_languages_past_the_table_are_told_apart():
+    r = random.Random(3)
+    letters = {"mixed": [chr(c) for a, b in ((0x61, 0x7B), (0x3B1, 0x3C2), (0x430, 0x450)) for c in range(a, b)], "zh": [chr(0x4E00 + 7 * i) for i in range(300)], "ko": [chr(0xAC00 + 7 * i) for i in range(300)]}
+    text = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    texts = {"mixed": text("mixed", 9000), "zh": text("zh", 1500), "ko": text("ko", 1500)}
+    model = language_id.Model(texts, 24_000)
+    probes = [(k, texts[k][50:150] if i % 2 else text(k, 40)) for i in range(8) for k in letters]
+    langs, scores = model.predict([p for _, p in probes])
+    assert langs == [k for k, _ in probes] and all(scores > 0.5)
+    learned = {k: "".join(map(chr, language_id.symbols([t], model.symbol)[0][:24_000].tolist())) for k, t in texts.items()}
+    for probe in (texts["ko"][9:70] + "\u4e00x\u10d0 " + texts["zh"][3:60], "\u10d0\u10d1 \u10d2"):
+        s = "".join(map(chr, language_id.symbols([probe], model.symbol)[0].tolist()))
+        for i, lang in enumerate(model.langs):
+            at = n = 0
+            while at < len(s):
+                m = 1
+                while at + m < len(s) and s[at : at + m + 1] in learned[lang]:
+                    m += 1
+                at, n = at + m, n + 1
+            assert model.phrases([probe])[i][0] == n
+
+
 def substring_brute(docs, width):
     first = {}
     words = {}
