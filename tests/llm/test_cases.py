@@ -423,6 +423,19 @@ def test_license_scan(odd, nulls, none, spark):
     assert len(got(licenses.license_scan(odd))) == odd.count() and len(got(licenses.license_scan(nulls))) == 3 and got(licenses.license_scan(none)) == []
 
 
+def test_license_scan_inside_lines():
+    scan, before, after = licenses.Scanner().scan, "the river ran past seven old mills " * 8, "and nobody there could tell who built them " * 8
+    for name, templates in licenses.TEMPLATES.items():
+        for text in templates:
+            found = scan(f"{before}. {text.replace('<...>', '2020 Ada Vale.')} {after}.")[1]
+            assert [(x["license"], x["line"]) for x in found if x["exact"]] == [(name, 0)]
+    assert [(x["license"], x["differences"]) for x in scan(f"{before}. Licensed under the Apache License, Version 1.1. {after}")[1]] == [("Apache-2.0", ["2.0>1.1"])]
+    for more, diff in (("v3.0 or later", "+or later"), ("v3.0+", "++")):
+        assert [(x["exact"], x["differences"]) for x in scan(f"{before}. Licensed under the GNU General Public License {more}. {after}")[1]] == [(False, [diff])]
+    both = scan(f"{before} Released under the MIT License. {after} Licensed under CC0 1.0. {after}")[1]
+    assert [x["license"] for x in both] == ["MIT", "CC0-1.0"]
+
+
 def test_pipeline(odd, nulls, none, spark, tmp_path):
     for i, df in enumerate((odd, nulls, none)):
         df.write.parquet(f"{tmp_path}/{i}/documents.parquet")
