@@ -436,6 +436,18 @@ def test_license_scan_inside_lines():
     assert [x["license"] for x in both] == ["MIT", "CC0-1.0"]
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    texts = {
+        1: ("MPL-2.0", 2, "intro\n\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at the address."),
+        2: ("BSD-3-Clause", 0, "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage main"),
+        3: ("MIT", 1, "# by Ada\n# Permission is\n# hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\n# files (the \"Software\"), to deal in the Software without restriction\nmore"),
+        4: ("Apache-2.0", 12, "x\n" * 12 + "Licensed under the Apache\nLicense, Version 2.0.\n" + "x\n" * 40),
+        5: ("Proprietary", 1, "first\nAll rights\nreserved."),
+    }
+    found = got(licenses.license_scan(spark.createDataFrame([(k, t) for k, (_, _, t) in texts.items()], "doc_id long, text string")))
+    assert {r["doc_id"]: [(x["license"], x["line"]) for x in r["licenses"] if x["exact"]] for r in found} == {k: [(n, i)] for k, (n, i, _) in texts.items()}
+
+
 def test_pipeline(odd, nulls, none, spark, tmp_path):
     for i, df in enumerate((odd, nulls, none)):
         df.write.parquet(f"{tmp_path}/{i}/documents.parquet")
