@@ -22,31 +22,37 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     don't count and stay, unless no other line is left, when the text becomes empty. A
     null text stays null, with 0 lines; a document of fewer than width lines that count
     is left alone. Rows with a null key are left as they are and no place in them counts.
-    Keys should differ: rows with one key are taken for one document
-    when later places are removed. Columns named n_lines or n_removed are replaced.
+    Rows with one key and one text are one document and fare alike; rows with one key and
+    different texts are documents of their own, in the order of their texts' hashes. An
+    empty table gives no rows. Columns named n_lines or n_removed are replaced; all others
+    pass through, whatever their names.
+
+    A window that very many documents share is one key of the join with the first places,
+    which has one row of it: Spark's skew handling divides it.
     """
     docs = docs.drop("n_lines", "n_removed")
-    lines = f"filter(transform(split(`{text}`, '\n', -1), (x, i) -> struct(i, x)), p -> p.x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    lines = "filter(transform(split(doc_text, '\n', -1), (x, i) -> struct(i, x)), p -> p.x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    whole, name = F.col(f"`{text}`").cast("string"), F.col(f"`{key}`")
+    plain = docs.select(name.alias("key"), F.xxhash64(whole).alias("version"), whole.alias("doc_text"))
     grams = ", ".join(f"l[i + {j}].x" for j in range(width))
     windows = (
-        docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.expr(lines).alias("l")).filter(F.size("l") >= width)
-        .selectExpr("key", f"inline(transform(sequence(0, size(l) - {width}), i -> struct(i as pos, xxhash64({grams}) as a, xxhash64('second', {grams}) as b)))")
+        plain.filter("key is not null").select("key", "version", F.expr(lines).alias("l")).filter(F.size("l") >= width)
+        .selectExpr("key", "version", f"inline(transform(sequence(0, size(l) - {width}), i -> struct(i as pos, xxhash64({grams}) as a, xxhash64('second', {grams}) as b)))")
     )
     windows = common.materialise(windows, "windows")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").selectExpr("a", "b", "first.key as first_key", "first.pos as first_pos")
-    later = windows.join(first, ["a", "b"]).filter("key > first_key or key = first_key and pos > first_pos")
-    covered = later.groupBy("key").agg(F.expr(f"array_distinct(flatten(transform(collect_list(pos), p -> sequence(p, p + {width - 1}))))").alias("gone"))
-    out = docs.withColumn("__lines", F.expr(f"split(`{text}`, '\n', -1)")).withColumn("__at", F.expr(f"transform({lines}, p -> p.i)"))
-    out = out.join(covered.withColumnsRenamed({"key": "__key", "gone": "__gone"}), F.col(key) == F.col("__key"), "left")
-    # positions among the lines that count -> positions among all; array_except keeps order and hashes
-    removed = "transform(__gone, g -> __at[g])"
-    kept = f"array_except(sequence(0, size(__lines) - 1), {removed})"
-    return (
-        out.withColumn("n_lines", F.expr("cast(coalesce(size(__at), 0) as bigint)"))
-        .withColumn("n_removed", F.expr("cast(coalesce(size(__gone), 0) as bigint)"))
-        .withColumn(text, F.expr(f"case when __gone is null then `{text}` when n_removed = n_lines then '' else array_join(transform({kept}, i -> __lines[i]), '\n') end"))
-        .select(*docs.columns, "n_lines", "n_removed")
-    )
+    # repeated rows bring a place several times: what counts is whether a later place exists
+    place = F.struct("key", "version", "pos")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "b", "first")
+    later = windows.join(first, ["a", "b"]).filter("struct(key, version, pos) > first").select("key", "version", "pos")
+    covered = later.groupBy("key", "version").agg(F.expr(f"array_distinct(flatten(transform(collect_set(pos), p -> sequence(p, p + {width - 1}))))").alias("gone"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    whole_rows = docs.select(F.struct(F.lit(0), *others).alias("doc"), name.alias("key"), F.xxhash64(whole).alias("version"), whole.alias("doc_text"))
+    joined = whole_rows.join(covered, ["key", "version"], "left").select("doc", "doc_text", "gone", F.expr(f"transform({lines}, p -> p.i)").alias("at"), F.split("doc_text", "\n", -1).alias("lines"))
+    # positions among the lines that count -> positions among all; array_except keeps order
+    kept = "array_except(sequence(0, size(lines) - 1), transform(gone, g -> at[g]))"
+    n_lines, n_removed = F.coalesce(F.size("at"), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    left = F.expr(f"case when gone is null then doc_text when size(gone) = size(at) then '' else array_join(transform({kept}, i -> lines[i]), '\n') end")
+    return joined.select(*[left.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
