@@ -19,19 +19,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir``; only where
-    that is unset (a local session, as in tests) a temporary folder takes its place."""
+    """The folder driver and executors share: ``spark.checkpoint.dir``. Only where that is
+    unset and the session is a local one (as in tests) a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """path as pyarrow names it, for workers that open files of the shared folder themselves.
+    ``spark.corpusflow.arrow.dir``, where set, is pyarrow's own name of the shared folder; else
+    Hadoop's names of object stores become pyarrow's."""
+    own = spark.conf.get("spark.corpusflow.arrow.dir", None)
+    if own:
+        return own.rstrip("/") + path.removeprefix(shared_dir(spark))
+    scheme, sep, rest = path.partition("://")
+    return {"s3a": "s3", "s3n": "s3", "gs": "gs", "wasbs": "abfss"}.get(scheme, scheme) + sep + rest
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     ship(spark)

@@ -10,16 +10,18 @@ a smaller key. Windows are judged on the input.
    than the number of documents with the anchor, so no repeated window is lost.
 2. A second pass keeps only windows whose cells all hold two or more, as segments: runs
    of neighbouring windows with one anchor. Their first and last window hash name the
-   whole segment.
+   whole segment; single windows are not written.
 3. Exact grouping, segments first: one that also starts in a document with a smaller
    key loses all its windows. For any window, the document with the least key has it in
    a segment that isn't resolved that way, so what is left need only be held against
    what is left: windows of unresolved segments, and only those whose anchor still is
-   in two documents, are grouped one by one.
+   in two documents, are grouped one by one. The anchors of these segments make a second
+   sketch, and a last pass over the texts hashes only the windows it lets through.
 
 The sketch has ``2**bits`` cells in two rows, by Catalyst's estimate of the input; it
-stays in the shared folder, is read by each worker and never comes to the driver.
-Windows are told apart by 96 bits.
+stays in the shared folder, is read by each worker and never comes to the driver. Names
+that hold a large share of all segments (a very common passage) are broadcast, 512 at
+most; the others shuffle. Windows are told apart by 96 bits.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 from . import common, words
 
 U = np.uint64
-ROWS, CHUNK_BITS, MOST_BITS, SEGMENT = 2, 20, 29, 48
+ROWS, CHUNK_BITS, MOST_BITS, SEGMENT, FREQUENT = 2, 20, 29, 48, 512
 _BASE, _BASE2 = U(0x9E6C63D0876A9A35), U(0xD1342543DE82EF95)
 
 
@@ -95,30 +97,20 @@ def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
     return words.mix(anchors + words.times(row + 1, _BASE2)) >> U(64 - bits)
 
 
-def sketch(texts: DataFrame, width: int, anchor: int, bits: int) -> str:
-    """The merged sketch's path: chunks of cells, a bit for each that holds two or more."""
-
-    def partial(batches):
-        held: list[np.ndarray] = []
+def _sparse(held: list[np.ndarray], bits: int):
+    """Cells of these anchors, a batch for each row of the sketch: a binary of cells for
+    each chunk, the top bit of a cell set if it was hit twice."""
+    anchors = np.concatenate(held)
+    for row in range(ROWS):
+        cells, counts = np.unique(_cells(anchors, row, bits), return_counts=True)
+        chunks = cells >> U(min(CHUNK_BITS, bits))
+        cuts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] + U(1)))
+        low = (cells & U((1 << CHUNK_BITS) - 1)).astype("<u4") | (np.minimum(counts, 2) == 2).astype("<u4") << np.uint32(31)
+        yield pa.RecordBatch.from_arrays([pa.array([row] * len(cuts), pa.int32()), pa.array(chunks[cuts].astype(np.int64)), pa.array([x.tobytes() for x in np.split(low, cuts[1:])] if len(cuts) else [], pa.binary())], ["row", "chunk", "cells"])
 
-        def flush():
-            anchors = np.concatenate(held)
-            held.clear()
-            for row in range(ROWS):
-                cells, counts = np.unique(_cells(anchors, row, bits), return_counts=True)
-                chunks = cells >> U(min(CHUNK_BITS, bits))
-                cuts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] + U(1)))
-                low = (cells & U((1 << CHUNK_BITS) - 1)).astype("<u4") | (np.minimum(counts, 2) == 2).astype("<u4") << np.uint32(31)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(cuts), pa.int32()), pa.array(chunks[cuts].astype(np.int64)), pa.array([x.tobytes() for x in np.split(low, cuts[1:])] if len(cuts) else [], pa.binary())], ["row", "chunk", "cells"])
 
-        for batch in batches:
-            for w in words.each(batch.column(1), lower=False):
-                _, doc, _, anchors = windows(w, width, anchor)
-                held.append(anchors[_starts(doc, anchors)])
-                if sum(map(len, held)) > 1 << 21:
-                    yield from flush()
-        if held:
-            yield from flush()
+def _merged(sparse: DataFrame, bits: int, least: int, name: str) -> str:
+    """The path of the merged sketch: chunks of cells, a bit for each that holds least or more."""
 
     def merge(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -130,13 +122,43 @@ def sketch(texts: DataFrame, width: int, anchor: int, bits: int) -> str:
                 total[at] = np.minimum(2, total[at] + 1 + (x >> np.uint32(31)))
         if sums:
             keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([np.packbits(sums[k] > 1).tobytes() for k in keys], pa.binary())], ["row", "chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([np.packbits(sums[k] >= least).tobytes() for k in keys], pa.binary())], ["row", "chunk", "bits"])
 
+    spark = sparse.sparkSession
     chunks = ROWS << max(0, bits - CHUNK_BITS)
-    path = common.scratch(texts.sparkSession, "sketch")
-    sparse = texts.mapInArrow(partial, "row int, chunk long, cells binary")
-    sparse.repartition(max(1, chunks // 16), "row", "chunk").mapInArrow(merge, "row int, chunk long, bits binary").write.parquet(path)
-    return path
+    path = common.scratch(spark, name)
+    tasks = max(1, chunks // 16, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sparse.repartition(tasks, "row", "chunk").mapInArrow(merge, "row int, chunk long, bits binary").write.parquet(path)
+    return common.arrow_uri(spark, path)
+
+
+def sketch(texts: DataFrame, width: int, anchor: int, bits: int) -> str:
+    """The merged sketch of all texts' anchors: a bit for each cell hit twice or more."""
+
+    def partial(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for w in words.each(batch.column(2), lower=False):
+                _, doc, _, anchors = windows(w, width, anchor)
+                held.append(anchors[_starts(doc, anchors)])
+                if sum(map(len, held)) > 1 << 21:
+                    yield from _sparse(held, bits)
+                    held.clear()
+        if held:
+            yield from _sparse(held, bits)
+
+    return _merged(texts.mapInArrow(partial, "row int, chunk long, cells binary"), bits, 2, "sketch")
+
+
+def _mark(anchors: DataFrame, bits: int) -> str:
+    """A sketch with the cells of these anchors, a long each, set."""
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _sparse([batch.column(0).to_numpy(zero_copy_only=False).view(U)], bits)
+
+    return _merged(anchors.mapInArrow(partial, "row int, chunk long, cells binary"), bits, 1, "marked")
 
 
 _SKETCHES: dict[str, np.ndarray] = {}
@@ -157,15 +179,17 @@ def _load(path: str, bits: int) -> np.ndarray:
     return _SKETCHES[path]
 
 
-def segments(texts: DataFrame, width: int, anchor: int, bits: int, path: str) -> DataFrame:
-    """Runs of windows that the sketch takes for repeated: key, anchor, a name of two
-    longs, first word, number of windows, and the hashes of these."""
+def segments(texts: DataFrame, width: int, anchor: int, bits: int, path: str, hashes: bool) -> DataFrame:
+    """Runs of windows that the sketch takes for repeated: key, version, anchor, first word
+    and number of windows; and with hashes those of the windows, else a name of two longs
+    for the whole run."""
+    heads, tails = ["key", "version", "anchor", "pos", "n"], ["w", "v"] if hashes else ["name", "name2"]
 
     def run(batches):
         repeated = _load(path, bits)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for w in words.each(batch.column(1), lower=False):
+            keys, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for w in words.each(batch.column(2), lower=False):
                 at, doc, whole, anchors = windows(w, width, anchor)
                 if not len(at):
                     continue
@@ -184,40 +208,55 @@ def segments(texts: DataFrame, width: int, anchor: int, bits: int, path: str) ->
                 place = np.arange(len(at)) - begin[np.cumsum(new) - 1]
                 begin = np.flatnonzero(place % SEGMENT == 0)
                 end = np.append(begin[1:], len(at))
-                n = end - begin
-                name = words.mix(whole[begin] * _BASE + words.mix(whole[end - 1] + n.astype(U)))
-                name2 = words.mix(second[begin] + (second[end - 1] << U(32)) + n.astype(U) * _BASE2)
-                cuts = pa.array(np.append(begin, len(at)), pa.int32())
-                d = doc[begin]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[w.lo + d], pa.int64()), pa.array(anchors[begin].view(np.int64)), pa.array(name.view(np.int64)), pa.array(name2.view(np.int64)),
-                        pa.array((at[begin] - w.first[d]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.ListArray.from_arrays(cuts, pa.array(whole.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(second.astype(np.uint32).view(np.int32))),
-                    ],
-                    ["key", "anchor", "name", "name2", "pos", "n", "w", "v"],
-                )
-
-    return texts.mapInArrow(run, "key long, anchor long, name long, name2 long, pos int, n int, w array<long>, v array<int>")
+                n, d = end - begin, doc[begin]
+                if hashes:
+                    cuts = pa.array(np.append(begin, len(at)), pa.int32())
+                    more = [pa.ListArray.from_arrays(cuts, pa.array(whole.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(second.astype(np.uint32).view(np.int32)))]
+                else:
+                    name = words.mix(whole[begin] * _BASE + words.mix(whole[end - 1] + n.astype(U)))
+                    name2 = words.mix(second[begin] + (second[end - 1] << U(32)) + n.astype(U) * _BASE2)
+                    more = [pa.array(name.view(np.int64)), pa.array(name2.view(np.int64))]
+                columns = [keys[w.lo + d], versions[w.lo + d], anchors[begin].view(np.int64), (at[begin] - w.first[d]).astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *more], [*heads, *tails])
+
+    return texts.mapInArrow(run, "key long, version long, anchor long, pos int, n int, " + ("w array<long>, v array<int>" if hashes else "name long, name2 long"))
+
+
+def _least_keys(found: DataFrame, names: list[str]) -> DataFrame:
+    """found with resolved: whether its names also occur with a smaller key. Names of more
+    than one row in FREQUENT, FREQUENT of them at most, are broadcast; the others shuffle."""
+    least = common.materialise(found.groupBy(*names).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("rows")).filter("least < most").drop("most"), "least")
+    most = least.agg(F.max("rows")).first()[0]
+    total = found.count()
+    if not most or most * FREQUENT < total:
+        return found.join(least.drop("rows"), names, "left").withColumn("resolved", F.expr("coalesce(least < key, false)")).drop("least")
+    heavy = F.broadcast(least.filter(F.col("rows") * FREQUENT >= total).select(*names, F.col("least").alias("hot")))
+    split = found.join(heavy, names, "left")
+    hot = split.filter("hot is not null").withColumn("resolved", F.expr("hot < key")).drop("hot")
+    cold = split.filter("hot is null").drop("hot").join(least.drop("rows"), names, "left")
+    return hot.unionByName(cold.withColumn("resolved", F.expr("coalesce(least < key, false)")).drop("least"))
 
 
 def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 32, bits: int | None = None) -> DataFrame:
-    """(key, runs): for each document that loses words, an array of (pos, n): the windows
-    from word pos to pos + n - 1, each of width words, are removed."""
+    """(key, version, runs): for each document that loses words, an array of (pos, n): the
+    windows from word pos to pos + n - 1, each of width words, are removed. version: a hash
+    of the text, which tells rows of one key and different texts apart."""
     if bits is None:  # about 8 cells for each anchor, at 10 words each
         bits = min(MOST_BITS, max(16, (common.input_bytes(docs) // 8).bit_length()))
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key is not null")
-    found = common.materialise(segments(texts, width, anchor, bits, sketch(texts, width, anchor, bits)), "segments")
-    first = found.groupBy("name", "name2").agg(F.min("key").alias("least"))
-    judged = common.materialise(found.drop("w", "v").join(first, ["name", "name2"]).withColumn("resolved", F.expr("least < key")).drop("name", "name2", "least"), "judged")
+    whole = F.col(f"`{text}`").cast("string")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(whole).alias("version"), whole.alias("text")).filter("key is not null and text is not null")
+    found = common.materialise(segments(texts, width, anchor, bits, sketch(texts, width, anchor, bits), False), "segments")
+    judged = common.materialise(_least_keys(found, ["name", "name2"]).drop("name", "name2"), "judged")
+    common.discard(found)
     left = judged.filter("not resolved")
     shared = left.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("anchor")
-    left = left.join(shared, "anchor", "left_semi").select("key", "pos")
-    single = found.select("key", "pos", "w", "v").join(left, ["key", "pos"], "left_semi").selectExpr("key", "pos", "posexplode(arrays_zip(w, v)) as (i, h)").selectExpr("key", "pos + i as pos", "h.w as w", "h.v as v")
-    single = common.materialise(single, "windows")
-    least = single.groupBy("w", "v").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").drop("most")
-    later = single.join(least, ["w", "v"]).filter("least < key").selectExpr("key", "pos", "1 as n")
-    return judged.filter("resolved").select("key", "pos", "n").unionByName(later).groupBy("key").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    places = common.materialise(left.join(shared, "anchor", "left_semi").select("key", "version", "anchor", "pos", "n").distinct(), "places")
+    # the windows of these places: their anchors make a sketch of their own, so that a pass over the
+    # texts yields hashes for hardly more than them
+    few = common.materialise(segments(texts, width, anchor, bits, _mark(places.select("anchor").distinct(), bits), True), "windows")
+    single = few.join(places.select("key", "version", "pos"), ["key", "version", "pos"], "left_semi").selectExpr("key", "version", "pos", "posexplode(arrays_zip(w, v)) as (i, h)").selectExpr("key", "version", "pos + i as pos", "h.w as w", "h.v as v")
+    later = _least_keys(common.materialise(single, "single"), ["w", "v"]).filter("resolved").selectExpr("key", "version", "pos", "1 as n")
+    return judged.filter("resolved").select("key", "version", "pos", "n").unionByName(later).groupBy("key", "version").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, anchor: int = 32, bits: int | None = None) -> DataFrame:
@@ -226,13 +265,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
     Null texts stay null, with 0 words; texts of fewer than width words, and repeats
     inside one document, are kept. Rows with equal keys are one document to this rule: none is
-    removed for the other. A row with a null key removes nothing and loses nothing.
-    Columns named n_words or n_removed are replaced.
+    removed for the other, whether their texts are equal or not. A row with a null key removes
+    nothing and loses nothing. An empty table gives no rows. Columns named n_words or n_removed
+    are replaced; all others pass through, whatever their names.
     """
     docs = docs.drop("n_words", "n_removed")
-    gone = removals(docs, text, key, width, anchor, bits).withColumnsRenamed({"key": "__key", "runs": "__runs"})
-    joined = docs.join(gone, F.col(key) == F.col("__key"), "left").drop("__key")
-    at = docs.columns.index(text)
+    at, by = docs.columns.index(text), docs.columns.index(key)
+    gone = removals(docs, text, key, width, anchor, bits)
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumns({"key": F.col(f"c{by}").cast("long"), "version": F.xxhash64(F.col(f"c{at}").cast("string"))})
+    joined = flat.join(gone, ["key", "version"], "left").drop("key", "version")
 
     def run(batches):
         for batch in batches:
@@ -256,7 +297,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             out[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*batch.schema.names[:-1], "n_words", "n_removed"])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    flat_schema = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    out = joined.mapInArrow(run, T.StructType([*flat_schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return out.toDF(*docs.columns, "n_words", "n_removed")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+#: names of columns that an operator might add on the way
+HIDDEN = ("__at", "__gone", "__node", "__weight", "__tie", "__p0", "__key", "__runs", "version", "gone", "runs", "doc", "doc_text", "at", "lines", "c0", "c1", "tie", "weight")
 FULL = T.StructType(
     [T.StructField(n, t) for n, t in (
         ("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()),
         # extra columns whose names the operators use themselves
         ("key", T.StringType()), ("node", T.LongType()), ("n", T.LongType()), ("size", T.LongType()), ("pos", T.StringType()), ("shard", T.StringType()), ("slot", T.LongType()),
         ("digest", T.LongType()), ("lang_pred", T.StringType()), ("score", T.StringType()), ("n_words", T.StringType()), ("n_lines", T.StringType()), ("__lines", T.StringType()), ("draws", T.StringType()), ("target", T.StringType()),
+        *((n, T.StringType()) for n in HIDDEN),
     )]
 )
 WORDS = {"en": "the of and in her that with was there thing".split(), "fr": "le de et dans elle que avec être là chose".split(), "de": "der von und in ihr dass mit war dort ding".split()}
@@ -28,9 +31,10 @@ def rows() -> list[tuple]:
         body(2, 30, "fr"), body(3, 60, "de"), body(4, 20000), "x" * 70000, lines, "intro line\n" + lines + "\n\nlast", "a\na\na\na\na", "ß É Σ İ 中文 \U0001f600 <|endoftext|> é don't.",
         body(5, 60) + "\n" + body(6, 55), body(7, 10) + " " + body(6, 55) + " " + body(8, 3), "Released under the MIT License.", None,
     ]
-    out = [(i, t, ["en", "fr", None, "de"][i % 4] if i not in (12, 13) else ["fr", "de"][i - 12], [f"s{i % 3}", None][i % 5 == 4], len(t or ""), *[None] * 15) for i, t in enumerate(texts)]
-    out += [(100 + i, body(200 + i, 40, l), l, "hot", 1, "k", 1, 1, 1, "p", "s", 1, 1, "l", "s", "w", "l", "l", "d", "t") for i, l in enumerate(["en", "fr", "de"] * 20)]
-    return [*out, out[0], out[30]]
+    out = [(i, t, ["en", "fr", None, "de"][i % 4] if i not in (12, 13) else ["fr", "de"][i - 12], [f"s{i % 3}", None][i % 5 == 4], len(t or ""), *[None] * 15, *["mine"] * len(HIDDEN)) for i, t in enumerate(texts)]
+    out += [(100 + i, body(200 + i, 40, l), l, "hot", 1, "k", 1, 1, 1, "p", "s", 1, 1, "l", "s", "w", "l", "l", "d", "t", *["mine"] * len(HIDDEN)) for i, l in enumerate(["en", "fr", "de"] * 20)]
+    again = [(k, t, *out[k][2:]) for k, t in ((0, lines + "\nown"), (4, body(6, 55) + " tail"), (17, lines + "\nother"), (17, base), (20, None), (21, ""))]
+    return [*out, out[0], out[30], out[17], *again]
 
 
 @pytest.fixture(scope="session")

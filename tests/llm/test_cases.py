@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -239,35 +240,47 @@ def test_signatures_meet():
                 assert len(np.intersect1d(ngram_join.signatures(x), ngram_join.signatures(y)))
 
 
+def version(t):
+    """The hash that tells texts of one key apart."""
+    return np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42))) if t is not None else np.int64(42)
+
+
 def windows_removed(docs, width=3):
-    first, places = {}, {}
-    for k, t in sorted(((k, t) for k, t in docs if k is not None), key=lambda x: x[0]):
-        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] if t is not None else []
-        places[k] = lines
+    """(lines that count, places of removed ones) of each named (key, text)."""
+    first, places, out = {}, {}, {}
+    for k, t in sorted({(k, t) for k, t in docs if k is not None}, key=lambda x: (x[0], version(x[1]))):
+        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+        places[k, t] = lines
         for p in range(len(lines) - width + 1):
-            first.setdefault(tuple(x for _, x in lines[p : p + width]), (k, p))
-    out = {}
-    for k, lines in places.items():
+            first.setdefault(tuple(x for _, x in lines[p : p + width]), (k, t, p))
+    for (k, t), lines in places.items():
         gone = set()
         for p in range(len(lines) - width + 1):
-            if first[tuple(x for _, x in lines[p : p + width])] != (k, p):
+            if first[tuple(x for _, x in lines[p : p + width])] != (k, t, p):
                 gone.update(i for i, _ in lines[p : p + width])
-        out[k] = (len(lines), gone)
+        out[k, t] = (len(lines), gone)
     return out
 
 
+def untouched(df, found, changed):
+    """All columns but those in changed are as they were, row by row."""
+    names = [c for c in df.columns if c not in changed]
+    assert set(df.columns) <= set(found[0]) if found else True
+    assert Counter(tuple(r[c] for c in names) for r in found) == Counter(tuple(r[c] for c in names) for r in got(df))
+
+
 def test_line_dedup(odd, nulls, none):
-    for df in (odd.dropDuplicates(["doc_id"]), nulls):
+    for df in (odd, nulls):
         docs = docs_of(df)
-        want = windows_removed(docs)
-        texts = dict(docs)
-        for r in got(line_dedup.line_dedup(df)):
-            if r["doc_id"] is not None:
-                n, gone = want[r["doc_id"]]
-                t = texts[r["doc_id"]]
-                kept = None if t is None else "" if gone and len(gone) == n else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-                assert (r["n_lines"], r["n_removed"], r["text"]) == (n, len(gone), kept)
-    assert len(got(line_dedup.line_dedup(odd))) == odd.count() and got(line_dedup.line_dedup(none)) == []
+        gone, want = windows_removed(docs), Counter()
+        for k, t in docs:
+            n, places = gone[k, t] if k is not None else (sum(1 for x in (t or "").split("\n") if WORD.search(x)), ())
+            left = None if t is None else "" if places and len(places) == n else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in places)
+            want[k, n, len(places), left] += 1
+        found = got(line_dedup.line_dedup(df))
+        assert Counter((r["doc_id"], int(r["n_lines"]), r["n_removed"], r["text"]) for r in found) == want
+        untouched(df, found, {"text", "n_lines"})
+    assert got(line_dedup.line_dedup(none)) == []
 
 
 def test_line_dedup_with_an_unnamed_row(spark):
@@ -332,32 +345,33 @@ def test_languages_past_the_table_are_told_apart():
 
 
 def substring_brute(docs, width):
-    first = {}
-    words = {}
-    for k, t in sorted(((k, t) for k, t in docs if k is not None), key=lambda x: x[0]):
-        words[k] = w = WORD.findall(t or "")
+    """(words, removed ones, what is left) of each named row."""
+    first, out = {}, {}
+    for k, t in docs:
+        w = WORD.findall(t or "")
         for i in range(len(w) - width + 1):
-            first.setdefault(tuple(w[i : i + width]), k)
-    out = {}
-    for k, w in words.items():
-        gone = set()
+            if k is not None:
+                g = tuple(w[i : i + width])
+                first[g] = min(k, first.get(g, k))
+    for k, t in docs:
+        w, gone = WORD.findall(t or ""), set()
         for i in range(len(w) - width + 1):
-            if first[tuple(w[i : i + width])] < k:
+            if k is not None and first[tuple(w[i : i + width])] < k:
                 gone.update(range(i, i + width))
-        out[k] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+        out[k, t] = (len(w), len(gone), None if t is None else " ".join(x for i, x in enumerate(w) if i not in gone))
     return out
 
 
-@pytest.mark.parametrize(("width", "anchor"), [(50, 32), (12, 5)])
-def test_substring_dedup(odd, nulls, none, width, anchor):
-    for df in (odd.dropDuplicates(["doc_id"]), nulls):
+@pytest.mark.parametrize(("width", "anchor", "frequent"), [(50, 32, 512), (12, 5, 512), (12, 5, 10**9)])
+def test_substring_dedup(odd, nulls, none, monkeypatch, width, anchor, frequent):
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+    for df in (odd, nulls):
         docs = docs_of(df)
         want = substring_brute(docs, width)
-        for r in got(substring_dedup.substring_dedup(df, width=width, anchor=anchor, bits=16)):
-            if r["doc_id"] is not None:
-                n, gone, kept = want[r["doc_id"]]
-                assert (r["n_words"], r["n_removed"], r["text"]) == (n, gone, None if dict(docs)[r["doc_id"]] is None else kept)
-    assert len(got(substring_dedup.substring_dedup(odd))) == odd.count() and got(substring_dedup.substring_dedup(none)) == []
+        found = got(substring_dedup.substring_dedup(df, width=width, anchor=anchor, bits=16))
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in found) == Counter((k, *want[k, t]) for k, t in docs)
+        untouched(df, found, {"text", "n_words"})
+    assert got(substring_dedup.substring_dedup(none)) == []
 
 
 def test_mixing(odd, nulls, none, spark):
