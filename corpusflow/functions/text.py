@@ -122,13 +122,23 @@ def normalize_email(c: Column) -> Column:
 
 
 def derive_name(local: Column) -> Column:
-    """jane.doe42 -> Jane Doe."""
-    parts = F.split(F.regexp_replace(local, r"\d+$", ""), r"[._\-+]+")
-    return F.array_join(F.transform(F.filter(parts, lambda x: x != ""), F.initcap), " ")
+    """jane.doe42 -> Jane Doe; where nothing is left of it, the local part as it is."""
+    return F.array_join(F.transform(_name_parts(local), F.initcap), " ")
 
 
-def person_slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"\s+", "-"), "[^A-Za-z0-9-]", "")
+def _name_parts(local: Column) -> Column:
+    parts = F.filter(F.split(F.regexp_replace(local, r"\d+$", ""), r"[._\-+]+"), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(local))
+
+
+def person_slug(local: Column) -> Column:
+    """jane.doe42 -> jane-doe."""
+    return F.regexp_replace(F.lower(F.array_join(_name_parts(local), "-")), "[^a-z0-9-]", "")
+
+
+def person_file(slug: Column) -> Column:
+    """jane-doe -> Jane-Doe, the name of a person's file."""
+    return F.array_join(F.transform(F.filter(F.split(slug, "-"), lambda x: x != ""), F.initcap), "-")
 
 
 def company_short(domain: Column) -> Column:
@@ -150,11 +160,11 @@ SECRETS = (
 
 
 def redact(c: Column, patterns: Iterable[tuple[str, str]] = SECRETS) -> Column:
-    """struct(text, n): secrets replaced one pattern after another; n patterns that fired."""
+    """struct(text, n): secrets replaced one pattern after another; n patterns that changed it."""
     n = F.lit(0)
     for pattern, to in patterns:
-        n = n + F.when(c.rlike(pattern), 1).otherwise(0)
-        c = F.regexp_replace(c, pattern, to)
+        was, c = c, F.regexp_replace(c, pattern, to)
+        n = n + F.when(c != was, 1).otherwise(0)
     return F.struct(c.alias("text"), n.cast("long").alias("n"))
 
 
@@ -165,9 +175,9 @@ def truncate(c: Column, n: int = 200) -> Column:
 
 
 def excerpt(body: Column, n: int) -> Column:
-    """Without first-level headings, white space as one blank; n characters and an ellipsis."""
-    c = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^# .*$", ""), r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n)), F.lit("…"))).otherwise(c)
+    """Without the first first-level heading, white space as one blank; n characters and an ellipsis."""
+    c = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?sm)\A(.*?)^#\s+[^\n]+$", "$1"), r"[\x20\x09-\x0D]+", " "))
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
 def yaml_str(c: Column) -> Column:
@@ -228,6 +238,63 @@ def contains_terms(c: Column, terms: Iterable[str]) -> Column:
     return c.rlike(r"(?iU)\b(?:" + "|".join(words) + r")\b") if words else F.lit(False)
 
 
+def term_window(title_: Column, body: Column, first: int) -> Column:
+    """What terms are looked for in: the title and the first characters of the body."""
+    return F.concat(F.coalesce(title_, F.lit("")), F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, first))
+
+
+def clip(c: Column, n: int) -> Column:
+    """At most n characters, the last one an ellipsis; line feeds stay."""
+    c = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
+
+
+def book_slug(c: Column) -> Column:
+    """ASCII letters and digits, runs of anything else as one hyphen."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def _fenced_lines(body: Column) -> Column:
+    """Lines with whether they stand in a code fence or are one: array<struct<x, fenced>>."""
+    lines = F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n")
+    mark = F.transform(lines, lambda x: F.startswith(F.ltrim(x), F.lit("```")).cast("int"))
+    return F.transform(lines, lambda x, i: F.struct(x.alias("x"), ((F.aggregate(F.slice(mark, F.lit(1), i), F.lit(0), lambda a, b: a + b) % 2 == 1) | (mark[i] == 1)).alias("fenced")))
+
+
+def spine(body: Column) -> Column:
+    """Headings deeper by as many levels as make the shallowest the third, six at most, outside
+    code fences; a body without headings above the third stays."""
+    lines = _fenced_lines(body)
+    level = lambda x: F.when(~x["fenced"] & x["x"].rlike(r"^#{1,6}\s+"), F.length(F.regexp_extract(x["x"], "^(#+)", 1)))
+    shift = F.lit(3) - F.array_min(F.transform(lines, level))
+    put = F.transform(lines, lambda x: F.when(level(x).isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), level(x) + shift)), F.lit(" "), F.trim(F.regexp_replace(x["x"], r"^#+\s+", "")))).otherwise(x["x"]))
+    return strip(F.when(shift > 0, F.array_join(put, "\n")).otherwise(body))
+
+
+def next_steps(body: Column) -> Column:
+    """The number of bullets below a heading (or a bold line) that reads next steps or action
+    items, up to the next heading of its level, outside code fences."""
+    bold = r"^\*\*(.+?)\*\*:?\s*$"
+    state = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("level"))
+
+    def step(a: Column, x: Column) -> Column:
+        line = x["x"]
+        head = line.rlike(r"^#{1,6}\s+")
+        at = F.when(head, F.length(F.regexp_extract(line, "^(#+)", 1))).when(F.trim(line).rlike(bold), 7)
+        title = F.when(head, F.regexp_replace(line, r"^#+\s+", "")).otherwise(F.regexp_extract(F.trim(line), bold, 1))
+        level = F.when(at.isNull(), a["level"]).when(title.rlike("(?i)next steps|action items"), at).when(at > a["level"], a["level"])
+        hit = at.isNull() & a["level"].isNotNull() & line.rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S")
+        return F.when(x["fenced"], a).otherwise(F.struct((a["n"] + F.when(hit, 1).otherwise(0)).alias("n"), level.alias("level")))
+
+    return F.aggregate(_fenced_lines(body), state, step, lambda a: a["n"])
+
+
+def month_line(c: Column) -> Column:
+    """A line such as March 4, 2024 or Mar 4, 2024 as a date; else null."""
+    x = F.regexp_replace(F.regexp_replace(strip(c), r"^[A-Za-z]+day,\s*", ""), r"^([A-Za-z]{3})[a-z]*\.?", "$1")
+    return F.try_to_timestamp(x, F.lit("MMM d, yyyy")).cast("date")
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

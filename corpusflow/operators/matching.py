@@ -24,8 +24,8 @@ def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "
     return best.select("id", "source", F.col("m.match").alias("match"), F.col("m.gap").alias("gap"))
 
 
-def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
-    """left (id, start, ordinal), right (id, start) -> (left_id, right_id): in order of the
+def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long") -> DataFrame:
+    """left (id, start, ordinal), right (id, start), ids of ``kind`` -> (left_id, right_id): in order of the
     left rows each takes the nearest right row within so many seconds that is still free.
 
     Rows further apart than that never meet, so time is cut into islands at such gaps and
@@ -56,7 +56,7 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
 
     # islands never meet, so a group may hold many of them
     grouped = rows.join(parts.select("span", "part", "island"), ["span", "part"]).select(F.floor(F.col("island") / 256).alias("g"), "side", "id", "t", "ordinal")
-    return grouped.groupBy("g").applyInPandas(run, "left_id long, right_id long")
+    return grouped.groupBy("g").applyInPandas(run, f"left_id {kind}, right_id {kind}")
 
 
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:

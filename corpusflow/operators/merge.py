@@ -57,10 +57,10 @@ def counters(plan: DataFrame, column: str = "action") -> DataFrame:
 # --- cursors -------------------------------------------------------------------------
 
 
-def high_water(observed: DataFrame, column: str, overlap_hours: int = 24) -> DataFrame:
-    """(cursor): the newest time that was seen, less the overlap; null without rows, so a
+def high_water(observed: DataFrame, column: str, overlap_hours: int = 24, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, cursor): the newest time that was seen, less the overlap; null without rows, so a
     run that finds nothing leaves a cursor alone."""
-    return observed.agg((F.max(column) - F.expr(f"INTERVAL {overlap_hours} HOURS")).alias("cursor"))
+    return observed.groupBy(*by).agg((F.max(column) - F.expr(f"INTERVAL {overlap_hours} HOURS")).alias("cursor"))
 
 
 def since(rows: DataFrame, column: str, cursor: str | None, lookback_days: int, today: str, first_days: int = 30) -> DataFrame:

@@ -20,17 +20,19 @@ def tier(mentions: Column) -> Column:
 def extract(attendees: DataFrame) -> DataFrame:
     """attendees (email, date), a row for each mention -> (email, name, slug, domain,
     company, mention_count, last_seen, tier). A person named twice in one note counts twice."""
-    rows = attendees.withColumn("email", T.normalize_email(F.col("email"))).filter("email is not null")
     local = F.substring_index("email", "@", 1)
+    rows = attendees.withColumn("email", T.normalize_email(F.col("email"))).filter("email is not null")
     rows = rows.filter(~local.isin(*ROLES)).groupBy("email").agg(F.count(F.lit(1)).alias("mention_count"), F.max("date").alias("last_seen"))
-    rows = rows.withColumn("name", T.derive_name(F.substring_index("email", "@", 1))).withColumn("domain", F.substring_index("email", "@", -1))
-    return rows.withColumn("slug", T.person_slug(F.col("name"))).withColumn("company", T.company_short(F.col("domain"))).withColumn("tier", tier(F.col("mention_count")))
+    rows = rows.withColumn("name", T.derive_name(local)).withColumn("domain", F.regexp_extract("email", "^[^@]*@(.*)$", 1))
+    return rows.withColumn("slug", T.person_slug(local)).withColumn("company", T.company_short(F.col("domain"))).withColumn("tier", tier(F.col("mention_count")))
 
 
 def resolve_collisions(people: DataFrame) -> DataFrame:
-    """people with file: the slug, and the company behind it where several people share one."""
-    n = F.count(F.lit(1)).over(W.partitionBy("slug"))
-    return people.withColumn("file", F.when(n > 1, F.concat_ws("-", "slug", F.initcap("company"))).otherwise(F.col("slug")))
+    """people with file: the slug with capitals, and the company behind it where several people
+    share one."""
+    file = T.person_file(F.col("slug"))
+    n = F.count(F.lit(1)).over(W.partitionBy(file))
+    return people.withColumn("file", F.when(n > 1, F.concat_ws("-", file, F.nullif(F.initcap("company"), F.lit("")))).otherwise(file))
 
 
 def keep_tier(people: DataFrame, existing: DataFrame) -> DataFrame:
@@ -49,14 +51,14 @@ def link_participants(messages: DataFrame, people: DataFrame) -> DataFrame:
 
 def prefix_match(companies: DataFrame, entities: DataFrame, least: int = 4) -> DataFrame:
     """companies (company), entities (entity, key, aliases) -> (company, entity): an alias,
-    else an equal key, else one being the other's prefix with both of ``least`` letters;
-    ties go to the least entity.
+    else an equal key, else one being the other's prefix, both with ``least`` letters or more;
+    ties go to the least entity. All are compared by their letters a-z and digits alone.
 
     The prefix join is an equi join on the first ``least`` letters, not a nested loop."""
-    c = companies.select("company", T.squash(F.col("company")).alias("ckey")).distinct()
-    names = entities.select("entity", T.squash(F.col("key")).alias("ekey"), F.lit(2).alias("rank")).union(entities.select("entity", F.explode("aliases"), F.lit(1)).select("entity", T.squash(F.col("col")), F.lit(1)))
-    exact = c.join(names, F.col("ckey") == F.col("ekey")).select("company", "entity", "rank")
+    c = companies.select("company", T.fuzzy_key(F.col("company")).alias("ckey")).distinct()
+    names = entities.select("entity", T.fuzzy_key(F.col("key")).alias("ekey"), F.lit(2).alias("rank")).union(entities.select("entity", F.explode("aliases"), F.lit(1)).select("entity", T.fuzzy_key(F.col("col")), F.lit(1)))
     long = (F.length("ckey") >= least) & (F.length("ekey") >= least)
+    exact = c.join(names, F.col("ckey") == F.col("ekey")).filter((F.col("rank") == 1) | long).select("company", "entity", "rank")
     near = F.startswith("ckey", F.col("ekey")) | F.startswith("ekey", F.col("ckey"))
     prefix = c.join(names.filter("rank = 2"), (F.substring("ckey", 1, least) == F.substring("ekey", 1, least)) & long & near).select("company", "entity", F.lit(3).alias("rank"))
     best = exact.union(prefix).groupBy("company").agg(F.min(F.struct("rank", "entity")).alias("m"))
@@ -79,7 +81,7 @@ def entity_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 def discover_orgs(people: DataFrame, clients: DataFrame) -> DataFrame:
     """(canonical, people, name): companies of people that match no client, spellings merged."""
-    rows = people.filter("email is not null and company is not null").select("company", T.squash(F.col("company")).alias("canonical"))
+    rows = people.filter("email is not null and company is not null").select("company", T.fuzzy_key(F.col("company")).alias("canonical")).filter("canonical <> ''")
     grouped = rows.groupBy("canonical").agg(F.count(F.lit(1)).alias("people"), F.min("company").alias("name"))
     known = prefix_match(grouped.select(F.col("name").alias("company")), clients).select(F.col("company").alias("name"))
     return grouped.join(known, "name", "left_anti").select("canonical", "people", T.title_case_company(F.col("name")).alias("name"))

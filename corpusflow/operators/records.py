@@ -14,13 +14,14 @@ def finished(rows: DataFrame, now: str, seconds: int = 300, mtime: str = "mtime"
     return rows.filter(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(mtime) >= seconds)
 
 
-def transcript_policy(policy: Column, has_transcript: Column, has_content: Column) -> Column:
-    """What becomes of a transcript: none, pointer, full or file. only-content keeps a pointer
-    where the record has content of its own, and the full text where it has none."""
-    return (
-        F.when(~has_transcript, "none").when(policy == "only-content", F.when(has_content, "pointer").otherwise("full"))
-        .when(policy.isin("pointer", "full", "file"), policy).otherwise("pointer")
+def transcript_policy(kind: Column, has_content: Column, include: bool, has_segments: Column) -> Column:
+    """struct(policy, included): what becomes of a transcript. A file's own is kept; a record with
+    content of its own points to it, unless transcripts are asked for; one without has nothing else."""
+    included = (
+        F.when(kind == "file", has_segments).when(has_content, has_segments & F.lit(include)).otherwise(has_segments)
     )
+    policy = F.when(kind == "file", "file").when(has_content & included, "full").when(has_content, "pointer").otherwise("only-content")
+    return F.struct(policy.alias("policy"), included.alias("included"))
 
 
 def names_of(ids: Column, names: Column) -> Column:
@@ -36,22 +37,23 @@ def speaker_names(segments: DataFrame, speakers: DataFrame, unknown: str = "Unkn
     return segments.join(best, ["id", "speaker_id"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(unknown)))
 
 
-def label_route(labels: Column, routes: Column) -> Column:
-    """The route of the first label that has one: by its whole path, else by its last part."""
-    whole = F.transform(labels, lambda x: F.try_element_at(routes, F.lower(x)))
-    last = F.transform(labels, lambda x: F.try_element_at(routes, F.lower(F.element_at(F.split(x, "/"), -1))))
-    filled = lambda c: F.try_element_at(F.filter(c, lambda x: x.isNotNull()), F.lit(1))
-    return F.coalesce(filled(whole), filled(last))
-
-
-def route_mail(mails: DataFrame, domains: DataFrame, labels: DataFrame, default: str = "_unrouted") -> DataFrame:
-    """mails (id, sender, labels) -> (id, route): by the sender's domain, else by label, else
-    default. domains (domain, route) and labels (label, route) are configuration: broadcast."""
-    by_domain = F.broadcast(domains.select(F.lower("domain").alias("__d"), F.col("route").alias("__r")))
-    table = F.broadcast(labels.agg(F.map_from_entries(F.collect_list(F.struct(F.lower("label"), "route"))).alias("__m")))
-    domain = F.substring_index(T.extract_email(F.col("sender")), "@", -1)
-    rows = mails.withColumn("__d", domain).join(by_domain, "__d", "left").join(table)
-    return rows.select("id", F.coalesce("__r", label_route(F.col("labels"), F.col("__m")), F.lit(default)).alias("route"))
+def route_mail(mails: DataFrame, domains: DataFrame, labels: DataFrame, default: str = "_unrouted", names: DataFrame | None = None) -> DataFrame:
+    """mails (id, sender, labels: array of names), domains (domain, route), labels (ordinal,
+    label, route) -> (id, route, tier): by the sender's domain, else by the first of the label routes
+    that any of the mail's labels has, else default. Labels are equal if their last parts are, in
+    any case, so a nested label meets a flat route and the other way round. names (id, name): of
+    labels that are ids; one without a name stays."""
+    last = lambda c: F.element_at(F.split(F.lower(F.trim(c)), "/"), -1)
+    sender = mails.select("id", F.regexp_extract(T.extract_email(F.col("sender")), "@(.*)$", 1).alias("domain"))
+    by_domain = sender.join(domains.select(F.lower("domain").alias("domain"), "route"), "domain").select("id", F.struct(F.lit(1).alias("tier"), F.lit(0).alias("ordinal"), "route").alias("hit"))
+    named = mails.select("id", F.explode("labels").alias("label"))
+    if names is not None:
+        named = named.join(names.select(F.col("id").alias("label"), F.col("name").alias("__name")), "label", "left").select("id", F.coalesce("__name", "label").alias("label"))
+    named = named.select("id", last(F.col("label")).alias("last"))
+    by_label = named.join(labels.select(last(F.col("label")).alias("last"), F.col("ordinal").cast("int").alias("ordinal"), "route"), "last").select("id", F.struct(F.lit(2).alias("tier"), "ordinal", "route").alias("hit"))
+    best = by_domain.union(by_label).groupBy("id").agg(F.min("hit").alias("hit"))
+    tier = F.when(F.col("hit").isNull(), "unrouted").when(F.col("hit.tier") == 1, "domain").otherwise("label")
+    return mails.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("hit.route", F.lit(default)).alias("route"), tier.alias("tier"))
 
 
 def path_mentions(notes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def infer_target(slug: Column, areas: Column, projects: Column) -> Column:
 
 def pick_body(edited: Column, formatted: Column, raw: Column) -> Column:
     """struct(body, source): the first filled of three."""
-    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
     source = F.when(filled(edited), "edited").when(filled(formatted), "formatted").when(filled(raw), "asr")
     return F.struct(T.first_filled(edited, formatted, raw).alias("body"), source.alias("source"))
 
@@ -133,7 +135,7 @@ def calendar(local: DataFrame, raw: DataFrame, day: str, zone: str) -> DataFrame
 
 
 def attention(candidates: DataFrame, least: int = 3) -> DataFrame:
-    """candidates (item, level, rank), level 0 the most pressing: all of level 0, and as many
-    of the next levels as make ``least``."""
-    order = W.orderBy("level", "rank", "item")  # a week's candidates, a few hundred
-    return candidates.withColumn("n", F.row_number().over(order)).filter((F.col("level") == 0) | (F.col("n") <= least))
+    """candidates (item, level, rank), level 0 the most pressing: all of level 0, and as many of
+    the next levels, in order, as make ``least``. A filter and a top-k, no sort of all rows."""
+    first = candidates.orderBy("level", "rank", "item").limit(least)
+    return candidates.filter("level = 0").unionByName(first.filter("level <> 0"))

@@ -45,13 +45,17 @@ def ordered_distinct(rows: DataFrame, key: str, order: str, value: str) -> DataF
 
 
 def sessions(events: DataFrame, files: int = 30) -> DataFrame:
-    """events (session, line, ts, role, text, file) -> one row a session: started, ended,
-    minutes, turns, first prompt, last answer, files touched (distinct, sorted, capped)."""
-    user, bot = F.col("role") == "user", F.col("role") == "assistant"
+    """events (session, line, ts, role, text, file) -> one row a session: started and ended (the
+    first and the last time by line), whole minutes between them, turns, the first prompt that
+    isn't empty (of the role user, or last-prompt), last answer, files touched (distinct, sorted,
+    capped). Sessions of neither turns nor a prompt are left out."""
+    bot, turn = F.col("role") == "assistant", F.col("role").isin("user", "assistant")
+    prompt = F.col("role").isin("user", "last-prompt") & (F.coalesce("text", F.lit("")) != "")
     got = events.groupBy("session").agg(
-        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count_if(user | bot).alias("turns"),
-        F.min_by("text", F.when(user, F.col("line"))).alias("first_prompt"), F.max_by("text", F.when(bot, F.col("line"))).alias("last_answer"),
+        F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("line"))).alias("started"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line"))).alias("ended"), F.count_if(turn).alias("turns"),
+        F.min_by("text", F.when(prompt, F.col("line"))).alias("first_prompt"), F.max_by("text", F.when(bot, F.col("line"))).alias("last_answer"),
         F.slice(F.array_sort(F.collect_set("file")), 1, files).alias("files"),
     )
-    minutes = F.round((F.unix_timestamp("ended") - F.unix_timestamp("started")) / 60).cast("long")
+    got = got.filter("turns > 0 or first_prompt is not null")
+    minutes = F.coalesce(((F.unix_millis("ended") - F.unix_millis("started")) / 60000).cast("long"), F.lit(0).cast("long"))
     return got.withColumn("minutes", minutes).withColumn("first_prompt", T.truncate(T.redact(F.col("first_prompt"))["text"])).withColumn("last_answer", T.truncate(T.redact(F.col("last_answer"))["text"]))

@@ -33,18 +33,23 @@ def evidence(notes: DataFrame, admin: tuple[str, ...] = ()) -> DataFrame:
 
 
 def worklist(notes: DataFrame, pages: DataFrame, admin: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """Threads without a synthesis page (pages: slug), spellings merged: (slug, evidence,
-    latest, status, variants). The slug is the longest spelling, then the first."""
-    tags = notes.select("rel", "note_date", F.explode(F.array_distinct(T.extract(F.col("text"), T.THREAD_TAG))).alias("slug")).withColumn("key", T.fuzzy_key(F.col("slug")))
+    """Threads without a synthesis page (pages: slug), spellings merged: (slug, evidence, sources,
+    latest, status, dup_of, variants). The slug is the longest spelling, then the first; dup_of is
+    the first page that shares a token with it."""
+    tags = notes.select("rel", "source", "note_date", F.explode(F.array_distinct(T.extract(F.col("text"), T.THREAD_TAG))).alias("slug")).withColumn("key", T.fuzzy_key(F.col("slug")))
     keep = F.lit(True)
     for a in admin:
         keep &= ~F.startswith("rel", F.lit(a))
     got = tags.groupBy("key").agg(
         F.min(F.struct((-F.length("slug")).alias("n"), "slug"))["slug"].alias("slug"), F.array_sort(F.collect_set("slug")).alias("all"),
         F.countDistinct(F.when(keep, F.col("rel"))).alias("evidence"), F.max(F.when(keep, F.col("note_date"))).alias("latest"),
+        F.array_sort(F.collect_set(F.when(keep, F.col("source")))).alias("sources"),
     )
     done = pages.select(T.fuzzy_key(F.col("slug")).alias("key")).distinct()
-    return got.join(done, "key", "left_anti").select("slug", "evidence", "latest", F.when(F.col("evidence") >= least, "missing").otherwise("thin").alias("status"), F.array_remove("all", F.col("slug")).alias("variants"))
+    words = lambda c: F.explode(T.tokens(F.col(c))).alias("token")
+    shared = got.select("slug", words("slug")).join(pages.select(F.col("slug").alias("page"), words("slug")), "token").groupBy("slug").agg(F.min("page").alias("dup_of"))
+    open_ = got.join(done, "key", "left_anti").join(shared, "slug", "left")
+    return open_.select("slug", "evidence", "sources", "latest", "dup_of", F.when(F.col("evidence") >= least, "missing").otherwise("thin").alias("status"), F.array_remove("all", F.col("slug")).alias("variants"))
 
 
 def top_evidence(items: DataFrame, per_source: int = 5, total: int = 20) -> DataFrame:
@@ -107,8 +112,10 @@ def guard(slugs: DataFrame, suppress: DataFrame, entities: DataFrame, people: Da
 
 
 def rollout(auto: DataFrame, cap: int = 8, order: str = "rank") -> DataFrame:
-    """auto with wave: now for the first cap rows in order, later for the rest."""
-    return auto.withColumn("wave", F.when(F.row_number().over(W.orderBy(order)) <= cap, "now").otherwise("later"))
+    """auto (slug, ...) with wave: now for the first cap rows in order, later for the rest. The
+    first ones are a top-k of cap rows, which is broadcast."""
+    first = auto.orderBy(order, "slug").limit(cap).select("slug", F.lit(True).alias("__now"))
+    return auto.join(F.broadcast(first), "slug", "left").withColumn("wave", F.when(F.col("__now"), "now").otherwise("later")).drop("__now")
 
 
 def activity(mentions: DataFrame, today: str, active_days: int = 7, stalled_days: int = 14, least: int = 2) -> DataFrame:

@@ -33,11 +33,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """The modules that register queries of their own."""
+    from . import capture, knowledge  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return {k: duck(v) for k, v in _SQL.items()}
 
 
@@ -209,10 +216,10 @@ def thread_evidence(spark, sf_dir):
 
 @query(f"""WITH {_TAGS}, k AS (SELECT regexp_replace(lower(slug), '[^a-z0-9]', '', 'g') AS key, * FROM g)
     SELECT arg_min(slug, lpad((1000 - length(slug))::VARCHAR, 4, '0') || slug) AS slug, count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') AS evidence, max(note_date) FILTER (rel NOT LIKE '40 - %') AS latest,
-    CASE WHEN count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') >= 3 THEN 'missing' ELSE 'thin' END AS status, count(DISTINCT slug) - 1 AS n_variants FROM k WHERE key <> 't3' GROUP BY key""")
+    CASE WHEN count(DISTINCT rel) FILTER (rel NOT LIKE '40 - %') >= 3 THEN 'missing' ELSE 'thin' END AS status, count(DISTINCT slug) - 1 AS n_variants, count(DISTINCT source) FILTER (rel NOT LIKE '40 - %') AS n_sources, NULL::VARCHAR AS dup_of FROM k WHERE key <> 't3' GROUP BY key""")
 def thread_worklist(spark, sf_dir):
-    pages = spark.createDataFrame([("T_3",)], "slug string")
-    return threads.worklist(view(spark, sf_dir, "v_notes"), pages, ("40 - ",)).withColumn("n_variants", F.size("variants").cast("long")).drop("variants")
+    pages = spark.createDataFrame([("T_3",), ("other-page",)], "slug string")
+    return threads.worklist(view(spark, sf_dir, "v_notes"), pages, ("40 - ",)).withColumn("n_variants", F.size("variants").cast("long")).withColumn("n_sources", F.size("sources").cast("long")).drop("variants", "sources")
 
 
 @query(f"""WITH {_TAGS}, a AS (SELECT slug, count(DISTINCT rel) FILTER (note_date >= DATE '2024-01-31' - 7) AS files, max(note_date) AS latest FROM g GROUP BY slug)
@@ -296,7 +303,7 @@ _PEOPLE = r"""p AS (SELECT lower(local_part || '@' || domain) AS email, count(*)
           regexp_replace(split_part(split_part(email, '@', 2), '.', 2), '[^a-z0-9]', '', 'g') AS company FROM q)"""
 
 
-@query(f"WITH {_PEOPLE} SELECT email, name, replace(name, ' ', '-') AS slug, company, mention_count, last_seen, CASE WHEN mention_count >= 8 THEN 1 WHEN mention_count >= 3 THEN 2 ELSE 3 END AS tier FROM n")
+@query(f"WITH {_PEOPLE} SELECT email, name, lower(replace(name, ' ', '-')) AS slug, company, mention_count, last_seen, CASE WHEN mention_count >= 8 THEN 1 WHEN mention_count >= 3 THEN 2 ELSE 3 END AS tier FROM n")
 def people_mentions(spark, sf_dir):
     return people.extract(_attendees(spark, sf_dir)).drop("domain")
 
@@ -329,14 +336,13 @@ def entity_mentions(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT DISTINCT lower(c_mktsegment) AS company FROM customer UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) || 'co' FROM part),
-    e AS (SELECT unnest(['Household Goods', 'AUTO', 'mach', 'red', 'Smallco', 'BLUECO']) AS key),
-    j AS (SELECT company, key, CASE WHEN company = replace(lower(key), ' ', '') THEN 2 ELSE 3 END AS rank FROM c, e WHERE company = replace(lower(key), ' ', '')
-          OR (length(company) >= 4 AND length(replace(key, ' ', '')) >= 4 AND (starts_with(company, replace(lower(key), ' ', '')) OR starts_with(replace(lower(key), ' ', ''), company))))
+    e AS (SELECT unnest(['Household Goods', 'AUTO', 'mach', 'red', 'Small-co, Inc.', 'BLUECO', 'tan']) AS key, unnest([2, 2, 2, 2, 2, 2, 1]) AS kind), k AS (SELECT company, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS a, key, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS b, kind FROM c, e),
+    j AS (SELECT company, key, CASE WHEN kind = 1 THEN 1 WHEN a = b THEN 2 ELSE 3 END AS rank FROM k WHERE kind = 1 AND a = 'redco' OR kind = 2 AND length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a)))
     SELECT company, arg_min(key, rank || key) AS entity FROM j GROUP BY company""")
 def org_prefix_match(spark, sf_dir):
     names = view(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("company")).union(view(spark, sf_dir, "part").selectExpr("concat(split(lower(p_name), ' ')[0], 'co')"))
-    keys = ["Household Goods", "AUTO", "mach", "red", "Smallco", "BLUECO"]
-    entities = spark.createDataFrame([(k, k, []) for k in keys], "entity string, key string, aliases array<string>")
+    keys = ["Household Goods", "AUTO", "mach", "red", "Small-co, Inc.", "BLUECO"]
+    entities = spark.createDataFrame([(k, k, []) for k in keys] + [("tan", "tan", ["Red-Co"])], "entity string, key string, aliases array<string>")
     return people.prefix_match(names, entities)
 
 
@@ -393,9 +399,9 @@ def exact_then_substring_match(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS target FROM orders GROUP BY 1, 2 HAVING count(*) = 1)
-    SELECT c_custkey, cast(o_orderdate AS DATE) AS day, target FROM customer JOIN o ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1998-01-01'""")
+    SELECT c_custkey, cast(o_orderdate AS DATE) AS day, target FROM customer JOIN o ON c_custkey = o_custkey""")
 def exactly_one_link(spark, sf_dir):
-    orders = view(spark, sf_dir, "orders").filter("o_orderdate >= timestamp'1998-01-01'").selectExpr("o_custkey as c_custkey", "cast(o_orderdate as date) as day", "o_orderkey as target")
+    orders = view(spark, sf_dir, "orders").selectExpr("o_custkey as c_custkey", "cast(o_orderdate as date) as day", "o_orderkey as target")
     left = view(spark, sf_dir, "customer").select("c_custkey").join(orders.select("c_custkey", "day").distinct(), "c_custkey")
     return matching.exactly_one(left, orders, ["c_custkey", "day"])
 
@@ -436,13 +442,18 @@ def question_terms(spark, sf_dir):
 # --- sessions and segments -------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 7 MINUTE * turn AS ts FROM conversations)
-    SELECT conv_id AS session, min(ts) AS started, max(ts) AS ended, count(*) FILTER (role IN ('user', 'assistant')) AS turns, (7 * (max(turn) - min(turn)))::BIGINT AS minutes,
-    arg_min(text, turn) FILTER (role = 'user') AS p, arg_max(text, turn) FILTER (role = 'assistant') AS a FROM c GROUP BY conv_id""".replace("arg_min(text, turn) FILTER (role = 'user') AS p, arg_max(text, turn) FILTER (role = 'assistant') AS a", """
-    coalesce(CASE WHEN length(trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' '))) > 200 THEN substr(trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' ')), 1, 199) || '…' ELSE trim(replace(arg_min(text, turn) FILTER (role = 'user'), chr(10), ' ')) END, '') AS first_prompt"""))
+@query("""WITH c AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + INTERVAL 100 SECOND * turn AS ts, CASE WHEN conv_id % 7 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN conv_id % 3 = 0 AND turn <= 1 THEN '' ELSE text END AS text,
+        CASE WHEN turn % 2 = 0 THEN '/f' || turn % 5 END AS file FROM conversations),
+    g AS (SELECT conv_id AS session, min(ts) AS started, max(ts) AS ended, count(*) FILTER (role IN ('user', 'assistant')) AS turns, (100 * (max(turn) - min(turn)) // 60)::BIGINT AS minutes, trim(replace(arg_min(text, turn) FILTER (role = 'user' AND text <> ''), chr(10), ' ')) AS p,
+        trim(replace(arg_max(text, turn) FILTER (role = 'assistant'), chr(10), ' ')) AS a, coalesce(string_agg(DISTINCT file, ',' ORDER BY file), '') AS files FROM c GROUP BY conv_id)
+    SELECT session, started, ended, turns, minutes, files, coalesce(CASE WHEN length(p) > 200 THEN substr(p, 1, 199) || '…' ELSE p END, '') AS first_prompt, coalesce(CASE WHEN length(a) > 200 THEN substr(a, 1, 199) || '…' ELSE a END, '') AS last_answer
+    FROM g WHERE turns > 0 OR p IS NOT NULL""")
 def session_summary(spark, sf_dir):
-    events = view(spark, sf_dir, "conversations").selectExpr("conv_id as session", "turn as line", "timestamp'2024-01-01' + make_dt_interval(0, 0, cast(7 * turn as int)) as ts", "role", "text", "cast(null as string) as file")
-    return segments.sessions(events).select("session", "started", "ended", "turns", "minutes", "first_prompt")
+    events = view(spark, sf_dir, "conversations").selectExpr(
+        "conv_id as session", "turn as line", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, 100 * turn) as ts", "if(conv_id % 7 = 0, 'tool', role) as role",
+        "if(conv_id % 3 = 0 and turn <= 1, '', text) as text", "if(turn % 2 = 0, concat('/f', turn % 5), null) as file",
+    )
+    return segments.sessions(events).withColumn("files", F.array_join("files", ",")).select("session", "started", "ended", "turns", "minutes", "files", "first_prompt", "last_answer")
 
 
 @query("""WITH m AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM m)
@@ -509,18 +520,20 @@ def record_state_machine(spark, sf_dir):
 
 @query("SELECT event_type, max(ts) - INTERVAL 24 HOUR AS cursor FROM events GROUP BY 1")
 def cursor_high_water(spark, sf_dir):
-    events = view(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).alias("cursor"))
+    return merge.high_water(view(spark, sf_dir, "events"), "ts", by=("event_type",))
 
 
 # --- functions -------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, (regexp_matches(t, 'sk-[A-Za-z0-9]{20,}'))::INT + (regexp_matches(t, 'ghp_[A-Za-z0-9]{36}'))::INT + regexp_matches(t, '(?i)password\s*[=:]\s*\S+')::INT AS n,
-    sha1(regexp_replace(regexp_replace(regexp_replace(t, 'sk-[A-Za-z0-9]{20,}', 'sk-REDACTED', 'g'), 'ghp_[A-Za-z0-9]{36}', 'ghp_REDACTED', 'g'), '(?i)password\s*[=:]\s*\S+', 'password=REDACTED', 'g')) AS text
-    FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' sk-' || sha1(doc_id::VARCHAR) WHEN 1 THEN ' ghp_' || substr(sha1(doc_id::VARCHAR), 1, 36) || ' Password: x' || doc_id ELSE '' END AS t FROM documents)""")
+@query(r"""WITH a AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' sk-' || sha1(doc_id::VARCHAR) WHEN 1 THEN ' ghp_' || substr(sha1(doc_id::VARCHAR), 1, 36) || ' Password: x' || doc_id WHEN 2 THEN ' password=REDACTED' ELSE '' END AS t0 FROM documents),
+    b AS (SELECT *, regexp_replace(t0, 'sk-[A-Za-z0-9]{20,}', 'sk-REDACTED', 'g') AS t1 FROM a), c AS (SELECT *, regexp_replace(t1, 'ghp_[A-Za-z0-9]{36}', 'ghp_REDACTED', 'g') AS t2 FROM b),
+    d AS (SELECT *, regexp_replace(t2, 'AKIA[0-9A-Z]{16}', 'AKIA_REDACTED', 'g') AS t3 FROM c), e AS (SELECT *, regexp_replace(t3, 'xoxb-[A-Za-z0-9-]{30,}', 'xoxb-REDACTED', 'g') AS t4 FROM d),
+    f AS (SELECT *, regexp_replace(t4, 'Bearer [A-Za-z0-9._-]{30,}', 'Bearer REDACTED', 'g') AS t5 FROM e), g AS (SELECT *, regexp_replace(t5, '(?i)password\s*[=:]\s*\S+', 'password=REDACTED', 'g') AS t6 FROM f),
+    h AS (SELECT *, regexp_replace(t6, '(?i)api[_-]?key\s*[=:]\s*\S+', 'api_key=REDACTED', 'g') AS t7 FROM g)
+    SELECT doc_id, (t0 <> t1)::INT + (t1 <> t2)::INT + (t2 <> t3)::INT + (t3 <> t4)::INT + (t4 <> t5)::INT + (t5 <> t6)::INT + (t6 <> t7)::INT AS n, sha1(t7) AS text FROM h""")
 def redact_counts(spark, sf_dir):
-    t = F.expr("concat(coalesce(text, ''), case doc_id % 4 when 0 then concat(' sk-', sha1(cast(doc_id as string))) when 1 then concat(' ghp_', substr(sha1(cast(doc_id as string)), 1, 36), ' Password: x', doc_id) else '' end)")
+    t = F.expr("concat(coalesce(text, ''), case doc_id % 4 when 0 then concat(' sk-', sha1(cast(doc_id as string))) when 1 then concat(' ghp_', substr(sha1(cast(doc_id as string)), 1, 36), ' Password: x', doc_id) when 2 then ' password=REDACTED' else '' end)")
     r = T.redact(t)
     return view(spark, sf_dir, "documents").select("doc_id", r["n"].cast("int").alias("n"), F.sha1(r["text"]).alias("text"))
 
@@ -530,7 +543,7 @@ def slug_variants(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", T.kebab(F.concat("p_name", F.lit(" _ (New)"))).alias("kebab"), T.fuzzy_key(F.col("p_name")).alias("fuzzy"), T.plain_slug(F.concat("p_brand", F.lit("  "), "p_type")).alias("plain"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 120)) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents)""")
 def excerpts(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.coalesce("text", F.lit("")), 120).alias("excerpt"))
 
@@ -625,11 +638,12 @@ def stream_dedup_available_now(spark, sf_dir):
 # --- records ---------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2') THEN 'team/' || source WHEN doc_id % 4 = 0 THEN 'by-path' WHEN doc_id % 4 = 1 THEN 'by-name' ELSE '_unrouted' END AS route FROM documents""")
+@query("""SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2') THEN 'team/' || source WHEN doc_id % 5 IN (1, 4) THEN 'first' WHEN doc_id % 5 = 0 THEN 'by-path' ELSE '_unrouted' END AS route,
+    CASE WHEN source IN ('src1', 'src2') THEN 'domain' WHEN doc_id % 5 IN (0, 1, 4) THEN 'label' ELSE 'unrouted' END AS tier FROM documents""")
 def mail_routing(spark, sf_dir):
-    mails = view(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat('Some One <a@', upper(source), '>') as sender", "array('x', element_at(array('clients/acme', 'other/beta', 'y', 'z'), cast(doc_id % 4 as int) + 1)) as labels")
+    mails = view(spark, sf_dir, "documents").selectExpr("doc_id as id", "concat('Some One <a@', upper(source), '>') as sender", "array('x', element_at(array('clients/acme', 'other/beta', 'y', 'z', 'clients/acme'), cast(doc_id % 5 as int) + 1), if(doc_id % 5 = 4, 'Beta', 'w')) as labels")
     domains = spark.createDataFrame([("src1", "team/src1"), ("SRC2", "team/src2")], "domain string, route string")
-    labels = spark.createDataFrame([("Clients/Acme", "by-path"), ("beta", "by-name")], "label string, route string")
+    labels = spark.createDataFrame([(0, "team/Beta", "first"), (1, "Clients/Acme", "by-path"), (2, "beta", "later")], "ordinal int, label string, route string")
     return records.route_mail(mails, domains, labels)
 
 
@@ -640,11 +654,14 @@ def path_mentions(spark, sf_dir):
     return records.path_mentions(notes.selectExpr("doc_id as id", "rel"), entities)
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'none' WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_totalprice > 100000 THEN 'pointer' ELSE 'full' END
-    WHEN o_orderpriority = '2-HIGH' THEN 'full' WHEN o_orderpriority = '3-MEDIUM' THEN 'file' ELSE 'pointer' END AS action FROM orders""")
+@query("""WITH o AS (SELECT *, o_orderstatus <> 'P' AS seg, o_totalprice > 100000 AS ai, o_orderpriority = '3-MEDIUM' AS is_file, unnest([true, false]) AS include FROM orders)
+    SELECT o_orderkey AS id, include, CASE WHEN is_file THEN 'file' WHEN ai THEN CASE WHEN include AND seg THEN 'full' ELSE 'pointer' END ELSE 'only-content' END AS policy,
+    CASE WHEN is_file OR NOT ai THEN seg ELSE include AND seg END AS included FROM o""")
 def transcript_policy(spark, sf_dir):
-    policy = F.when(F.col("o_orderpriority") == "1-URGENT", "only-content").when(F.col("o_orderpriority") == "2-HIGH", "full").when(F.col("o_orderpriority") == "3-MEDIUM", "file").otherwise("odd")
-    return view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), records.transcript_policy(policy, F.col("o_orderstatus") != "P", F.col("o_totalprice") > 100000).alias("action"))
+    orders = view(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderpriority") == "3-MEDIUM", "file").otherwise("api")
+    both = [orders.select(F.col("o_orderkey").alias("id"), F.lit(x).alias("include"), records.transcript_policy(kind, F.col("o_totalprice") > 100000, x, F.col("o_orderstatus") != "P").alias("p")) for x in (True, False)]
+    return both[0].union(both[1]).select("id", "include", "p.policy", "p.included")
 
 
 @query("SELECT conv_id AS id, turn, CASE role WHEN 'user' THEN 'Ada' WHEN 'assistant' THEN 'Bo' ELSE 'Unknown speaker' END AS speaker FROM conversations")
@@ -682,6 +699,6 @@ def column_rows(spark, sf_dir):
     return records.column_rows(items)
 
 
-@query("WITH c AS (SELECT doc_id AS item, CASE WHEN n_chars < 60 THEN 0 ELSE 1 END AS level, n_chars AS rank FROM documents) SELECT item, level, row_number() OVER (ORDER BY level, rank, item) AS n FROM c QUALIFY level = 0 OR n <= 3")
+@query("WITH c AS (SELECT doc_id AS item, CASE WHEN n_chars < 60 THEN 0 ELSE 1 END AS level, n_chars AS rank FROM documents) SELECT item, level FROM c QUALIFY level = 0 OR row_number() OVER (ORDER BY level, rank, item) <= 3")
 def needs_attention(spark, sf_dir):
-    return records.attention(view(spark, sf_dir, "documents").selectExpr("doc_id as item", "if(n_chars < 60, 0, 1) as level", "n_chars as rank")).select("item", "level", F.col("n").cast("long"))
+    return records.attention(view(spark, sf_dir, "documents").selectExpr("doc_id as item", "if(n_chars < 60, 0, 1) as level", "n_chars as rank")).select("item", "level")

@@ -36,18 +36,31 @@ def records(pages: DataFrame, path: str, value: str = "value") -> DataFrame:
     return pages.withColumn("record", F.explode(F.try_variant_get(F.col(value), path, "array<variant>")))
 
 
+#: The tools whose files a session touches.
+FILE_TOOLS = ("Read", "Write", "Edit", "NotebookEdit")
+
+
+def session_events(files: DataFrame) -> DataFrame:
+    """files (session, text: JSON lines) -> (session, line, ts, role, text, file); bad lines are
+    skipped. Content stands in the event or in its message, as a text or as parts."""
+    rows = files.select("session", F.posexplode(F.split("text", "\n")).alias("line", "x")).select("session", F.col("line").cast("long").alias("line"), F.try_parse_json("x").alias("v"))
+    get = lambda p, t="string": F.try_variant_get("v", p, t)
+    kind = F.coalesce(get("$.type"), F.lit(""))
+
+    def content(path: str) -> Column:
+        parts = F.transform(get(path, "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), F.lit("")).otherwise(F.try_variant_get(p, "$", "string"))))
+        return F.nullif(F.coalesce(F.when(F.startswith(F.schema_of_variant(get(path, "variant")), F.lit("ARRAY")), F.array_join(parts, " ")), get(path)), F.lit(""))
+
+    text = F.when(kind.isin("user", "assistant"), F.coalesce(content("$.content"), content("$.message.content"), F.lit(""))).when(kind == "last-prompt", F.coalesce(get("$.content"), F.lit("")))
+    tool = kind.isin("tool-use", "tool_use") & first_of(F.col("v"), ["$.name", "$.tool_name"]).isin(*FILE_TOOLS)
+    file = F.when(tool, first_of(F.col("v"), ["$.input.file_path", "$.input.path", "$.arguments.file_path", "$.arguments.path"]))
+    return rows.filter("v is not null").select("session", "line", F.try_to_timestamp(get("$.timestamp")).alias("ts"), kind.alias("role"), text.alias("text"), file.alias("file"))
+
+
 def session_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of sessions -> (session, line, ts, role, text, file); bad lines are skipped."""
-    files = spark.read.option("recursiveFileLookup", True).text(path)
-    v = F.try_parse_json("value")
-    rows = files.select(v.alias("v"), F.monotonically_increasing_id().alias("line")).filter("v is not null")
-    parts = F.try_variant_get("v", "$.message.content", "array<struct<type string, text string, input struct<file_path string>>>")
-    text = F.coalesce(F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), "\n"), F.try_variant_get("v", "$.message.content", "string"))
-    return rows.select(
-        F.try_variant_get("v", "$.sessionId", "string").alias("session"), "line", F.try_to_timestamp(F.try_variant_get("v", "$.timestamp", "string")).alias("ts"),
-        F.coalesce(F.try_variant_get("v", "$.message.role", "string"), F.try_variant_get("v", "$.type", "string")).alias("role"), text.alias("text"),
-        F.filter(F.transform(parts, lambda p: p["input"]["file_path"]), lambda x: x.isNotNull())[0].alias("file"),
-    )
+    """The events of a folder's session files; a session's id is its file's name."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
+    return session_events(files.select(F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"([^/]*)\.jsonl$", 1).alias("session"), F.col("value").alias("text")))
 
 
 def base64url(c: Column) -> Column:
@@ -57,11 +70,14 @@ def base64url(c: Column) -> Column:
 
 
 def mime_body(decoded: Column, plain: Column, html: Column, snippet: Column, most: int = 50_000) -> Column:
-    """The first filled of a decoded body, text/plain, text/html without tags, the snippet;
-    most characters are a mail record's own limit."""
-    from .html import strip
-
-    return F.substring(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (decoded, plain, strip(html), snippet)], F.lit("")), 1, most)
+    """The first filled of a decoded body, text/plain, text/html without tags, the snippet; past
+    ``most`` characters, a mail record's own limit, it is cut and says so."""
+    from ..functions.text import strip
+    from .html import unescape
+
+    cap = lambda c: F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("\n\n…[truncated]"))).otherwise(c)
+    whole = [cap(strip(c)) for c in (unescape(decoded), plain, unescape(F.regexp_replace(html, "<[^>]+>", "")))]
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (*whole, strip(unescape(snippet)))], F.lit(""))
 
 
 def windows(start: str, end: str, days: int = 30) -> list[tuple[str, str]]:

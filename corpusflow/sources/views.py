@@ -5,6 +5,8 @@ Each view is one SQL text for both engines but where their functions differ.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
@@ -40,19 +42,13 @@ SPARK = _views(_DAY, "string")
 DUCK = _views(_DAY_DUCK, "varchar")
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temp views over the tables of a folder."""
-    ship(spark)
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for name, sql in SPARK.items():
-        spark.sql(sql).createOrReplaceTempView(name)
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables or views; plans hold the tables, so later views don't change them."""
-    register(spark, sf_dir)
-    return spark.table(name)
+    """One of the tables or views. Only what it names is read; no name is registered in the session."""
+    ship(spark)
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", SPARK[name])}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", SPARK[name]), **tables)
 
 
 def duck(sql: str) -> str:

@@ -27,7 +27,7 @@ def one(spark, value, f, kind="string"):
         (T.kebab, "  Foo_Bar  Baz!! ", "foo-bar-baz"), (T.fuzzy_key, "Foo-Bar 1", "foobar1"), (T.squash, "Foo-Bar_é x", "foobaréx"), (T.slugify, "Über Foo:  bar - baz", "über-foo-bar-baz"),
         (T.plain_slug, "A  b--c!", "a-b--c"), (T.title_case, "my-slug", "My Slug"), (T.title_case_company, "acme", "Acme"), (T.title_case_company, "ACMe", "ACMe"),
         (T.extract_email, 'Ada <ADA@x.example>', "ada@x.example"), (T.extract_email, "hi bob@y.example there", "bob@y.example"), (T.normalize_email, " A@B.c ", "a@b.c"), (T.normalize_email, "nobody", None),
-        (T.derive_name, "jane.doe42", "Jane Doe"), (T.company_short, "mail.acme.io", "acme"), (T.company_short, "a.co.uk", "co"), (T.person_slug, "Jane O'Doe", "Jane-ODoe"),
+        (T.derive_name, "jane.doe42", "Jane Doe"), (T.company_short, "mail.acme.io", "acme"), (T.company_short, "a.co.uk", "co"), (T.person_slug, "jane_o'doe7", "jane-odoe"), (T.person_file, "jane-odoe", "Jane-Odoe"), (T.derive_name, "42", "42"),
         (T.clean_title, "2024-01-02 - Sync (1h 15m)", "Sync"), (lambda c: T.truncate(c, 5), "abc\ndefg", "abc …"), (lambda c: T.excerpt(c, 8), "# T\nhello   world", "hello wo…"),
         (T.yaml_str, "a: b", '"a: b"'), (T.yaml_str, "plain", "plain"), (T.yaml_str, "true", '"true"'), (lambda c: T.redact(c)["text"], "api_key = abc Bearer " + "x" * 30, "api_key=REDACTED Bearer REDACTED"),
         (lambda c: T.section(c, "Summary"), "## Summary\nx\ny\n## Next\nz", "x\ny"), (lambda c: T.section(c, "Summary", True), "## Summary\nx", ""),
@@ -35,7 +35,7 @@ def one(spark, value, f, kind="string"):
         (lambda c: F.array_join(T.question_terms(c), ","), "What's the Acme-Roadmap status, and why Acme?", "what's,acme-roadmap,acme"), (lambda c: F.array_join(T.tokens(c), ","), "the-ledger-in-line", "ledger,line"),
         (lambda c: F.array_join(T.candidates(c), ","), "#Topic/x #thread/y [[My Note|n]] [[2024-01-01]] Foo Bar and some-token", "topic-x,my-note,foo-bar,some-token"),
         (D.clock_seconds, "1:02:03", 3723), (D.iso_utc, "2024-01-01T10:00:00.5+02:00", dt.datetime(2024, 1, 1, 8)), (D.without_offset, "2024-01-01T10:00:00.123Z", "2024-01-01 10:00:00"),
-        (D.meeting_date, "2024-03-04 09:30", dt.datetime(2024, 3, 4, 9, 30)), (D.apple_date, "Friday, March 1, 2024 at 10:00:00", dt.datetime(2024, 3, 1, 10)), (D.zone_hours, "cdt", -5.0),
+        (D.meeting_date, "2024-03-04 09:30", dt.datetime(2024, 3, 4, 9, 30)), (D.apple_date, "Friday, March 1, 2024 at 10:00:00", dt.datetime(2024, 3, 1, 10)), (lambda c: D.offset_minutes(c, F.lit("2024-07-01 12:00:00").cast("timestamp"), "America/Chicago"), "nst", -210), (lambda c: D.offset_minutes(c, F.lit("2024-07-01 12:00:00").cast("timestamp"), "America/Chicago"), "XYZ", -300),
         (html.strip, "<p>a&amp;b<script>x</script> <b>c</b></p>", "a&b c"), (payloads.base64url, "aGk_", "hi?"),
     ],
 )
@@ -123,8 +123,8 @@ def test_transcripts(spark):
 
 
 def test_html_markdown():
-    assert html.to_markdown("<h1>T</h1><p>a <b>bold</b> <a href='u'>link</a></p><ul><li>x<ol><li>y</li></ol></li></ul><script>no</script>") == "# T\n\na **bold** [link](u)\n\n- x\n  1. y"
-    assert html.to_markdown('<ul class="checklist"><li class="checked">a</li><li>b</li></ul>') == "- [x] a\n- [ ] b" and html.to_markdown(None) is None
+    assert html.to_markdown("<h1>T</h1><p>a <b>bold</b> <a href='u'>link</a></p><ul><li>x<ol><li>y</li></ol></li></ul><script>no</script>") == "# T\na **bold** [link](u)\n- x\n    1. y"
+    assert html.to_markdown('<ul class="checklist"><li class="checked">a</li><li class="unchecked">b</li><li>c</li></ul><div><br></div><div>d</div>') == "- [x] a\n- [ ] b\n- c\n\nd" and html.to_markdown(None) is None
 
 
 def test_payloads(spark, tmp_path):
@@ -136,9 +136,9 @@ def test_payloads(spark, tmp_path):
     rows = payloads.records(text.select(payloads.unwrap(F.col("value")).alias("value")), "$.items")
     assert [r[0] for r in rows.select(payloads.first_of(F.col("record"), ["$.name", "$.title"])).collect()] == [None, "t"]
     (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "x.jsonl").write_text("\n".join([json.dumps({"type": "user", "sessionId": "s1", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": "hello"}}), "bad", json.dumps({"type": "assistant", "sessionId": "s1", "timestamp": "2024-01-01T00:10:00Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "done"}, {"type": "tool_use", "input": {"file_path": "/f"}}]}})]))
+    (tmp_path / "s" / "x.jsonl").write_text("\n".join([json.dumps({"type": "user", "sessionId": "s1", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": "hello"}}), "bad", json.dumps({"type": "tool_use", "name": "Edit", "input": {"file_path": "/f"}}), json.dumps({"type": "tool_use", "name": "Bash", "input": {"path": "/g"}}), json.dumps({"type": "assistant", "timestamp": "2024-01-01T00:10:59Z", "message": {"content": [{"type": "text", "text": "done"}, "x", {"type": "other"}]}})]))
     r = segments.sessions(payloads.session_lines(spark, str(tmp_path / "s"))).first()
-    assert (r.session, r.turns, r.minutes, r.first_prompt, r.last_answer, r["files"]) == ("s1", 2, 10, "hello", "done", ["/f"])
+    assert (r.session, r.turns, r.minutes, r.first_prompt, r.last_answer, r["files"]) == ("x", 2, 10, "hello", "done x", ["/f"])
     assert payloads.windows("2024-01-01", "2024-02-15") == [("2024-01-01", "2024-01-30"), ("2024-01-31", "2024-02-15")]
     at = lambda s: one(spark, s, lambda c: payloads.name_date(c, F.lit("2020-01-01").cast("timestamp")))
     assert at("GMT20240102-030405_x.mp4").start == dt.datetime(2024, 1, 2, 3, 4, 5) and at("call 2024-05-06.txt").date_source == "day" and at("x").date_source == "mtime"
