@@ -1,17 +1,24 @@
 """Best-fit packing in bulk-synchronous rounds over range-sorted documents and gaps.
 
-A token count is an integer of at most ``capacity``, so documents sorted by size and
-gaps sorted by size are both run-length coded: how many there are of each size. One
-round takes a size, the largest left, and sweeps the gaps upward from it (the
-successors): each gap class takes as many of the documents as fit, the documents of a
-class being told apart by rank, so two never claim one gap. The gaps that took some
-move to a smaller class, and the next round follows. This is best fit decreasing,
-done for all documents of a size at once.
-
-The state is bounded by capacity, not by the rows: the rounds run on counts and yield
-rules (documents of size s and ranks a to b go to sequences c onward at offset o).
-The distributed part is what grows: counting tokens, ranking the documents of each
-size (salted, so that no size is one task), and applying the rules by a broadcast.
+Pieces are packed band by band, the longest first. A band is a run of fits; a piece's fit is
+how many of its size a sequence holds. A band is packed in rounds:
+
+1. Slots. Each sequence with room for the band's shortest piece offers slots: as many of the
+   band's greatest length as fit, the last one wider by what is left.
+2. Sweep. Slots and pieces are range-sorted together, longest first, slots before pieces of
+   their size. Every piece takes its successor, the smallest slot not shorter than it that no
+   piece before it took: the innermost slot still open, as brackets match. A partition matches
+   what it can by a stack of its own. What stays open has a depth, known from the other
+   partitions' numbers of open slots and pieces; a piece and the slot it takes have one depth
+   and stand next to each other among all of that depth.
+3. Conflicts can't occur: a slot is at one depth once, and pieces are told apart by
+   rank (size, key, piece).
+4. Gaps. Pieces go to their sequences in the order of slots; the gaps that took some shrink.
+
+Rounds go on while they place half of what is left; else as many empty sequences are opened
+as hold all of it, and later, shorter bands fill their ends. So a band takes at most as many
+rounds as its number of pieces has binary digits, in practice two or three. All state is in
+tables of the shared folder; the driver has counts only.
 """
 
 from __future__ import annotations
@@ -24,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common, words
 
 VOCABULARY = "word_bpe_49k.json"
 WORDS_KEPT = 700_000  # distinct words whose ids a worker remembers
 SLICE = 4 << 20
+BANDS = (1, 2, 3, 4, 6, 10, 20, 64)
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -165,57 +174,103 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
 
 
-def rules(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit decreasing over counts of each size: (size, first rank, count, per
-    sequence, first sequence, offset)."""
-    out, sequences = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, count)
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        for gap in sorted(g for g in gaps if g >= size):
-            per = gap // size
-            while left and gaps.get(gap):
-                first, n = gaps[gap].pop()
-                # whole sequences take `per` documents each; what is left goes to one more
-                k = min(n, left // per)
-                took = [(first, k, per)] if k else []
-                if k < n and left - k * per:
-                    took.append((first + k, 1, left - k * per))
-                for at, m, each in took:
-                    out.append((size, rank, m * each, each, at, capacity - gap))
-                    gaps.setdefault(gap - each * size, []).append((at, m))
-                    rank, left = rank + m * each, left - m * each
-                used = sum(m for _, m, _ in took)
-                if used < n:
-                    gaps[gap].append((first + used, n - used))
-            if not left:
-                break
-        per = capacity // size
-        for m, each in ((left // per, per), (int(left % per > 0), left % per)):
-            if m:
-                out.append((size, rank, m * each, each, sequences, 0))
-                gaps.setdefault(capacity - each * size, []).append((sequences, m))
-                rank, sequences = rank + m * each, sequences + m
-        gaps = {g: runs for g, runs in gaps.items() if runs and g}
-    return out
-
-
-def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces with sequence_id and offset; no piece may be longer than capacity.
-
-    Ties (equal sizes) go by key and piece; an empty table gives no rows. found is read
-    three times and should be materialised. A sequence has no gap but at its end.
+def _match(batches):
+    """Rows of a partition, longest first: pieces with the slot they take here, and what stays
+    open with its number, from 0: pieces in their order, slots from the widest."""
+    from pyspark import TaskContext
+
+    stack: list[tuple] = []
+    free, part = 0, TaskContext.get().partitionId()
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(_LOCAL)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LOCAL, strict=True)], schema=_LOCAL)
+
+    for batch in batches:
+        rows = []
+        for slot, key, piece, start, length, crc, seq, at, used in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if slot:
+                stack.append((seq, at, used))
+            elif stack:
+                rows.append((part, "placed", None, key, piece, start, length, crc, *stack.pop()))
+            else:
+                rows.append((part, "piece", free, key, piece, start, length, crc, None, None, None))
+                free += 1
+        yield out(rows)
+    yield out([(part, "slot", i, None, None, None, None, None, *s) for i, s in enumerate(stack)])
+
+
+_FIELDS = ["key", "piece", "start", "length", "ids_crc32"]
+_PIECE = "key long, piece int, start long, length long, ids_crc32 long"
+_LOCAL = pa.schema(
+    [("part", pa.int32()), ("kind", pa.string()), ("no", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("seq", pa.int64()), ("at", pa.int64()), ("used", pa.int64())]
+)
+
+
+def sweep(items: DataFrame, slots: DataFrame) -> DataFrame:
+    """items with seq, at, used of the slot each takes, or nulls. items: columns of pieces;
+    slots: seq, at (the slot's number in it), used (tokens in seq), size."""
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("seq", "at", "used")]
+    left = items.select(F.lit(False).alias("slot"), *_FIELDS, *nothing, F.col("length").alias("size"))
+    right = slots.select(F.lit(True).alias("slot"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _PIECE.split(", "))], "seq", "at", "used", "size")
+    order = [F.desc("size"), F.desc("slot"), F.col("key"), F.col("piece"), F.col("start"), F.col("ids_crc32"), F.col("seq"), F.col("at")]
+    both = left.unionByName(right).repartitionByRange(*order).sortWithinPartitions(*order).drop("size")
+    local = common.materialise(both.mapInArrow(_match, "part int, kind string, no long, " + _PIECE + ", seq long, at long, used long"), "swept")
+    # of each partition: open pieces, then open slots; a row for each partition
+    per = local.filter("kind <> 'placed'").groupBy("part").agg(F.count_if(F.col("kind") == "piece").alias("u"), F.count_if(F.col("kind") == "slot").alias("g"))
+    before = "rows between unbounded preceding and 1 preceding"
+    per = per.selectExpr("part", "u", f"coalesce(sum(g - u) over (order by part {before}), 0) as s")
+    per = per.selectExpr("part", "u", "s", f"least(0, min(s - u) over (order by part {before})) as floor_before", "least(0, min(s - u) over (order by part)) as floor")
+    level = F.expr("case kind when 'piece' then s - floor_before - no else s - u - floor + no + 1 end")
+    open_ = local.filter("kind <> 'placed'").join(F.broadcast(per), "part").withColumn("level", level)
+    # at one depth slots and pieces alternate; a partition's pieces come before its slots
+    at = W.partitionBy("level").orderBy("part", F.when(F.col("kind") == "piece", 0).otherwise(1))
+    crossed = open_.filter("level > 0").withColumn("slot", F.lag(F.struct("seq", "at", "used")).over(at)).filter("kind = 'piece'")
+    columns = [*_FIELDS, "seq", "at", "used"]
+    placed = local.filter("kind = 'placed'").select(columns)
+    return placed.unionByName(crossed.select(*_FIELDS, "slot.seq", "slot.at", "slot.used")).unionByName(open_.filter("kind = 'piece' and level <= 0").select(columns))
+
+
+def pack(found: DataFrame, capacity: int = 2048, bands: tuple[int, ...] = BANDS, share: float = 0.5) -> DataFrame:
+    """pieces with sequence_id and offset; no piece may be longer than capacity or empty.
+
+    Ties (equal sizes) go by key and piece; repeated rows are pieces of their own; an empty table
+    gives no rows. bands: the least fit of each band, from 1. Sequences are opened where a
+    round places less than ``share`` of the pieces it had. found is read once a band and should
+    be materialised. A sequence has no gap but at its end.
     """
-    spark = found.sparkSession
-    counts = {r[0]: r[1] for r in found.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
-    table = spark.createDataFrame(rules(counts, capacity), "length long, __first long, __count long, __per long, __seq long, __off long")
-    ranked = common.numbered(found, ["length"], ["key", "piece"], "__rank")
-    return (
-        ranked.join(F.broadcast(table), "length").filter("__rank >= __first and __rank < __first + __count")
-        .withColumn("sequence_id", F.expr("__seq + (__rank - __first) div __per"))
-        .withColumn("offset", F.expr("__off + length * ((__rank - __first) % __per)"))
-        .drop("__first", "__count", "__per", "__seq", "__off", "__rank")
-    )
+    spark, found = found.sparkSession, found.select(_FIELDS)
+    fit = F.floor(F.lit(capacity) / F.col("length"))
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in bands]), lambda x: x <= fit)) - 1
+    waiting = {r[0]: r[1] for r in found.groupBy(band).agg(F.count(F.lit(1))).collect()}
+    done: list[DataFrame] = []
+    gaps, opened = common.empty(spark, "seq long, used long"), 0
+    room, behind = F.lit(capacity) - F.col("used"), W.partitionBy("seq").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    for b in sorted(waiting):
+        most, least = capacity // bands[b], 1 if b == len(bands) - 1 else capacity // bands[b + 1] + 1
+        left, rest = found.filter(band == b), waiting[b]
+        fresh = rest if opened else 0
+        while rest:
+            if fresh < share * (fresh + rest):
+                more = -(-rest // bands[b])
+                gaps = gaps.unionByName(spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(0).cast("long").alias("used")))
+                opened += more
+            slots = gaps.filter(room >= least).select("seq", "used", room.alias("room"), F.greatest(F.floor(room / most), F.lit(1)).alias("m"))
+            slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("at"))
+            slots = slots.select("seq", "at", "used", F.when(F.col("at") < F.col("m") - 1, F.lit(most)).otherwise(F.col("room") - (F.col("m") - 1) * most).cast("long").alias("size"))
+            swept = sweep(left, slots)
+            seated = swept.filter("seq is not null").withColumn("offset", F.col("used") + F.coalesce(F.sum("length").over(behind), F.lit(0)))
+            kept = [*_FIELDS, "seq", "offset"]
+            swept = common.materialise(seated.select(kept).unionByName(swept.filter("seq is null").withColumn("offset", F.lit(None).cast("long")).select(kept)), "round")
+            placed, left = swept.filter("seq is not null"), swept.filter("seq is null").select(_FIELDS)
+            fresh, rest = swept.agg(F.count("seq"), F.count_if(F.col("seq").isNull())).first()
+            done.append(placed)
+            filled = placed.groupBy("seq").agg(F.max(F.col("offset") + F.col("length")).alias("upto"))
+            gaps = common.materialise(gaps.join(filled, "seq", "left").select("seq", F.coalesce("upto", "used").alias("used")).filter(F.col("used") < capacity), "gaps")
+    out = done[0] if done else found.withColumns({"seq": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.withColumnRenamed("seq", "sequence_id")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
