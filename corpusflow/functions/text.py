@@ -191,6 +191,44 @@ def yaml_list(c: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(c, yaml_str), ", "), F.lit("]"))
 
 
+def _escaped(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(c, r'([\\"])', r"\\$1"), F.lit('"'))
+
+
+def yaml_quoted(c: Column) -> Column:
+    """Always quoted; line feeds as blanks, null as empty."""
+    return _escaped(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")))
+
+
+#: Words that YAML reads as no text.
+YAML_RESERVED = ("null", "none", "true", "false", "yes", "no", "on", "off", "~")
+
+
+def yaml_plain_safe(c: Column) -> Column:
+    """Whether a text may stand in a list unquoted: it looks plain, and is neither a word nor a number of
+    YAML's own."""
+    shape = c.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ._/&()+'-]*[A-Za-z0-9.)']$")
+    return shape & ~F.lower(c).isin(*YAML_RESERVED) & ~c.rlike(r"^[0-9][0-9._]*$")
+
+
+def yaml_inline_list(c: Column) -> Column:
+    """[a, "b: c"]: items quoted where they aren't plain."""
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.when(yaml_plain_safe(x), x).otherwise(_escaped(x))), ", "), F.lit("]"))
+
+
+def yaml_scalar(c: Column) -> Column:
+    """A scalar of a book's note: quoted where a mark could confuse."""
+    odd = c.rlike(r"""[:#\[\]{}&*!|>'"%@`,]""") | c.rlike(r"^[-?]") | (c != F.trim(c))
+    return F.when(c == "", F.lit('""')).when(odd, _escaped(c)).otherwise(c)
+
+
+def yaml_block(key: str, values: Column) -> Column:
+    """key: [] or a block list, items in single quotes where a plain scalar would be misread."""
+    odd = lambda x: (x == "") | x.rlike(r"""^[\[\]{}>|*&!%@#,"'`-]""") | x.contains(": ") | (x != F.trim(x))
+    item = lambda x: F.when(odd(x), F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(x)
+    return F.when(F.size(values) == 0, F.lit(f"{key}: []")).otherwise(F.concat(F.lit(f"{key}:\n- "), F.array_join(F.transform(values, item), "\n- ")))
+
+
 def title(body: Column, fallback: Column) -> Column:
     """The first first-level heading."""
     return F.coalesce(F.nullif(F.trim(F.regexp_extract(body, r"(?m)^#[\x20\t]+(.+)$", 1)), F.lit("")), fallback)

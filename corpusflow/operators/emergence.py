@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 
 def mentions(items: DataFrame, deny: DataFrame | None = None, body_chars: int | None = 1000, least: int = 5) -> DataFrame:
@@ -52,21 +53,32 @@ def emerge(items: DataFrame, today: str | None = None, window_days: int = 30, to
     return ranked.limit(top) if top else ranked
 
 
+#: Tokens of more than one edge in FREQUENT, FREQUENT of them at most, are joined by a broadcast.
+FREQUENT = 512
+
+
 def group_records(records: DataFrame, order: list[str]) -> DataFrame:
     """records (rec, source, tokens: array of "source:id") -> (rec, unit, unit_source).
 
     Records that share a token, directly or through others, are one unit; its source is
     that of the member whose source comes first in order, then the least rec. Least
-    labels travel over record-token edges with pointer jumping; every round is cut with
-    checkpoint(), so it needs spark.checkpoint.dir on a cluster."""
-    edges = records.select("rec", F.explode("tokens").alias("token")).distinct()
-    labels = records.select("rec", F.col("rec").alias("label")).distinct()
+    labels travel over record-token edges with pointer jumping, by partial minima; a token that a
+    large share of all records has is broadcast and not one task's. Every round is written to
+    the shared folder."""
+    edges = written(records.select("rec", F.explode("tokens").alias("token")).distinct(), "edges")
+    total = edges.count()
+    common = edges.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * FREQUENT >= total).select("token")
+    hot = F.broadcast(common)  # FREQUENT rows
+    labels = written(records.select("rec", F.col("rec").alias("label")).distinct(), "labels")
     while True:
-        token = edges.join(labels, "rec").groupBy("token").agg(F.min("label").alias("t"))
-        near = edges.join(token, "token").groupBy("rec").agg(F.min("t").alias("n"))
+        named = edges.join(labels, "rec")
+        token = named.groupBy("token").agg(F.min("label").alias("t"))
+        often = edges.join(F.broadcast(token.join(hot, "token", "left_semi")), "token")
+        rest = edges.join(hot, "token", "left_anti").join(token.join(hot, "token", "left_anti"), "token")
+        near = often.select("rec", "t").unionByName(rest.select("rec", "t")).groupBy("rec").agg(F.min("t").alias("n"))
         step = labels.join(near, "rec", "left").select("rec", F.col("label").alias("was"), F.least("label", F.coalesce("n", "label")).alias("label"))
         jump = step.select(F.col("rec").alias("label"), F.col("label").alias("further"))
-        new = step.join(jump, "label", "left").select("rec", "was", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
+        new = written(step.join(jump, "label", "left").select("rec", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         labels = new.select("rec", "label")
         if new.filter("was <> label").isEmpty():
             break

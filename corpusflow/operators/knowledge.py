@@ -278,9 +278,8 @@ def migration(meetings: DataFrame, people: DataFrame) -> DataFrame:
 
 def migrated(text: Column, emails: Column, participants: Column) -> Column:
     """A page's text with the list fields put in after its date, or at the block's end, and attendees out."""
-    field = lambda k, c: F.concat(F.lit(f"{k}:"), F.when(F.size(c) > 0, F.concat(F.lit("\n- "), F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), "\n- "))).otherwise(F.lit(" []")))
     bare = F.regexp_replace(text, r"(?m)\A((?s:---\n.*?))^attendees:(?:[ \t]*\n(?:(?:[ \t]+\S|[ \t]*-[ \t])[^\n]*\n)*|[^\n]*\n)", "$1")
-    literal = F.regexp_replace(F.concat(field("attendee_emails", emails), F.lit("\n"), field("participants", participants)), r"([\\$])", r"\\$1")
+    literal = F.regexp_replace(F.concat(T.yaml_block("attendee_emails", emails), F.lit("\n"), T.yaml_block("participants", participants)), r"([\\$])", r"\\$1")
     dated = F.regexp_replace(bare, F.lit(r"(?m)\A((?s:---\n(?:(?!---\n).*?\n)??))(date:[^\n]*\n)"), F.concat(F.lit("$1$2"), literal, F.lit("\n")))
     plain = F.regexp_replace(bare, F.lit(r"(?s)\A(---\n.*?\n)---\n"), F.concat(F.lit("$1"), literal, F.lit("\n---\n")))
     return F.when(fm.block(text).isNull(), text).when(fm.block(bare).rlike(r"(?m)^date:"), dated).otherwise(plain)

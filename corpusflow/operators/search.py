@@ -51,11 +51,13 @@ def search(notes: DataFrame, terms: list[str], rules=LAYERS, caps: dict[str, int
     rows = notes.withColumn("hits", hits(F.col("text"), terms, mode)).filter("hits > 0").withColumn("__l", layer(F.col("rel"), rules))
     rows = rows.select("rel", "stem", "source", "hits", F.col("__l.layer").alias("layer"), F.round(F.col("hits") * F.col("__l.weight"), 2).alias("score"))
     best = [F.desc("score"), F.desc("hits"), F.asc("rel")]
-    rows = rows.withColumn("__s", F.row_number().over(W.partitionBy("layer", F.when(F.col("layer") == "raw", F.col("source"))).orderBy(*best)))
-    rows = rows.filter((F.col("layer") != "raw") | (F.col("__s") <= raw_per_source))
+    # ranks are bounded by constants first: each task keeps its own best rows before the shuffle
+    # (WindowGroupLimit), so no task sorts all hits of a layer
+    raw = rows.filter("layer = 'raw'").withColumn("__s", F.row_number().over(W.partitionBy("source").orderBy(*best))).filter(F.col("__s") <= raw_per_source).drop("__s")
+    rest = rows.filter("layer <> 'raw'")
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("layer")), F.lit(caps["other"]))
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("layer").orderBy(*best))).filter(F.col("__n") <= cap)
-    return rows.drop("__s", "__n", "source")
+    ranked = raw.unionByName(rest).withColumn("__n", F.row_number().over(W.partitionBy("layer").orderBy(*best))).filter(F.col("__n") <= max(caps.values()))
+    return ranked.filter(F.col("__n") <= cap).drop("__n", "source")
 
 
 def hubs(terms: list[str], pages: DataFrame) -> DataFrame:

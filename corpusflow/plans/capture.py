@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times as D
 from ..operators import captures, matching, meetings, merge, people, records, segments
-from ..sources import documents, payloads, transcripts
+from ..sources import documents, pages, payloads, transcripts
 from ..sources.views import view
 from .catalogue import query
 
@@ -423,3 +423,80 @@ def richest_with_notes(spark, sf_dir):
     rows = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     both = rows.selectExpr("conv_id as id", "n", "0 as ordinal", "'' as notes").union(rows.selectExpr("conv_id", "n - 1", "1", "'kept'"))
     return segments.keep_richest(both, "id", "n", "ordinal", "notes").filter("notes = 'kept'").select("id", "n")
+
+
+# --- pages of services ---------------------------------------------------------------------------
+
+
+@query("""SELECT 'm' || doc_id AS id, 't' || doc_id % 9 AS thread, CASE WHEN doc_id % 3 = 0 THEN 'plain ' || doc_id WHEN doc_id % 3 = 1 THEN 'given' ELSE 'deep' END AS body, 'next' AS next_page FROM documents""")
+def mail_pages(spark, sf_dir):
+    part = F.expr("base64(encode(concat('plain ', doc_id), 'UTF-8'))")
+    page = F.concat(
+        F.lit('{"nextPageToken": "next", "threads": [{"id": "t'), F.col("doc_id") % 9, F.lit('", "messages": [{"id": "m'), "doc_id", F.lit('", "textBody": "'), F.when(F.col("doc_id") % 3 == 1, "given").otherwise(""),
+        F.lit('", "payload": {"mimeType": "multipart/mixed", "parts": [{"mimeType": "text/html", "body": {"data": ""}}, {"mimeType": "multipart/x", "parts": [{"mimeType": "text/plain", "body": {"data": "'),
+        F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(part, "=", "")).when(F.col("doc_id") % 3 == 2, "ZGVlcA").otherwise(""), F.lit('"}}]}]}}]}]}'),
+    )
+    rows = pages.mail(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), page.alias("text")))
+    return rows.select("id", "thread", F.coalesce("decoded", "plain").alias("body"), "next_page")
+
+
+@query("SELECT 'L' || doc_id AS id, 'n' || doc_id AS name FROM documents WHERE doc_id % 4 < 3")
+def label_pages(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    entry = F.concat(F.lit('{"'), F.when(k == 0, "id").otherwise("labelId"), F.lit('": "L'), "doc_id", F.lit('", "'), F.when(k == 1, "displayName").when(k == 3, "title").otherwise("name"), F.lit('": "n'), "doc_id", F.lit('"}'))
+    return pages.label_names(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.when(k == 2, F.concat(F.lit("["), entry, F.lit("]"))).otherwise(F.concat(F.lit('{"labels": ['), entry, F.lit("]}"))).alias("text")))
+
+
+@query("SELECT doc_id AS page, CASE WHEN doc_id % 3 = 0 THEN 'c1' ELSE 'c2' END AS cursor, doc_id::VARCHAR AS id FROM documents")
+def board_pages(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    items = F.concat(F.lit('[{"id": '), "doc_id", F.lit("}]"))
+    text = F.when(k == 0, F.concat(F.lit('{"nextCursor": "c1", "items": '), items, F.lit("}"))).when(k == 1, F.concat(F.lit('{"data": {"cursor": "c2", "items_page": {"items": '), items, F.lit("}}}"))).otherwise(F.concat(F.lit('{"data": {"nextCursor": "c2", "items": '), items, F.lit("}}")))
+    return pages.board(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), text.alias("text"))).select("page", "cursor", F.try_variant_get("item", "$.id", "string").alias("id"))
+
+
+@query("""SELECT conv_id AS page, turn, role AS sender FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, -1, 'malformed JSON' FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 = 1""")
+def chat_pages(spark, sf_dir):
+    """Even conversations answer with arrays, odd ones with text, and some not at all."""
+    item = F.to_json(F.expr("named_struct('ts', concat('1.', turn), 'username', role, 'text', text)"))
+    rows = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(item).alias("m"))
+    text = F.when(F.col("conv_id") % 5 == 1, "{").when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"messages": ['), F.array_join("m", ", "), F.lit("]}"))).otherwise('{"messages": "=== Message at x ==="}')
+    got = rows.select(F.col("conv_id").alias("page"), text.alias("text"))
+    even = got.filter("page % 2 = 0 and page % 5 <> 1").union(got.filter("page % 2 = 0 and page % 5 = 1").join(rows.selectExpr("conv_id as page", "m"), "page").select("page", F.concat(F.lit('{"messages": ['), F.array_join("m", ", "), F.lit("]}"))))
+    _, messages = pages.chat(even.union(got.filter("page % 2 = 1")))
+    found = pages.chat_messages(messages, even.select("page", F.lit("c").alias("channel"), F.lit("channel").alias("kind")).withColumn("page", F.col("page")))
+    named = messages.select("page", F.try_variant_get("m", "$.ts", "string").alias("ts"), F.try_variant_get("m", "$.username", "string").alias("sender"))
+    assert set(found.columns) >= {"channel", "ts", "username", "text"}
+    return named.select("page", F.substring("ts", 3, 9).cast("long").alias("turn"), "sender").union(pages.malformed(got).select("page", F.lit(-1).cast("long"), "error"))
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 1 THEN 'D' || doc_id ELSE 'd' || doc_id END AS id, 'N' AS name, CASE doc_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'peeled' ELSE 'inner' END AS text FROM documents WHERE doc_id % 7 <> 0")
+def document_pages(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    named = F.when(F.col("doc_id") % 7 == 0, '"title": "N"').when(k == 1, F.concat(F.lit('"url": "https://x/d/D'), "doc_id", F.lit('/edit", "title": "N"'))).otherwise(F.concat(F.lit('"file_id": "d'), "doc_id", F.lit('", "name": "N"')))
+    body = F.when(k == 0, '"markdown": "plain"').when(k == 1, '"content": {"result": "peeled"}').otherwise('"result": "{\\"result\\": \\"inner\\"}"')
+    entry = F.concat(F.lit("{"), named, F.lit(", "), body, F.lit("}"))
+    text = F.when(k == 0, F.concat(F.lit('{"docs": ['), entry, F.lit("]}"))).when(k == 1, F.concat(F.lit("["), entry, F.lit("]"))).otherwise(entry)
+    return pages.docs(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), text.alias("text"))).select("id", "name", "text")
+
+
+@query("SELECT c_custkey AS page, c_custkey::VARCHAR AS call, CASE WHEN c_custkey % 3 = 2 THEN 'T' || c_custkey END AS transcript FROM customer")
+def call_pages(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    call = F.concat(F.lit('{"metaData": {"id": "'), "c_custkey", F.lit('"}}'))
+    said = F.concat(F.lit('"callTranscripts": [{"callId": "T'), "c_custkey", F.lit('", "transcript": []}]'))
+    inner = F.concat(F.lit('{"calls": ['), call, F.lit("]}"))
+    text = F.when(k == 0, F.concat(F.lit("[["), call, F.lit("]]"))).when(k == 1, F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), inner.alias("text"))).alias("content")))).otherwise(F.concat(F.lit('{"result": {"calls": ['), call, F.lit("], "), said, F.lit("}}")))
+    found, given = pages.calls(view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), text.alias("text")))
+    return found.select("page", F.try_variant_get("call", "$.metaData.id", "string").alias("call")).join(given.selectExpr("page", "id as transcript"), "page", "left")
+
+
+@query("""SELECT c_custkey AS id, '[plain one, "a: b", "42", "yes", c' || c_custkey || ']' AS inline, 'k:' || chr(10) || '- a' || chr(10) || '- ''[[b]]''' AS block, '"x: y"' AS scalar, '"q \\"z\\" w"' AS quoted FROM customer""")
+def yaml_emitters(spark, sf_dir):
+    values = F.array(F.lit("plain one"), F.lit("a: b"), F.lit("42"), F.lit("yes"), F.concat(F.lit("c"), "c_custkey"))
+    return view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.yaml_inline_list(values).alias("inline"), T.yaml_block("k", F.array(F.lit("a"), F.lit("[[b]]"))).alias("block"), T.yaml_scalar(F.lit("x: y")).alias("scalar"), T.yaml_quoted(F.lit('q "z"\nw')).alias("quoted"))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def request_batches(spark, sf_dir):
+    return pages.batches(view(spark, sf_dir, "orders").selectExpr("o_orderkey as id")).agg(F.sum(F.size("ids")).cast("long").alias("n"))

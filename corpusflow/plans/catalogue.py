@@ -13,6 +13,7 @@ from ..operators import audit, emergence, matching, merge, people, records, sear
 from ..sources import frontmatter as fm
 from ..sources import html, transcripts
 from ..sources import notes as N
+from ..session import shared_dir
 from ..sources.views import duck, view
 from ..streaming import ingest
 
@@ -113,19 +114,10 @@ def record_components(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
     lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= 40))
     records = docs.select(F.col("doc_id").alias("rec"), F.lit("doc").alias("source"), F.transform(lines, F.sha1).alias("tokens"))
-    _checkpoints(spark)
     units = emergence.group_records(records, ["doc"]).select("rec", F.col("unit").alias("lead"))
     return units.join(units.groupBy("lead").agg(F.count(F.lit(1)).alias("size")), "lead").select("rec", "lead", "size")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints where none is named, as in a local session."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpusflow-')}")
-
-
 # --- notes, frontmatter, links ---------------------------------------------------------
 
 
@@ -622,17 +614,15 @@ def transcript_turns(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_dedup_available_now(spark, sf_dir):
     """Events read twice as a stream and settled by key: each counts once."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     for copy in range(2):
         source.write.parquet(f"{out}/in/copy={copy}")
     stream = ingest.available(spark, f"{out}/in", source.schema, files_per_batch=1)
     ingest.run(stream, ingest.upsert_into(spark, f"{out}/table", "event_id", None), f"{out}/checkpoint")
-    return ingest.latest(spark, f"{out}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.latest(spark, f"{out}/table", "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- records ---------------------------------------------------------------------------

@@ -185,11 +185,11 @@ def attendee_migration(spark, sf_dir):
     return found.select("id", "status", F.array_join("attendee_emails", ",").alias("emails"), F.array_join("participants", ",").alias("participants"), F.array_join("unmatched", ",").alias("unmatched"))
 
 
-@query("""SELECT doc_id AS id, '---' || chr(10) || CASE WHEN doc_id % 3 < 2 THEN 'date: d' || chr(10) || 'attendee_emails:' || chr(10) || '- "a@x"' || chr(10) || 'participants: []' || chr(10) || 'k: v' ELSE 'k: v' || chr(10) || 'attendee_emails:' || chr(10) || '- "a@x"' || chr(10) || 'participants: []' END || chr(10) || '---' || chr(10) || 'body' AS text FROM documents""")
+@query("""SELECT doc_id AS id, '---' || chr(10) || CASE WHEN doc_id % 3 < 2 THEN 'date: d' || chr(10) || 'attendee_emails:' || chr(10) || '- a@x' || chr(10) || 'participants:' || chr(10) || '- ''[[A]]''' || chr(10) || 'k: v' ELSE 'k: v' || chr(10) || 'attendee_emails:' || chr(10) || '- a@x' || chr(10) || 'participants:' || chr(10) || '- ''[[A]]''' END || chr(10) || '---' || chr(10) || 'body' AS text FROM documents""")
 def migrated_pages(spark, sf_dir):
     k = F.col("doc_id") % 3
     text = F.when(k == 0, "---\ndate: d\nattendees:\n- a@x\n- b\nk: v\n---\nbody").when(k == 1, "---\ndate: d\nattendees: [a@x]\nk: v\n---\nbody").otherwise("---\nk: v\nattendees:\n  - a@x\n---\nbody")
-    return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), knowledge.migrated(text, F.array(F.lit("a@x")), F.array().cast("array<string>")).alias("text"))
+    return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), knowledge.migrated(text, F.array(F.lit("a@x")), F.array(F.lit("[[A]]"))).alias("text"))
 
 
 @query("""SELECT doc_id AS id, '---' || chr(10) || 'type: x' || chr(10) || 'tags: ' || CASE doc_id % 3 WHEN 0 THEN '[a, thread/t]' WHEN 1 THEN '[thread/t]' ELSE '[a, thread/t]' END || chr(10) || '---' || chr(10) || 'b' AS text FROM documents""")
@@ -255,7 +255,6 @@ _UNITS = "w_items AS (SELECT item_id // 2 AS item_id, first_value(source) OVER (
 @query(f"WITH {_UNITS}, {catalogue._MENTIONS.replace('v_items', 'w_items')} SELECT slug, count(DISTINCT item_id) AS items, count(DISTINCT source) AS sources FROM m GROUP BY slug")
 def emerge_grouped(spark, sf_dir):
     """Documents 2n and 2n + 1 stand for two records of one event."""
-    catalogue._checkpoints(spark)
     items = view(spark, sf_dir, "v_items").selectExpr("item_id as rec", "source", "item_date as date", "title", "body", "array(concat('e:', item_id div 2)) as tokens")
     order = [f"src{i}" for i in range(30)]
     return knowledge.emerge_grouped(items, order, top=None, min_items=1, min_sources=1, body_chars=None).select("slug", "items", "sources")

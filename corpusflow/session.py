@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch: by rows alone, batches of long texts would fill a worker.
@@ -29,3 +30,31 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     context.addPyFile(str(path))
     context._corpusflow_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in a local session
+    that has none a temporary folder takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            return found.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends here and its statistics are
+    known. The folder goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusflow/{uuid.uuid4().hex}/{name}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where.getParent())
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,10 +14,12 @@ from . import frontmatter as fm
 EXCLUDED = (".obsidian", ".git", ".trash", ".smart-env", "node_modules")
 
 
-def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, readme: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, readme: bool = False, attachments: str | None = None, root_files: Iterable[str] = ()) -> DataFrame:
     """(rel, folder, stem, mtime, text, fm, title, body) of all .md files below root.
 
-    Unreadable files are skipped, dotfiles too, and README.md unless asked for."""
+    Unreadable files are skipped, dotfiles too, README.md unless asked for, the attachments
+    folder, and root_files (such as AGENTS.md) at the root itself."""
+    excluded = (*excluded, attachments) if attachments else tuple(excluded)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(root, wholetext=True)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rel = F.ltrim(F.regexp_replace(path, r"^[a-z]+:/*", "/"), F.lit("/"))
@@ -27,6 +29,8 @@ def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, rea
     keep = ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in excluded])) & ~F.exists(parts, lambda x: F.startswith(x, F.lit(".")))
     if not readme:
         keep &= F.element_at(parts, -1) != "README.md"
+    if root_files:
+        keep &= ~F.col("rel").isin(*root_files)
     return with_frontmatter(rows.filter(keep).withColumn("folder", F.regexp_replace("rel", "/[^/]*$", "")).withColumn("stem", F.regexp_extract("rel", r"([^/]*)\.md$", 1)))
 
 
@@ -47,7 +51,18 @@ def source_of(rel: Column, raw: str = "raw") -> Column:
     return F.when(F.startswith(rel, F.lit(f"{raw}/wispr/meetings/")), F.lit("wispr-meetings")).when((parts[0] == raw) & (F.size(parts) > 2), parts[1]).otherwise(parts[0])
 
 
-def note_date(fm_: Column, mtime: Column, keys: Iterable[str] = ("date", "created", "started", "updated")) -> Column:
+#: Where a note's date is looked for: by emergence, by evidence, by lint.
+EMERGE_KEYS = ("date", "timestamp", "started", "created_at", "ingested_at")
+EVIDENCE_KEYS = ("date", "timestamp", "started", "created_at")
+LINT_KEYS = ("date", "timestamp", "last_evidence", "generated_at", "ingested_at")
+
+
+def evidence_date(fm_: Column, mtime: Column, keys: Iterable[str] = EVIDENCE_KEYS) -> Column:
+    """The first ten characters of the first filled key, a date or not; else the file's date. As text."""
+    return F.coalesce(*[F.nullif(F.substring(F.trim(fm.scalar(fm_, k)), 1, 10), F.lit("")) for k in keys], F.to_date(mtime).cast("string"))
+
+
+def note_date(fm_: Column, mtime: Column, keys: Iterable[str] = EMERGE_KEYS) -> Column:
     """The first key that starts with a date, else the file's date."""
     return F.coalesce(*[F.try_to_timestamp(F.substring(fm.scalar(fm_, k), 1, 10), F.lit("yyyy-MM-dd")).cast("date") for k in keys], F.to_date(mtime))
 

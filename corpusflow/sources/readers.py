@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 _TYPES = {"INT": "long", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
 
@@ -45,6 +45,21 @@ def introspect(path: str, table: str | None = None, needles: tuple[str, ...] = (
         return largest, found[largest]
 
 
+def discover(roots: list[str], name: str) -> str | None:
+    """The first file of that name at a root or below it, roots in order; those of a root by path.
+    A root that can't be read is passed over."""
+    from pathlib import Path
+
+    for root in map(Path, roots):
+        try:
+            found = [root] if root.name == name and root.is_file() else sorted(p for p in root.rglob(name) if p.is_file())
+        except OSError:
+            continue
+        if found:
+            return str(found[0])
+    return None
+
+
 class SqliteSource(DataSource):
     """Format ``sqlite_file``: path, table (or needles, by which one is found), partitions,
     where (a predicate for SQLite itself). Rowid ranges are the partitions."""
@@ -72,6 +87,22 @@ class SqliteReader(DataSourceReader):
         self.path, self.columns = options["path"], columns
         self.table = introspect(self.path, options.get("table"), tuple(options.get("needles", "DATE,PATH").split(",")))[0]
         self.n, self.where = int(options.get("partitions", 4)), options.get("where")
+        self.pushed: list[tuple[str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of a column with a number or a text go into SQLite's own WHERE, where its
+        indexes serve them; all others are Spark's."""
+        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        kinds = dict(self.columns)
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            kind, value = kinds.get(name), getattr(f, "value", None)
+            if isinstance(f, IsNotNull) and kind:
+                self.pushed.append((f"{_quote(name)} is not null", None))
+            elif type(f) in signs and (kind in ("bigint", "double") and isinstance(value, (int, float)) or type(f) is EqualTo and kind == "string" and isinstance(value, str)):
+                self.pushed.append((f"{_quote(name)} {signs[type(f)]} ?", value))
+            else:
+                yield f
 
     def partitions(self) -> list[_Rows]:
         with _connect(self.path) as db:
@@ -83,10 +114,11 @@ class SqliteReader(DataSourceReader):
 
     def read(self, part: _Rows) -> Iterator[tuple]:
         names = ", ".join(_quote(c) for c, _ in self.columns)
-        where = "rowid >= ? and rowid < ?" + (f" and ({self.where})" if self.where else "")
+        where = "rowid >= ? and rowid < ?" + (f" and ({self.where})" if self.where else "") + "".join(f" and {c}" for c, _ in self.pushed)
+        given = [v for c, v in self.pushed if c.endswith("?")]
         as_kind = {"bigint": int, "double": float, "string": str, "binary": bytes}
         with _connect(self.path) as db:
-            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi)):
+            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi, *given)):
                 yield tuple(None if v is None else as_kind.get(t, str)(v) for v, (_, t) in zip(row, self.columns, strict=True))
 
 

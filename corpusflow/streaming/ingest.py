@@ -32,30 +32,46 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
 
 
 def upsert_into(spark: SparkSession, path: str, key: str, stamp: str | None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: merge a batch into a Parquet table kept as versions, ``path/v=<batch>``;
-    a batch that is run again writes the same version again. stamp None: insert only."""
+    """foreachBatch: merge a batch into a table kept as deltas, ``path/v=<batch>``, each with the rows
+    that its batch inserted or updated. A batch reads only what the table has of its own keys, and
+    one that is run again writes the same delta again. stamp None: insert only."""
 
     def each(batch: DataFrame, number: int) -> None:
-        existing = latest(spark, path, before=number)
-        if existing is None:
-            batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/v={number}")
-            return
-        plan = merge.by_value(batch.dropDuplicates([key]), existing, key, stamp) if stamp else merge.insert_only(batch, existing, key)
-        merge.apply(plan, existing, key).write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows = batch.dropDuplicates([key])
+        deltas = versions(spark, path, number)
+        if deltas is not None:
+            known = _newest(deltas.join(rows.select(key), key, "left_semi"), key)
+            plan = merge.by_value(rows, known, key, stamp) if stamp else merge.insert_only(rows, known, key)
+            rows = plan.filter(F.col("action").isin("insert", "update")).select(batch.columns)
+        rows.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return each
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of such a table, or the newest one before a batch."""
+def versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all deltas (or of those before a batch) with their v. A folder without Spark's
+    mark of success was never finished and isn't read."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return None
-    found = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(where) if s.getPath().getName().startswith("v="))
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in done if before is None or int(n[2:]) < before]
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in sorted(done)]) if done else None
+
+
+def _newest(deltas: DataFrame, key: str) -> DataFrame:
+    columns = [c for c in deltas.columns if c != "v"]
+    newest = deltas.groupBy(key).agg(F.max_by(F.struct(*columns), "v").alias("__row"))
+    return newest.select(*[F.col("__row").getField(c).alias(c) for c in columns])
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The table: each key's newest row."""
+    deltas = versions(spark, path)
+    return None if deltas is None else _newest(deltas, key)
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, late: str = "24 hours") -> DataFrame:
