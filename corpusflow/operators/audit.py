@@ -60,6 +60,20 @@ def completed_in_week(found: DataFrame, day: str) -> DataFrame:
     return found.filter(F.col("done") & F.col("completed").between(monday, F.date_add(monday, 6)))
 
 
+def open_tasks(found: DataFrame, *folders: str, top: int = 25) -> DataFrame:
+    """Open tasks of folders, the most pressing first: by due date, those without one last."""
+    keep = F.lit(not folders)
+    for f in folders:
+        keep |= F.startswith("rel", F.lit(f.rstrip("/") + "/"))
+    return found.filter(~F.col("done") & keep).orderBy(F.asc_nulls_last("due"), "rel", "line").limit(top)
+
+
+def in_week(notes: DataFrame, day: str, column: str = "note_date") -> DataFrame:
+    """Notes of the day's week, Monday to Sunday."""
+    monday = F.to_date(F.date_trunc("week", F.lit(day).cast("date")))
+    return notes.filter(F.col(column).between(monday, F.date_add(monday, 6))).orderBy(column, "rel")
+
+
 class Table:
     """TABLE ... FROM ... WHERE ... SORT ... LIMIT over a view of notes."""
 

@@ -174,6 +174,26 @@ def entity_table(kind: str, name: str, canonical: str, clients: str = "20 - Proj
     return F.array_contains("links", canonical) if kind == "org" else F.contains("text", F.lit(name))
 
 
+def org_mentions(meetings: DataFrame, people: DataFrame, clients: DataFrame, known: DataFrame) -> DataFrame:
+    """meetings (id, participants: array of links), people (stem, company), clients (entity, key, aliases),
+    known (entity, type) -> (id, entity): organisations of a meeting's people. A company that is a
+    client counts for the client and so not here; the others by their title-cased name."""
+    named = meetings.select("id", F.explode("participants").alias("p")).select("id", F.regexp_extract("p", r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", 1).alias("stem")).filter("stem <> ''")
+    firms = people.filter("trim(company) <> ''").select("stem", F.trim("company").alias("company"))
+    client = P.prefix_match(firms.select("company"), clients)
+    entity = firms.join(client, "company", "left").select("stem", F.coalesce("entity", T.title_case_company(F.col("company"))).alias("entity"))
+    orgs = known.filter("type = 'org'").select("entity")
+    return named.join(entity, "stem").join(orgs, "entity", "left_semi").select("id", "entity").distinct()
+
+
+def discover_threads(notes: DataFrame, folders: Iterable[str]) -> DataFrame:
+    """(slug) of the thread tags in the notes (rel, text) of these folders."""
+    keep = F.lit(False)
+    for f in folders:
+        keep |= F.startswith("rel", F.lit(f.rstrip("/") + "/"))
+    return notes.filter(keep).select(F.explode(F.array_distinct(T.extract(F.col("text"), T.THREAD_TAG_LOWER))).alias("slug")).distinct()
+
+
 def project_mentions(notes: DataFrame, clients: DataFrame, root: str = "20 - Projects/Clients") -> DataFrame:
     """notes (id, rel, project), clients (entity) -> (id, entity): a client's folder is in the path, or its
     id inside the project. Ids in a project are found by its runs of word characters, an equi join, and

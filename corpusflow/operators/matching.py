@@ -89,6 +89,12 @@ def match_items(meetings: DataFrame, emails: DataFrame, items: DataFrame, least_
     return first_match(one.union(two), "id", "tier", "ordinal", "item").select("id", "tier", "item")
 
 
+def with_board(routed: DataFrame, matched: DataFrame, items: DataFrame) -> DataFrame:
+    """routed (id, tier, folder) with the board context of a meeting's matched item, whatever tier decided:
+    matched (id, item), items (item, owner, stage)."""
+    return routed.join(matched.select("id", "item").join(items, "item", "left"), "id", "left")
+
+
 def exactly_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left rows joined to right where a key has one right row, no more."""
     single = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("target").alias("target")).filter("__n = 1").drop("__n")

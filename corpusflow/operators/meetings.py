@@ -223,7 +223,16 @@ def call_records(calls: DataFrame) -> DataFrame:
     section = "array<struct<title:string,items:array<struct<text:string>>>>"
     marks = F.coalesce(F.try_variant_get("call", "$.content.highlights", section), _none(section))
     of = lambda keep: F.filter(F.flatten(F.transform(F.filter(marks, lambda s: keep(F.coalesce(s["title"], F.lit("")).rlike("(?i)next step|action item"))), lambda s: F.transform(F.coalesce(s["items"], _none("array<struct<text:string>>")), lambda i: F.trim(i["text"])))), filled)
+    parts = F.coalesce(F.try_variant_get("call", "$.content.outline", "array<struct<section:string,startTime:bigint,items:array<struct<text:string>>>>"), _none("array<struct<section:string,startTime:bigint,items:array<struct<text:string>>>>"))
+    outline = F.transform(parts, lambda s: F.struct(F.coalesce(F.nullif(F.trim(s["section"]), F.lit("")), F.lit("Section")).alias("section"), F.coalesce(s["startTime"], F.lit(0)).alias("start"), F.filter(F.transform(F.coalesce(s["items"], _none("array<struct<text:string>>")), lambda i: F.trim(i["text"])), filled).alias("items")))
+    topic, tracker = "array<struct<name:string,duration:bigint>>", "array<struct<name:string,count:bigint>>"
+    topics = F.array_distinct(F.filter(F.transform(F.filter(F.coalesce(F.try_variant_get("call", "$.content.topics", topic), _none(topic)), lambda t: F.coalesce(t["duration"], F.lit(1)) > 0), lambda t: F.trim(t["name"])), filled))
+    trackers = F.transform(F.filter(F.coalesce(F.try_variant_get("call", "$.content.trackers", tracker), _none(tracker)), lambda t: filled(t["name"]) & (t["count"] > 0)), lambda t: F.concat(t["name"], F.lit(" ("), t["count"].cast("string"), F.lit(")")))
+    context = "array<struct<objects:array<struct<objectType:string,fields:array<struct<name:string,value:string>>>>>>"
+    objects = F.flatten(F.transform(F.coalesce(F.try_variant_get("call", "$.context", context), _none(context)), lambda c: c["objects"]))
+    accounts = F.array_distinct(F.flatten(F.transform(F.filter(objects, lambda o: F.lower(o["objectType"]) == "account"), lambda o: F.transform(F.filter(o["fields"], lambda f: (F.lower(f["name"]) == "name") & filled(f["value"])), lambda f: F.trim(f["value"])))))
     rows = calls.select(
+        outline.alias("outline"), topics.alias("topics"), trackers.alias("trackers"), F.coalesce(accounts, _none()).alias("accounts"), F.trim(F.coalesce(get("$.content.callOutcome.name"), F.lit(""))).alias("outcome"),
         call_id.alias("id"), start.alias("start"), F.coalesce(get("$.metaData.title", "$.title"), F.lit("(untitled call)")).alias("title"), get("$.metaData.duration", "$.duration").try_cast("long").alias("duration"), get("$.metaData.url", "$.url").alias("url"),
         F.coalesce(F.try_variant_get("call", "$.metaData.isPrivate", "boolean"), F.lit(False)).alias("private"), F.array_distinct(F.filter(F.transform(people, lambda p: F.trim(p["name"])), filled)).alias("participants"),
         F.array_sort(F.array_distinct(F.filter(F.transform(people, email), filled))).alias("emails"), sided("Internal").alias("internal"), sided("External").alias("external"),
@@ -232,6 +241,36 @@ def call_records(calls: DataFrame) -> DataFrame:
     return rows.filter("id is not null and start is not null").withColumn("has_content", (F.col("brief") != "") | (F.size("points") > 0) | (F.size("highlights") > 0) | (F.size("steps") > 0))
 
 
+def call_segments(calls: DataFrame) -> DataFrame:
+    """calls (id, monologues: variant, names: map of speaker ids) -> (id, pos, start, speaker, text): a row a
+    monologue that says something, from its first sentence's second. Monologues may stand in a list,
+    in a transcript, or in an answer with those of many calls."""
+    kind = "array<struct<speakerId:string,sentences:array<struct<start:bigint,text:string>>>>"
+    own = F.filter(F.try_variant_get("monologues", "$.callTranscripts", "array<variant>"), lambda t: F.try_variant_get(t, "$.callId", "string") == F.col("id"))
+    whole = F.coalesce(F.try_variant_get("monologues", "$", kind), F.try_variant_get(F.try_element_at(own, F.lit(1)), "$.transcript", kind), F.try_variant_get("monologues", "$.transcript", kind))
+    rows = calls.select("id", "names", F.posexplode(whole).alias("pos", "m"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("m.sentences", lambda s: F.coalesce(s["text"], F.lit(""))), " "), r"\s+", " "))
+    start = F.floor(F.coalesce(F.try_element_at("m.sentences", F.lit(1))["start"], F.lit(0)) / 1000)
+    return rows.select("id", "pos", start.alias("start"), F.coalesce(F.try_element_at("names", F.col("m.speakerId")), F.lit(transcripts.UNKNOWN)).alias("speaker"), text.alias("text")).filter("text <> ''")
+
+
+def merge_calls(calls: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """calls (id, ordinal, transcript, ...), given (id, transcript) -> (one call an id: the later one, which
+    never loses a transcript, with a given one before its own; the given ones that no call has)."""
+    from .segments import later_wins
+
+    one = later_wins(calls, "id", "ordinal", "transcript")
+    named = given.groupBy("id").agg(F.max("transcript").alias("__t"))
+    return one.join(named, "id", "left").withColumn("transcript", F.coalesce("__t", "transcript")).drop("__t"), named.join(one.select("id"), "id", "left_anti").withColumnRenamed("__t", "transcript")
+
+
+def spoken_lines(files: DataFrame) -> DataFrame:
+    """files (id, text: WebVTT) -> (id, pos, line): Name: text, consecutive cues of one speaker as one."""
+    from .segments import speaker_islands
+
+    return speaker_islands(transcripts.vtt(files)).select("id", F.col("island").alias("pos"), F.concat("speaker", F.lit(": "), "text").alias("line"))
+
+
 def valid_name(c: Column) -> Column:
     """Whether a turn's speaker may be a name: six words at most, a letter first."""
     c = F.trim(c)

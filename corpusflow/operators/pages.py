@@ -35,14 +35,15 @@ def table_row(*cells: Column) -> Column:
 
 
 def patterns_report(ranked: DataFrame, order: list) -> DataFrame:
-    """ranked patterns (slug, items, source_list, first, latest), a few hundred at most -> one
-    row, the report; payloads.report_rows reads it again."""
+    """ranked patterns (slug, items, source_list, first, latest, and variants, if there are some), a few
+    hundred at most -> one row, the report; payloads.report_rows reads it again."""
     from pyspark.sql.window import Window as W
 
     numbered = ranked.withColumn("n", F.row_number().over(W.orderBy(*order)))
-    row = table_row(F.col("n"), F.concat(F.lit("`"), "slug", F.lit("`")), F.col("items"), F.array_join("source_list", ", "), F.col("first"), F.col("latest"))
+    words = F.col("variants") if "variants" in ranked.columns else F.array(T.title_case(F.col("slug")))
+    row = table_row(F.col("n"), F.array_join(F.slice(words, 1, 3), "; "), F.col("first"), F.col("latest"), F.col("items"), F.array_join("source_list", ", "), F.concat(F.lit("`"), "slug", F.lit("`")))
     rows = numbered.select("n", row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("n", "row"))).alias("rows"))
-    head = "| # | Pattern | Items | Sources | First | Latest |\n|---|---|---|---|---|---|\n"
+    head = "| # | Keywords | First | Latest | Items | Sources | Slug |\n|---|---|---|---|---|---|---|\n"
     return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n")).alias("report"))
 
 

@@ -97,6 +97,11 @@ def project_slug(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, "^-+", ""), F.lit("/"), F.lit("-"))
 
 
+def project_path(c: Column) -> Column:
+    """-home-me-proj -> /home/me/proj."""
+    return F.concat(F.lit("/"), F.replace(F.regexp_replace(c, "^-+", ""), F.lit("-"), F.lit("/")))
+
+
 def column_rows(items: DataFrame, columns: str = "columns", most: int = 200) -> DataFrame:
     """items (id, columns: map) -> (id, name, value): filled columns, values cut to most."""
     rows = items.select("id", F.explode(columns).alias("name", "value"))

@@ -407,7 +407,7 @@ def sidecar_files(spark, sf_dir):
 @query("""SELECT doc_id AS id, 'plan-' || doc_id AS slug, doc_id % 50 + 1 AS items, 'a,b' AS sources, DATE '2024-01-01' AS first, DATE '2024-01-09' AS latest FROM documents""")
 def report_rows(spark, sf_dir):
     d = F.col("doc_id")
-    text = F.concat(F.lit("| # | Pattern |\n|---|---|\n| 1 | `plan-"), d, F.lit("` | "), d % 50 + 1, F.lit(" | a, b | 2024-01-01 | 2024-01-09 |\nother"))
+    text = F.concat(F.lit("| # | Keywords |\n|---|---|\n| 1 | Plan; x | 2024-01-01 | 2024-01-09 | "), d % 50 + 1, F.lit(" | a, b | `plan-"), d, F.lit("` | x |\nother"))
     rows = view(spark, sf_dir, "documents").select(d.alias("id"), F.explode(payloads.report_rows(text)).alias("r"))
     return rows.select("id", "r.slug", F.col("r.items").cast("long").alias("items"), F.array_join("r.sources", ",").alias("sources"), "r.first", "r.latest")
 

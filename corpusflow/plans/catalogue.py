@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """The modules that register queries of their own."""
-    from . import capture, knowledge  # noqa: F401
+    from . import capture, knowledge, reporting  # noqa: F401
 
 
 def queries() -> dict:

@@ -122,6 +122,7 @@ def sidecars(files: DataFrame, extensions: tuple[str, ...] = ("vtt", "txt", "md"
 
 def report_rows(report: Column) -> Column:
     """Rows of a patterns table in markdown: array of (slug, items, sources, first, latest)."""
-    row = r"(?m)^\|\s*\d+\s*\|\s*`?([a-z0-9-]+)`?\s*\|\s*(\d+)\s*\|\s*([^|]*?)\s*\|\s*(\d{4}-\d{2}-\d{2})\s*\|\s*(\d{4}-\d{2}-\d{2})\s*\|"
-    got = [F.regexp_extract_all(report, F.lit(row), F.lit(i)) for i in range(1, 6)]
-    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(got, ("slug", "items", "sources", "first", "latest"), strict=True)]), lambda r: F.struct(r["slug"].alias("slug"), r["items"].cast("int").alias("items"), F.split(r["sources"], r",\s*").alias("sources"), r["first"].cast("date").alias("first"), r["latest"].cast("date").alias("latest")))
+    row = r"(?m)^\|\s*\d+\s*\|[^|]*\|\s*(\d{4}-\d{2}-\d{2})\s*\|\s*(\d{4}-\d{2}-\d{2})\s*\|\s*(\d+)\s*\|\s*([^|]*?)\s*\|\s*`([a-z0-9-]+)`\s*\|"
+    names = ("first", "latest", "items", "sources", "slug")
+    got = [F.regexp_extract_all(report, F.lit(row), F.lit(i)).alias(n) for i, n in enumerate(names, 1)]
+    return F.transform(F.arrays_zip(*got), lambda r: F.struct(r["slug"].alias("slug"), r["items"].cast("int").alias("items"), F.split(r["sources"], r",\s*").alias("sources"), r["first"].cast("date").alias("first"), r["latest"].cast("date").alias("latest")))

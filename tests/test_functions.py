@@ -251,3 +251,55 @@ def test_stream_ledger(spark, tmp_path):
         q.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).start().awaitTermination()
         assert sorted(got) == ([("a", 1), ("b", 1)] if i == 0 else [("a", 2)])
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_reports(spark):
+    from corpusflow.operators import knowledge, reports
+
+    frame = spark.createDataFrame
+    notes = frame([(f"20 - P/{i}.md", "20 - P", dt.date(2024, 1, i), f"#thread/{t}") for i, t in enumerate(("alpha-beta", "alpha-beta", "alpha-beta", "thin-one", "done-it"), 1)], "rel string, source string, note_date date, text string")
+    found = knowledge.lint(notes, frame([("done-it", "1")], "slug string, evidence_count string"), frame([("gamma-alpha", None)], "slug string, evidence_count string"), frame([("alphabeta",)], "slug string"), most_pairs=0)
+    text = reports.lint_report(found, "2024-02-01").first().report
+    assert text.startswith("---\ntype: dashboard-wiki-lint\n") and "| `alpha-beta` | 3 | 20 - P |" in text and "| `thin-one` | 1 |" in text and "- alpha-beta / alphabeta" in text and "- `done-it` (1)" in text
+    assert "more_" in text and "| hollow | 2 |" in text
+    slugs = frame([("a-b", ["gmail", "slack"], 3, "2024-01-01", "2024-01-02", "concept", "person")], "slug string, source_list array<string>, items int, first string, latest string, target string, guard string")
+    queue = reports.review_queue(slugs.limit(0), slugs, slugs, slugs, slugs, "2024-02-01", "plan").first().report
+    assert "- _(none this run)_" in queue and "- `a-b` · sources: gmail, slack" in queue and "| `a-b` | gmail, slack | 3 | 2024-01-01 → 2024-01-02 | concept |" in queue and "**person** (add to CRM instead)" in queue
+
+
+def test_vocabulary_is_strict():
+    from corpusflow.operators import knowledge
+
+    assert knowledge.vocabulary(["# c", "a-b:", "  include: ['x y', z]"]) == {"a-b": {"include": ["x y", "z"], "exclude": []}} and knowledge.word_list(["Ada # x", "", "#"]) == {"ada"}
+    for bad in (["a-b"], ["  include: [x]"], ["a:", "  include: x"], ["a:", "  other: [x]"]):
+        with pytest.raises(ValueError):
+            knowledge.vocabulary(bad)
+
+
+def test_unfinished_deltas_are_not_read(spark, tmp_path):
+    from corpusflow.streaming import ingest
+
+    each = ingest.upsert_into(spark, f"file://{tmp_path}/t", "id", "stamp")
+    for n, rows in enumerate([[(1, "a"), (2, "a")], [(2, "b"), (3, "a"), (3, "a")], [(1, "a")]]):
+        each(spark.createDataFrame(rows, "id long, stamp string"), n)
+    assert sorted(map(tuple, ingest.latest(spark, f"file://{tmp_path}/t", "id").collect())) == [(1, "a"), (2, "b"), (3, "a")]
+    assert spark.read.parquet(f"file://{tmp_path}/t/v=1").count() == 2 and spark.read.schema("id long, stamp string").parquet(f"file://{tmp_path}/t/v=2").count() == 0
+    (tmp_path / "t" / "v=1" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, ingest.latest(spark, f"file://{tmp_path}/t", "id").collect())) == [(1, "a"), (2, "a")]
+
+
+def test_sqlite_takes_predicates(spark, tmp_path):
+    from corpusflow.sources import readers
+
+    path = str(tmp_path / "p" / "h.db")
+    (tmp_path / "p").mkdir()
+    with sqlite3.connect(path) as db:
+        db.execute("create table history (id integer, app text, date real)")
+        db.executemany("insert into history values (?, ?, ?)", [(i, f"a{i % 3}", i / 2) for i in range(100)])
+    db.close()
+    assert readers.discover([str(tmp_path / "none"), str(tmp_path)], "h.db") == path and readers.discover([str(tmp_path)], "x.db") is None
+    readers.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("sqlite_file").options(path=path, table="history", partitions="3").load().filter("id >= 10 and app = 'a1' and date < 20 and id % 2 = 0")
+    assert sorted(r.id for r in rows.collect()) == [i for i in range(10, 40) if i % 3 == 1 and i % 2 == 0]
+    assert "PushedFilters: []" not in rows._jdf.queryExecution().toString()
