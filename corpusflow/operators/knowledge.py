@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import blocks
 from ..sources import frontmatter as fm
 from . import emergence, people as P
 from . import search as S
@@ -66,11 +67,13 @@ def gather_raw(notes: DataFrame, terms: DataFrame) -> DataFrame:
     """notes (path, source, title, body, date, mtime), terms as of thread_patterns -> (thread, path, source,
     date, title, excerpt, mtime, rank): raw notes that name a thread in their title or the first
     characters of their body and none of its excluded terms; the newest five of each source, the
-    newest twenty of all. Threads are a configuration of a few hundred rows, tried on each note."""
-    window = T.term_window(F.col("title"), F.col("body"), RAW_WINDOW)
-    rows = notes.withColumn("__w", window).join(F.broadcast(thread_patterns(terms)), F.expr("__w rlike yes and (no is null or not __w rlike no)"))
-    rows = rows.select("thread", "path", "source", "date", "title", T.excerpt(F.col("body"), RAW_EXCERPT).alias("excerpt"), "mtime")
-    return threads.top_evidence(rows)
+    newest twenty of all. Threads are a configuration, tried on each note in blocks of a bounded size."""
+    window, out = T.term_window(F.col("title"), F.col("body"), RAW_WINDOW), None
+    for part in blocks(thread_patterns(terms)):
+        rows = notes.withColumn("__w", window).join(part, F.expr("__w rlike yes and (no is null or not __w rlike no)"))
+        rows = rows.select("thread", "path", "source", "date", "title", T.excerpt(F.col("body"), RAW_EXCERPT).alias("excerpt"), "mtime")
+        out = rows if out is None else out.unionByName(rows)
+    return threads.top_evidence(out)
 
 
 def gather_para(notes: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -196,13 +199,13 @@ def discover_threads(notes: DataFrame, folders: Iterable[str]) -> DataFrame:
 
 def project_mentions(notes: DataFrame, clients: DataFrame, root: str = "20 - Projects/Clients") -> DataFrame:
     """notes (id, rel, project), clients (entity) -> (id, entity): a client's folder is in the path, or its
-    id inside the project. Ids in a project are found by its runs of word characters, an equi join, and
-    then as they are, so that an id of several words or within a word counts too."""
+    id inside the project. Clients are folders, held against the distinct projects in blocks."""
     below = F.regexp_extract("rel", rf"(?:^|/){root}/([^/]+)/", 1)
     by_path = notes.select("id", below.alias("entity")).filter("entity <> ''").join(clients.select("entity"), "entity", "left_semi")
-    asked = notes.filter("project <> ''").select("project").distinct()
-    inside = asked.join(F.broadcast(clients.select("entity")), F.contains("project", F.col("entity")))  # clients are folders
-    return by_path.select("id", "entity").union(notes.join(inside, "project").select("id", "entity")).distinct()
+    asked, out = notes.filter("project <> ''").select("project").distinct(), by_path.select("id", "entity")
+    for part in blocks(clients.select("entity")):
+        out = out.union(notes.join(asked.join(part, F.contains("project", F.col("entity"))), "project").select("id", "entity"))
+    return out.distinct()
 
 
 # --- guards ------------------------------------------------------------------------------

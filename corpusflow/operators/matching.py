@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import small
+
 
 def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "source") -> DataFrame:
     """left (id, start), right (source, id, start) -> (id, source, match, gap): for each
@@ -32,14 +34,17 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "l
     the sequential pass runs island by island."""
     l = left.select(F.lit(0).alias("side"), "id", F.unix_timestamp("start").alias("t"), "ordinal")  # noqa: E741
     rows = l.unionByName(right.select(F.lit(1).alias("side"), "id", F.unix_timestamp("start").alias("t"), F.lit(0).cast("long").alias("ordinal"))).filter("t is not null")
-    # islands in two levels: inside a coarse span, then spans that touch are chained by their edges
+    # islands in two levels: inside a coarse span, then the edges of spans that touch are chained
     span = F.floor(F.col("t") / (seconds * 1000))
     rows = rows.withColumn("span", span)
     near = W.partitionBy("span").orderBy("t")
     rows = rows.withColumn("cut", F.when(F.col("t") - F.lag("t").over(near) > seconds, 1).otherwise(0)).withColumn("part", F.sum("cut").over(near.rowsBetween(W.unboundedPreceding, 0)))
     parts = rows.groupBy("span", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    whole = W.orderBy("lo")  # a row for each island, not for each record
-    parts = parts.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(whole) > seconds, 1).otherwise(0)).withColumn("island", F.sum("new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
+    ends = parts.groupBy("span").agg(F.min("part").alias("a"), F.max("part").alias("z"))
+    edges = parts.join(ends, "span").filter("part = a or part = z").select("span", "part", "lo", "hi")
+    whole = W.orderBy("lo")  # two rows a span: bounded by the time that is covered, not by the records
+    chained = edges.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(whole) > seconds, 1).otherwise(0)).withColumn("chain", F.sum("new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
+    chained = chained.withColumn("g", F.min("span").over(W.partitionBy("chain"))).select("span", "part", "g")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         free = pdf[pdf.side == 1].sort_values(["t", "id"])
@@ -54,8 +59,8 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "l
                 out.append((x.id, match))
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    # islands never meet, so a group may hold many of them
-    grouped = rows.join(parts.select("span", "part", "island"), ["span", "part"]).select(F.floor(F.col("island") / 256).alias("g"), "side", "id", "t", "ordinal")
+    # islands never meet, so a group may hold many of them: a span's, and those chained to its first
+    grouped = rows.join(chained, ["span", "part"], "left").select(F.coalesce("g", "span").alias("g"), "side", "id", "t", "ordinal")
     return grouped.groupBy("g").applyInPandas(run, f"left_id {kind}, right_id {kind}")
 
 
@@ -70,8 +75,8 @@ def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:
 def route(items: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """items (id, kind, value, pos), any number for each id; rules (tier, ordinal, kind,
     value, folder) -> (id, tier, folder). The least tier anywhere wins, then the rule's place;
-    an item without a match gets default and tier null. Rules are configuration: broadcast."""
-    hits = items.join(F.broadcast(rules), ["kind", "value"]).select("id", "tier", "ordinal", "folder")
+    an item without a match gets default and tier null. Few rules are broadcast, many shuffle."""
+    hits = items.join(small(rules), ["kind", "value"]).select("id", "tier", "ordinal", "folder")
     best = first_match(hits, "id", "tier", "ordinal")
     return items.select("id").distinct().join(best, "id", "left").select("id", "tier", F.coalesce("folder", F.lit(default)).alias("folder"))
 

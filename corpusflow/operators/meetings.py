@@ -114,10 +114,10 @@ def speakers(segments: Column) -> Column:
 
 
 def with_segments(rows: DataFrame, key: str = "id", text: str = "vtt") -> DataFrame:
-    """rows with segments and cue_end out of WebVTT text, if it has any. Rows of one key and one
-    text share them."""
+    """rows with segments and cue_end out of a transcript's text, if it has any. Rows of one text
+    share them."""
     files = rows.select(F.xxhash64(text).alias("__t"), F.col(text).alias("text")).filter("text is not null").distinct()
-    cues = transcripts.vtt(files.select(F.col("__t").alias("id"), "text"))
+    cues = transcripts.any_text(files.select(F.col("__t").alias("id"), "text"))
     got = cues.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "start", "speaker", "text"))), lambda s: F.struct(s["start"].alias("start"), s["speaker"].alias("speaker"), s["text"].alias("text"))).alias("segments"), F.max("end").alias("cue_end"))
     return rows.withColumn("__t", F.xxhash64(text)).join(got.withColumnRenamed("id", "__t"), "__t", "left").drop("__t").withColumn("segments", F.coalesce(F.col("segments").cast(SEGMENTS), _none(SEGMENTS)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..session import blocks
 
 #: Local parts that are no person.
 ROLES = ("accounting", "billing", "support", "info", "hello", "team", "admin", "office", "sales", "contact", "noreply", "no-reply")
@@ -66,9 +67,13 @@ def prefix_match(companies: DataFrame, entities: DataFrame, least: int = 4) -> D
 
 
 def seed_matches(texts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """texts (id, text), seeds (entity, pattern) -> (id, entity): seeds is a configuration of
-    a few hundred rows at most, so it is broadcast and tried on each text."""
-    return texts.join(F.broadcast(seeds), F.expr("text rlike pattern")).select("id", "entity").distinct()
+    """texts (id, text), seeds (entity, pattern) -> (id, entity): seeds are a configuration, tried on
+    each text in blocks of a bounded size."""
+    out = None
+    for part in blocks(seeds.select("entity", "pattern")):
+        hit = texts.join(part, F.expr("text rlike pattern")).select("id", "entity")
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct()
 
 
 def entity_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:

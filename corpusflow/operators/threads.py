@@ -135,7 +135,8 @@ def duplicate_slugs(slugs: DataFrame) -> DataFrame:
 
 def token_overlap(slugs: DataFrame, generic: tuple[str, ...] = T.GENERIC_TOKENS) -> DataFrame:
     """slugs (slug) -> (a, b, shared): pairs a < b that share tokens; joined on the tokens,
-    so only pairs that share one are made."""
+    so only pairs that share one are made. The answer is all such pairs: a token that n slugs share
+    gives n squared / 2 of them, which ``generic`` tokens are there to prevent."""
     rep = slugs.groupBy(T.fuzzy_key(F.col("slug")).alias("key")).agg(F.min("slug").alias("slug"))
     t = rep.select("slug", F.explode(T.tokens(F.col("slug"), generic)).alias("token"))
     pairs = t.select(F.col("slug").alias("a"), "token").join(t.select(F.col("slug").alias("b"), "token"), "token").filter("a < b")

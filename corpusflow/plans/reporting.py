@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
 from ..operators import audit, knowledge, matching, meetings, records, reports, segments, threads
+from ..session import arrow_uri, shared_dir
 from ..sources import frontmatter as fm
 from ..sources import notes as N
+from ..sources import payloads, transcripts
 from ..sources.views import view
 from .catalogue import query
 
@@ -160,3 +164,68 @@ def capped_worklist(spark, sf_dir):
 @query("""SELECT c_custkey AS id, 'A b' AS month, DATE '2024-03-04' AS day, 'my-book-1' AS book, 'ab…' AS clip FROM customer""")
 def small_texts(spark, sf_dir):
     return view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("A b").alias("month"), T.month_line(F.when(F.col("c_custkey") % 2 == 0, "Mar 4, 2024").otherwise("Mar 4, 2024 ")).alias("day"), T.book_slug(F.lit(" My Book: 1!")).alias("book"), T.clip(F.lit(" abcd "), 3).alias("clip"))
+
+
+# --- files -------------------------------------------------------------------------------------------
+
+
+def _folder(spark, files, name: str) -> str:
+    """files (rel, text) as a folder of the shared one, each row a file of its own."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    uri = arrow_uri(spark, root)
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for rel, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.create_dir(f"{top}/{rel}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{top}/{rel}") as f:
+                    f.write(text.encode())
+            yield batch
+
+    files.select("rel", "text").mapInArrow(run, "rel string, text string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("SELECT rel, CASE WHEN rel LIKE 'raw/%' THEN source ELSE folder END AS source, note_date AS day, stem AS title FROM v_notes")
+def vault_scan(spark, sf_dir):
+    """All documents as files of a vault, among others that a scan leaves out."""
+    vault = view(spark, sf_dir, "v_notes").select("rel", "text")
+    odd = _frame(spark, [(r, "x") for r in ("raw/README.md", ".obsidian/a.md", "raw/.hidden.md", "raw/a.txt", "90 - Attachments/b.md", "AGENTS.md")], "rel string, text string")
+    notes = N.scan(spark, _folder(spark, vault.unionByName(odd), "vault"), attachments="90 - Attachments", root_files=("AGENTS.md",))
+    return notes.select("rel", N.source_of(F.col("rel")).alias("source"), N.note_date(F.col("fm"), F.col("mtime")).alias("day"), "title")
+
+
+@query("SELECT 's' || conv_id AS session, count(*) FILTER (role IN ('user', 'assistant')) AS turns FROM conversations GROUP BY conv_id")
+def session_files(spark, sf_dir):
+    line = F.to_json(F.expr("named_struct('type', role, 'content', text)"))
+    rows = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda p: p["x"]), "\n").alias("text"))
+    root = _folder(spark, rows.select(F.concat(F.lit("p/s"), "conv_id", F.lit(".jsonl")).alias("rel"), "text"), "sessions")
+    return payloads.session_lines(spark, root).groupBy("session").agg(F.count_if(F.col("role").isin("user", "assistant")).alias("turns"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '{bad' END AS error, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS name FROM customer")
+def json_files(spark, sf_dir):
+    files = view(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey"), F.lit(".json")).alias("rel"), F.when(F.col("c_custkey") % 2 == 0, "{bad").otherwise(F.to_json(F.struct(F.col("c_name").alias("title")))).alias("text"))
+    got = payloads.json_files(spark, _folder(spark, files, "json"))
+    return got.select(F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("id"), F.when(F.col("error").isNotNull(), "{bad").alias("error"), payloads.first_of(F.col("value"), ["$.name", "$.title"]).alias("name"))
+
+
+@query("SELECT conv_id AS id, turn, CASE WHEN conv_id % 2 = 0 THEN 'refined' ELSE 'live' END AS source, CASE WHEN role = 'user' THEN 'Ada' ELSE 'Speaker 2 (remote)' END AS speaker FROM conversations")
+def ndjson_transcripts(spark, sf_dir):
+    """Both files of even conversations say something; the refined one of odd ones has a header alone."""
+    line = F.to_json(F.expr("named_struct('text', concat('t', turn), 'speaker', named_struct('id', if(role = 'user', 1, 1001), 'name', '', 'source', 'mic'))"))
+    rows = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    head = F.lit('{"meta": {}}\nno json\n{"text": " "}\n')
+    files = rows.select(F.col("conv_id").alias("id"), F.lit("live").alias("source"), F.concat(head, "text").alias("text")).union(rows.select("conv_id", F.lit("refined"), F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise(head)))
+    names = transcripts.speaker_map(F.lit('{"people": {"u": {"name": " Ada "}}, "assignments": {"1": {"consensus": "", "mic": "u"}, "1001": {}}}'))
+    found = transcripts.ndjson(files)
+    return found.select("id", F.substring("text", 2, 9).cast("long").alias("turn"), "source", F.coalesce(F.try_element_at(names, "speaker_id"), transcripts.speaker_label(F.col("speaker_id"), F.col("name"), F.col("side"))).alias("speaker"))
+
+
+@query("SELECT c_custkey AS id, unnest([0, 1]) AS pos, unnest(['Ada', 'Unknown speaker']) AS speaker, unnest(['hi', 'x y']) AS text, unnest([CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 2 END])::BIGINT AS start FROM customer")
+def transcript_dispatch(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 2 == 0, "WEBVTT\nAda: hi\n\nx y").otherwise("WEBVTT\n\n00:01.000 --> 00:02.000\nAda: hi\n\n00:02.000 --> 00:03.000\nx y\n")
+    return transcripts.any_text(view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"))).select("id", "pos", "speaker", "text", "start")

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch: by rows alone, batches of long texts would fill a worker.
@@ -58,3 +59,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(where.getParent())
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most; else as it is, and the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def blocks(df: DataFrame, rows: int = 1000) -> list[DataFrame]:
+    """df, a configuration that is tried on every row of a table, as frames of so many rows at most,
+    each to be broadcast."""
+    kept = df.collect()
+    parts = [kept[i : i + rows] for i in range(0, len(kept), rows)] or [[]]
+    return [F.broadcast(df.sparkSession.createDataFrame(part, df.schema)) for part in parts]
+
+
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """path in the shared folder as pyarrow names it; ``spark.corpusflow.arrow.dir`` is its own name of
+    that folder, where it differs from Hadoop's by more than the scheme."""
+    own = spark.conf.get("spark.corpusflow.arrow.dir", None)
+    if own:
+        return own.rstrip("/") + path.removeprefix(shared_dir(spark))
+    scheme, sep, rest = path.partition("://")
+    return {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + sep + rest

@@ -43,6 +43,24 @@ def vtt_duration(files: DataFrame) -> DataFrame:
     return vtt(files).groupBy("id").agg(F.max("end").alias("seconds"))
 
 
+def plain(files: DataFrame) -> DataFrame:
+    """files (id, text) without cues -> (id, pos, start, end, speaker, text), a row a line: Name: text with
+    a name of six words and 60 characters at most, else an unknown speaker; all at the start."""
+    line = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    rows = files.select("id", F.posexplode(F.filter(F.transform(line, lambda x: F.trim(x)), lambda x: (x != "") & (F.upper(x) != "WEBVTT"))).alias("pos", "x"))
+    name = F.substring_index("x", ": ", 1)
+    rest = F.trim(F.regexp_replace("x", r"^.*?: ", ""))
+    named = F.contains("x", F.lit(": ")) & (rest != "") & (F.length(name) <= 60) & (F.size(F.split(F.trim(name), r"\s+")) <= 6)
+    zero = F.lit(0).cast("long")
+    return rows.select("id", "pos", zero.alias("start"), zero.alias("end"), F.when(named, F.trim(name)).otherwise(F.lit(UNKNOWN)).alias("speaker"), F.when(named, rest).otherwise(F.col("x")).alias("text"))
+
+
+def any_text(files: DataFrame) -> DataFrame:
+    """files (id, text) -> (id, pos, start, end, speaker, text): WebVTT where there are cues, else lines."""
+    cued = F.contains("text", F.lit("-->"))
+    return vtt(files.filter(cued)).unionByName(plain(files.filter(~cued & (F.trim("text") != ""))))
+
+
 #: The shapes of a turn's first line in a transcript pasted as text.
 TURNS = (
     r"^\[?((?:\d+:)?\d+:\d{2})\]?\s*[-–|]?\s*([^:\n]{1,60}):\s*(.*)$",
@@ -106,6 +124,32 @@ def tabs(files: DataFrame, pattern: str = r"^# (.+)$") -> DataFrame:
     return got.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).filter("title is not null or body <> ''")
 
 
+def ndjson(files: DataFrame) -> DataFrame:
+    """files (id, source, text: JSON lines) -> (id, source, line, speaker_id, name, start, text) of each id's
+    preferred source that says something: refined before live. Headers (meta), blank texts and lines that
+    are no JSON are left out."""
+    rows = files.select("id", "source", F.posexplode(F.split("text", "\n")).alias("line", "x")).withColumn("v", F.try_parse_json("x"))
+    get = lambda p, t="string": F.try_variant_get("v", p, t)
+    rows = rows.select("id", "source", "line", get("$.speaker.id").alias("speaker_id"), F.nullif(F.trim(get("$.speaker.name")), F.lit("")).alias("name"), get("$.speaker.source").alias("side"), get("$.start", "double").alias("start"), F.trim(get("$.text")).alias("text"))
+    return prefer(rows.filter("text <> ''"), "id", "source", ["refined", "live"])
+
+
+def speaker_label(speaker_id: Column, name: Column, side: Column) -> Column:
+    """A segment's own name, else Speaker n: ids from 1000 on are the far side's."""
+    n = speaker_id.try_cast("long")
+    return F.coalesce(name, F.when(n >= 1000, F.format_string("Speaker %d (remote)", n - 999)).when(side == "mic", F.concat(F.lit("Speaker "), speaker_id, F.lit(" (mic)"))), F.concat(F.lit("Speaker "), speaker_id), F.lit("Speaker ?"))
+
+
+def speaker_map(c: Column) -> Column:
+    """A speaker map's JSON as id -> name: of each assignment the person by consensus, the user, the
+    microphone or the model, in this order."""
+    v = F.try_parse_json(c)
+    people = F.coalesce(F.try_variant_get(v, "$.people", "map<string, struct<name:string>>"), F.create_map().cast("map<string, struct<name:string>>"))
+    given = F.coalesce(F.try_variant_get(v, "$.assignments", "map<string, struct<consensus:string,user:string,mic:string,llm:string>>"), F.create_map().cast("map<string, struct<consensus:string,user:string,mic:string,llm:string>>"))
+    who = lambda _, a: F.trim(F.try_element_at(people, F.coalesce(*[F.nullif(a[k], F.lit("")) for k in ("consensus", "user", "mic", "llm")], F.lit("")))["name"])
+    return F.map_filter(F.transform_values(given, who), lambda _, n: F.coalesce(n, F.lit("")) != "")
+
+
 def prefer(rows: DataFrame, key: str, source: str, order: list[str]) -> DataFrame:
     """The rows of each key's preferred source: the first of order that it has."""
     rank = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(source))

@@ -303,3 +303,18 @@ def test_sqlite_takes_predicates(spark, tmp_path):
     rows = spark.read.format("sqlite_file").options(path=path, table="history", partitions="3").load().filter("id >= 10 and app = 'a1' and date < 20 and id % 2 = 0")
     assert sorted(r.id for r in rows.collect()) == [i for i in range(10, 40) if i % 3 == 1 and i % 2 == 0]
     assert "PushedFilters: []" not in rows._jdf.queryExecution().toString()
+
+
+def test_configs(spark):
+    from corpusflow.sources import configs
+
+    mail = ["# c", "label_routes:", '  - { label: "A, B/c", route: "r1" }', '  - {label: "", route: x}', "domain_routes:", "  acme.example: clients/acme", "  none.example:"]
+    domains, labels = configs.mail_routes(spark, mail)
+    assert [tuple(r) for r in domains.collect()] == [("acme.example", "clients/acme")] and [tuple(r) for r in labels.collect()] == [(0, "A, B/c", "r1")]
+    routes, dm = configs.channel_routes(spark, ['dm_route: "direct"', "channel_routes:", '- { channel: "general", route: "team" }'])
+    assert dm == "direct" and [tuple(r) for r in routes.collect()] == [("general", "team")]
+    assert configs.repositories(["owner: me", "repos:", "  - name: a", "    enabled: false", "  - name: b", "    enabled: true", "  - name: c"]) == ("me", ["b", "c"])
+    boards = configs.board_routes(spark, ["other: x", "monday_routes:", "  leads:", '    folder: "20 - P"', "    tags: [a, 'b c']", "  empty:"]).collect()
+    assert [tuple(r) for r in boards] == [("leads", "20 - P", ["a", "b c"])]
+    entities, patterns, aliases = configs.seeds(spark, '{"products": [{"name": "W", "canonical_id": "w", "patterns": ["wid"]}], "client_aliases": {"aka": "c"}}')
+    assert entities.first().type == "product" and patterns.first().pattern == "(?i)wid" and aliases.count() == 1 and configs.read([]) == {}
