@@ -363,7 +363,11 @@ def nearest_within_10min(spark, sf_dir):
     return matching.nearest_within(rows.filter("source = 'signup'"), rows.filter("source <> 'signup'"), 600)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, event_type AS kind, epoch(date_trunc('second', ts))::BIGINT AS t FROM events), l AS (SELECT id, t, row_number() OVER (ORDER BY id) AS k FROM e WHERE kind = 'signup'),
+    c AS (SELECT l.k, r.id, abs(r.t - l.t) AS gap FROM l JOIN e r ON r.kind = 'purchase' AND r.t BETWEEN l.t - 120 AND l.t + 120),
+    s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS m UNION ALL
+        SELECT k + 1, CASE WHEN m IS NULL THEN used ELSE list_append(used, m) END, m FROM (SELECT s.k, s.used, arg_min(c.id, c.gap * 1000000000 + c.id) AS m FROM s LEFT JOIN c ON c.k = s.k + 1 AND NOT list_contains(s.used, c.id) WHERE s.k < (SELECT count(*) FROM l) GROUP BY s.k, s.used))
+    SELECT l.id AS left_id, s.m AS right_id FROM s JOIN l USING (k) WHERE s.m IS NOT NULL""")
 def greedy_merge(spark, sf_dir):
     rows = view(spark, sf_dir, "v_records").selectExpr("event_id as id", "source", "ts as start", "event_id as ordinal")
     return matching.greedy_pairs(rows.filter("source = 'signup'"), rows.filter("source = 'purchase'"), 120)
