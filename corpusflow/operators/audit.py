@@ -74,6 +74,18 @@ def in_week(notes: DataFrame, day: str, column: str = "note_date") -> DataFrame:
     return notes.filter(F.col(column).between(monday, F.date_add(monday, 6))).orderBy(column, "rel")
 
 
+def week_numbers(notes: DataFrame, found: DataFrame, activity: DataFrame, day: str, meeting: Column) -> DataFrame:
+    """(what, n) of the day's week: notes (rel, note_date), meetings among them, tasks (of ``tasks``) that
+    were completed, threads (of threads.activity) by state. What has none counts 0."""
+    week = in_week(notes, day)
+    parts = [week.agg(F.lit("notes").alias("what"), F.count(F.lit(1)).alias("n")), week.agg(F.lit("meetings").alias("what"), F.count_if(meeting).alias("n")), completed_in_week(found, day).agg(F.lit("tasks completed").alias("what"), F.count(F.lit(1)).alias("n"))]
+    parts += [activity.agg(F.lit(f"threads {s}").alias("what"), F.count_if(F.col("state") == s).alias("n")) for s in ("active", "stalled")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class Table:
     """TABLE ... FROM ... WHERE ... SORT ... LIMIT over a view of notes."""
 

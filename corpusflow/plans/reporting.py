@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
-from ..operators import audit, knowledge, matching, meetings, records, reports, segments, threads
+from ..operators import audit, knowledge, matching, meetings, merge, pages, records, reports, segments, threads
 from ..session import arrow_uri, shared_dir
 from ..sources import frontmatter as fm
 from ..sources import notes as N
-from ..sources import payloads, transcripts
+from ..sources import payloads, readers, transcripts
 from ..sources.views import view
+from . import catalogue
 from .catalogue import query
 
 
@@ -229,3 +230,73 @@ def ndjson_transcripts(spark, sf_dir):
 def transcript_dispatch(spark, sf_dir):
     text = F.when(F.col("c_custkey") % 2 == 0, "WEBVTT\nAda: hi\n\nx y").otherwise("WEBVTT\n\n00:01.000 --> 00:02.000\nAda: hi\n\n00:02.000 --> 00:03.000\nx y\n")
     return transcripts.any_text(view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("text"))).select("id", "pos", "speaker", "text", "start")
+
+
+_XML = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
+
+
+def _docx(paragraphs: list[str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", _XML.format("".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)))
+    return out.getvalue()
+
+
+@query("SELECT conv_id AS id, CASE WHEN conv_id % 4 = 3 THEN NULL ELSE 'Sync ' || conv_id END AS title, CASE WHEN conv_id % 4 = 3 THEN 0 ELSE count(*) END AS turns, conv_id % 4 = 3 AS failed FROM conversations GROUP BY conv_id")
+def docx_transcripts(spark, sf_dir):
+    """A DOCX file for each conversation; every fourth one is no archive, and stops nothing."""
+    rows = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    root = f"{shared_dir(spark)}/docx-{uuid.uuid4().hex}"
+    uri = arrow_uri(spark, root)
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(uri)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = [f"Sync {k}", "May 1, 2024", "25m", "Ada started transcription"] + [x for i in range(n) for x in (f"Ada Vale  0:{i % 60:02d}", f"said {i}")]
+                with store.open_output_stream(f"{top}/{k}.docx") as f:
+                    f.write(b"no archive" if k % 4 == 3 else _docx(lines))
+            yield batch
+
+    rows.mapInArrow(run, "conv_id long, n long").write.format("noop").mode("overwrite").save()
+    found = readers.docx(spark, root)
+    return found.select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("id"), "title", F.size("turns").cast("long").alias("turns"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT doc_id AS id, 'v' || doc_id AS fenced, CASE WHEN doc_id % 2 = 0 THEN 'v' || doc_id END AS loose, 'x: y' AS flat, 'last' AS probed FROM documents")
+def frontmatter_dialects(spark, sf_dir):
+    k = F.col("doc_id")
+    text = F.concat(F.lit("---\nkey: v"), k, F.lit("\nurl: x: y\n---\nurl: last\n"))
+    bare = F.concat(F.when(k % 2 == 0, "---\n").otherwise("+++\n"), F.lit("key: v"), k, F.lit("\n---"))
+    return view(spark, sf_dir, "documents").select(
+        k.alias("id"), fm.scalar(fm.parse(text), "key").alias("fenced"), fm.scalar(fm.parse(bare, "loose"), "key").alias("loose"),
+        fm.scalar(fm.parse(text, "flat"), "url").alias("flat"), F.try_element_at(fm.probe(text, ["url"]), F.lit("url")).alias("probed"),
+    )
+
+
+@query("SELECT item_id AS id, text AS question FROM benchmark UNION ALL SELECT -1, 'what next'")
+def query_log(spark, sf_dir):
+    log = view(spark, sf_dir, "benchmark").selectExpr("item_id as id", "text as question")
+    return pages.append_log(log, id=F.lit(-1), question=F.lit("what next"))
+
+
+@query(f"""WITH {catalogue._TAGS}, a AS (SELECT slug, count(DISTINCT rel) FILTER (note_date >= DATE '2024-01-14' - 7) AS files, max(note_date) AS latest FROM g GROUP BY slug), w AS (SELECT * FROM v_notes WHERE note_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')
+    SELECT 'notes' AS what, count(*) AS n FROM w UNION ALL SELECT 'meetings', count(*) FILTER (doc_id % 5 = 0) FROM w UNION ALL SELECT 'tasks completed', count(*) FROM v_notes WHERE doc_id % 3 = 1 AND note_date + 3 BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+    UNION ALL SELECT 'threads active', count(*) FILTER (files >= 2) FROM a UNION ALL SELECT 'threads stalled', count(*) FILTER (files < 2 AND latest <= DATE '2024-01-14' - 14) FROM a""")
+def week_by_the_numbers(spark, sf_dir):
+    notes = view(spark, sf_dir, "v_notes")
+    tags = notes.select("rel", F.col("note_date").alias("day"), F.explode(F.array_distinct(T.extract(F.col("text"), T.THREAD_TAG))).alias("slug"))
+    return audit.week_numbers(notes, audit.tasks(notes), threads.activity(tags, "2024-01-14"), "2024-01-14", F.col("doc_id") % 5 == 0)
+
+
+@query("SELECT '2024-01-09' AS healed, '2024-01-24' AS plain, '2024-01-02T10:00:01+00:00' AS next, 'old' AS kept, 2::BIGINT AS windows")
+def cursor_rules(spark, sf_dir):
+    """What a run leaves as its cursor, and where the next one begins."""
+    rows = [(merge.heal_window("2024-01-31", 7, "2024-01-10"), merge.heal_window("2024-01-31", 7, None), merge.next_cursor("2024-01-02T10:00:00Z", "x"), merge.next_cursor(None, "old"), len(payloads.windows("2024-01-01", "2024-02-15")))]
+    return _frame(spark, rows, "healed string, plain string, next string, kept string, windows long")
