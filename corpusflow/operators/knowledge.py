@@ -254,7 +254,7 @@ def organic(notes: DataFrame, folders: tuple[str, ...] = REGISTRY_FOLDERS, files
     inside = F.slice(parts, F.lit(1), F.size(parts) - 1)
     listed = F.arrays_overlap(inside, F.array(*[F.lit(f) for f in folders])) | F.element_at(parts, -1).isin(*files)
     made = F.map_contains_key(fm.parse(F.col("text")), "generated_by")
-    own = F.regexp_replace(F.regexp_replace("text", r"(?ms)^## Atlas morning report$.*?(?=^## |\z)", ""), r"(?ms)^### Active threads$.*?(?=^#{1,3} |\z)", "")
+    own = F.regexp_replace(F.regexp_replace("text", r"(?msi)^## (?:\w+ )?morning report$.*?(?=^## |\z)", ""), r"(?ms)^### Active threads$.*?(?=^#{1,3} |\z)", "")
     return notes.filter(~listed & ~F.coalesce(made, F.lit(False))).withColumn("text", own)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, emergence, knowledge, pages, people, records, search, threads
+from ..operators import audit, knowledge, pages, people, search
 from ..sources import frontmatter as fm
 from ..sources import notes as N
 from ..sources.views import view
@@ -149,7 +149,7 @@ def quiet_tasks(spark, sf_dir):
 def organic_threads(spark, sf_dir):
     k = F.col("doc_id") % 5
     rel = F.when(k == 0, "20 - Projects/AGENTS.md").when(k == 1, "60 - Meta/x.md").otherwise("20 - Projects/n.md")
-    text = F.concat(F.when(k == 2, "---\ngenerated_by: weekly\n---\n").otherwise("---\ntype: x\n---\n"), F.lit("## Atlas morning report\n#thread/old\n## Notes\n#thread/own-"), "doc_id", F.lit("\n### Active threads\n- #thread/older\n## End"))
+    text = F.concat(F.when(k == 2, "---\ngenerated_by: weekly\n---\n").otherwise("---\ntype: x\n---\n"), F.lit("## Our morning report\n#thread/old\n## Notes\n#thread/own-"), "doc_id", F.lit("\n### Active threads\n- #thread/older\n## End"))
     notes = knowledge.organic(view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), rel.alias("rel"), text.alias("text")))
     return notes.select("id", F.explode(T.extract(F.col("text"), T.THREAD_TAG)).alias("slug"))
 
