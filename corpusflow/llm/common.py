@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +55,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark removes the shuffle files of an execution when it ends, not when their plan is collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a
-    lost executor costs a reread instead of the work before."""
+    lost executor costs a reread instead of the work before. The shuffles that made it are
+    removed at once, since nothing reads them again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -76,15 +84,6 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished jobs now: Spark deletes them once the driver has
-    collected the plans that made them, which may otherwise take until its heap is full."""
-    for _ in range(2):  # the first round frees what holds the plans, the second one the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
