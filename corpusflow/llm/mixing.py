@@ -74,8 +74,10 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     docs as they are and draws, a column of that name replaced; no row is shuffled for it.
 
     Null source is a source of its own, last; a null or empty text has size 0 and is
-    never drawn. An empty table gives no rows. Keys should differ: rows with equal keys
-    share their place in the permutation.
+    never drawn. A very long text is drawn or not like any other: it is counted whole, and a
+    source may miss its target by its length. An empty table gives no rows. Keys should differ: rows
+    with equal keys share their place in the permutation. Other columns are looked at only with carry,
+    and pass through then.
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")

@@ -275,7 +275,9 @@ def pack(found: DataFrame, capacity: int = 2048, bands: tuple[int, ...] = BANDS,
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
     """Each piece of each document and its place. Null text counts as empty: one id.
-    Very long texts are cut, not shortened. Other columns of docs are not looked at."""
+    Very long texts are cut, not shortened. Repeated rows are packed as often as they come; equal
+    sizes go by key and piece; an empty table gives no rows. Other columns of docs are not
+    looked at."""
     found = common.materialise(pieces(docs, capacity, path), "pieces")
     return pack(found, capacity).withColumnRenamed("key", "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
