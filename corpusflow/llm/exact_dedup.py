@@ -15,8 +15,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +25,13 @@ from pyspark.sql.window import Window as W
 
 from . import common
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, digest): SHA-256 of each normalised text in UTF-8; null counts as empty."""
 
-    def run(batches):
-        for batch in batches:
-            out = [hashlib.sha256(b"" if x is None else x.translate(_LOWER)).digest() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "digest"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, digest binary")
+    low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha2(low, 256)).alias("digest"))
 
 
 def heavy(table: DataFrame, n: int, frequent: int, counters: int) -> DataFrame:
