@@ -86,14 +86,15 @@ def zone_abbreviation(utc: Column, zone: str) -> Column:
 
 
 def clock_seconds(c: Column) -> Column:
-    """h:m:s, m:s or s, aligned to the right."""
-    return F.aggregate(F.split(c, ":"), F.lit(0).cast("long"), lambda a, x: a * 60 + F.coalesce(x.try_cast("long"), F.lit(0)))
+    """h:m:s, m:s or s, aligned to the right; parts before the hours don't count."""
+    parts = F.split(c, ":")
+    last = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(3))
+    return F.aggregate(last, F.lit(0).cast("long"), lambda a, x: a * 60 + F.coalesce(x.try_cast("long"), F.lit(0)))
 
 
 def offset_text(seconds: Column) -> Column:
-    """h:mm:ss, or m:ss below an hour."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+    """hh:mm:ss."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
 
 
 def minutes_text(seconds: Column) -> Column:
@@ -102,10 +103,9 @@ def minutes_text(seconds: Column) -> Column:
 
 
 def duration(minutes: Column) -> Column:
-    """75 -> 1h 15m, 60 -> 1h, 15 -> 15m; nothing for none."""
-    h, m = F.floor(minutes / 60), minutes % 60
-    text = F.when(h == 0, F.format_string("%dm", m)).when(m == 0, F.format_string("%dh", h)).otherwise(F.format_string("%dh %dm", h, m))
-    return F.when(minutes > 0, text).otherwise(F.lit(""))
+    """75 -> 1h 15m, 60 -> 1h 00m, 15 -> 15m; nothing for none."""
+    m = F.floor(minutes)
+    return F.when(m <= 0, F.lit("")).when(m < 60, F.format_string("%dm", m)).otherwise(F.format_string("%dh %02dm", F.floor(m / 60), m % 60))
 
 
 def meeting_duration(seconds: Column, most_hours: int = 24) -> Column:
@@ -113,12 +113,6 @@ def meeting_duration(seconds: Column, most_hours: int = 24) -> Column:
     return F.when((seconds < 0) | (seconds > most_hours * 3600), F.lit("")).otherwise(duration(F.floor(seconds / 60)))
 
 
-def padded_duration(seconds: Column) -> Column:
-    """45m, 1h 05m: minutes of two digits after hours."""
-    m = F.floor(seconds / 60)
-    return F.when(m <= 0, F.lit("")).when(m < 60, F.format_string("%dm", m)).otherwise(F.format_string("%dh %02dm", F.floor(m / 60), m % 60))
-
-
 def any_epoch(c: Column) -> Column:
     """A time as milliseconds since 1970 or as ISO text, in UTC without fractions; a date alone
     stays a date. As text."""
@@ -134,8 +128,9 @@ def legacy_utc(c: Column, zone: str) -> Column:
 
 
 def short_duration(seconds: Column) -> Column:
-    """45s or 2m 5s."""
-    return F.when(seconds < 60, F.format_string("%ds", seconds)).otherwise(F.format_string("%dm %ds", F.floor(seconds / 60), seconds % 60))
+    """45.0s below two minutes, else 2m 5s; a dash for none."""
+    long = F.format_string("%dm %ds", F.floor(seconds / 60), F.floor(seconds) % 60)
+    return F.when(seconds.isNull(), "—").when(seconds < 120, F.format_string("%.1fs", seconds.cast("double"))).otherwise(long)
 
 
 def core_data(c: Column) -> Column:

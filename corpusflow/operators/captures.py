@@ -263,9 +263,7 @@ def dictations(rows: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract(ts, shape, i)
     iso = F.when(ts.rlike(shape), F.concat(part(1), F.lit("T"), part(2), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("+00:00")))).otherwise(ts)
     date = F.substring(ts, 1, 10)
-    d = F.col("duration")
-    long = F.format_string("%dm %ds", F.floor(d / 60), F.floor(d) % 60)
-    human = F.when(d.isNull(), "—").when(d < 120, F.format_string("%.1fs", d.cast("double"))).otherwise(long)
+    human = D.short_duration(F.col("duration"))
     body = R.pick_body(F.col("edited"), F.col("formatted"), F.col("raw"))
     kept = rows.filter(filled(F.col("id"))).withColumn("__b", body)
     source = F.coalesce("__b.source", F.lit("empty"))

@@ -322,7 +322,7 @@ def ingest(records: DataFrame, others: DataFrame, existing: DataFrame, include:
 
 
 def transcript_text(segments: Column) -> Column:
-    """Consecutive segments of one speaker as one paragraph: **Name** (m:ss): text."""
+    """Consecutive segments of one speaker as one paragraph: **Name** (hh:mm:ss) text."""
     state = F.struct(_none("array<struct<start:bigint,speaker:string,text:string>>").alias("done"))
 
     def step(a: Column, s: Column) -> Column:
@@ -332,14 +332,14 @@ def transcript_text(segments: Column) -> Column:
         return F.when(same, F.struct(F.array_append(F.slice(a["done"], F.lit(1), F.greatest(F.size(a["done"]) - 1, F.lit(0))), joined).alias("done"))).otherwise(F.struct(F.array_append(a["done"], s).alias("done")))
 
     whole = F.aggregate(segments, state, step, lambda a: a["done"])
-    return F.array_join(F.transform(whole, lambda s: F.concat(F.lit("**"), s["speaker"], F.lit("** ("), D.offset_text(s["start"]), F.lit("): "), s["text"])), "\n\n")
+    return F.array_join(F.transform(whole, lambda s: F.concat(F.lit("**"), s["speaker"], F.lit("** ("), D.offset_text(s["start"]), F.lit(") "), s["text"])), "\n\n")
 
 
 def page(plan: DataFrame, kind: str = "raw-meeting") -> Column:
     """A record's page: frontmatter, summary, next steps, the transcript or where it is, notes."""
     from .pages import frontmatter
 
-    head = frontmatter(type=F.lit(kind), meeting_id=F.col("id"), title=F.col("title"), timestamp=F.date_format("start", "yyyy-MM-dd HH:mm:ss"), date=F.col("local_date").cast("string"), duration=D.padded_duration(F.col("duration")), transcript_policy=F.col("policy"), source_hash=F.col("hash"))
+    head = frontmatter(type=F.lit(kind), meeting_id=F.col("id"), title=F.col("title"), timestamp=F.date_format("start", "yyyy-MM-dd HH:mm:ss"), date=F.col("local_date").cast("string"), duration=D.duration(F.col("duration") / 60), transcript_policy=F.col("policy"), source_hash=F.col("hash"))
     part = lambda name, text: F.when(filled(text), F.concat(F.lit(f"## {name}\n\n"), text))
     pointer = F.when(F.col("policy") == "pointer", F.concat(F.lit("Not kept here."), F.when(filled(F.col("url")), F.concat(F.lit(" Recording: "), "url")).otherwise(F.lit(""))))
     steps = F.when(F.size("steps") > 0, F.concat(F.lit("- "), F.array_join("steps", "\n- ")))

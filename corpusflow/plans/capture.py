@@ -250,7 +250,7 @@ def zones_and_spans(spark, sf_dir):
     local = F.lit("2024-07-01 12:00:00").cast("timestamp")
     ahead = D.offset_minutes(F.when(k % 2 == 0, "none").otherwise("acst"), local, "America/Chicago")
     name = F.when(k % 2 == 0, D.zone_abbreviation(F.lit("2024-01-01 12:00:00").cast("timestamp"), "America/Chicago")).otherwise(F.coalesce(D.zone_abbreviation(local, "No/Where"), F.lit("")))
-    return view(spark, sf_dir, "orders").filter(k % 200 > 0).select(k.alias("id"), F.lit("edt").alias("zone"), (ahead + 1440).alias("ahead"), name.alias("name"), D.padded_duration(k % 200 * 60).alias("human"))
+    return view(spark, sf_dir, "orders").filter(k % 200 > 0).select(k.alias("id"), F.lit("edt").alias("zone"), (ahead + 1440).alias("ahead"), name.alias("name"), D.duration(k % 200).alias("human"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '### Top' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '#### Next Steps' || chr(10) || '- a' || chr(10) || '1. b' || chr(10) || '### End' || chr(10) || '- c' ELSE '### Deep' || chr(10) || '- x' END AS body, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM customer""")
@@ -331,7 +331,7 @@ def meeting_ingest(spark, sf_dir):
     return plan.select("id", "file", "action", "policy", "included", links.alias("links"))
 
 
-@query("""SELECT c_custkey AS id, '**Ada** (0:05): a b' || chr(10) || chr(10) || '**Bo** (1:01:01): c' AS text, c_custkey % 2 = 0 AS good FROM customer""")
+@query("""SELECT c_custkey AS id, '**Ada** (00:00:05) a b' || chr(10) || chr(10) || '**Bo** (01:01:01) c' AS text, c_custkey % 2 = 0 AS good FROM customer""")
 def transcript_text(spark, sf_dir):
     s = F.expr("array(named_struct('start', 5L, 'speaker', 'Ada', 'text', 'a'), named_struct('start', 9L, 'speaker', 'Ada', 'text', 'b'), named_struct('start', 3661L, 'speaker', 'Bo', 'text', 'c'))")
     name = F.when(F.col("c_custkey") % 2 == 0, "Ada de la Vega").otherwise("one two three four five six seven")

@@ -544,7 +544,7 @@ def excerpts(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.coalesce("text", F.lit("")), 120).alias("excerpt"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' WHEN m % 60 = 0 THEN m // 60 || 'h' ELSE m // 60 || 'h ' || m % 60 || 'm' END AS human, printf('%02d:%02d', m // 60, m % 60) AS clock, week AS iso_week, monday
+@query("""SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' ELSE printf('%dh %02dm', m // 60, m % 60) END AS human, printf('%02d:%02d', m // 60, m % 60) AS clock, week AS iso_week, monday
     FROM (SELECT o_orderkey, (o_orderkey % 200 + 1)::BIGINT AS m, printf('%d-W%02d', isoyear(o_orderdate), weekofyear(o_orderdate)) AS week, date_trunc('week', o_orderdate)::DATE AS monday FROM orders)""")
 def durations_and_weeks(spark, sf_dir):
     m = F.col("o_orderkey") % 200 + 1

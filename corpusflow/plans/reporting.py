@@ -150,7 +150,7 @@ def note_dates(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("id"), N.note_date(f, mtime).alias("emerge"), N.evidence_date(f, mtime).alias("evidence"), N.note_date(f, mtime, N.LINT_KEYS).alias("lint"))
 
 
-@query("""SELECT event_id AS id, TIMESTAMP '2001-01-01' + INTERVAL 1 SECOND * (event_id % 1000) AS core, CASE WHEN event_id % 2 = 0 THEN '2024-01-01 06:00:00' ELSE 'odd' END AS local, CASE WHEN event_id % 100 = 0 OR event_id % 100 > 24 THEN '' ELSE (event_id % 100) || 'h' END AS span FROM events""")
+@query("""SELECT event_id AS id, TIMESTAMP '2001-01-01' + INTERVAL 1 SECOND * (event_id % 1000) AS core, CASE WHEN event_id % 2 = 0 THEN '2024-01-01 06:00:00' ELSE 'odd' END AS local, CASE WHEN event_id % 100 = 0 OR event_id % 100 > 24 THEN '' ELSE (event_id % 100) || 'h 00m' END AS span FROM events""")
 def clocks(spark, sf_dir):
     k = F.col("event_id")
     return view(spark, sf_dir, "events").select(k.alias("id"), D.core_data(k % 1000).cast("timestamp_ntz").alias("core"), D.legacy_utc(F.when(k % 2 == 0, "2024-01-01T12:00:00Z").otherwise("odd"), "America/Chicago").alias("local"), D.meeting_duration(k % 100 * 3600).alias("span"))

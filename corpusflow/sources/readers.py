@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _TYPES = {"INT": "long", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
 
@@ -87,22 +87,6 @@ class SqliteReader(DataSourceReader):
         self.path, self.columns = options["path"], columns
         self.table = introspect(self.path, options.get("table"), tuple(options.get("needles", "DATE,PATH").split(",")))[0]
         self.n, self.where = int(options.get("partitions", 4)), options.get("where")
-        self.pushed: list[tuple[str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons of a column with a number or a text go into SQLite's own WHERE, where its
-        indexes serve them; all others are Spark's."""
-        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        kinds = dict(self.columns)
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            kind, value = kinds.get(name), getattr(f, "value", None)
-            if isinstance(f, IsNotNull) and kind:
-                self.pushed.append((f"{_quote(name)} is not null", None))
-            elif type(f) in signs and (kind in ("bigint", "double") and isinstance(value, (int, float)) or type(f) is EqualTo and kind == "string" and isinstance(value, str)):
-                self.pushed.append((f"{_quote(name)} {signs[type(f)]} ?", value))
-            else:
-                yield f
 
     def partitions(self) -> list[_Rows]:
         with _connect(self.path) as db:
@@ -114,14 +98,29 @@ class SqliteReader(DataSourceReader):
 
     def read(self, part: _Rows) -> Iterator[tuple]:
         names = ", ".join(_quote(c) for c, _ in self.columns)
-        where = "rowid >= ? and rowid < ?" + (f" and ({self.where})" if self.where else "") + "".join(f" and {c}" for c, _ in self.pushed)
-        given = [v for c, v in self.pushed if c.endswith("?")]
+        where = "rowid >= ? and rowid < ?" + (f" and ({self.where})" if self.where else "")
         as_kind = {"bigint": int, "double": float, "string": str, "binary": bytes}
         with _connect(self.path) as db:
-            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi, *given)):
+            for row in db.execute(f"select {names} from {_quote(self.table)} where {where}", (part.lo, part.hi)):
                 yield tuple(None if v is None else as_kind.get(t, str)(v) for v, (_, t) in zip(row, self.columns, strict=True))
 
 
+def sqlite(spark: SparkSession, path: str, table: str | None = None, where: list[tuple[str, str, object]] | None = None, **options: str) -> DataFrame:
+    """A SQLite table; where: (column, comparison, value) that SQLite itself decides, by its indexes.
+
+    The format does not take Spark's own filters: Spark 4.1 keeps what a Python source was given with the
+    frame, so that a second query of the frame without the filter misses rows."""
+    register(spark)
+    parts = []
+    for column, sign, value in where or []:
+        if sign not in ("=", "<>", "<", "<=", ">", ">="):
+            raise ValueError(f"no comparison: {sign}")
+        text = "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(float(value)) if isinstance(value, float) else str(int(value))
+        parts.append(f"{_quote(column)} {sign} {text}")
+    given = {"path": path, **({"table": table} if table else {}), **({"where": " and ".join(parts)} if parts else {}), **options}
+    return spark.read.format("sqlite_file").options(**given).load()
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats of this module known."""
     for source in (SqliteSource, ReplaySource):
