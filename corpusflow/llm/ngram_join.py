@@ -170,7 +170,7 @@ def nodes(rows: DataFrame) -> DataFrame:
                     n[i], node[i] = len(x), name(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["key", "n", "node"])
 
-    return rows.mapInArrow(run, "key long, n long, node long")
+    return rows.mapInArrow(common.trimmed(run), "key long, n long, node long")
 
 
 def signed(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def signed(rows: DataFrame) -> DataFrame:
             if sigs:
                 yield _signed(sigs, of)
 
-    return rows.mapInArrow(run, "sig long, node long")
+    return rows.mapInArrow(common.trimmed(run), "sig long, node long")
 
 
 def _signed(sigs: list[np.ndarray], of: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def shared(sigs: DataFrame) -> DataFrame:
             held = (sig[-1], hub[-1], node[-1], bool(met[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(hub[keep])], ["sig", "node", "hub"])
 
-    return sigs.sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, hub long")
+    return sigs.sortWithinPartitions("sig", "node").mapInArrow(common.trimmed(run), "sig long, node long, hub long")
 
 
 def _parity(x: np.ndarray) -> bytes:
@@ -267,7 +267,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
             if out:
                 yield _full(out)
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n int, items array<long>, parity binary")
+    return rows.select("node", "text").mapInArrow(common.trimmed(run), "node long, n int, items array<long>, parity binary")
 
 
 def _full(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -288,7 +288,7 @@ def plausible(pairs: DataFrame, full: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     near = pairs.join(a, "a").join(b, "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return near.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def candidates(rows: DataFrame, everything: bool) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def split(buckets: DataFrame, full: DataFrame, level: int) -> DataFrame:
@@ -405,7 +405,7 @@ def split(buckets: DataFrame, full: DataFrame, level: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), k, np.int64)), pa.array(sig.view(np.int64))], ["node", "more"])
 
     some = full.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "items")
-    more = some.mapInArrow(run, "node long, more long")
+    more = some.mapInArrow(common.trimmed(run), "node long, more long")
     return buckets.join(more, "node").select(F.xxhash64("sig", "more").alias("sig"), "node", "label")
 
 

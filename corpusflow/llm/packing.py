@@ -37,7 +37,7 @@ from . import common, words
 
 VOCABULARY = "word_bpe_49k.json"
 WORDS_KEPT = 700_000  # distinct words whose ids a worker remembers
-SLICE = 4 << 20
+SLICE = 2 << 20
 BANDS = (1, 2, 3, 4, 6, 10, 20, 64)
 _SEPARATOR, _SEPARATOR_ID = "<|startoftext|>", 49406
 _MARK = np.zeros(256, bool)
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end:
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(common.trimmed(run), "key long, piece int, start long, length long, ids_crc32 long")
 
 
 def _match(batches):

@@ -128,7 +128,7 @@ def _merged(sparse: DataFrame, bits: int, least: int, name: str) -> str:
     chunks = ROWS << max(0, bits - CHUNK_BITS)
     path = common.scratch(spark, name)
     tasks = max(1, chunks // 16, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sparse.repartition(tasks, "row", "chunk").mapInArrow(merge, "row int, chunk long, bits binary").write.parquet(path)
+    sparse.repartition(tasks, "row", "chunk").mapInArrow(common.trimmed(merge), "row int, chunk long, bits binary").write.parquet(path)
     return common.arrow_uri(spark, path)
 
 
@@ -147,7 +147,7 @@ def sketch(texts: DataFrame, width: int, anchor: int, bits: int) -> str:
         if held:
             yield from _sparse(held, bits)
 
-    return _merged(texts.mapInArrow(partial, "row int, chunk long, cells binary"), bits, 2, "sketch")
+    return _merged(texts.mapInArrow(common.trimmed(partial), "row int, chunk long, cells binary"), bits, 2, "sketch")
 
 
 def _mark(anchors: DataFrame, bits: int) -> str:
@@ -158,7 +158,7 @@ def _mark(anchors: DataFrame, bits: int) -> str:
             if batch.num_rows:
                 yield from _sparse([batch.column(0).to_numpy(zero_copy_only=False).view(U)], bits)
 
-    return _merged(anchors.mapInArrow(partial, "row int, chunk long, cells binary"), bits, 1, "marked")
+    return _merged(anchors.mapInArrow(common.trimmed(partial), "row int, chunk long, cells binary"), bits, 1, "marked")
 
 
 _SKETCHES: dict[str, np.ndarray] = {}
@@ -219,7 +219,7 @@ def segments(texts: DataFrame, width: int, anchor: int, bits: int, path: str, ha
                 columns = [keys[w.lo + d], versions[w.lo + d], anchors[begin].view(np.int64), (at[begin] - w.first[d]).astype(np.int32), n.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *more], [*heads, *tails])
 
-    return texts.mapInArrow(run, "key long, version long, anchor long, pos int, n int, " + ("w array<long>, v array<int>" if hashes else "name long, name2 long"))
+    return texts.mapInArrow(common.trimmed(run), "key long, version long, anchor long, pos int, n int, " + ("w array<long>, v array<int>" if hashes else "name long, name2 long"))
 
 
 def _least_keys(found: DataFrame, names: list[str]) -> DataFrame:
@@ -298,7 +298,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*batch.schema.names[:-1], "n_words", "n_removed"])
 
     flat_schema = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    out = joined.mapInArrow(run, T.StructType([*flat_schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    out = joined.mapInArrow(common.trimmed(run), T.StructType([*flat_schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
     return out.toDF(*docs.columns, "n_words", "n_removed")
 
 
