@@ -27,6 +27,8 @@ from . import common
 
 #: A source has 2 ** BLOCK_BITS blocks at most, which bounds the urn whatever the rows.
 BLOCK_BITS = 11
+#: Tables of a row (or a block) for each source are broadcast for so many sources at most.
+FEW = 1000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -93,14 +95,17 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     )
     goal = common.materialise(goal.selectExpr("*", f"least(bits, {BLOCK_BITS}) as block_bits", "target - rounds * words as part"), "targets")  # a row for each source
 
+    most, sources = goal.agg(F.max("bits"), F.count(F.lit(1))).first()
+    held = F.broadcast if sources <= FEW else lambda x: x  # beyond, Spark's shuffles and its skew handling
+
     def with_goal(r: DataFrame, *more: str) -> DataFrame:
-        return r.alias("r").join(F.broadcast(goal.alias("s")), F.expr("r.source <=> s.source")).selectExpr("key", "size", "pos", *more, "s.*").drop("source", "n")
+        return r.alias("r").join(held(goal.alias("s")), F.expr("r.source <=> s.source")).selectExpr("key", "size", "pos", *more, "s.*").drop("source", "n")
 
     rows = with_goal(rows)
     # narrow to the last block, by up to BLOCK_BITS bits at once: all before bound is in, the block has rest words to give
     last = goal.selectExpr("no", "part as rest", "0 as depth", "0L as bound")
-    for _ in range(max(1, -(-(goal.agg(F.max("bits")).first()[0] or 0) // BLOCK_BITS))):
-        inside = rows.join(F.broadcast(last), "no").filter("depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth)").withColumn("deep", F.expr(f"least(bits, depth + {BLOCK_BITS})"))
+    for _ in range(max(1, -(-(most or 0) // BLOCK_BITS))):
+        inside = rows.join(held(last), "no").filter("depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth)").withColumn("deep", F.expr(f"least(bits, depth + {BLOCK_BITS})"))
         sums = inside.selectExpr("no", "rest", "size", "deep", "if(deep = 0, 0L, shiftleft(shiftright(pos, 62 - deep), 62 - deep)) as start").groupBy("no", "rest", "deep", "start").agg(F.sum("size").alias("w"))
         run = sums.selectExpr("*", "sum(w) over (partition by no order by start) as upto")
         found = (
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
         last = common.materialise(last.alias("a").join(found.alias("b"), "no", "left").selectExpr("no", *[f"coalesce(b.{c}, a.{c}) as {c}" for c in ("rest", "depth", "bound")]), "last")
     # its documents first fit in order of pos, by a fold over about block_rows of them
     fits = (
-        rows.join(F.broadcast(last), "no").filter("size > 0 and depth < 62 and (depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth))")
+        rows.join(held(last), "no").filter("size > 0 and depth < 62 and (depth = 0 or shiftright(pos, 62 - depth) = shiftright(bound, 62 - depth))")
         .groupBy("no", "rest").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "size"))).alias("d"))
         .selectExpr("no", "aggregate(d, named_struct('rest', rest, 'keys', cast(array() as array<bigint>)), (a, x) -> if(x.size <= a.rest, named_struct('rest', a.rest - x.size, 'keys', array_append(a.keys, x.key)), a)).keys as keys")
         .selectExpr("no", "explode(keys) as key", "true as fits").distinct()
@@ -125,7 +130,7 @@ def mix(docs: DataFrame, shards: int = 8, block_rows: int = 1024, seed: str = "m
     if carry:
         rows = with_goal(docs.select(F.struct(*kept).alias("doc"), *own), "doc")
     out = (
-        rows.join(F.broadcast(last.drop("rest")), "no").join(F.broadcast(ends), "no").join(F.broadcast(fits), ["no", "key"], "left")
+        rows.join(held(last.drop("rest")), "no").join(held(ends), "no").join(held(fits), ["no", "key"], "left")
         .selectExpr("*", "if(size > 0, rounds + if(part > 0 and pos < bound or coalesce(fits, false), 1, 0), 0L) as times", "if(block_bits = 0, 0L, shiftright(pos, 62 - block_bits)) as block")
     )
     draws = f"""transform(if(times > 0, sequence(0L, times - 1L), cast(array() as array<bigint>)), i -> named_struct(

@@ -406,7 +406,7 @@ def test_substring_dedup(odd, nulls, none, monkeypatch, width, anchor, frequent)
     assert got(substring_dedup.substring_dedup(none)) == []
 
 
-def test_mixing(odd, nulls, none, spark):
+def test_mixing(odd, nulls, none, spark, monkeypatch):
     for df in (odd, nulls):
         rows = got(mixing.mix(df))
         assert len(rows) == df.count()
@@ -416,6 +416,8 @@ def test_mixing(odd, nulls, none, spark):
     many = spark.range(30000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', if(id % 50 = 1, null, concat('s', id % 7))) as source", "trim(repeat('w ', cast(1 + pmod(hash(id), 60) as int))) as text").repartition(5)
     first, again = (sorted((r["doc_id"], json.dumps([list(d) for d in r["draws"]])) for r in got(mixing.mix(many, block_rows=64))) for _ in range(2))
     assert first == again
+    monkeypatch.setattr(mixing, "FEW", 0)  # as with very many sources: no broadcasts
+    assert first == sorted((r["doc_id"], json.dumps([list(d) for d in r["draws"]])) for r in got(mixing.mix(many, block_rows=64)))
     found = mixing.mix(many, block_rows=64).join(many.select("doc_id", "source"), "doc_id").collect()
     size, taken, target, shard = Counter(), Counter(), {}, Counter()
     for r in found:
