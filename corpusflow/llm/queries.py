@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "media", "exact_dedup", "licenses", "packing", "ngram_join", "line_dedup", "language_id", "substring_dedup", "mixing")
+MODULES = ("sharding", "media", "exact_dedup", "licenses", "packing", "ngram_join", "line_dedup", "language_id", "substring_dedup", "mixing", "vector_codes", "whitening", "token_files")
 
 
 def _all(name: str) -> dict:
