@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..session import blocks
@@ -109,11 +110,18 @@ def related_sources(notes: DataFrame, pattern: str, most: int = 10) -> DataFrame
 
 def people_plan(found: DataFrame, existing: DataFrame) -> DataFrame:
     """found as of people.extract, existing (file, tier as text, email, company, domain) -> found with
-    file, action (create or update), collision, old_tier, new_tier, transition, dossier, and the fields
-    that an update fills: those the page lacks. A page's tier is never lowered; a tier that is no number is 3."""
+    file, action (create or update), collision, old_tier, new_tier, transition, dossier, the fields
+    that an update fills: those the page lacks, and writes. A page's tier is never lowered; a tier that is no number is 3.
+
+    A file is one page: of several rows for one in existing the one with the best tier stands for it. Several people
+    keep one file where their companies agree as well; each has a row of the plan, and ``writes`` tells the one whose page it
+    is: named most often, of those the last seen, then the one with the least address."""
     named = P.resolve_collisions(found)
-    old = existing.select("file", F.coalesce(F.col("tier").try_cast("int"), F.lit(3)).alias("old_tier"), *[F.col(c).alias(f"__{c}") for c in ("email", "company", "domain")], F.lit(True).alias("there"))
-    rows = named.join(old, "file", "left")
+    mine = W.partitionBy("file").orderBy(F.desc("mention_count"), F.desc_nulls_last("last_seen"), "email")
+    named = named.withColumn("writes", F.row_number().over(mine) == 1)
+    tier = F.coalesce(F.col("tier").try_cast("int"), F.lit(3)).alias("old_tier")
+    pages = existing.select("file", tier, *[F.col(c).alias(f"__{c}") for c in ("email", "company", "domain")]).groupBy("file").agg(F.min(F.struct("old_tier", "__email", "__company", "__domain")).alias("page"))
+    rows = named.join(pages.select("file", "page.*", F.lit(True).alias("there")), "file", "left")
     new = F.when(F.col("there"), F.least("old_tier", "tier")).otherwise(F.col("tier"))
     lacking = F.filter(F.array(*[F.when(F.col("there") & (F.coalesce(F.col(f"__{c}"), F.lit("")) == ""), F.lit(c)) for c in ("email", "company", "domain")]), lambda x: x.isNotNull())
     return rows.select(

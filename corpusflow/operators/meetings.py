@@ -238,7 +238,7 @@ def call_records(calls: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.filter(F.transform(people, email), filled))).alias("emails"), sided("Internal").alias("internal"), sided("External").alias("external"),
         F.trim(F.coalesce(get("$.content.brief"), F.lit(""))).alias("brief"), texts("$.content.keyPoints", "array<struct<text:string>>").alias("points"), of(lambda x: ~x).alias("highlights"), of(lambda x: x).alias("steps"),
     )
-    return rows.filter("id is not null and start is not null").withColumn("has_content", (F.col("brief") != "") | (F.size("points") > 0) | (F.size("highlights") > 0) | (F.size("steps") > 0))
+    return rows.filter("id is not null and start is not null").withColumn("has_content", (F.col("brief") != "") | (F.size("points") > 0) | (F.size("outline") > 0) | (F.size("highlights") > 0) | (F.size("steps") > 0))
 
 
 def call_segments(calls: DataFrame) -> DataFrame:

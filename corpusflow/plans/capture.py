@@ -338,14 +338,16 @@ def transcript_text(spark, sf_dir):
     return view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), meetings.transcript_text(s).alias("text"), meetings.valid_name(name).alias("good"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS id, 'Call' AS title, 'Ada,Bo' AS participants, 'a@x.example,b@y.example' AS emails, 'Ada' AS internal, 'b@y.example,Bo' AS external, CASE WHEN c_custkey % 2 = 0 THEN 'hl' ELSE '' END AS highlights, CASE WHEN c_custkey % 2 = 1 THEN 'do it' ELSE '' END AS steps, c_custkey % 3 = 0 AS private FROM customer""")
+@query("""SELECT c_custkey::VARCHAR AS id, 'Call' AS title, 'Ada,Bo' AS participants, 'a@x.example,b@y.example' AS emails, 'Ada' AS internal, 'b@y.example,Bo' AS external, CASE WHEN c_custkey % 4 = 0 THEN 'hl' ELSE '' END AS highlights, CASE WHEN c_custkey % 4 = 1 THEN 'do it' ELSE '' END AS steps, c_custkey % 3 = 0 AS private,
+    CASE WHEN c_custkey % 4 = 2 THEN c_mktsegment ELSE '' END AS outline, c_custkey % 4 <> 3 AS has_content FROM customer""")
 def call_records(spark, sf_dir):
     call = F.parse_json(F.to_json(F.expr("""named_struct('metaData', named_struct('id', c_custkey, 'title', ' Call ', 'started', '2024-01-01T10:00:00+02:00', 'duration', 60, 'isPrivate', c_custkey % 3 = 0),
         'parties', array(named_struct('emailAddress', 'A@x.example', 'name', 'Ada', 'affiliation', 'Internal'), named_struct('emailAddress', 'b@y.example', 'name', '', 'affiliation', 'External'), named_struct('emailAddress', '', 'name', 'Bo', 'affiliation', 'External')),
-        'content', named_struct('highlights', array(named_struct('title', if(c_custkey % 2 = 0, 'Good', 'Next Steps'), 'items', array(named_struct('text', if(c_custkey % 2 = 0, 'hl', 'do it')), named_struct('text', ' '))))))""")))
+        'content', named_struct('highlights', array(named_struct('title', if(c_custkey % 2 = 0, 'Good', 'Next Steps'), 'items', array(named_struct('text', case c_custkey % 4 when 0 then 'hl' when 1 then 'do it' else '' end), named_struct('text', ' ')))),
+            'outline', if(c_custkey % 4 = 2, array(named_struct('section', c_mktsegment, 'startTime', 5, 'items', array(named_struct('text', 'i')))), array())))""")))
     rows = view(spark, sf_dir, "customer").select(call.alias("call")).filter(meetings.is_call(F.col("call")))
     found = meetings.call_records(rows)
-    return found.select("id", F.trim("title").alias("title"), *[F.array_join(c, ",").alias(c) for c in ("participants", "emails", "internal", "external", "highlights", "steps")], "private")
+    return found.select("id", F.trim("title").alias("title"), *[F.array_join(c, ",").alias(c) for c in ("participants", "emails", "internal", "external", "highlights", "steps")], "private", F.array_join(F.transform("outline", lambda o: o["section"]), ",").alias("outline"), "has_content")
 
 
 # --- small operators that had no query ---------------------------------------------------------
