@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..session import blocks
 from ..sources import frontmatter as fm
 from . import emergence, people as P
 from . import search as S
-from . import threads
+from . import patterns, threads
 
 # --- evidence of a thread ----------------------------------------------------------------
 
@@ -52,29 +51,27 @@ def word_list(lines: Iterable[str]) -> set[str]:
 
 
 def thread_patterns(terms: DataFrame) -> DataFrame:
-    """terms (thread, include: array, exclude: array) -> (thread, yes, no): patterns of whole words in
+    """terms (thread, include: array, exclude: array) -> (thread, yes, no, terms): patterns of whole words in
     any case: the slug, with hyphens and with blanks, and the included terms alike; the excluded ones.
-    Terms of fewer than four letters don't count; no is null without any."""
+    Terms of fewer than four letters don't count; no is null without any. terms: those of yes."""
     spread = lambda c: F.flatten(F.transform(c, lambda x: F.array(F.lower(F.trim(x)), F.replace(F.lower(F.trim(x)), F.lit("-"), F.lit(" ")))))
     pattern = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"(?iU)\b(?:"), F.array_join(F.transform(c, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|"), F.lit(r")\b")))
     long = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: F.length(x) >= 4)))
     none = F.array().cast("array<string>")
     yes = long(F.concat(spread(F.array("thread")), spread(F.coalesce("include", none))))
     no = long(F.transform(F.coalesce("exclude", none), lambda x: F.lower(F.trim(x))))
-    return terms.select("thread", pattern(yes).alias("yes"), pattern(no).alias("no"))
+    return terms.select("thread", pattern(yes).alias("yes"), pattern(no).alias("no"), yes.alias("terms"))
 
 
 def gather_raw(notes: DataFrame, terms: DataFrame) -> DataFrame:
     """notes (path, source, title, body, date, mtime), terms as of thread_patterns -> (thread, path, source,
     date, title, excerpt, mtime, rank): raw notes that name a thread in their title or the first
     characters of their body and none of its excluded terms; the newest five of each source, the
-    newest twenty of all. Threads are a configuration, tried on each note in blocks of a bounded size."""
-    window, out = T.term_window(F.col("title"), F.col("body"), RAW_WINDOW), None
-    for part in blocks(thread_patterns(terms)):
-        rows = notes.withColumn("__w", window).join(part, F.expr("__w rlike yes and (no is null or not __w rlike no)"))
-        rows = rows.select("thread", "path", "source", "date", "title", T.excerpt(F.col("body"), RAW_EXCERPT).alias("excerpt"), "mtime")
-        out = rows if out is None else out.unionByName(rows)
-    return threads.top_evidence(out)
+    newest twenty of all. A thread is tried only on notes with one of its terms."""
+    rows = notes.withColumn("__w", T.term_window(F.col("title"), F.col("body"), RAW_WINDOW))
+    known = thread_patterns(terms).filter("yes is not null")
+    found = patterns.join(rows, "__w", known, F.col("terms"), F.expr("__w rlike yes and (no is null or not __w rlike no)"))
+    return threads.top_evidence(found.select("thread", "path", "source", "date", "title", T.excerpt(F.col("body"), RAW_EXCERPT).alias("excerpt"), "mtime"))
 
 
 def gather_para(notes: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -207,13 +204,11 @@ def discover_threads(notes: DataFrame, folders: Iterable[str]) -> DataFrame:
 
 def project_mentions(notes: DataFrame, clients: DataFrame, root: str = "20 - Projects/Clients") -> DataFrame:
     """notes (id, rel, project), clients (entity) -> (id, entity): a client's folder is in the path, or its
-    id inside the project. Clients are folders, held against the distinct projects in blocks."""
+    id inside the project."""
     below = F.regexp_extract("rel", rf"(?:^|/){root}/([^/]+)/", 1)
     by_path = notes.select("id", below.alias("entity")).filter("entity <> ''").join(clients.select("entity"), "entity", "left_semi")
-    asked, out = notes.filter("project <> ''").select("project").distinct(), by_path.select("id", "entity")
-    for part in blocks(clients.select("entity")):
-        out = out.union(notes.join(asked.join(part, F.contains("project", F.col("entity"))), "project").select("id", "entity"))
-    return out.distinct()
+    named = patterns.join(notes.filter("project <> ''").select("id", "project"), "project", clients.select("entity"), F.array("entity"), F.contains("project", F.col("entity")))
+    return by_path.select("id", "entity").union(named.select("id", "entity")).distinct()
 
 
 # --- guards ------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..session import blocks
+from . import patterns
 
 #: Local parts that are no person.
 ROLES = ("accounting", "billing", "support", "info", "hello", "team", "admin", "office", "sales", "contact", "noreply", "no-reply")
@@ -67,13 +67,10 @@ def prefix_match(companies: DataFrame, entities: DataFrame, least: int = 4) -> D
 
 
 def seed_matches(texts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """texts (id, text), seeds (entity, pattern) -> (id, entity): seeds are a configuration, tried on
-    each text in blocks of a bounded size."""
-    out = None
-    for part in blocks(seeds.select("entity", "pattern")):
-        hit = texts.join(part, F.expr("text rlike pattern")).select("id", "entity")
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct()
+    """texts (id, text), seeds (entity, pattern) -> (id, entity) of the patterns that match. A pattern is tried
+    only on texts with one of the literals it requires; one without any, on each text."""
+    given = seeds.select("entity", "pattern").withColumn("literals", F.udf(patterns.required, "array<string>")("pattern"))
+    return patterns.join(texts, "text", given, F.col("literals"), F.expr("text rlike pattern")).select("id", "entity").distinct()
 
 
 def entity_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +68,16 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def blocks(df: DataFrame, rows: int = 1000) -> list[DataFrame]:
-    """df, a configuration that is tried on every row of a table, as frames of so many rows at most,
-    each to be broadcast."""
-    kept = df.collect()
-    parts = [kept[i : i + rows] for i in range(0, len(kept), rows)] or [[]]
-    return [F.broadcast(df.sparkSession.createDataFrame(part, df.schema)) for part in parts]
+def blocks(df: DataFrame, rows: int = 1000) -> Iterator[DataFrame]:
+    """df, a configuration that is tried on every row of a table, as frames of so many rows at most, each to
+    be broadcast; one is on the driver at a time."""
+    left = df.toLocalIterator()
+    part = list(itertools.islice(left, rows))
+    while True:
+        yield F.broadcast(df.sparkSession.createDataFrame(part, df.schema))
+        part = list(itertools.islice(left, rows))
+        if not part:
+            return
 
 
 def arrow_uri(spark: SparkSession, path: str) -> str:
