@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..session import small
+from ..session import small, written
 
 
 def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "source") -> DataFrame:
@@ -26,42 +25,68 @@ def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "
     return best.select("id", "source", F.col("m.match").alias("match"), F.col("m.gap").alias("gap"))
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df with ``name``: each row's place in the order given, from 1. The order should tell all rows apart, so that a range
+    sort can cut it anywhere. No task gets all rows: partitions' numbers of rows give each one's first place."""
+    part, row = f"__part_{name}", f"__row_{name}"
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the row in it below
+    kept = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.shiftright(at, 33), row: at.bitwiseAND((1 << 33) - 1)}), "numbered")
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    first = kept.groupBy(part).agg(F.count(F.lit(1)).alias("__n")).select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return kept.join(F.broadcast(first), part).withColumn(name, F.col(row) + F.col("__first") + 1).drop(part, row, "__first")
+
+
 def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long") -> DataFrame:
-    """left (id, start, ordinal), right (id, start), ids of ``kind`` -> (left_id, right_id): in order of the
-    left rows each takes the nearest right row within so many seconds that is still free.
-
-    Rows further apart than that never meet, so time is cut into islands at such gaps and
-    the sequential pass runs island by island."""
-    l = left.select(F.lit(0).alias("side"), "id", F.unix_timestamp("start").alias("t"), "ordinal")  # noqa: E741
-    rows = l.unionByName(right.select(F.lit(1).alias("side"), "id", F.unix_timestamp("start").alias("t"), F.lit(0).cast("long").alias("ordinal"))).filter("t is not null")
-    # islands in two levels: inside a coarse span, then the edges of spans that touch are chained
-    span = F.floor(F.col("t") / (seconds * 1000))
-    rows = rows.withColumn("span", span)
-    near = W.partitionBy("span").orderBy("t")
-    rows = rows.withColumn("cut", F.when(F.col("t") - F.lag("t").over(near) > seconds, 1).otherwise(0)).withColumn("part", F.sum("cut").over(near.rowsBetween(W.unboundedPreceding, 0)))
-    parts = rows.groupBy("span", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    ends = parts.groupBy("span").agg(F.min("part").alias("a"), F.max("part").alias("z"))
-    edges = parts.join(ends, "span").filter("part = a or part = z").select("span", "part", "lo", "hi")
-    whole = W.orderBy("lo")  # two rows a span: bounded by the time that is covered, not by the records
-    chained = edges.withColumn("new", F.when(F.col("lo") - F.lag("hi").over(whole) > seconds, 1).otherwise(0)).withColumn("chain", F.sum("new").over(whole.rowsBetween(W.unboundedPreceding, 0)))
-    chained = chained.withColumn("g", F.min("span").over(W.partitionBy("chain"))).select("span", "part", "g")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = pdf[pdf.side == 1].sort_values(["t", "id"])
-        t, ids = free.t.to_numpy(), free.id.to_numpy()
-        used, out = np.zeros(len(t), bool), []
-        for x in pdf[pdf.side == 0].sort_values(["ordinal", "id"]).itertuples():
-            lo, hi = np.searchsorted(t, [x.t - seconds, x.t + seconds + 1])
-            near = [(abs(int(t[k]) - x.t), ids[k], k) for k in range(lo, hi) if not used[k]]
-            if near:
-                _, match, k = min(near)
-                used[k] = True
-                out.append((x.id, match))
-        return pd.DataFrame(out, columns=["left_id", "right_id"])
-
-    # islands never meet, so a group may hold many of them: a span's, and those chained to its first
-    grouped = rows.join(chained, ["span", "part"], "left").select(F.coalesce("g", "span").alias("g"), "side", "id", "t", "ordinal")
-    return grouped.groupBy("g").applyInPandas(run, f"left_id {kind}, right_id {kind}")
+    """left (id, start, ordinal), right (id, start), ids of ``kind`` -> (left_id, right_id): in the order of ordinals and
+    then ids, each left row takes the nearest right row within so many seconds that is still free (of equally near ones
+    the least id). Rows without a start match nothing; ids are expected to be unique on each side.
+
+    As that order is the same for all right rows, the pairs are those of deferred acceptance, which needs no turns: in a round every open
+    left row proposes to its nearest right row that has not refused it; a right row holds the first proposer in
+    the order, also in place of one it held, and refuses the others, which are open again. It ends when none is open.
+
+    A left row's choices are two runs of right rows, before and after it in time, so its state is how many of either have refused
+    it. Right rows are numbered both ways by range sorts, and a proposal is an equi join on such a number: no pair is made
+    that isn't proposed. Of left rows at one time and in one state the k-th proposes to their k-th choice at once: the
+    ones before it in the order get better ones whatever happens. Rounds are bounded by the longest chain of refusals;
+    each reads and writes the open rows and the pairs held in the shared folder, no task has a group of rows that the data can make large
+    but to sort it.
+    """
+    second = lambda df: df.select("id", F.unix_timestamp("start").alias("t"), *[c for c in df.columns if c == "ordinal"]).filter("t is not null")
+    free = second(right).withColumnRenamed("id", "rid")
+    up = numbered(free, ["t", "rid"], "place").withColumn("before", F.lit(0))
+    down = numbered(free, [F.col("t"), F.col("rid").desc()], "place").withColumn("before", F.lit(1))
+    places = written(up.unionByName(down).withColumnRenamed("t", "u"), "places")
+    sides = second(left).select(F.lit(1).alias("side"), "id", "t", "ordinal").unionByName(free.select(F.lit(0).alias("side"), F.lit(None).cast(kind).alias("id"), "t", F.lit(None).cast("long").alias("ordinal")).withColumn("tie", F.monotonically_increasing_id()), allowMissingColumns=True)
+    base = _running(sides)
+    open_ = written(base.select("id", F.col("ordinal").cast("long").alias("ordinal"), "t", "base", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")), "open")
+    state = ["id", "ordinal", "t", "base", "i", "j"]
+    held = left.sparkSession.createDataFrame([], T.StructType([*open_.schema.fields, T.StructField("rid", places.schema["rid"].dataType)]))
+    same = W.partitionBy("t", "i", "j")
+    first = W.partitionBy("rid").orderBy("ordinal", "id")
+    while not open_.isEmpty():
+        ranked = open_.withColumn("k", F.row_number().over(same.orderBy("ordinal", "id")))
+        asks = F.inline(F.array(F.struct(F.lit(1).alias("before"), (F.col("base") - F.col("i") - F.col("k") + 1).alias("place")), F.struct(F.lit(0).alias("before"), (F.col("base") + F.col("j") + F.col("k")).alias("place"))))
+        gap = F.abs(F.col("t") - F.col("u"))
+        both = ranked.select("t", "i", "j", asks).join(places, ["before", "place"]).withColumn("gap", gap).filter(gap <= seconds)
+        best = same.orderBy("gap", "rid")
+        upto = best.rowsBetween(W.unboundedPreceding, W.currentRow)
+        listed = both.select("t", "i", "j", "rid", F.row_number().over(best).alias("k"), F.sum("before").over(upto).alias("b"), F.sum(1 - F.col("before")).over(upto).alias("a"))
+        asked = ranked.join(listed, ["t", "i", "j", "k"]).select("id", "ordinal", "t", "base", (F.col("i") + F.col("b")).alias("i"), (F.col("j") + F.col("a")).alias("j"), "rid")
+        judged = written(held.unionByName(asked).withColumn("held", F.row_number().over(first) == 1), "judged")
+        held, open_ = judged.filter("held").drop("held"), judged.filter("not held").select(state)
+    return held.select(F.col("id").alias("left_id"), F.col("rid").alias("right_id"))
+
+
+def _running(sides: DataFrame) -> DataFrame:
+    """Left rows (side 1) with ``base``, the number of right rows (side 0) at their time or before."""
+    order = ["t", "side", "ordinal", "id", "tie"]
+    at = F.monotonically_increasing_id()
+    kept = written(sides.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.shiftright(at, 33), "row": at}), "sides")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    totals = kept.groupBy("part").agg(F.sum(1 - F.col("side")).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.sum(1 - F.col("side")).over(W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return kept.withColumn("inside", inside).filter("side = 1").join(F.broadcast(totals), "part").withColumn("base", F.col("first") + F.col("inside"))
 
 
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:
