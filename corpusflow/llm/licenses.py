@@ -1,12 +1,12 @@
 """Licence scan by conditional compression.
 
 Texts are looked at by paragraphs, the lines between blank ones, whose line breaks count
-as spaces. A template whose words stand in a paragraph one after the other is exact,
-whatever stands before and after; only its free words (years, holders) may differ. At
-every other place that names a licence, candidate blocks as long as each template are
-compressed alone and with the template as zstandard's raw dictionary, templates are
-ranked by how much that saves, and the best are compared by words. What differs is
-reported, so "version 2" is never taken for version 3.
+as spaces. At every place that names a licence, candidate blocks as long as each template (or as each part of
+one with free words) are compressed alone and with the template as zstandard's raw dictionary, and all templates
+are ranked by how much that saves. Winners are confirmed by wording, in the order of ranks: a template whose words stand
+around the place one after the other is exact, whatever stands before and after; only its free words (years, holders) may
+differ. Without such a one, a licence's name that stands there is told as its name only, or else
+what the nearest of the best templates says differently, so "version 2" is never taken for version 3.
 """
 
 from __future__ import annotations
@@ -84,15 +84,33 @@ PARAGRAPHS = {
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "CC-BY-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License."],
 }
+# Names by which these licences are called in running text.
+NAMES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0", "Apache License, Version 2.0"],
+    "GPL-3.0-only": ["GNU General Public License v3.0", "GPLv3", "GPL 3.0"],
+    "GPL-2.0-only": ["GNU General Public License v2.0", "GPLv2", "GPL 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["the Unlicense"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "EPL 2.0"],
+    "BSL-1.0": ["Boost Software License 1.0"],
+    "CC0-1.0": ["CC0 1.0"],
+    "CC-BY-4.0": ["CC BY 4.0"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0"],
+}
 #: What makes a place a candidate, wrapped and in comments too.
 TRIGGER = r"(?i)licen[cs]e|copyright|hereby\W+granted|compiled\W+binary|public\W+domain|all\W+rights\W+reserved|free\W+software|software\W+is\W+provided|in\W+source\W+and\W+binary|to\W+endorse\W+or\W+promote|freely,|\bspdx-"
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 #: names that tell a family or no licence, which no SPDX line holds
 _NO_SPDX = ("BSD", "Proprietary")
-SCHEMA = "blocks long, licenses array<struct<license:string,line:int,saved:double,differences:array<string>,exact:boolean>>"
+SCHEMA = "blocks long, licenses array<struct<license:string,line:int,saved:double,differences:array<string>,exact:boolean,rank:int>>"
 KEPT = 1 << 14  # blocks whose answer a worker remembers
-LEAST = 0.3  # of a block's compressed bytes that a template must save to be told as inexact
+LEAST = 0.3  # of a block's compressed bytes that a template must save for its differences to be told
 _LATER = re.compile(r"or (?:\S+ ){0,3}?(?:later|newer|greater|higher)\b")
 
 
@@ -126,69 +144,88 @@ def differences(b: list[str], template: str) -> tuple[list[str], int, int]:
 
 
 class Scanner:
+    """rows: templates, and behind them names. ``places`` counts what was ranked."""
+
     def __init__(self, templates: dict[str, list[str]] | None = None, level: int = 3, best: int = 3):
         self.rows = [(name, t) for name, ts in (templates or all_templates()).items() for t in ts]
+        self.templates = len(self.rows)
+        self.rows += [(name, t) for name, ts in ({} if templates else NAMES).items() for t in ts]
         self.parts = [[f" {' '.join(w)} " for x in t.split("<...>") if (w := words_of(x))] for _, t in self.rows]
         self.sizes = [len(words_of(t)) for _, t in self.rows]
-        self.best, self.known = best, {}
+        self.units = [(row, len(x.split()), x.strip()) for row, parts in enumerate(self.parts) for x in parts]
+        self.best, self.known, self.places = best, {}, 0
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.given = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in self.rows]
+        self.given = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(x.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, x in self.units]
 
-    def saved(self, block: str, row: int) -> float:
+    def saved(self, block: str, unit: int) -> float:
         """The share of the block's compressed bytes that the template saves."""
-        if (block, row) not in self.known:
-            data = " ".join(block.split()).lower().encode("utf-8", "replace")
-            alone = len(self.plain.compress(data))
+        if (block, unit) not in self.known:
+            data = block.encode("utf-8", "replace")
             if len(self.known) >= KEPT:
                 self.known.clear()
-            self.known[block, row] = (alone - len(self.given[row].compress(data))) / alone
-        return self.known[block, row]
-
-    def whole(self, words: list[str]) -> list[tuple[int, list[tuple[int, int]]]]:
-        """(row, runs of words) of each place where all words of a template stand, those
-        between its free words nearest together. Where places meet the longest counts."""
-        joined = f" {' '.join(words)} "
-        first = [0, *accumulate(len(w) + 1 for w in words)]  # the space before each word
-        places = []
-        for row, parts in enumerate(self.parts):
-            p = joined.find(parts[-1]) if parts else -1
-            while p >= 0:
-                at = [p]
-                for part in parts[-2::-1]:
-                    at.append(joined.rfind(part, 0, at[-1] + 1))
-                    if at[-1] < 0:
-                        break
-                if at[-1] >= 0:
-                    runs = [(bisect_left(first, q), bisect_left(first, q + len(x) - 1)) for q, x in zip(at[::-1], parts, strict=True)]
-                    places.append((row, runs))
-                p = joined.find(parts[-1], p + 1)
-        out, taken = [], set()
-        for row, runs in sorted(places, key=lambda x: (-self.sizes[x[0]], x[1])):
-            own = {i for lo, hi in runs for i in range(lo, hi)}
-            if not own & taken:
-                taken |= own
-                out.append((row, runs))
-        return out
+            alone = self.known.get((block, -1)) or self.known.setdefault((block, -1), len(self.plain.compress(data)))
+            self.known[block, unit] = (alone - len(self.given[unit].compress(data))) / alone
+        return self.known[block, unit]
 
-    def near(self, text: str, spans: list[tuple[int, int]], words: list[str], lo: int, hi: int, k: int) -> tuple | None:
-        """(row, saved, differences, first word, last) of the template that the words around
-        word k, from lo to hi, are nearest to; none where none saves LEAST."""
-        ranked = []
-        for row, n in enumerate(self.sizes):
+    def ranked(self, words: list[str], lo: int, hi: int, k: int) -> list[tuple[float, int, int, int]]:
+        """(saved, row, from, to) of all templates that save anything in a block of the words around word k, the best first."""
+        self.places += 1
+        best: dict[int, tuple] = {}
+        for unit, (row, n, _) in enumerate(self.units):
             n += 2
             a, b = max(lo, k - n + 1), min(hi, k + n)
             blocks = [(a, min(b, a + n)), *((i, i + n) for i in range(a + n // 2, b - n, n // 2)), (max(a, b - n), b)]
-            score, i, j = max((self.saved(text[spans[i][0] : spans[j - 1][1]], row), -i, j) for i, j in blocks)
-            if score >= LEAST:
-                ranked.append((score, -row, max(a, -i - n // 2), min(b, j + n // 2)))
+            score, i, j = max((self.saved(" ".join(words[i:j]), unit), -i, j) for i, j in blocks)
+            if score > 0 and (row not in best or score > best[row][0]):
+                n = self.sizes[row] + 2
+                best[row] = (score, row, max(a, k - n + 1, -i - n // 2), min(hi, k + n, j + n // 2))
+        return sorted(best.values(), key=lambda x: (-x[0], x[1]))
+
+    def whole(self, joined: str, first: list[int], row: int, k: int) -> list[tuple[int, int]] | None:
+        """The runs of words of the place around word k where all words of a template stand, those between its
+        free words nearest together."""
+        parts = self.parts[row]
+        p = joined.find(parts[-1]) if parts else -1
+        while p >= 0:
+            at = [p]
+            for part in parts[-2::-1]:
+                at.append(joined.rfind(part, 0, at[-1] + 1))
+                if at[-1] < 0:
+                    break
+            if at[-1] >= 0:
+                runs = [(bisect_left(first, q), bisect_left(first, q + len(x) - 1)) for q, x in zip(at[::-1], parts, strict=True)]
+                if any(a <= k < b for a, b in runs):
+                    return runs
+            p = joined.find(parts[-1], p + 1)
+        return None
+
+    def confirmed(self, words: list[str], joined: str, first: list[int], taken: bytearray, ranked: list, k: int) -> tuple | None:
+        """(rank, row, saved, runs, differences) of what is told at word k: the longest template that stands there
+        whole, else a name, else the nearest template of the best ones that save LEAST."""
+        names, exact = [], []
+        spelt = joined.replace(" licence", " license").replace("unlicence", "unlicense")
+        for rank, (score, row, _, _) in enumerate(ranked, 1):
+            name = row >= self.templates
+            if name:
+                around = [runs for i in range(max(0, k - 6), min(len(words), k + 7)) if (runs := self.whole(spelt, first, row, i))][:1]
+            else:
+                around = [runs] if (runs := self.whole(joined, first, row, k)) else []
+            for runs in around:
+                if not any(1 in taken[a:b] for a, b in runs):
+                    (names if name else exact).append((-self.sizes[row], rank, row, score, runs))
+        if exact:
+            _, rank, row, score, runs = min(exact)
+            return rank, row, score, runs, []
         told = []
-        for score, row, a, b in sorted(ranked, reverse=True)[: self.best]:
-            diff, i, j = differences(words[a:b], self.rows[-row][1])
-            told.append((len(diff), -score, -row, diff, a + i, a + j))
-        if not told:
-            return None
-        _, score, row, diff, a, b = min(told)
-        return row, -score, diff, a, b
+        for rank, (score, row, a, b) in enumerate(ranked, 1):
+            if row < self.templates and score >= LEAST and len(told) < self.best:
+                diff, i, j = differences(words[a:b], self.rows[row][1])
+                told.append((sum(len(x.split()) for x in diff) / self.sizes[row], len(diff), rank, row, score, [(a + i, a + j)], diff))
+        near = min(told) if told else None
+        if names and (near is None or near[0] > 0.25):
+            _, rank, row, score, runs = min(names)
+            return rank, row, score, runs, ["name only"]
+        return near and near[2:]
 
     def paragraph(self, text: str) -> tuple[int, list[tuple[int, dict]]]:
         """The number of candidate blocks, and the place and licence of each one found."""
@@ -197,24 +234,9 @@ class Scanner:
             return 0, []
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
+        joined = f" {' '.join(words)} "
+        first = [0, *accumulate(len(w) + 1 for w in words)]  # the space before each word
         found, blocks, taken = [], 0, bytearray(len(words))
-
-        def tell(row: int, first: int, saved: float, diff: list[str]) -> None:
-            found.append((spans[first][0], {"license": self.rows[row][0], "saved": round(saved, 6), "differences": diff, "exact": not diff}))
-
-        for row, runs in self.whole(words):
-            blocks += 1
-            first, last = runs[0][0], runs[-1][1]
-            for a, b in runs:
-                taken[a:b] = b"\1" * (b - a)
-            diff = []  # words about the sentence that turn its sense
-            if first and words[first - 1] in ("not", "never", "longer"):
-                diff.append(f"+{words[first - 1]}")
-            if m := _LATER.match(" ".join(words[last : last + 5])):
-                diff.append(f"+{m[0]}")
-            elif text[spans[last - 1][1] : spans[last - 1][1] + 1] == "+":
-                diff.append("++")
-            tell(row, first, self.saved(text[spans[first][0] : spans[last - 1][1]], row), diff)
         reach = max(self.sizes, default=0) + 2
         ends = [b for _, b in spans]
         for at in triggers:
@@ -224,11 +246,22 @@ class Scanner:
             blocks += 1
             lo = taken.rfind(1, max(0, k - reach), k) + 1 or max(0, k - reach)
             hi = taken.find(1, k, k + reach)
-            got = self.near(text, spans, words, lo, hi if hi >= 0 else min(len(words), k + reach), k)
-            if got:
-                row, saved, diff, a, b = got
-                tell(row, a, saved, diff)
+            hi = hi if hi >= 0 else min(len(words), k + reach)
+            got = self.confirmed(words, joined, first, taken, self.ranked(words, lo, hi, k), k)
+            if not got:
+                continue
+            rank, row, saved, runs, diff = got
+            start, last = runs[0][0], runs[-1][1]
+            for a, b in runs:
                 taken[a:b] = b"\1" * (b - a)
+            if not diff:  # words about the sentence that turn its sense
+                if start and words[start - 1] in ("not", "never", "longer"):
+                    diff.append(f"+{words[start - 1]}")
+                if m := _LATER.match(" ".join(words[last : last + 5])):
+                    diff.append(f"+{m[0]}")
+                elif text[spans[last - 1][1] : spans[last - 1][1] + 1] == "+":
+                    diff.append("++")
+            found.append((spans[min(start, len(spans) - 1)][0], {"license": self.rows[row][0], "saved": round(saved, 6), "differences": diff, "exact": not diff, "rank": rank}))
         return blocks, sorted(found, key=lambda x: x[0])
 
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
@@ -252,17 +285,18 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templ
 
     Null and empty texts have no blocks. Lines and paragraphs of any length are looked at whole,
     wherever they are in a text of any length; texts without a trigger stay in the JVM. Equal texts
-    get equal answers, and a repeated row is answered again. Ties between templates go to the one
-    that saves more, then to the first. An empty table gives no rows; other columns of docs are not
-    looked at. At a place that no template stands whole, the three templates that save most
-    (Scanner's ``best``) are compared by words, if they save ``LEAST`` or more.
+    get equal answers, and a repeated row is answered again. All templates that save anything are confirmed by their whole
+    wording, and of those that stand the longest is told; ties between templates go to the one
+    that saves more, then to the first. At a place where none stands whole, a name counts if it stands within six
+    words; else the three templates that save most (Scanner's ``best``) and ``LEAST`` or more are compared by words.
+    An empty table gives no rows; other columns of docs are not looked at.
     """
 
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
             got = [scanner.scan(x.as_py()) for x in batch.column(1)]
-            kind = pa.list_(pa.struct([("license", pa.string()), ("line", pa.int32()), ("saved", pa.float64()), ("differences", pa.list_(pa.string())), ("exact", pa.bool_())]))
+            kind = pa.list_(pa.struct([("license", pa.string()), ("line", pa.int32()), ("saved", pa.float64()), ("differences", pa.list_(pa.string())), ("exact", pa.bool_()), ("rank", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], kind)], ["key", "blocks", "licenses"])
 
     common.ship(docs.sparkSession)
