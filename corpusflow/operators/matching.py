@@ -36,7 +36,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     return kept.join(F.broadcast(first), part).withColumn(name, F.col(row) + F.col("__first") + 1).drop(part, row, "__first")
 
 
-def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long") -> DataFrame:
+def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long", rounds: int = 8) -> DataFrame:
     """left (id, start, ordinal), right (id, start), ids of ``kind`` -> (left_id, right_id): in the order of ordinals and
     then ids, each left row takes the nearest right row within so many seconds that is still free (of equally near ones
     the least id). Rows without a start match nothing; ids are expected to be unique on each side.
@@ -48,34 +48,58 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "l
     A left row's choices are two runs of right rows, before and after it in time, so its state is how many of either have refused
     it. Right rows are numbered both ways by range sorts, and a proposal is an equi join on such a number: no pair is made
     that isn't proposed. Of left rows at one time and in one state the k-th proposes to their k-th choice at once: the
-    ones before it in the order get better ones whatever happens. Rounds are bounded by the longest chain of refusals;
-    each reads and writes the open rows and the pairs held in the shared folder, no task has a group of rows that the data can make large
-    but to sort it.
+    ones before it in the order get better ones whatever happens. Pairs before the first open row are final: every few rounds,
+    where they are most of the pairs, the others are numbered again without them. Rounds are bounded by the longest chain
+    of refusals; each reads and writes the open rows and the pairs held in the shared folder.
     """
-    second = lambda df: df.select("id", F.unix_timestamp("start").alias("t"), *[c for c in df.columns if c == "ordinal"]).filter("t is not null")
-    free = second(right).withColumnRenamed("id", "rid")
+    second = lambda df: df.select("id", F.unix_timestamp("start").alias("t"), *[F.col(c).cast("long") for c in df.columns if c == "ordinal"]).filter("t is not null")
+    rights, lefts, done = second(right).withColumnRenamed("id", "rid"), second(left), None
+    pairs = lambda df: df.select(F.col("id").alias("left_id"), F.col("rid").alias("right_id"))
+    while True:
+        places, open_, held = _numbered_sides(lefts, rights, kind)
+        while True:
+            for _ in range(rounds):
+                if open_.isEmpty():
+                    return pairs(held) if done is None else done.unionByName(pairs(held))
+                held, open_ = _round(places, open_, held, seconds)
+            least = open_.agg(F.min(F.struct("ordinal", "id")).alias("m")).first().m
+            if least is not None:
+                limit = F.struct(F.lit(least.ordinal).cast("long").alias("ordinal"), F.lit(least.id).cast(kind).alias("id"))
+                before = F.struct("ordinal", "id") < limit
+                n = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(before).alias("final")).first()
+                if 2 * n.final >= n.all:
+                    break
+        final = held.filter(before)
+        done = pairs(final) if done is None else done.unionByName(pairs(final))
+        rights = written(rights.join(final.select("rid"), "rid", "left_anti"), "rights")
+        lefts = written(lefts.filter(~before), "lefts")
+
+
+def _numbered_sides(lefts: DataFrame, free: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(right rows by their numbers from either end, open rows, no pairs)"""
     up = numbered(free, ["t", "rid"], "place").withColumn("before", F.lit(0))
     down = numbered(free, [F.col("t"), F.col("rid").desc()], "place").withColumn("before", F.lit(1))
     places = written(up.unionByName(down).withColumnRenamed("t", "u"), "places")
-    sides = second(left).select(F.lit(1).alias("side"), "id", "t", "ordinal").unionByName(free.select(F.lit(0).alias("side"), F.lit(None).cast(kind).alias("id"), "t", F.lit(None).cast("long").alias("ordinal")).withColumn("tie", F.monotonically_increasing_id()), allowMissingColumns=True)
-    base = _running(sides)
-    open_ = written(base.select("id", F.col("ordinal").cast("long").alias("ordinal"), "t", "base", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")), "open")
-    state = ["id", "ordinal", "t", "base", "i", "j"]
-    held = left.sparkSession.createDataFrame([], T.StructType([*open_.schema.fields, T.StructField("rid", places.schema["rid"].dataType)]))
+    none = free.select(F.lit(0).alias("side"), F.lit(None).cast(kind).alias("id"), "t", F.lit(None).cast("long").alias("ordinal"), F.monotonically_increasing_id().alias("tie"))
+    base = _running(lefts.select(F.lit(1).alias("side"), "id", "t", "ordinal").unionByName(none, allowMissingColumns=True))
+    open_ = written(base.select("id", "ordinal", "t", "base", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")), "open")
+    return places, open_, lefts.sparkSession.createDataFrame([], T.StructType([*open_.schema.fields, T.StructField("rid", places.schema["rid"].dataType)]))
+
+
+def _round(places: DataFrame, open_: DataFrame, held: DataFrame, seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs held, rows that are open) after one more round."""
     same = W.partitionBy("t", "i", "j")
+    best = same.orderBy("gap", "rid")
+    upto = best.rowsBetween(W.unboundedPreceding, W.currentRow)
+    gap = F.abs(F.col("t") - F.col("u"))
+    ranked = open_.withColumn("k", F.row_number().over(same.orderBy("ordinal", "id")))
+    asks = F.inline(F.array(F.struct(F.lit(1).alias("before"), (F.col("base") - F.col("i") - F.col("k") + 1).alias("place")), F.struct(F.lit(0).alias("before"), (F.col("base") + F.col("j") + F.col("k")).alias("place"))))
+    both = ranked.select("t", "i", "j", asks).join(places, ["before", "place"]).withColumn("gap", gap).filter(gap <= seconds)
+    listed = both.select("t", "i", "j", "rid", F.row_number().over(best).alias("k"), F.sum("before").over(upto).alias("b"), F.sum(1 - F.col("before")).over(upto).alias("a"))
+    asked = ranked.join(listed, ["t", "i", "j", "k"]).select("id", "ordinal", "t", "base", (F.col("i") + F.col("b")).alias("i"), (F.col("j") + F.col("a")).alias("j"), "rid")
     first = W.partitionBy("rid").orderBy("ordinal", "id")
-    while not open_.isEmpty():
-        ranked = open_.withColumn("k", F.row_number().over(same.orderBy("ordinal", "id")))
-        asks = F.inline(F.array(F.struct(F.lit(1).alias("before"), (F.col("base") - F.col("i") - F.col("k") + 1).alias("place")), F.struct(F.lit(0).alias("before"), (F.col("base") + F.col("j") + F.col("k")).alias("place"))))
-        gap = F.abs(F.col("t") - F.col("u"))
-        both = ranked.select("t", "i", "j", asks).join(places, ["before", "place"]).withColumn("gap", gap).filter(gap <= seconds)
-        best = same.orderBy("gap", "rid")
-        upto = best.rowsBetween(W.unboundedPreceding, W.currentRow)
-        listed = both.select("t", "i", "j", "rid", F.row_number().over(best).alias("k"), F.sum("before").over(upto).alias("b"), F.sum(1 - F.col("before")).over(upto).alias("a"))
-        asked = ranked.join(listed, ["t", "i", "j", "k"]).select("id", "ordinal", "t", "base", (F.col("i") + F.col("b")).alias("i"), (F.col("j") + F.col("a")).alias("j"), "rid")
-        judged = written(held.unionByName(asked).withColumn("held", F.row_number().over(first) == 1), "judged")
-        held, open_ = judged.filter("held").drop("held"), judged.filter("not held").select(state)
-    return held.select(F.col("id").alias("left_id"), F.col("rid").alias("right_id"))
+    judged = written(held.unionByName(asked).withColumn("held", F.row_number().over(first) == 1), "judged")
+    return judged.filter("held").drop("held"), judged.filter("not held").drop("held", "rid")
 
 
 def _running(sides: DataFrame) -> DataFrame:
