@@ -3,7 +3,7 @@
 Writing. Rows are range-sorted by key, so that each task has a run of the order. It encodes its texts with the
 tokenizer, an end id behind each, gathers whole documents up to ``shard_ids`` ids and compresses them: all adjacent
 pairs are counted, frequent ones become nonterminals, the new sequence is counted again, until no pair is
-frequent. Where chosen pairs overlap the more frequent one is replaced, of a run of one pair the first. No pair spans two
+frequent. Where chosen pairs overlap the more frequent one is replaced, in a run of one symbol every other one. No pair spans two
 documents. Shards are appended to files of bounded size with a name of their own for each attempt; the manifest (a
 table in the shared folder, a row a shard) has those of the tasks that Spark counted.
 
@@ -169,7 +169,7 @@ class Grammar:
 
 def compress(ids: np.ndarray, last: np.ndarray, frequent: int = 16, least_gain: float = 0.005) -> Grammar:
     """The Re-Pair grammar of ids, of which no pair begins where ``last`` is set. A round replaces all pairs that
-    occur ``frequent`` times (where they don't overlap better ones); the last round is one that has none or
+    occur ``frequent`` times (where they don't overlap better ones, or themselves); the last round is one that has none or
     shortens the sequence by less than least_gain. A pair that was not frequent never becomes so, hence a round looks
     only at places with a symbol of the round before and at those whose frequent pair lost to one beside it."""
     first = top = int(ids.max(initial=0)) + 1
@@ -190,7 +190,14 @@ def compress(ids: np.ndarray, last: np.ndarray, frequent: int = 16, least_gain:
         rank = np.empty(len(many), np.int32)
         rank[order] = np.arange(len(many), dtype=np.int32)
         chosen = place[np.repeat(inside, count)]
-        mine = np.repeat(rank, count[many])
+        mine, frequent_at = np.repeat(rank, count[many]), chosen
+        run = np.flatnonzero((chosen[1:] == chosen[:-1] + 1) & (mine[1:] == mine[:-1])) + 1
+        if len(run):  # one symbol again and again: its pairs at every other place
+            at = np.arange(len(chosen))
+            begin = at.copy()
+            begin[run] = 0
+            even = (at - np.maximum.accumulate(begin)) % 2 == 0
+            chosen, mine = chosen[even], mine[even]
         better = np.full(size + 1, len(many), np.int32)  # of the pair at each place its rank; the last stands before the first
         better[chosen] = mine
         won = (mine < better[chosen - 1]) & (mine <= better[chosen + 1])
@@ -206,7 +213,8 @@ def compress(ids: np.ndarray, last: np.ndarray, frequent: int = 16, least_gain:
         top += len(pairs)
         sequence[taken] = name[mine[won]]
         last[taken] = last[taken + 1]
-        lost[chosen[~won]] = True
+        lost[frequent_at] = True
+        lost[taken] = False
         new, stay = np.zeros(size, bool), np.ones(size, bool)
         new[taken], stay[taken + 1] = True, False
         sequence, last, new, lost = sequence[stay], last[stay], new[stay], lost[stay]

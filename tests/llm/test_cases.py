@@ -531,3 +531,21 @@ def test_pipeline(odd, nulls, none, spark, tmp_path):
         assert out.columns == docs.columns
         docs = out
     assert names == ["language_id", "line_dedup", "ngram_jaccard_join", "mix_sources"]
+
+
+def test_license_findings_come_out_of_the_ranking():
+    """All wording is looked for only in what compression ranked; names of running text are told as such."""
+    scanner = licenses.Scanner()
+    names = {"Licensed under Apache 2.0": "Apache-2.0", "This package uses the MIT licence": "MIT", "released under the zlib licence": "Zlib", "Licenced under the Unlicense": "Unlicense", "subject to the Eclipse Public License 2.0": "EPL-2.0"}
+    for line, name in names.items():
+        found = scanner.scan(f"Some words before, {line}, and some after it.")[1]
+        assert [(x["license"], x["exact"], x["differences"]) for x in found] == [(name, False, ["name only"])]
+    before, n = scanner.places, 0
+    for t in (t for ts in licenses.all_templates().values() for t in ts):
+        blocks, found = scanner.scan(t)
+        n += blocks
+        assert found and all(x["rank"] >= 1 and x["saved"] > 0 for x in found)
+    assert scanner.places - before == n
+    whole = scanner.ranked
+    scanner.ranked = lambda *a: []
+    assert scanner.scan("Released under the MIT License.")[1] == [] and whole
