@@ -42,6 +42,7 @@ FILE_BYTES = 128 << 20
 MAGIC = b"REPAIR01"
 WORDS_KEPT = 1_000_000
 SLICE = 4 << 20
+_NONE = np.iinfo(np.int32).max
 _HEAD = struct.Struct("<8s5Q")
 _SYMBOLS, _PLACES = 20, 24  # bits of a symbol and of a place where both fit one key
 _PLAIN = re.compile(rb"[ \n][!-~\x80-\xff]*(?:[!-~]|\xc3[\x80-\xbf])")
@@ -189,21 +190,21 @@ def compress(ids: np.ndarray, last: np.ndarray, frequent: int = 16, least_gain:
         order = np.argsort(-count[many], kind="stable")
         rank = np.empty(len(many), np.int32)
         rank[order] = np.arange(len(many), dtype=np.int32)
-        chosen = place[np.repeat(inside, count)]
-        mine, frequent_at = np.repeat(rank, count[many]), chosen
-        run = np.flatnonzero((chosen[1:] == chosen[:-1] + 1) & (mine[1:] == mine[:-1])) + 1
-        if len(run):  # one symbol again and again: its pairs at every other place
-            at = np.arange(len(chosen))
+        every = np.full(size + 1, _NONE, np.int32)  # of the pair at each place its rank
+        every[place[np.repeat(inside, count)]] = np.repeat(rank, count[many])
+        mine = every
+        again = (every[1:] == every[:-1]) & (every[1:] != _NONE)
+        if again.any():  # one symbol again and again: its pairs at every other place
+            at = np.arange(size + 1, dtype=np.int32)
             begin = at.copy()
-            begin[run] = 0
-            even = (at - np.maximum.accumulate(begin)) % 2 == 0
-            chosen, mine = chosen[even], mine[even]
-        better = np.full(size + 1, len(many), np.int32)  # of the pair at each place its rank; the last stands before the first
-        better[chosen] = mine
-        won = (mine < better[chosen - 1]) & (mine <= better[chosen + 1])
-        good = np.bincount(mine[won], minlength=len(many)) >= frequent
-        won &= good[mine]
-        taken, lost = chosen[won], np.zeros(size, bool)
+            begin[1:][again] = 0
+            mine = np.where((at - np.maximum.accumulate(begin)) & 1, _NONE, every)
+        won = (mine[:-1] <= mine[1:]) & (mine[:-1] != _NONE)
+        won[1:] &= mine[1:-1] < mine[:-2]
+        taken = np.flatnonzero(won)
+        chosen = mine[taken]
+        good = np.bincount(chosen, minlength=len(many)) >= frequent
+        taken, chosen = taken[good[chosen]], chosen[good[chosen]]
         if not len(taken):
             break
         name = (np.cumsum(good) - 1 + top).astype(np.uint32)
@@ -211,9 +212,9 @@ def compress(ids: np.ndarray, last: np.ndarray, frequent: int = 16, least_gain:
         rules.append(pairs)
         lengths = np.concatenate([lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]])
         top += len(pairs)
-        sequence[taken] = name[mine[won]]
+        sequence[taken] = name[chosen]
         last[taken] = last[taken + 1]
-        lost[frequent_at] = True
+        lost = every[:-1] != _NONE
         lost[taken] = False
         new, stay = np.zeros(size, bool), np.ones(size, bool)
         new[taken], stay[taken + 1] = True, False
@@ -233,7 +234,9 @@ def _grouped(sequence: np.ndarray, place: np.ndarray, top: int) -> tuple[np.ndar
         keys <<= np.uint64(_PLACES)
         keys |= place.astype(np.uint64)
         keys.sort()
-        return (keys & np.uint64((1 << _PLACES) - 1)).astype(np.int64), keys >> np.uint64(_PLACES)
+        place = keys.astype(np.uint32) & np.uint32((1 << _PLACES) - 1)
+        keys >>= np.uint64(_PLACES)
+        return place, keys
     pair = sequence[place].astype(np.uint64) << np.uint64(32) | sequence[place + 1]
     order = np.argsort(pair, kind="stable")
     return place[order], pair[order]
