@@ -343,13 +343,11 @@ def lint(notes: DataFrame, synthesis: DataFrame, concepts: DataFrame, entities:
     tags = threads.evidence(notes, admin).select(F.lit("thread").alias("kind"), "slug")
     slugs = tags.union(synthesis.select(F.lit("synthesis"), "slug")).union(concepts.select(F.lit("concept"), "slug")).union(entities.select(F.lit("entity"), "slug"))
     pages = synthesis.select(F.lit("synthesis").alias("kind"), "slug", "evidence_count").union(concepts.select(F.lit("concept"), "slug", "evidence_count"))
-    pairs = threads.token_overlap(slugs.select("slug"))
-    found = {"work": work.filter("status = 'missing'"), "thin": work.filter("status = 'thin'"), "duplicates": threads.duplicate_slugs(slugs), "overlaps": pairs, "hollow": threads.hollow(pages)}
-    counts = None
+    found = {"work": work.filter("status = 'missing'"), "thin": work.filter("status = 'thin'"), "duplicates": threads.duplicate_slugs(slugs), "hollow": threads.hollow(pages)}
+    counts = threads.overlaps_total(slugs.select("slug")).select(F.lit("overlaps").alias("check"), "n")
     for name, df in found.items():
-        row = df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n"))
-        counts = row if counts is None else counts.unionByName(row)
-    return found | {"overlaps": pairs.orderBy("a", "b").limit(most_pairs), "counts": counts}
+        counts = counts.unionByName(df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n")))
+    return found | {"overlaps": threads.first_overlaps(slugs.select("slug"), most_pairs), "counts": counts}
 
 
 def capture_errors(spec: Column) -> Column:

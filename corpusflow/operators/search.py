@@ -47,8 +47,14 @@ def hits(c: Column, terms: list[str], mode: str = "occurrences") -> Column:
 
 def search(notes: DataFrame, terms: list[str], rules=LAYERS, caps: dict[str, int] = CAPS, raw_per_source: int = RAW_PER_SOURCE, mode: str = "occurrences") -> DataFrame:
     """notes (rel, stem, source, text) -> (rel, stem, layer, hits, score), capped by layer
-    and, in raw, by source; best score, then hits, then path."""
-    rows = notes.withColumn("hits", hits(F.col("text"), terms, mode)).filter("hits > 0").withColumn("__l", layer(F.col("rel"), rules))
+    and, in raw, by source; best score, then hits, then path. Every text is scanned; ``index.search`` gives the same rows from
+    an inverted index."""
+    return ranked(notes.withColumn("hits", hits(F.col("text"), terms, mode)).filter("hits > 0"), rules, caps, raw_per_source)
+
+
+def ranked(rows: DataFrame, rules=LAYERS, caps: dict[str, int] = CAPS, raw_per_source: int = RAW_PER_SOURCE) -> DataFrame:
+    """rows (rel, stem, source, hits) as search gives them."""
+    rows = rows.withColumn("__l", layer(F.col("rel"), rules))
     rows = rows.select("rel", "stem", "source", "hits", F.col("__l.layer").alias("layer"), F.round(F.col("hits") * F.col("__l.weight"), 2).alias("score"))
     best = [F.desc("score"), F.desc("hits"), F.asc("rel")]
     # ranks are bounded by constants first: each task keeps its own best rows before the shuffle
@@ -56,8 +62,8 @@ def search(notes: DataFrame, terms: list[str], rules=LAYERS, caps: dict[str, int
     raw = rows.filter("layer = 'raw'").withColumn("__s", F.row_number().over(W.partitionBy("source").orderBy(*best))).filter(F.col("__s") <= raw_per_source).drop("__s")
     rest = rows.filter("layer <> 'raw'")
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("layer")), F.lit(caps["other"]))
-    ranked = raw.unionByName(rest).withColumn("__n", F.row_number().over(W.partitionBy("layer").orderBy(*best))).filter(F.col("__n") <= max(caps.values()))
-    return ranked.filter(F.col("__n") <= cap).drop("__n", "source")
+    first = raw.unionByName(rest).withColumn("__n", F.row_number().over(W.partitionBy("layer").orderBy(*best))).filter(F.col("__n") <= max(caps.values()))
+    return first.filter(F.col("__n") <= cap).drop("__n", "source")
 
 
 def hubs(terms: list[str], pages: DataFrame) -> DataFrame:

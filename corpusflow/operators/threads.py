@@ -133,16 +133,61 @@ def duplicate_slugs(slugs: DataFrame) -> DataFrame:
     return got.withColumn("n", F.size("variants").cast("long")).filter("n > 1")
 
 
+def _tokens(slugs: DataFrame, generic: tuple[str, ...]) -> DataFrame:
+    """(slug, tokens: sorted array): of each key the least spelling."""
+    rep = slugs.groupBy(T.fuzzy_key(F.col("slug")).alias("key")).agg(F.min("slug").alias("slug"))
+    return rep.select("slug", F.array_sort(F.array_distinct(T.tokens(F.col("slug"), generic))).alias("tokens"))
+
+
 def token_overlap(slugs: DataFrame, generic: tuple[str, ...] = T.GENERIC_TOKENS) -> DataFrame:
     """slugs (slug) -> (a, b, shared): pairs a < b that share tokens; joined on the tokens,
     so only pairs that share one are made. The answer is all such pairs: a token that n slugs share
-    gives n squared / 2 of them, which ``generic`` tokens are there to prevent."""
-    rep = slugs.groupBy(T.fuzzy_key(F.col("slug")).alias("key")).agg(F.min("slug").alias("slug"))
-    t = rep.select("slug", F.explode(T.tokens(F.col("slug"), generic)).alias("token"))
+    gives n squared / 2 of them. ``token_classes``, ``overlaps_total`` and ``first_overlaps`` tell what they
+    hold together without making them."""
+    t = _tokens(slugs, generic).select("slug", F.explode("tokens").alias("token"))
     pairs = t.select(F.col("slug").alias("a"), "token").join(t.select(F.col("slug").alias("b"), "token"), "token").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("token")).alias("shared"))
 
 
+def token_classes(slugs: DataFrame, generic: tuple[str, ...] = T.GENERIC_TOKENS) -> DataFrame:
+    """(token, slug, members, links): a row a slug and token that others share; all pairs of a token's members
+    overlap, links is their number. It grows with the slugs, not with their pairs."""
+    t = _tokens(slugs, generic).select("slug", F.explode("tokens").alias("token"))
+    n = t.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return t.join(n, "token").select("token", "slug", "members", F.expr("members * (members - 1) div 2").alias("links"))
+
+
+def overlaps_total(slugs: DataFrame, generic: tuple[str, ...] = T.GENERIC_TOKENS, most_tokens: int = 14) -> DataFrame:
+    """One row (n): how many pairs share a token, by inclusion and exclusion over the sets of tokens that slugs have: a
+    set of k tokens that m slugs hold adds or takes m (m - 1) / 2 pairs. Tokens that no other slug has are left out
+    first; pairs with a slug of more than ``most_tokens`` others, whose sets are too many, are joined on their tokens."""
+    rows = _tokens(slugs, generic)
+    shared = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").select("token")
+    t = rows.select("slug", F.explode("tokens").alias("token")).join(shared, "token").groupBy("slug").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    bits = F.expr("sequence(1L, shiftleft(1L, size(tokens)) - 1)")
+    picked = F.filter("tokens", lambda x, i: F.call_function("getbit", F.col("mask"), i) == 1)
+    sets = t.filter(F.size("tokens") <= most_tokens).select("tokens", F.explode(bits).alias("mask")).select(picked.alias("part"))
+    few = sets.groupBy("part").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    signed = F.sum(F.when(F.size("part") % 2 == 1, 1).otherwise(-1) * F.expr("m * (m - 1) div 2"))
+    long = t.filter(F.size("tokens") > most_tokens)
+    others = t.withColumn("long", F.size("tokens") > most_tokens)
+    a = long.select(F.col("slug").alias("a"), F.explode("tokens").alias("token"))
+    b = others.select(F.col("slug").alias("b"), "long", F.explode("tokens").alias("token"))
+    direct = a.join(b, "token").filter("a < b or (a > b and not long)").select("a", "b").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return few.agg(F.coalesce(signed, F.lit(0)).alias("n")).unionByName(direct).agg(F.sum("n").cast("long").alias("n"))
+
+
+def first_overlaps(slugs: DataFrame, most: int = 25, generic: tuple[str, ...] = T.GENERIC_TOKENS) -> DataFrame:
+    """The first ``most`` rows of token_overlap by a and b. Of a token's pairs the first ones are those of its first
+    member with the next ones, so ``most`` + 1 members of each token are enough: ranks are bounded before the shuffle."""
+    rows = _tokens(slugs, generic)
+    t = rows.select("slug", "tokens", F.explode("tokens").alias("token"))
+    head = t.withColumn("__k", F.row_number().over(W.partitionBy("token").orderBy("slug"))).filter(F.col("__k") <= most + 1)
+    b = head.select(F.col("slug").alias("b"), F.col("tokens").alias("__b"), "token")
+    pairs = head.select(F.col("slug").alias("a"), F.col("tokens").alias("__a"), "token").join(b, "token").filter("a < b")
+    return pairs.select("a", "b", F.array_intersect("__a", "__b").alias("shared")).distinct().orderBy("a", "b").limit(most)
+
+
 def hollow(pages: DataFrame) -> DataFrame:
     """pages (kind, slug, evidence_count as text): those with one piece of evidence or less,
     and concepts without a count."""

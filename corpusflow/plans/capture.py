@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
-from ..operators import captures, matching, meetings, merge, people, records, segments
-from ..sources import documents, pages, payloads, transcripts
+from ..operators import captures, forms, matching, meetings, merge, people, records, segments
+from ..session import arrow_uri, shared_dir
+from ..sources import documents, page_sink, pages, payloads, transcripts
+from ..sources import frontmatter as fm
+from ..sources import notes as N
 from ..sources.views import view
 from .catalogue import query
 
@@ -350,6 +353,28 @@ def call_records(spark, sf_dir):
     return found.select("id", F.trim("title").alias("title"), *[F.array_join(c, ",").alias(c) for c in ("participants", "emails", "internal", "external", "highlights", "steps")], "private", F.array_join(F.transform("outline", lambda o: o["section"]), ",").alias("outline"), "has_content")
 
 
+@query("""SELECT 'raw/' || CASE WHEN s_suppkey % 2 = 0 THEN 'zoom' ELSE 'teams' END || '/' || s_suppkey || '.md' AS rel, CASE WHEN s_suppkey % 2 = 0 THEN 'raw-zoom-meeting' ELSE 'raw-teams-meeting' END AS type, 'Sync: ' || s_name AS title,
+    (DATE '2024-01-01' + s_nationkey::INT)::VARCHAR AS date, CASE WHEN s_suppkey % 3 = 0 THEN '1h 15m' ELSE '' END AS duration, s_suppkey % 4 = 0 AS linked, 'mine ' || s_suppkey % 7 AS kept, CASE WHEN s_suppkey % 5 = 0 THEN '**Ada** ' || s_acctbal::DECIMAL(12, 2) ELSE '_(transcript file had no speech)_' END AS transcript FROM supplier""")
+def pages_written_and_read(spark, sf_dir):
+    """Meeting pages written by the sink over older ones whose own region stays, and read again as notes."""
+    import uuid
+
+    vault, marks = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}", ("<!-- mine -->", "<!-- /mine -->")
+    key = F.col("s_suppkey")
+    rows = view(spark, sf_dir, "supplier").repartition(8).selectExpr(
+        "s_suppkey", "cast(s_suppkey as string) as zoom_id", "cast(s_suppkey as string) as teams_meeting_id", "concat('Sync: ', s_name) as title", "date_add(date'2024-01-01', cast(s_nationkey as int)) as date", "if(s_suppkey % 3 = 0, '1h 15m', '') as duration", "array('Ada', 'Bo') as participants",
+        "if(s_suppkey % 4 = 0, map('gemini', named_struct('id', 'g1', 'note', '[[G]]')), map()) as links", "if(s_suppkey % 5 = 0, concat('**Ada** ', cast(s_acctbal as decimal(12, 2))), '') as transcript",
+    )
+    rel = F.concat(F.lit("raw/"), F.when(key % 2 == 0, "zoom").otherwise("teams"), F.lit("/"), key, F.lit(".md"))
+    region = lambda c: F.concat(F.lit(f"\n{marks[0]}\n"), c, F.lit(f"\n{marks[1]}\n"))
+    text = F.when(key % 2 == 0, forms.page(rows, "zoom")).otherwise(forms.page(rows, "teams"))
+    page_sink.save(rows.select(rel.alias("rel"), F.concat(F.lit("old"), region(F.concat(F.lit("mine "), key % 7))).alias("text")), arrow_uri(spark, vault), *marks)
+    page_sink.save(rows.select(rel.alias("rel"), F.concat(text, region(F.lit("new"))).alias("text")), arrow_uri(spark, vault), *marks)
+    found, f = N.scan(spark, vault), F.col("fm")
+    said = F.regexp_extract("text", r"## Transcript\n\n(.*)\n", 1)
+    return found.select("rel", fm.scalar(f, "type").alias("type"), fm.scalar(f, "title").alias("title"), fm.scalar(f, "date").alias("date"), fm.scalar(f, "duration").alias("duration"), F.contains("text", F.lit("> Also captured by Gemini: [[G]]")).alias("linked"), F.regexp_extract("text", f"{marks[0]}\n(.*)\n{marks[1]}", 1).alias("kept"), said.alias("transcript"))
+
+
 # --- small operators that had no query ---------------------------------------------------------
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
-from ..operators import audit, emergence, matching, merge, people, records, search, segments, threads
+from ..operators import audit, emergence, index, matching, merge, people, records, search, segments, threads
 from ..sources import frontmatter as fm
 from ..sources import html, transcripts
 from ..sources import notes as N
-from ..session import shared_dir
+from ..session import arrow_uri, shared_dir
 from ..sources.views import duck, view
-from ..streaming import ingest
+from ..streaming import ingest, polling
 
 TODAY = "2024-01-31"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,6 +235,22 @@ def token_overlap_pairs(spark, sf_dir):
     return threads.token_overlap(slugs).withColumn("shared", F.array_join("shared", ","))
 
 
+_SHARED = """s AS (SELECT DISTINCT replace(lower(p_name), ' ', '-') AS slug FROM part), f AS (SELECT DISTINCT slug, token FROM (SELECT slug, unnest(string_split(slug, '-')) AS token FROM s) WHERE length(token) >= 3),
+    p AS (SELECT x.slug AS a, y.slug AS b, string_agg(x.token, ',' ORDER BY x.token) AS shared FROM f x JOIN f y ON x.token = y.token AND x.slug < y.slug GROUP BY ALL)"""
+
+
+@query(f"WITH {_SHARED}, n AS (SELECT token, count(*) AS members FROM f GROUP BY 1 HAVING count(*) > 1) SELECT token, slug, members, (members * (members - 1) // 2)::BIGINT AS links, (SELECT count(*) FROM p) AS total FROM f JOIN n USING (token)")
+def token_overlap_classes(spark, sf_dir):
+    slugs = view(spark, sf_dir, "part").select(T.kebab(F.col("p_name")).alias("slug"))
+    return threads.token_classes(slugs).crossJoin(F.broadcast(threads.overlaps_total(slugs).withColumnRenamed("n", "total")))  # one row
+
+
+@query(f"WITH {_SHARED} SELECT * FROM p ORDER BY a, b LIMIT 25")
+def token_overlap_first(spark, sf_dir):
+    slugs = view(spark, sf_dir, "part").select(T.kebab(F.col("p_name")).alias("slug"))
+    return threads.first_overlaps(slugs).withColumn("shared", F.array_join("shared", ","))
+
+
 @query("SELECT doc_id, quality::VARCHAR AS evidence_count FROM documents LEFT JOIN labels USING (doc_id) WHERE quality <= 1 OR (quality IS NULL AND source = 'src1')")
 def hollow_pages(spark, sf_dir):
     pages = view(spark, sf_dir, "documents").join(view(spark, sf_dir, "labels"), "doc_id", "left")
@@ -428,6 +444,18 @@ def research_search(spark, sf_dir):
     return search.search(view(spark, sf_dir, "v_notes"), _TERMS)
 
 
+@query(f"WITH {_RANKED} SELECT rel, stem, layer, hits, score FROM c WHERE layer <> 'raw' OR k <= 5 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY score DESC, hits DESC, rel) <= CASE layer WHEN 'raw' THEN 15 ELSE 12 END")
+def indexed_search(spark, sf_dir):
+    """The same from an inverted index, made in three deltas, of which the last replaces what the first had of it."""
+    import uuid
+
+    path, notes = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", view(spark, sf_dir, "v_notes").withColumnRenamed("doc_id", "id")
+    index.add(notes.filter("id % 2 = 0").withColumn("text", F.when(F.col("id") % 4 == 0, "the license of once").otherwise(F.col("text"))), path, 0)
+    index.add(notes.filter("id % 2 = 1"), path, 1)
+    index.add(notes.filter("id % 4 = 0"), path, 2)
+    return index.search(notes, path, _TERMS)
+
+
 @query(r"""WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''\-]+'), 1) AS i FROM benchmark),
     f AS (SELECT item_id, trim(w, '''-') AS w, min(i) AS i FROM q WHERE length(trim(w, '''-')) >= 3 AND trim(w, '''-') NOT IN (""" + ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS) + """) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM f) SELECT item_id, string_agg(w, ',' ORDER BY k) AS terms FROM r WHERE k <= 8 GROUP BY 1""")
@@ -629,6 +657,25 @@ def stream_dedup_available_now(spark, sf_dir):
     return ingest.latest(spark, f"{out}/table", "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type, count(*) AS n, max(ts) - INTERVAL 24 HOUR AS cursor FROM events GROUP BY 1")
+def polled_service_cursor(spark, sf_dir):
+    """A service that has the older half of the events at the first poll, all at the second, and nothing new at the
+    third: each event counts once, and the cursor is what the next request will begin at."""
+    import uuid
+
+    out, source = f"{shared_dir(spark)}/poll-{uuid.uuid4().hex}", view(spark, sf_dir, "events")
+    half = source.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    columns = "event_id long, ts timestamp_ntz, event_type string"
+    for poll, part in enumerate((source.filter(F.col("ts") <= half), source.filter(F.col("ts") > half), None)):
+        if part is not None:
+            part.select("event_id", "ts", "event_type").write.parquet(f"{out}/service/poll={poll}")
+        stream = polling.poll(spark, arrow_uri(spark, f"{out}/service"), columns, "ts", window_hours=24 * 7)
+        ingest.run(stream, ingest.upsert_into(spark, f"{out}/table", "event_id", None), f"{out}/checkpoint")
+    seen = ingest.latest(spark, f"{out}/table", "event_id")
+    counts = seen.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(merge.high_water(seen, "ts", by=("event_type",)), "event_type")
+
+
 # --- records ---------------------------------------------------------------------------
 
 

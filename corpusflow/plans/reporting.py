@@ -295,8 +295,19 @@ def week_by_the_numbers(spark, sf_dir):
     return audit.week_numbers(notes, audit.tasks(notes), threads.activity(tags, "2024-01-14"), "2024-01-14", F.col("doc_id") % 5 == 0)
 
 
-@query("SELECT '2024-01-09' AS healed, '2024-01-24' AS plain, '2024-01-02T10:00:01+00:00' AS next, 'old' AS kept, 2::BIGINT AS windows")
+@query("""WITH n AS (SELECT event_type, min(ts)::DATE AS first, max(ts) AS newest FROM events GROUP BY 1), t AS (SELECT max(ts)::DATE + 3 AS today FROM events)
+    SELECT event_type, strftime(least(today - 7, newest::DATE - 1), '%Y-%m-%d') AS healed, strftime(today - 7, '%Y-%m-%d') AS plain, strftime(date_trunc('second', newest) + INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S+00:00') AS next, event_type AS kept,
+    ((newest::DATE - first + 30) // 30)::BIGINT AS windows FROM n, t""")
 def cursor_rules(spark, sf_dir):
-    """What a run leaves as its cursor, and where the next one begins."""
-    rows = [(merge.heal_window("2024-01-31", 7, "2024-01-10"), merge.heal_window("2024-01-31", 7, None), merge.next_cursor("2024-01-02T10:00:00Z", "x"), merge.next_cursor(None, "old"), len(payloads.windows("2024-01-01", "2024-02-15")))]
-    return _frame(spark, rows, "healed string, plain string, next string, kept string, windows long")
+    """What a run leaves as its cursor for each type of event, where the next one begins, and in how many requests."""
+    events = view(spark, sf_dir, "events")
+    types = events.groupBy("event_type").agg(F.to_date(F.min("ts")).alias("first"), F.max("ts").alias("newest"))
+    rule = lambda f, kind: F.udf(f, kind)
+    day = lambda c: c.cast("date").cast("string")
+    rows = types.crossJoin(F.broadcast(events.agg(F.date_add(F.to_date(F.max("ts")), 3).alias("today"))))  # one row
+    stamp = F.date_format("newest", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.select(
+        "event_type", rule(lambda t, n: merge.heal_window(t, 7, n), "string")(day(F.col("today")), day(F.col("newest"))).alias("healed"), rule(lambda t: merge.heal_window(t, 7, None), "string")(day(F.col("today"))).alias("plain"),
+        rule(lambda n: merge.next_cursor(n, "x"), "string")(stamp).alias("next"), rule(lambda o: merge.next_cursor(None, o), "string")("event_type").alias("kept"),
+        rule(lambda a, b: len(payloads.windows(a, b)), "long")(day(F.col("first")), day(F.col("newest"))).alias("windows"),
+    )
