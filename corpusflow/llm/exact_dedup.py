@@ -1,6 +1,6 @@
 """Exact deduplication with a heavy-hitter split.
 
-1. Every text is normalised (A-Z lowered) and digested once, in Arrow batches; the
+1. Every text is normalised (A-Z lowered) and digested once, by SQL functions; the
    digests (no texts) are kept as a table in the shared folder.
 2. Misra-Gries summaries of ``counters`` entries, one a partition, find digests that
    may hold a ``1 / frequent`` share of the rows. A digest with f of n rows has
@@ -55,7 +55,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", freque
     text_sha256.
 
     Null and empty texts are equal to each other. Rows that repeat a key count one by
-    one; only the row or rows with the largest key are kept. An empty table gives no
+    one; only the row or rows with the largest key are kept. Texts of any length are
+    digested whole, and only digests travel. An empty table gives no
     rows. Other columns of docs are not looked at.
     """
     seen = common.materialise(digests(docs, text, key), "digests")

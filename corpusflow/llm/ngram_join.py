@@ -436,7 +436,8 @@ def ngram_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     shingle is one shingle; null texts and such without words are linked with nothing,
     and so is a row with a null key, whose component_id is null. Keys should differ: rows
     with equal keys are judged one by one. Shingles and sets are told apart by 64-bit
-    hashes.
+    hashes. Texts of any length give all their shingles. An empty table gives no rows; other
+    columns of docs are not looked at.
     """
     rows = _rows(docs, text, key)
     spark = docs.sparkSession
