@@ -20,7 +20,7 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or letterless texts) go; lang is the one found.
-    Without any labelled text there is nothing to judge by, and all that have letters stay.
+    Without any labelled text there is nothing to judge by, and all that have letters stay. An empty table stays empty.
     Every row is judged alone, with repeated ids too; all columns stay, whatever their names."""
     model = language_id.train(docs.filter(~language_id.held_out()))
     found = language_id.identify(docs, model)
@@ -48,7 +48,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix draws, in the order of shards and places. A
-    document without words is never drawn; all columns stay."""
+    document without words is never drawn. Rows are drawn one by one; those that share an id, or have none, share a place in the permutation.
+    An empty table stays empty; all columns stay."""
     drawn = mixing.mix(docs, carry=True).withColumn("draws", F.explode("draws"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return drawn.repartitionByRange(parts, "draws.shard", "draws.place").sortWithinPartitions("draws.shard", "draws.place").select(docs.columns)

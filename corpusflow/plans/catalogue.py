@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as D
-from ..operators import audit, emergence, index, matching, merge, people, records, search, segments, threads
+from ..operators import audit, emergence, index, matching, merge, pages, people, records, search, segments, threads
 from ..sources import frontmatter as fm
-from ..sources import html, transcripts
+from ..sources import html, payloads, transcripts
 from ..sources import notes as N
 from ..session import arrow_uri, shared_dir
 from ..sources.views import duck, view
@@ -97,6 +97,15 @@ def emerge_window_counts(spark, sf_dir):
     return emergence.emerge(_items(spark, sf_dir), today=TODAY, window_days=14, top=None, min_items=1, min_sources=1, body_chars=None).select("slug", "items", "sources")
 
 
+@query(f"WITH {_MENTIONS}, best AS (SELECT slug, items, first, latest, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM m WHERE m.slug = e.slug) AS sources FROM e WHERE items >= 3 AND e.sources >= 2 ORDER BY items * (1.0 + (e.sources - 1) * 0.5) DESC, items DESC, slug LIMIT 25) SELECT slug, items, sources, first::DATE AS first, latest::DATE AS latest FROM best")
+def patterns_report(spark, sf_dir):
+    """The ranked patterns as a report, and its rows read again."""
+    best = emergence.emerge(_items(spark, sf_dir), body_chars=None)
+    report = pages.patterns_report(best, [F.desc("score"), F.desc("items"), "slug"])
+    rows = report.select(F.explode(payloads.report_rows(F.col("report"))).alias("r"))
+    return rows.select("r.slug", F.col("r.items").cast("long").alias("items"), F.array_join("r.sources", ",").alias("sources"), "r.first", "r.latest")
+
+
 @query(f"""WITH {_MENTIONS}, deny AS (SELECT DISTINCT regexp_replace(lower(text[1:40]), '[^a-z0-9]', '', 'g') AS k FROM (SELECT 'MIT License' AS text UNION ALL SELECT 'Doc 1'))
     SELECT slug, count(DISTINCT item_id) AS items FROM m WHERE regexp_replace(slug, '[^a-z0-9]', '', 'g') NOT IN (SELECT k FROM deny) GROUP BY slug""")
 def emerge_denied(spark, sf_dir):
@@ -657,6 +666,20 @@ def stream_dedup_available_now(spark, sf_dir):
     return ingest.latest(spark, f"{out}/table", "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'u' || user_id % 50 AS slug, count(DISTINCT ts::DATE) AS runs FROM events GROUP BY 1")
+def ledger_runs(spark, sf_dir):
+    """Days on which something was seen, by a ledger on a stream that is stopped, started again and given old rows."""
+    import uuid
+
+    out, source = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", view(spark, sf_dir, "events")
+    rows = source.select(F.concat(F.lit("u"), F.col("user_id") % 50).alias("slug"), F.to_date("ts").cast("string").alias("day"))
+    for run, part in enumerate((rows.filter(F.col("day") < "2024-01-15"), rows)):
+        part.write.parquet(f"{out}/in/run={run}")
+        stream = ingest.available(spark, f"{out}/in", rows.schema).select("slug", "day")
+        ingest.ledger_into(spark, stream, f"{out}/table", f"{out}/checkpoint")
+    return ingest.latest(spark, f"{out}/table", "slug")
+
+
 @query("SELECT event_type, count(*) AS n, max(ts) - INTERVAL 24 HOUR AS cursor FROM events GROUP BY 1")
 def polled_service_cursor(spark, sf_dir):
     """A service that has the older half of the events at the first poll, all at the second, and nothing new at the

@@ -85,20 +85,24 @@ def sliding_counts(stream: DataFrame, time: str, key: str, size: str = "30 days"
 
 
 class Ledger(StatefulProcessor):
-    """Distinct observation days of each slug; gives (slug, runs) when a new one comes."""
+    """Distinct observation days of each slug; gives (slug, runs) when a new one comes. The number is kept beside the days, so a
+    batch costs its own rows, not the slug's history."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.days = handle.getMapState("days", "day string", "seen boolean")
+        self.runs = handle.getValueState("runs", "n long")
 
     def handleInputRows(self, key, rows, timer):
-        grew = False
+        before = self.runs.get()[0] if self.runs.exists() else 0
+        n = before
         for pdf in rows:
             for day in pdf["day"].astype(str).unique():
                 if not self.days.containsKey((day,)):
                     self.days.updateValue((day,), (True,))
-                    grew = True
-        if grew:
-            yield pd.DataFrame({"slug": [key[0]], "runs": [sum(1 for _ in self.days.keys())]})
+                    n += 1
+        if n > before:
+            self.runs.update((n,))
+            yield pd.DataFrame({"slug": [key[0]], "runs": [n]})
 
     def close(self) -> None:
         pass
@@ -108,3 +112,17 @@ def ledger(stream: DataFrame) -> DataFrame:
     """stream (slug, day) -> (slug, runs), by keyed state that outlives a run (needs the
     RocksDB state store)."""
     return stream.groupBy("slug").transformWithStateInPandas(Ledger(), "slug string, runs long", "Update", "None")
+
+
+def ledger_into(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Take all of stream (slug, day) into the ledger whose state is at checkpoint, and keep its numbers as a keyed
+    table at path. The state is saved with a batch's offsets before its numbers are written, and a batch that is run
+    again writes the same numbers again."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = ledger(stream).writeStream.outputMode("update").foreachBatch(upsert_into(spark, path, "slug", "runs")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(store) if was is None else spark.conf.set(store, was)
