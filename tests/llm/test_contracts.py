@@ -43,7 +43,8 @@ def text_of(r) -> str:
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, rows):
     db = duckdb.connect()
-    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = db.execute(queries.oracle_sql()[name])
     names = sorted(d[0] for d in got.description)
     at = [[d[0] for d in got.description].index(c) for c in names]
