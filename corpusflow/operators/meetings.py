@@ -304,9 +304,10 @@ def link_index(notes: DataFrame, keys: dict[str, str]) -> DataFrame:
 
 def ingest(records: DataFrame, others: DataFrame, existing: DataFrame, include: bool = False, minutes: int = 10) -> DataFrame:
     """The plan of a run: records with policy, included, links (source -> id of the nearest record
-    within so many minutes), hash, file and action. others (source, id, start); existing (id8, file,
-    hash). Empty records are left out. An existing page is found by the id in its name, so a new title or
-    start rewrites it in place; an equal hash leaves it unchanged."""
+    within so many minutes), hash, file and action. others (source, id, start); existing (id, file,
+    hash). Empty records are left out. An existing page is found by the whole id in its frontmatter, as among many
+    records the eight digits in a name are those of several; a new title or start rewrites it in place, and an equal
+    hash leaves it unchanged."""
     kept = records.filter(filled(F.col("summary")) | (F.size("segments") > 0) | filled(F.col("notes")))
     near = matching.nearest_within(kept.select("id", "start"), others, 60 * minutes)
     links = near.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.col("match").cast("string").alias("match"))))).alias("links"))
@@ -315,10 +316,10 @@ def ingest(records: DataFrame, others: DataFrame, existing: DataFrame, include:
     rows = kept.withColumn("p", p).select("*", "p.policy", "p.included").drop("p")
     stamp = F.substring(merge.content_hash(F.col("summary"), F.array_join("steps", "\n"), F.array_join(spoken, "\n"), F.col("notes"), F.concat_ws("|", "policy", F.col("included").cast("string"))), 1, 16)
     rows = rows.withColumn("hash", stamp).withColumn("id8", id8(F.col("id"))).join(links, "id", "left")
-    old = existing.select("id8", F.col("file").alias("__file"), F.col("hash").alias("__hash"))
+    old = existing.select("id", F.col("file").alias("__file"), F.col("hash").alias("__hash"))
     name = F.concat_ws("-", F.col("local_date").cast("string"), F.coalesce(F.nullif(T.slugify(F.col("title"), 60), F.lit("")), F.lit("meeting")), "id8")
     action = F.when(F.col("__hash").isNull(), "insert").when(F.col("__hash") == F.col("hash"), "unchanged").otherwise("update")
-    return rows.join(old, "id8", "left").withColumn("file", F.coalesce("__file", F.concat(name, F.lit(".md")))).withColumn("action", action).drop("__file", "__hash")
+    return rows.join(old, "id", "left").withColumn("file", F.coalesce("__file", F.concat(name, F.lit(".md")))).withColumn("action", action).drop("__file", "__hash")
 
 
 def transcript_text(segments: Column) -> Column:

@@ -328,7 +328,7 @@ def meeting_ingest(spark, sf_dir):
     orders = view(spark, sf_dir, "orders").withColumn("start", F.expr("timestamp'2000-01-01 00:00:00' + make_dt_interval(0, cast(o_orderkey as int), 0, 0)"))
     rows = _records(spark, sf_dir, orders.selectExpr("concat('m', o_orderkey) as id", "'api' as input", "'Sync' as title", "start", "60L as duration", "if(o_orderkey % 5 < 2, '', 's') as summary", "o_orderkey % 5 in (1, 2) as said", "'' as notes", "0L as ordinal", "'' as emails"))
     others = orders.filter("o_orderkey % 6 = 0").selectExpr("'x' as source", "o_orderkey as id", "start + make_dt_interval(0, 0, 9, 0) as start")
-    known = orders.filter("o_orderkey % 4 = 0").selectExpr("substr(sha1(concat('m', o_orderkey)), 1, 8) as id8", "concat('old-', o_orderkey, '.md') as file", "'0' as hash")
+    known = orders.filter("o_orderkey % 4 = 0").selectExpr("concat('m', o_orderkey) as id", "concat('old-', o_orderkey, '.md') as file", "'0' as hash")
     plan = meetings.ingest(rows.drop("ordinal"), others, known)
     links = F.coalesce(F.array_join(F.transform(F.map_entries("links"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), F.lit(""))
     return plan.select("id", "file", "action", "policy", "included", links.alias("links"))
