@@ -15,13 +15,27 @@ def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "
     source the nearest record within so many seconds; ties go to the least id. A row without
     a start matches nothing.
 
-    An equi join on time buckets of that width and the two beside it: no pair that is
-    further apart than two buckets is ever made."""
+    What is nearest depends on a row's second alone, so seconds are told apart first, and of the right rows of a source
+    and second only the least id counts. A window over each source's bucket of that width finds the ones before and
+    after a second, with the last one of the bucket before and the first one of the bucket after set beside. No pair but
+    the answers is made, and a bucket has at most as many rows as seconds, however many records it has."""
+    per_bucket = W.partitionBy("source", "b")
     t = lambda c: F.unix_timestamp(c)
-    l = left.filter("start is not null").select("id", t("start").alias("t")).withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("t") / seconds) + k)))  # noqa: E741
-    r = right.filter("start is not null").select(F.col(per).alias("source"), F.col("id").alias("match"), t("start").alias("u")).withColumn("b", F.floor(F.col("u") / seconds))
-    near = l.join(r, "b").withColumn("gap", F.abs(F.col("t") - F.col("u"))).filter(F.col("gap") <= seconds)
-    best = near.groupBy("id", "source").agg(F.min(F.struct("gap", "match")).alias("m"))
+    l = left.filter("start is not null").select("id", t("start").alias("t"))  # noqa: E741
+    least = F.when(F.count_if(F.col("match").isNull()) == 0, F.min("match")).alias("match")  # a row without an id is the least
+    bucket = lambda c: F.floor(F.col(c) / seconds) if seconds else F.col(c)
+    r = right.filter("start is not null").select(F.col(per).alias("source"), F.col("id").alias("match"), t("start").alias("u")).groupBy("source", "u").agg(least).withColumn("b", bucket("u"))
+    ends = r.withColumns({"first": F.min("u").over(per_bucket), "last": F.max("u").over(per_bucket)})
+    at = F.array_compact(F.array(F.col("b"), F.when(F.col("u") == F.col("last"), F.col("b") + 1), F.when(F.col("u") == F.col("first"), F.col("b") - 1)))
+    places = ends.select("source", "u", "match", F.explode(at).alias("b"))
+    asked = l.select("t").distinct().withColumn("b", bucket("t")).join(places.select("b", "source").distinct(), "b")
+    both = places.select("b", "source", F.col("u").alias("t"), F.struct("u", "match").alias("p")).unionByName(asked.select("b", "source", "t"), allowMissingColumns=True)
+    order = per_bucket.orderBy("t")
+    before, after = F.last("p", True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow)), F.last("p", True).over(per_bucket.orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    gap = lambda p: F.abs(F.col("t") - p["u"])
+    near = F.array_min(F.filter(F.array(*[F.struct(gap(F.col(c)).alias("gap"), F.col(c)["match"].alias("match")) for c in ("before", "after")]), lambda x: x["gap"] <= seconds))
+    answers = both.withColumns({"before": before, "after": after}).filter("p is null").select("t", "source", near.alias("m")).filter("m is not null")
+    best = l.join(answers, "t").groupBy("id", "source").agg(F.min("m").alias("m"))
     return best.select("id", "source", F.col("m.match").alias("match"), F.col("m.gap").alias("gap"))
 
 

@@ -59,3 +59,39 @@ def test_no_rows(spark):
 @pytest.mark.parametrize("name", ["greedy_merge", "meeting_merge"])
 def test_no_python_groups(spark, name):
     assert "FlatMapGroupsInPandas" not in catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_nearest_makes_no_pairs_but_the_answers(spark):
+    """Many records of few seconds: each row has its nearest one, and no operator's rows are those of all pairs."""
+    r = random.Random(7)
+    left, right = [(i, r.randint(-40, 60)) for i in range(900)], [(["x", "y", None][i % 3], i, r.randint(-40, 90)) for i in range(900)]
+    at = lambda t: START + dt.timedelta(seconds=t)
+    a = spark.createDataFrame([(i, at(t)) for i, t in left], "id long, start timestamp")
+    b = spark.createDataFrame([(s, i, at(t)) for s, i, t in right], "source string, id long, start timestamp")
+    near = matching.nearest_within(a, b, 7)
+    want = {}
+    for i, t in left:
+        for s, k, u in right:
+            if abs(t - u) <= 7:
+                want[i, s] = min(want.get((i, s), (99, 0)), (abs(t - u), k))
+    assert {(x.id, x.source): (x.gap, x.match) for x in near.collect()} == want
+    assert max(_rows(near)) < 5 * 900
+
+
+def _rows(df):
+    """Numbers of output rows of the operators of a plan that ran."""
+    out, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            waiting.append(node.plan())
+            continue
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            out.append(found.get().value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return out
