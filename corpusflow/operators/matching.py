@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..session import small, written
+from ..session import ship, small, written
 
 
 def nearest_within(left: DataFrame, right: DataFrame, seconds: int, per: str = "source") -> DataFrame:
@@ -50,11 +53,130 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     return kept.join(F.broadcast(first), part).withColumn(name, F.col(row) + F.col("__first") + 1).drop(part, row, "__first")
 
 
-def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long", rounds: int = 8) -> DataFrame:
+#: Rows of a block of greedy_pairs: what a task holds at once.
+BLOCK = 50_000
+
+
+def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "long", rounds: int = 8, block: int = BLOCK) -> DataFrame:
     """left (id, start, ordinal), right (id, start), ids of ``kind`` -> (left_id, right_id): in the order of ordinals and
     then ids, each left row takes the nearest right row within so many seconds that is still free (of equally near ones
     the least id). Rows without a start match nothing; ids are expected to be unique on each side.
 
+    Rows of both sides are cut by time into blocks of so many rows, and a task settles what a block tells without
+    its neighbours (``_settle``): all but the rows that hang together with those beyond its ends. These few are cut into blocks
+    again, until none is open. Where a round leaves more than half of the left rows open (most rows of one
+    second, a chain longer than blocks), the rest is paired by proposals."""
+    ship(left.sparkSession)
+    second = lambda df: df.select("id", F.unix_timestamp("start").alias("t"), *[F.col(c).cast("long") for c in df.columns if c == "ordinal"]).filter("t is not null")
+    rows = second(left).withColumn("side", F.lit(1)).unionByName(second(right).withColumn("side", F.lit(0)), allowMissingColumns=True).select("side", F.col("id").cast(kind).alias("id"), "t", "ordinal")
+    done, before = None, None
+    while True:
+        judged = _blocks(rows, seconds, block, kind)
+        pairs = judged.filter("side = 2").select(F.col("id").alias("left_id"), F.col("rid").alias("right_id"))
+        done = pairs if done is None else done.unionByName(pairs)
+        rows = judged.filter("side < 2").drop("rid")
+        n = judged.agg(F.count_if(F.col("side") == 1).alias("open"), F.count_if(F.col("side") == 2).alias("pairs")).first()
+        if not n.open:
+            return done
+        if 2 * n.open > (n.open + n.pairs if before is None else before):
+            sides = [rows.filter(F.col("side") == s).drop("side") for s in (1, 0)]
+            return done.unionByName(_proposed(sides[0], sides[1].drop("ordinal").withColumnRenamed("id", "rid"), seconds, kind, rounds))
+        before = n.open
+
+
+def _blocks(rows: DataFrame, seconds: int, block: int, kind: str) -> DataFrame:
+    """rows (side, id, t, ordinal) as ``_settle`` leaves them, block by block."""
+    placed = numbered(rows, ["t", "side", "ordinal", "id"], "row").select("side", "id", "t", "ordinal", F.floor((F.col("row") - 1) / block).alias("block"))
+    ends = placed.groupBy("block").agg(F.min("t").alias("low"), F.max("t").alias("high"))  # a row a block
+    next_to = ends.select("block", F.lag("high").over(W.orderBy("block")).alias("low"), F.lead("low").over(W.orderBy("block")).alias("high"))
+    tasks = max(1, min(10_000, ends.count()))
+    dealt = placed.join(F.broadcast(next_to), "block").repartition(tasks, "block")
+    return written(dealt.groupBy("block").applyInArrow(lambda table: _settle(table, seconds), f"side int, id {kind}, rid {kind}, t bigint, ordinal bigint"), "settled")
+
+
+def _settle(rows: pa.Table, seconds: int) -> pa.Table:
+    """A block's rows (side: 1 left, 0 right; id, t, ordinal; low and high: the times next to the block, null without) -> pairs
+    (side 2: id, rid) and the rows that are left: of side 1 those that are open, of side 0 those free that an open
+    row, here or beyond the ends, may reach.
+
+    Left rows come in their order. A right row is free, taken or in doubt: rows beyond an end may take
+    what is so near to it. Where the nearest one not taken is free, and nearer than an end, that is the pair whatever happens elsewhere.
+    Else the row stays open, and what it takes is in doubt already or the nearest free one, which is in doubt from now on. A
+    pair may be taken out for those still open too: it was free for them and they had better ones."""
+    side = rows["side"].to_numpy()
+    low, high = (rows[c][0].as_py() for c in ("low", "high"))
+    lefts, rights = rows.filter(pa.array(side == 1)), rows.filter(pa.array(side == 0))
+    lefts = lefts.take(pc.sort_indices(lefts, [("ordinal", "ascending"), ("id", "ascending")], null_placement="at_start"))
+    rights = rights.take(pc.sort_indices(rights, [("id", "ascending")]))  # from now on a number orders as its id
+    u, t = rights["t"].to_numpy().astype(np.int64), lefts["t"].to_numpy().astype(np.int64)
+    n, far = len(u), 1 << 62
+    near_end = np.zeros(n, bool)
+    to_end = np.full(len(t), far)
+    for end in (low, high):
+        if end is not None:
+            near_end |= np.abs(u - end) <= seconds
+            to_end = np.minimum(to_end, np.abs(t - end))
+    # both ways from a time: right rows by time and number, those at the time itself among the ones before
+    up, down = np.lexsort((np.arange(n), u)), np.lexsort((np.arange(n), -u))
+    from_up, from_down = np.searchsorted(u[up], t, "right").tolist(), np.searchsorted(-u[down], -t, "left").tolist()
+    orders = [[*up.tolist(), -1], [*down.tolist(), -1]]
+    places = [np.argsort(o).tolist() for o in (up, down)]
+    times = u.tolist()
+    doubt = near_end.tolist()
+    # of each place the next one, itself included, that is not taken; and that is free
+    untaken = [list(range(n + 1)) for _ in orders]
+    free = [np.where(np.append(near_end[o], False), np.arange(1, n + 2), np.arange(n + 1)).tolist() for o in (up, down)]
+
+    def find(follow: list[int], i: int) -> int:
+        while follow[i] != i:
+            follow[i] = i = follow[follow[i]]
+        return i
+
+    def nearest(follow: list[list[int]], at: int, k: int) -> tuple[int, int]:
+        """(gap, number); n where there is none within reach"""
+        best = (seconds, n)
+        for follows, order, start in zip(follow, orders, (from_up[k], from_down[k]), strict=True):
+            r = order[find(follows, start)]
+            if r >= 0 and (found := (abs(times[r] - at), r)) < best:
+                best = found
+        return best
+
+    def leave(follow: list[list[int]], r: int) -> None:
+        for follows, place in zip(follow, places, strict=True):
+            follows[place[r]] = place[r] + 1
+
+    partner, open_ = np.full(len(t), -1), np.zeros(len(t), bool)
+    for k, (at, end) in enumerate(zip(t.tolist(), to_end.tolist(), strict=True)):
+        gap, r = nearest(untaken, at, k)
+        if r < n and not doubt[r] and gap < end:
+            partner[k] = r
+            leave(untaken, r)
+            leave(free, r)
+        elif r < n or end <= seconds:
+            open_[k] = True
+            r = nearest(free, at, k)[1]
+            if r < n:
+                doubt[r] = True
+                leave(free, r)
+    still = np.ones(n, bool)
+    still[partner[partner >= 0]] = False
+    asked = np.sort(t[open_])
+    still &= near_end | (np.searchsorted(asked, u - seconds, "left") < np.searchsorted(asked, u + seconds, "right"))
+    paired = np.flatnonzero(partner >= 0)
+    kinds = rows["id"].type
+    one = lambda s, ids, rids, ts, ordinals: pa.table({"side": pa.array(np.full(len(ids), s, np.int32)), "id": ids, "rid": rids, "t": ts, "ordinal": ordinals})
+    none = lambda kind, m: pa.nulls(m, kind)
+    kept, left_ = rights.filter(pa.array(still)), lefts.filter(pa.array(open_))
+    return pa.concat_tables([
+        one(2, lefts["id"].take(pa.array(paired)), rights["id"].take(pa.array(partner[paired])), none(pa.int64(), len(paired)), none(pa.int64(), len(paired))),
+        one(1, left_["id"], none(kinds, len(left_)), left_["t"], left_["ordinal"]),
+        one(0, kept["id"], none(kinds, len(kept)), kept["t"], none(pa.int64(), len(kept))),
+    ])
+
+
+def _proposed(lefts: DataFrame, rights: DataFrame, seconds: int, kind: str, rounds: int) -> DataFrame:
+    """lefts (id, t, ordinal), rights (rid, t) -> (left_id, right_id) as greedy_pairs has them, without blocks.
+
     As that order is the same for all right rows, the pairs are those of deferred acceptance, which needs no turns: in a round every open
     left row proposes to its nearest right row that has not refused it; a right row holds the first proposer in
     the order, also in place of one it held, and refuses the others, which are open again. It ends when none is open.
@@ -66,8 +188,7 @@ def greedy_pairs(left: DataFrame, right: DataFrame, seconds: int, kind: str = "l
     where they are most of the pairs, the others are numbered again without them. Rounds are bounded by the longest chain
     of refusals; each reads and writes the open rows and the pairs held in the shared folder.
     """
-    second = lambda df: df.select("id", F.unix_timestamp("start").alias("t"), *[F.col(c).cast("long") for c in df.columns if c == "ordinal"]).filter("t is not null")
-    rights, lefts, done = second(right).withColumnRenamed("id", "rid"), second(left), None
+    done = None
     pairs = lambda df: df.select(F.col("id").alias("left_id"), F.col("rid").alias("right_id"))
     while True:
         places, open_, held = _numbered_sides(lefts, rights, kind)

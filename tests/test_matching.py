@@ -39,6 +39,25 @@ def test_random_rows(spark, seed):
     assert len(got) == len(set(got)) and set(got) == sequential(left, right, seconds)
 
 
+@pytest.mark.parametrize(("seed", "block"), [(0, 40), (1, 60), (2, 25), (3, 7), (4, 64)])
+def test_blocks_settle_what_stands_without_their_neighbours(spark, monkeypatch, seed, block):
+    """Rows in many blocks: the rounds of proposals get few of them or none."""
+    r = random.Random(seed)
+    span, seconds = [(4000, 10), (3000, 3), (900, 2), (60, 4), (9000, 30)][seed]
+    left = [(i, r.randint(0, span), [i, r.randint(0, 30)][seed % 2]) for i in range(300)]
+    right = [(i, r.randint(0, span)) for i in range([300, 200, 400, 100, 350][seed])]
+    at = lambda t: START + dt.timedelta(seconds=t)
+    a = spark.createDataFrame([(f"l{i}", at(t), o) for i, t, o in left], "id string, start timestamp, ordinal long")
+    b = spark.createDataFrame([(f"r{i:03}", at(t)) for i, t in right], "id string, start timestamp")
+    rest, proposed = [], matching._proposed
+    monkeypatch.setattr(matching, "_proposed", lambda lefts, *more: rest.append(lefts.count()) or proposed(lefts, *more))
+    got = {(x.left_id, x.right_id) for x in matching.greedy_pairs(a, b, seconds, "string", block=block).collect()}
+    order = sorted(left, key=lambda x: (x[2], f"l{x[0]}"))
+    want = sequential([(i, t, k) for k, (i, t, _) in enumerate(order)], right, seconds)
+    assert got == {(f"l{i}", f"r{k:03}") for i, k in want}
+    assert seed == 3 or sum(rest) < 60
+
+
 def test_events_every_second_over_several_spans(spark):
     """No gap anywhere: islands would be one group of all rows."""
     n, seconds = 600, 30
