@@ -35,7 +35,7 @@ def _any(values: Iterable[str]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end, line feeds too."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def kebab(c: Column) -> Column:
@@ -295,14 +295,17 @@ def book_slug(c: Column) -> Column:
 def _fenced_lines(body: Column) -> Column:
     """Lines with whether they stand in a code fence or are one: array<struct<x, fenced>>. The body is cut before
     each fence; every other part is inside, so no line looks back at those before it."""
-    parts = F.split(F.concat(F.lit("\n"), F.replace(body, F.lit("\r\n"), F.lit("\n"))), "\n(?= *```)")
+    return let(F.split(F.concat(F.lit("\n"), F.replace(body, F.lit("\r\n"), F.lit("\n"))), "\n(?= *```)"), _marked)
+
+
+def _marked(parts: Column) -> Column:
     first = F.when(parts[0] == "", F.slice(F.split(F.lit(""), "\n"), 1, 0)).otherwise(F.split(F.substr(parts[0], F.lit(2)), "\n"))
     outside = F.transform(first, lambda x: F.struct(x.alias("x"), F.lit(False).alias("fenced")))
     rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p, i: F.transform(F.split(p, "\n"), lambda x, j: F.struct(x.alias("x"), ((i % 2 == 0) | (j == 0)).alias("fenced"))))
     return F.concat(outside, F.flatten(rest))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use of a value that is worked out once, also where a function of an array names it for each element."""
     return F.transform(F.array(value), use)[0]
 
@@ -313,7 +316,7 @@ def spine(body: Column) -> Column:
     level = lambda x: F.when(~x["fenced"] & x["x"].rlike(r"^#{1,6}\s+"), F.length(F.regexp_extract(x["x"], "^(#+)", 1)))
     deeper = lambda x, shift: F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), level(x) + shift)), F.lit(" "), F.trim(F.regexp_replace(x["x"], r"^#+\s+", "")))
     put = lambda lines, shift: F.array_join(F.transform(lines, lambda x: F.when(level(x).isNotNull(), deeper(x, shift)).otherwise(x["x"])), "\n")
-    moved = _let(_fenced_lines(body), lambda lines: _let(F.lit(3) - F.array_min(F.transform(lines, level)), lambda shift: F.when(shift > 0, put(lines, shift))))
+    moved = let(_fenced_lines(body), lambda lines: let(F.lit(3) - F.array_min(F.transform(lines, level)), lambda shift: F.when(shift > 0, put(lines, shift))))
     return strip(F.coalesce(moved, body))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times as D
 from ..operators import captures, forms, matching, meetings, merge, people, records, segments
-from ..session import arrow_uri, shared_dir
+from ..session import arrow_uri, shared_dir, spread
 from ..sources import documents, page_sink, pages, payloads, transcripts
 from ..sources import frontmatter as fm
 from ..sources import notes as N
@@ -90,7 +90,7 @@ def item_match_names(spark, sf_dir):
 @query("""SELECT o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'merged' WHEN o_orderkey % 3 = 1 THEN 'closed' ELSE 'open' END AS state, CASE WHEN o_orderkey % 5 = 0 THEN 'ghost' ELSE 'u' || o_custkey % 7 END AS author, 60::BIGINT AS n_comments,
     CASE WHEN o_orderkey % 2 = 0 THEN 1999 ELSE 4 END + 1::BIGINT AS n_body, '2024-01-01T00:00:00Z ghost (approved) ok' AS first, 50::BIGINT AS kept FROM orders""")
 def review_records(spark, sf_dir):
-    rows = view(spark, sf_dir, "orders").selectExpr(
+    rows = spread(view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr(
         "'r' as repo", "'pr' as kind", "o_orderkey as number", "' T ' as title", "if(o_orderkey % 3 = 1, 'CLOSED', '') as state", "if(o_orderkey % 5 = 0, '', concat('u', o_custkey % 7)) as author", "'2024' as created_at", "if(o_orderkey % 3 = 0, '2024-02-01', '') as merged_at", "'' as closed_at", "array('a', '', null) as labels",
         "if(o_orderkey % 2 = 0, repeat('x', 2001), 'short') as body", "transform(sequence(1, 59), i -> named_struct('author', 'c', 'at', concat('2024-01-02T00:', lpad(60 - i, 2, '0')), 'state', '', 'body', concat('c', i))) as comments", "array(named_struct('author', '', 'at', '2024-01-01T00:00:00Z', 'state', 'APPROVED', 'body', ' ok ')) as reviews",
     )
@@ -259,7 +259,8 @@ def zones_and_spans(spark, sf_dir):
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '### Top' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '#### Next Steps' || chr(10) || '- a' || chr(10) || '1. b' || chr(10) || '### End' || chr(10) || '- c' ELSE '### Deep' || chr(10) || '- x' END AS body, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM customer""")
 def summary_spine(spark, sf_dir):
     body = F.when(F.col("c_custkey") % 2 == 0, "# Top\n```\n# code\n```\n## Next Steps\n- a\n1. b\n# End\n- c").otherwise("### Deep\n- x\n")
-    return view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.spine(body).alias("body"), T.next_steps(T.spine(body)).alias("n"))
+    rows = spread(view(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), T.spine(body).alias("body"))
+    return rows.withColumn("n", T.next_steps(F.col("body")))
 
 
 # --- meetings ------------------------------------------------------------------------------
@@ -270,7 +271,7 @@ def _entries(spark, sf_dir):
         'end_time', if(o_orderkey % 3 = 0, date_format(o_orderdate, "yyyy-MM-dd'T'08:30:00'Z'"), ''), 'duration', if(o_orderkey % 3 = 1, 15, null), 'host_email', 'HOST@x.example', 'participants', array('ann@x.example', 'Bob'),
         'summary', named_struct('meeting_topic', 'From summary', 'summary_content', if(o_orderkey % 2 = 0, '# Notes\n## Next steps\n- go', ''), 'summary_overview', 'over', 'next_steps', array('s1', ' '), 'meeting_id', '9'),
         'transcript_vtt', if(o_orderkey % 7 = 0, 'WEBVTT\n\n00:00:01.000 --> 00:01:40.000\nAda: hi\n', ''))"""))
-    pages = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"meetings": ['), entry, F.lit("]}"))).otherwise(F.concat(F.lit("["), entry, F.lit("]"))).alias("text"))
+    pages = spread(view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"meetings": ['), entry, F.lit("]}"))).otherwise(F.concat(F.lit("["), entry, F.lit("]"))).alias("text"))
     return meetings.entries(pages)
 
 
