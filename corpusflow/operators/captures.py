@@ -175,17 +175,18 @@ def review_records(details: DataFrame, most: int = 50) -> DataFrame:
     array, body, comments and reviews: array<struct<author, at, state, body>>) -> (repo, kind, number,
     title, state, author, ..., body of 2000 characters, comments: the first ``most`` by time, n_comments:
     all). Reviews are comments that begin with their state; a merged one's state is merged."""
-    none = F.array().cast("array<struct<at:string,author:string,body:string>>")
-    said = lambda c, head: F.coalesce(F.transform(c, lambda x: F.struct(F.coalesce(x["at"], F.lit("")).alias("at"), F.coalesce(F.nullif(x["author"], F.lit("")), F.lit("ghost")).alias("author"), F.concat(head(x), T.strip(F.coalesce(x["body"], F.lit("")))).alias("body"))), none)
-    both = F.concat(said("comments", lambda x: F.lit("")), said("reviews", lambda x: F.concat(F.lit("("), F.lower(F.coalesce(x["state"], F.lit(""))), F.lit(") "))))
-    # a stable sort by time: what was said at one time stays in its order
-    placed = F.array_sort(F.transform(both, lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"), x["author"].alias("author"), x["body"].alias("body"))))
-    kept = F.transform(F.slice(placed, 1, most), lambda x: F.struct(x["at"].alias("at"), x["author"].alias("author"), T.clip(x["body"], 1000).alias("body")))
+    none = F.array().cast("array<struct<at:string,i:int,author:string,head:string,body:string>>")
+    placed = lambda c, head, first: F.coalesce(F.transform(c, lambda x, i: F.struct(F.coalesce(x["at"], F.lit("")).alias("at"), (first + i).alias("i"), x["author"].alias("author"), head(x).alias("head"), x["body"].alias("body"))), none)
+    n_said = lambda c: F.greatest(F.size(c), F.lit(0))
+    both = F.concat(placed("comments", lambda x: F.lit(""), F.lit(0)), placed("reviews", lambda x: F.concat(F.lit("("), F.lower(F.coalesce(x["state"], F.lit(""))), F.lit(") ")), n_said("comments")))
+    # a stable sort by time: what was said at one time stays in its order; only what is kept is made up
+    body = lambda x: T.clip(F.concat(x["head"], T.strip(F.coalesce(x["body"], F.lit("")))), 1000)
+    kept = F.transform(F.slice(F.array_sort(both), 1, most), lambda x: F.struct(x["at"].alias("at"), F.coalesce(F.nullif(x["author"], F.lit("")), F.lit("ghost")).alias("author"), body(x).alias("body")))
     state = F.when(filled(F.col("merged_at")), "merged").otherwise(F.coalesce(F.nullif(F.lower("state"), F.lit("")), F.when(F.col("kind") == "pr", "open").otherwise("")))
     return details.select(
         "repo", "kind", "number", T.strip(F.coalesce("title", F.lit(""))).alias("title"), state.alias("state"), F.coalesce(F.nullif(F.col("author"), F.lit("")), F.lit("ghost")).alias("author"), "created_at",
         F.coalesce(F.nullif(F.col("merged_at"), F.lit("")), F.lit("null")).alias("merged_at"), F.coalesce(F.nullif(F.col("closed_at"), F.lit("")), F.lit("null")).alias("closed_at"),
-        F.filter("labels", filled).alias("labels"), F.coalesce(F.nullif(T.clip(F.col("body"), 2000), F.lit("")), F.lit("(no description)")).alias("body"), kept.alias("comments"), F.size(both).cast("long").alias("n_comments"),
+        F.filter("labels", filled).alias("labels"), F.coalesce(F.nullif(T.clip(F.col("body"), 2000), F.lit("")), F.lit("(no description)")).alias("body"), kept.alias("comments"), (n_said("comments") + n_said("reviews")).cast("long").alias("n_comments"),
     )
 
 
