@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions import times as D
+from ..session import written
 from ..sources import payloads, transcripts
 from . import matching, merge
 from . import records as R
@@ -42,8 +43,8 @@ def entries(pages: DataFrame) -> DataFrame:
     """pages (page, text: JSON) -> (page, pos, entry: variant): the meetings of each page out of any
     envelopes; a page that is one meeting is its only entry; text that is no JSON gives none."""
     rows = pages.select("page", payloads.unwrap(F.col("text"), ("result", "content", "text")).alias("v"))
-    listed = F.coalesce(F.try_variant_get("v", "$.meetings", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.array("v")))
-    return rows.select("page", F.posexplode(listed).alias("pos", "entry")).filter(F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT")))
+    listed = F.coalesce(F.try_variant_get("v", "$.meetings", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.when(payloads.is_object(F.col("v")), F.array("v")))
+    return rows.select("page", F.posexplode(listed).alias("pos", "entry")).filter(payloads.is_object(F.col("entry")))
 
 
 def summary_text(content: Column, overview: Column, details: Column, steps: Column) -> Column:
@@ -62,28 +63,38 @@ def summary_text(content: Column, overview: Column, details: Column, steps: Colu
     return F.struct(F.when(own, body).otherwise(plain).alias("summary"), kept.alias("steps"), F.when(own & (counted > 0), counted).otherwise(F.size(given)).cast("long").alias("n"))
 
 
+#: The keys of an entry and of its summary that are texts.
+TEXT_KEYS = (
+    "start_time", "meeting_start_time", "summary_start_time", "end_time", "meeting_end_time", "summary_end_time", "summary_title", "topic", "meeting_topic", "title", "uuid", "meeting_uuid", "host_email", "meeting_host_email",
+    "next_steps", "summary_content", "summary_overview", "share_url", "recording_url", "play_url", "duration", "transcript_vtt", "transcript",
+)
+
+
 def from_entries(rows: DataFrame, zone: str = "UTC", fallback: str = "Meeting") -> tuple[DataFrame, DataFrame]:
     """rows (page, pos, entry) -> (records, errors). An entry's keys win, its summary's fill gaps, and
     empty ones count as missing. A duration is end less start, else given minutes, else the end of the
     last cue. An entry without a usable start is an error (page, pos, error) and stops nothing."""
     raw = F.try_variant_get("entry", "$.summary", "variant")
     as_text = F.try_variant_get("entry", "$.summary", "string")
-    parsed = F.when(F.startswith(F.schema_of_variant(raw), F.lit("OBJECT")), raw).otherwise(F.try_parse_json(as_text))
-    fields = F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed)
-    rows = rows.withColumn("s", fields).withColumn("plain", F.when(F.col("s").isNull(), as_text))
-    get = lambda *keys: F.coalesce(*[F.nullif(F.try_variant_get(c, f"$.{k}", "string"), F.lit("")) for k in keys for c in ("entry", "s")])
+    rows = rows.withColumn("s", F.when(payloads.is_object(raw), raw).otherwise(F.try_parse_json(as_text)))
+    rows = rows.withColumn("s", F.when(payloads.is_object(F.col("s")), F.col("s"))).withColumn("plain", F.when(F.col("s").isNull(), as_text))
+    # all keys of a variant at once, and what is named more than once as a column
+    texts = "struct<" + ",".join(f"{k}:string" for k in TEXT_KEYS) + ">"
+    rows = rows.withColumns({"__entry": F.try_variant_get("entry", "$", texts), "__s": F.try_variant_get("s", "$", texts)})
+    get = lambda *keys: F.coalesce(*[F.nullif(F.col(c)[k], F.lit("")) for k in keys for c in ("__entry", "__s")])
     sub = lambda key, kind: F.coalesce(F.try_variant_get("entry", f"$.{key}", kind), F.try_variant_get("s", f"$.{key}", kind))
     start, end = D.iso_utc(get("start_time", "meeting_start_time", "summary_start_time")), D.iso_utc(get("end_time", "meeting_end_time", "summary_end_time"))
     headline = F.trim(F.regexp_replace(F.regexp_replace(get("summary_title"), r"(?i)^\s*meeting summary for\s+", ""), r"\s*\(\d{1,2}/\d{1,2}/\d{4}\)\s*$", ""))
     title = F.coalesce(T.first_filled(get("topic", "meeting_topic", "title"), headline), F.lit(fallback))
     uuid = get("uuid", "meeting_uuid")
-    people = F.transform(
-        F.coalesce(sub("participants", "array<variant>"), _none("array<variant>")),
-        lambda p: F.struct(
-            T.first_filled(*[F.try_variant_get(p, f"$.{k}", "string") for k in ("name", "user_name", "display_name")], F.when(~F.coalesce(F.try_variant_get(p, "$", "string"), F.lit("")).contains("@") & ~F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), F.try_variant_get(p, "$", "string"))).alias("name"),
-            T.first_filled(*[F.try_variant_get(p, f"$.{k}", "string") for k in ("email", "user_email")], F.when(F.try_variant_get(p, "$", "string").contains("@") & ~F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), F.try_variant_get(p, "$", "string"))).alias("email"),
-        ),
-    )
+    person = "struct<name:string,user_name:string,display_name:string,email:string,user_email:string>"
+    given = F.transform(F.coalesce(sub("participants", "array<variant>"), _none("array<variant>")), lambda p: F.struct(F.try_variant_get(p, "$", person).alias("o"), F.try_variant_get(p, "$", "string").alias("s")))
+    mail = lambda p: F.coalesce(p["s"], F.lit("")).contains("@")
+    rows = rows.withColumn("people", F.transform(given, lambda p: F.struct(
+        T.first_filled(*[p["o"][k] for k in ("name", "user_name", "display_name")], F.when(p["o"].isNull() & ~mail(p), p["s"])).alias("name"),
+        T.first_filled(*[p["o"][k] for k in ("email", "user_email")], F.when(p["o"].isNull() & mail(p), p["s"])).alias("email"),
+    )))
+    people = F.col("people")
     host = F.lower(F.coalesce(get("host_email", "meeting_host_email"), F.lit("")))
     names = F.array_distinct(F.filter(F.transform(people, lambda p: F.trim(p["name"])), filled))
     emails = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(host), F.transform(people, lambda p: F.lower(F.trim(p["email"])))), filled)))
@@ -91,10 +102,13 @@ def from_entries(rows: DataFrame, zone: str = "UTC", fallback: str = "Meeting")
     edited = sub("edited_summary", "struct<next_steps:array<string>,summary_details:array<struct<label:string,summary:string>>>")
     steps = F.coalesce(edited["next_steps"], sub("next_steps", "array<string>"), F.when(get("next_steps").isNotNull(), F.array(get("next_steps"))))
     text = summary_text(F.coalesce(get("summary_content"), F.col("plain")), get("summary_overview"), F.transform(F.coalesce(edited["summary_details"], details), lambda d: F.struct(d["label"].alias("label"), d["summary"].alias("text"))), steps)
+    rows = rows.withColumn("t", text)
     got = rows.select(
-        "page", "pos", start.alias("start"), end.alias("end"), title.alias("title"), uuid.alias("uuid"), host.alias("host"), names.alias("participants"), emails.alias("emails"), text.alias("t"),
+        "page", "pos", start.alias("start"), end.alias("end"), title.alias("title"), uuid.alias("uuid"), host.alias("host"), names.alias("participants"), emails.alias("emails"), "t",
         get("share_url", "recording_url", "play_url").alias("url"), get("duration").try_cast("long").alias("minutes"), get("transcript_vtt", "transcript").alias("vtt"),
     )
+    # written once: filters on it would work out an entry's keys again, and its cues and itself each read the JSON
+    got = written(got, "entries")
     bad = got.filter("start is null").select("page", "pos", F.lit("entry has no start_time").alias("error"))
     got = got.filter("start is not null").withColumn("id", F.coalesce("uuid", local_id(F.col("title"), F.date_format("start", "yyyy-MM-dd HH:mm"))))
     got = with_segments(got.withColumn("input", F.lit("api")).withColumn("date_source", F.lit("api")))
@@ -119,7 +133,9 @@ def with_segments(rows: DataFrame, key: str = "id", text: str = "vtt") -> DataFr
     files = rows.select(F.xxhash64(text).alias("__t"), F.col(text).alias("text")).filter("text is not null").distinct()
     cues = transcripts.any_text(files.select(F.col("__t").alias("id"), "text"))
     got = cues.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "start", "speaker", "text"))), lambda s: F.struct(s["start"].alias("start"), s["speaker"].alias("speaker"), s["text"].alias("text"))).alias("segments"), F.max("end").alias("cue_end"))
-    return rows.withColumn("__t", F.xxhash64(text)).join(got.withColumnRenamed("id", "__t"), "__t", "left").drop("__t").withColumn("segments", F.coalesce(F.col("segments").cast(SEGMENTS), _none(SEGMENTS)))
+    # rows without a text share no key, or one task would have them all
+    keyed = rows.withColumns({"__told": F.col(text).isNotNull(), "__t": F.when(F.col(text).isNull(), F.xxhash64(key)).otherwise(F.xxhash64(text))})
+    return keyed.join(got.select(F.col("id").alias("__t"), F.lit(True).alias("__told"), "segments", "cue_end"), ["__t", "__told"], "left").drop("__t", "__told").withColumn("segments", F.coalesce(F.col("segments").cast(SEGMENTS), _none(SEGMENTS)))
 
 
 # --- files -------------------------------------------------------------------------------

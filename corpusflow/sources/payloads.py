@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def json_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value: variant, error): one row a file; a malformed one is an error, no crash."""
@@ -24,11 +26,19 @@ def first_of(value: Column, paths: Iterable[str], kind: str = "string") -> Colum
 def unwrap(text: Column, keys: Iterable[str] = ("result", "data", "content", "text", "body"), depth: int = 5) -> Column:
     """A variant out of envelopes that hold JSON as text, peeled depth times at most."""
 
-    def peel(value: Column, _: Column) -> Column:
+    def peel(state: Column, _: Column) -> Column:
+        value = state["value"]
         inner = F.coalesce(*[F.try_parse_json(F.try_variant_get(value, f"$.{k}", "string")) for k in keys], *[F.try_variant_get(value, f"$.{k}", "variant") for k in keys])
-        return F.when(F.schema_of_variant(inner).rlike("^(OBJECT|ARRAY)"), inner).otherwise(value)
+        holds = lambda x: is_object(x) | F.try_variant_get(x, "$", "array<variant>").isNotNull()
+        found = T.let(inner, lambda x: F.struct(F.when(holds(x), x).otherwise(value).alias("value"), holds(x).alias("more")))
+        return F.when(state["more"], found).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(F.try_parse_json(text).alias("value"), F.lit(True).alias("more")), peel, lambda s: s["value"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.try_parse_json(text), peel)
+def is_object(value: Column) -> Column:
+    """Whether a variant is an object: without the types of all that is in it, which schema_of_variant works out."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def records(pages: DataFrame, path: str, value: str = "value") -> DataFrame:

@@ -13,3 +13,19 @@ def test_records_whose_ids_share_eight_digits(spark):
     got = {r.id: (r.id8, r.action, r.file) for r in plan.collect()}
     digits = got["m126284"][0]
     assert got == {"m126284": (digits, "update", "old.md"), "m204655": (digits, "insert", f"2024-01-02-sync-{digits}.md")}
+
+
+def test_entries_are_worked_out_once(spark):
+    """Neither the records nor their cues read the JSON again; rows without a transcript share no key."""
+    plan = capture.meeting_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_get" not in plan and "parse_json" not in plan
+
+
+def test_entries_of_odd_kinds(spark):
+    """Keys that are no texts, people as texts, objects or nothing, a summary as text, and entries in envelopes."""
+    said = '{"meeting_start_time": "2024-01-01T10:00:00Z", "uuid": 7, "topic": {"a": 1}, "participants": ["Al", "b@x.example", {"user_name": "Cy", "user_email": "C@x.example"}, null, 3], "summary": "{\\"summary_overview\\": \\"over\\"}"}'
+    pages = spark.createDataFrame([(1, f'{{"result": {{"meetings": [{said}]}}}}'), (2, "[1, null, {}]"), (3, "no JSON")], "page long, text string")
+    found, bad = meetings.from_entries(meetings.entries(pages))
+    (r,) = found.collect()
+    assert (r.id, r.title, r.participants, r.emails, r.summary) == ("7", '{"a":1}', ["Al", "Cy", "3"], ["b@x.example", "c@x.example"], "over")
+    assert [(b.page, b.pos) for b in bad.collect()] == [(2, 2)]
