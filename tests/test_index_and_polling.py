@@ -1,5 +1,6 @@
 """The inverted index against scans, and a polled service's cursor."""
 
+import collections
 import datetime as dt
 import re
 
@@ -40,6 +41,40 @@ def test_index_reads_only_buckets_with_the_words(spark, tmp_path):
     assert sorted((r.rel, r.hits) for r in index.search(df, path, ["word17", "word170"]).collect()) == sorted((r.rel, r.hits) for r in search.search(df, ["word17", "word170"]).collect())
 
 
+def explained(spark, df):
+    return spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_postings_are_inverted_in_tasks_and_terms_found_in_one_scan(spark, tmp_path):
+    df, path = notes(spark, {i: f"the{i} other common" for i in range(300)}), str(tmp_path / "index")
+    assert "Exchange" not in explained(spark, index.blocks(df))
+    index.add(df, path, 0)
+    assert explained(spark, index.dictionary(spark, path, ["the", "oth", "nothing"])).count("FileScan") == 1
+    many = index.hits(spark, path, ["the"], most_words=10)
+    assert explained(spark, many).count("Join") == 1  # with the documents, not with the words
+    assert sorted((r.id, r.hits) for r in many.collect()) == [(i, 2) for i in range(300)]
+    assert index.hits(spark, path, []).collect() == []
+
+
+def test_blocks_of_chunks(spark):
+    rows = [(7, "b a b"), (3, "a\x0ba a\x85 "), (None, "a"), (3, "a"), (5, None), (-2, "a \x1c"), (2**31, "a"), (2**40, ""), (6, " \t\r\n")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        parts, whole = index.blocks(df, chunk=1).collect(), index.blocks(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    for got in (parts, whole):
+        n = collections.Counter()
+        for r in got:
+            assert r.offsets[0] == 0 and r.low + r.offsets[-1] == r.high and list(r.offsets) == sorted(set(r.offsets))
+            n.update({(r.word, r.low + o): c for o, c in zip(r.offsets, r.counts, strict=True)})
+        assert n == {("a", 7): 1, ("b", 7): 2, ("a", 3): 3, ("a\x85", 3): 1, ("a", -2): 1, ("\x1c", -2): 1, ("a", 2**31): 1}
+    assert [len(r.offsets) for r in parts] == [1] * 8
+    assert sorted((r.low, r.high) for r in whole if r.word == "a") == [(-2, -2), (3, 7), (2**31, 2**31)]
+
+
 def test_windows():
     cut = polling.windows("2024-01-10T00:00:00", "2024-01-12T12:00:00", 24, 48)
     assert [(w.lo, w.hi, w.last) for w in cut] == [("2024-01-09T00:00:00", "2024-01-11T00:00:00", False), ("2024-01-11T00:00:00", "2024-01-12T12:00:00", True)]
